@@ -1 +1,8 @@
 """axonframe: time-series, connectivity and trial analytics as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+#: Functions of this package travel to the executors by value, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
