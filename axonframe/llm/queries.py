@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.llm import quality, toxicity
+from axonframe.llm import minhash, quality, toxicity
 from axonframe.sources.tables import table
 
 
@@ -18,5 +18,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity}
-ORACLES: dict[str, str] = {}
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=2))
+
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN coalesce(len(ws), 0) = 0 THEN [] WHEN len(ws) = 1 THEN ws
+    ELSE list_distinct([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) END AS set FROM w),
+one AS (SELECT min(doc_id) AS id, list_sort(set) AS set, len(set) AS n FROM s WHERE len(set) > 0 GROUP BY list_sort(set), len(set)),
+e AS (SELECT id, n, unnest(set) AS sh FROM one),
+c AS (SELECT a.id AS u, b.id AS v, a.n AS un, b.n AS vn, count(*) AS both FROM e a JOIN e b ON a.sh = b.sh AND a.id <> b.id
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(id, c) AS (SELECT id, id FROM one UNION SELECT r.id, c.v FROM r JOIN c ON r.c = c.u),
+m AS (SELECT id, min(c) AS component FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(s.set) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, s.doc_id = coalesce(m.component, s.doc_id) AS kept
+FROM s LEFT JOIN one ON list_sort(s.set) = one.set LEFT JOIN m ON m.id = one.id
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op4_minhash": op4_minhash}
+ORACLES: dict[str, str] = {"op4_minhash": OP4_SQL}
