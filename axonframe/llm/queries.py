@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.llm import minhash, quality, toxicity
+from axonframe.llm import minhash, quality, secrets, toxicity
 from axonframe.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=2))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -39,5 +43,10 @@ SELECT s.doc_id, CAST(len(s.set) AS BIGINT) AS n_shingles, coalesce(m.component,
 FROM s LEFT JOIN one ON list_sort(s.set) = one.set LEFT JOIN m ON m.id = one.id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op4_minhash": op4_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_toxicity": op2_toxicity,
+    "op4_minhash": op4_minhash,
+    "op5_secrets": op5_secrets,
+}
 ORACLES: dict[str, str] = {"op4_minhash": OP4_SQL}
