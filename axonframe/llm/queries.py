@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.llm import minhash, quality, secrets, toxicity
+from axonframe.llm import minhash, mixing, quality, secrets, toxicity
 from axonframe.sources.tables import table
 
 
@@ -26,6 +26,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"))
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -43,10 +47,27 @@ SELECT s.doc_id, CAST(len(s.set) AS BIGINT) AS n_shingles, coalesce(m.component,
 FROM s LEFT JOIN one ON list_sort(s.set) = one.set LEFT JOIN m ON m.id = one.id
 """
 
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) AS BIGINT) AS size FROM documents),
+src AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM src),
+l AS (SELECT *, row_number() OVER o AS pos, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level FROM w
+    WINDOW o AS (ORDER BY 2 * source_size / w, source NULLS LAST), p AS (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(2 * source_size, w * (SELECT arg_min(level, pos) FROM l WHERE level <= 2 * source_size / w)) AS target,
+    CAST('0x' || substr(md5('mix' || coalesce(source, '')), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM l),
+i AS (SELECT d.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+    row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)),
+    coalesce(doc_id, 0) % (32 * greatest(1, round(sqrt((SELECT count(*) FROM d) / 1e6)))), size, doc_id NULLS FIRST) AS i
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+    CAST(size * (floor(rate * i + u) - floor(rate * (i - 1) + u)) AS BIGINT) AS taken FROM i
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op4_minhash": op4_minhash,
     "op5_secrets": op5_secrets,
+    "op9_mixing": op9_mixing,
 }
-ORACLES: dict[str, str] = {"op4_minhash": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_minhash": OP4_SQL, "op9_mixing": OP9_SQL}
