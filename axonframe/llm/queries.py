@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.llm import minhash, mixing, packing, quality, secrets, toxicity
+from axonframe.llm import bilinear, minhash, mixing, packing, quality, secrets, toxicity
 from axonframe.sources.tables import table
 
 
@@ -30,6 +30,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bilinear.score(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op5_secrets": op5_secrets,
     "op7_packing": op7_packing,
+    "op8_bilinear": op8_bilinear,
     "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {"op4_minhash": OP4_SQL, "op9_mixing": OP9_SQL}
