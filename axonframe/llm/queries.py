@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.llm import bilinear, minhash, mixing, packing, quality, secrets, toxicity
+from axonframe.llm import bilinear, caps, minhash, mixing, packing, partitions, quality, secrets, toxicity
 from axonframe.sources.tables import table
 
 
@@ -18,6 +18,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitions.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=2))
 
@@ -38,6 +42,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"))
 
 
+def op10_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -71,13 +79,25 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
     CAST(size * (floor(rate * i + u) - floor(rate * (i - 1) + u)) AS BIGINT) AS taken FROM i
 """
 
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.93),
+r(id, c) AS (SELECT u, u FROM e UNION SELECT r.id, e.v FROM r JOIN e ON r.c = e.u),
+m AS (SELECT id, min(c) AS component FROM r GROUP BY id), n AS (SELECT u, count(*) AS n FROM e GROUP BY u)
+SELECT t.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(m.component, t.vec_id) AS component_id, t.vec_id = coalesce(m.component, t.vec_id) AS kept
+FROM embeddings t LEFT JOIN n ON n.u = t.vec_id LEFT JOIN m ON m.id = t.vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
+    "op3_partitions": op3_partitions,
     "op4_minhash": op4_minhash,
     "op5_secrets": op5_secrets,
     "op7_packing": op7_packing,
     "op8_bilinear": op8_bilinear,
     "op9_mixing": op9_mixing,
+    "op10_caps": op10_caps,
 }
-ORACLES: dict[str, str] = {"op4_minhash": OP4_SQL, "op9_mixing": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_minhash": OP4_SQL, "op9_mixing": OP9_SQL, "op10_caps": OP10_SQL}
