@@ -48,7 +48,7 @@ class Settings:
     rows: int = 5
     seed: int = 11
     #: Classes that become pivots of a bucket in one round, and members that meet a pivot in one task.
-    pivots: int = 8
+    pivots: int = 64
     fan: int = 512
     #: At most so many ids are broadcast to the scan that rebuilds sets; beyond, the scan is joined by shuffle.
     broadcast_ids: int = 400_000
@@ -173,7 +173,7 @@ def class_components(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFr
     members = cut(entries.join(shared, "key"))
     weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
     sets = cut(shingle_sets(docs, weight.select("id"), s))
-    edges = spark.createDataFrame([], "u long, v long")
+    edges, labels = spark.createDataFrame([], "u long, v long"), None
     members = members.join(weight, "id").select("key", "id", "n", "weight", F.col("id").alias("label"))
     first = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("down"), "n")).alias("top")).select("key", (-F.col("top.down")).alias("pivot"), F.col("top.n").alias("pn"), F.lit(None).cast("long").alias("pl"))
     while True:
@@ -183,8 +183,9 @@ def class_components(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFr
             .select("pivot", F.col("id").alias("member")).distinct()
         )
         found = cut(linked(cut(pairs), sets, s))
-        edges = edges.union(found.select(F.col("pivot").alias("u"), F.col("member").alias("v")))
-        labels = connected_components(edges)
+        if labels is None or not found.isEmpty():
+            edges = edges.union(found.select(F.col("pivot").alias("u"), F.col("member").alias("v")))
+            labels = cut(connected_components(edges))
         used = first.select("key", F.col("pivot").alias("id"))
         members = cut(
             members.drop("label").join(used, ["key", "id"], "left_anti")
