@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.llm import bilinear, caps, minhash, mixing, packing, partitions, quality, secrets, toxicity
+from axonframe.llm import bilinear, caps, minhash, mixing, packing, partitions, quality, secrets, toxicity, wrappers
 from axonframe.sources.tables import table
 
 
@@ -30,6 +30,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_partitions": op3_partitions,
     "op4_minhash": op4_minhash,
     "op5_secrets": op5_secrets,
+    "op6_wrappers": op6_wrappers,
     "op7_packing": op7_packing,
     "op8_bilinear": op8_bilinear,
     "op9_mixing": op9_mixing,
