@@ -51,18 +51,21 @@ def host_of(url: str = "url") -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
 
 
+def own_text(node: Node) -> str:
+    """What stands in the element itself, not in its children."""
+    return clean(" ".join(c for c in node.children if isinstance(c, str)))
+
+
 class Folded:
-    """A tree in which a run of like siblings is one node; ``texts`` are the cleaned texts of its own text nodes."""
+    """A tree in which a run of like siblings is one node; ``texts`` are the own texts of its nodes."""
 
     __slots__ = ("children", "key", "size", "texts")
 
     def __init__(self, nodes: list[Node]):
-        self.key, self.texts, runs = nodes[0].key, [], []
-        for child in (c for n in nodes for c in n.children):
-            if isinstance(child, str):
-                if t := clean(child):
-                    self.texts.append(t)
-            elif runs and runs[-1][0].key == child.key:
+        self.key, runs = nodes[0].key, []
+        self.texts = [t for n in nodes if (t := own_text(n))]
+        for child in (c for n in nodes for c in n.children if isinstance(c, Node)):
+            if runs and runs[-1][0].key == child.key:
                 runs[-1].append(child)
             else:
                 runs.append([child])
@@ -124,12 +127,9 @@ def varying(node: Node, path: str, constants: set[tuple[str, str]], into: dict[s
     if node.aside:
         return 0
     path = f"{path}>{node.key}"
-    n = 0
-    for c in node.children:
-        if isinstance(c, Node):
-            n += varying(c, path, constants, into)
-        elif (path, t := clean(c)) not in constants:
-            n += len(t)
+    own = own_text(node)
+    n = 0 if (path, own) in constants else len(own)
+    n += sum(varying(c, path, constants, into) for c in node.children if isinstance(c, Node))
     into[path] = into.get(path, 0) + n
     return n
 
@@ -176,18 +176,22 @@ class Wrapper:
                 todo += [(here, c) for c in reversed(node.children) if isinstance(c, Node)]
         return found["path"] or found["article"] or found["main"] or [("", tree)]
 
-    def blocks(self, node: Node, path: str, out: list[list[str]], strict: bool) -> None:
+    def blocks(self, node: Node, path: str, out: list[list[str]], strict: bool, heads: bool) -> None:
+        """Collects the block texts; ``heads``: a header in here is the article's own."""
         here, block = f"{path}>{node.key}", node.tag in BLOCK
         if block and out[-1]:
             out.append([])
+        constant = strict and (here, own_text(node)) in self.texts
         for c in node.children:
             if isinstance(c, str):
-                if not (strict and (here, clean(c)) in self.texts):
+                if not constant:
                     out[-1].append(c)
             elif c.tag == "br":
                 out[-1].append(" ")
-            elif not c.aside or c.tag == "header":
-                self.blocks(c, here, out, strict)
+            elif c.tag == "header" and not heads:
+                continue
+            elif not c.aside:
+                self.blocks(c, here, out, strict, heads or c.tag in ("article", "main"))
         if block and out[-1]:
             out.append([])
 
@@ -197,7 +201,7 @@ class Wrapper:
         for strict in (True, False):
             out: list[list[str]] = [[]]
             for path, node in roots:
-                self.blocks(node, path, out, strict)
+                self.blocks(node, path, out, strict, node.tag not in ("#", "html", "body"))
             got = "\n".join(t for t in (clean("".join(b)) for b in out) if t)
             if got or not self.texts:
                 return got
