@@ -52,7 +52,7 @@ class Settings:
     batch: int = 4096
     rate: float = 0.02
     #: Distinct words that a task holds back before it hands their counts on.
-    held: int = 200_000
+    held: int = 500_000
 
 
 def count_words(docs: DataFrame, s: Settings) -> DataFrame:
@@ -77,6 +77,21 @@ def count_words(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select(utf8().alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def common_words(counts: DataFrame, s: Settings) -> dict[bytes, int]:
+    """The most frequent words: those above the least frequency that ``s.common`` words or fewer exceed."""
+    step = F.floor(16 * F.log2("n"))
+    left, least = s.common, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    if least is None:
+        return {}
+    got = counts.filter(step >= least).toArrow()
+    return dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True))
+
+
 class Classes:
     """The class of a word: 0 is the end, then the single words, then hashed endings."""
 
@@ -108,6 +123,17 @@ class Cached(dict):
         return got
 
 
+class Coded(dict):
+    """The place of a common word, or -1 less the class of any other."""
+
+    def __init__(self, classes: Classes, places: dict[bytes, int]):
+        super().__init__(places)
+        self.classes = classes
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - self.classes(word)
+
+
 def contexts(c: np.ndarray, n: int) -> np.ndarray:
     """Cells (c2 * n + c1) * n + c of a token stream; before the text stands the end."""
     padded = np.concatenate([[0, 0], c])
@@ -123,7 +149,7 @@ def count_trigrams(docs: DataFrame, classes: Classes, s: Settings) -> np.ndarray
         for b in batches:
             cells = []
             for t in b.column("text"):
-                stream = np.array([*(of[w] for w in t.as_py().lower().split()), 0])
+                stream = np.array([*map(of.__getitem__, t.as_py().lower().split()), 0])
                 cells.append(contexts(stream, n))
             if cells:
                 total += np.bincount(np.concatenate(cells), minlength=n**3)
@@ -180,8 +206,8 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     s = settings
     training = docs.filter(fold("doc_id", s.parts) != 0)
     counts = cut(count_words(training, s))
-    common = {bytes(w): n for w, n in counts.orderBy(F.desc("n"), "word").limit(s.common).collect()}
-    singles = [w for w in list(common)[: s.singles + 1] if w != END][: s.singles]
+    common = common_words(counts, s)
+    singles = [w for w in sorted(common, key=lambda w: (-common[w], w))[: s.singles + 1] if w != END][: s.singles]
     classes = Classes(singles, s)
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,20 +228,22 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs = held.value
-        of, flat = Cached(classes), logs.ravel()
-        log_of = {w: float(np.log10(n + s.smooth)) for w, n in known.items()}
+        flat = logs.ravel()
+        class_of = np.array([classes(w) for w in known], np.int64)
+        log_of = np.log10(np.array(list(known.values()), float) + s.smooth)
+        code = Coded(classes, {w: i for i, w in enumerate(known)})
         for b in batches:
             tokens, found, smooth, model, words, times = [], [], [], [], [], []
             for t in b.column("text"):
                 ws = t.as_py().lower().split()
                 ws.append(END)
-                stream = np.array([of[w] for w in ws])
-                got = [log_of.get(w) for w in ws]
-                rare = Counter(w for w, x in zip(ws, got, strict=True) if x is None)
-                n_rare = sum(rare.values())
+                codes = np.array(list(map(code.__getitem__, ws)))
+                seen = codes >= 0
+                stream = np.where(seen, class_of[codes], -1 - codes) if len(class_of) else -1 - codes
+                rare = Counter([ws[i] for i in np.flatnonzero(~seen).tolist()])
                 tokens.append(len(ws))
-                found.append(len(ws) - n_rare)
-                smooth.append(sum(x for x in got if x is not None))
+                found.append(int(seen.sum()))
+                smooth.append(float(log_of[codes[seen]].sum()))
                 model.append(float(flat[contexts(stream, s.classes)].sum(dtype=float)) - float(class_log[stream].sum()))
                 words.append(list(rare))
                 times.append(list(rare.values()))
