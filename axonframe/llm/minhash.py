@@ -5,11 +5,13 @@ unbiased and with lower variance, because the extremes of one permutation are ne
 Signatures are banded; what shares a band is a candidate, and a link needs
 ``den * |A & B| >= num * |A | B|`` on the full shingle sets (64-bit hashes of word tuples).
 
-No pairs of a bucket are listed. Equal sets are one class, kept under its smallest doc_id. In each
-bucket a central class (the one in the largest buckets) is compared with the others; what links is
-one component and needs no comparison inside it. Classes outside the largest component of a bucket
-then become pivots in turn, until every bucket is one component or all its cross pairs are checked.
-So candidates are all pairs of a bucket, at the price of a few stars.
+No pairs of a bucket are listed. Equal sets are one class, kept under its smallest doc_id. Each bucket
+has a hub, the class in the largest buckets, and every other class is compared with the hubs of its
+buckets. Two classes that link with their hub are one component. A pair with a class that doesn't is
+compared in a tile of bounded size, where a class is held as its difference from the hub:
+``|A & B| = |H| - |H - A| - |H - B| + |D(A) & D(B)|`` with D the difference from H both ways. Tiles
+return an edge per class, not the pairs. So all pairs of all buckets are decided on full sets, and
+the rows that move stay in proportion to the buckets' entries.
 
 With 5 values in each of 28 bands a pair at similarity 0.8 is missed with probability 2e-5, at 0.9
 with less than 1e-10.
@@ -29,11 +31,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from axonframe.llm.components import connected_components
 from axonframe.llm.text import utf8
+from axonframe.llm.vectors import groups
 from axonframe.plans.session import cut
 
 
@@ -47,9 +49,10 @@ class Settings:
     bands: int = 28
     rows: int = 5
     seed: int = 11
-    #: Classes that become pivots of a bucket in one round, and members that meet a pivot in one task.
-    pivots: int = 64
+    #: Members that meet a hub in one task, and the sides of a tile.
     fan: int = 512
+    outer: int = 128
+    inner: int = 512
     #: At most so many ids are broadcast to the scan that rebuilds sets; beyond, the scan is joined by shuffle.
     broadcast_ids: int = 400_000
 
@@ -142,70 +145,112 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("text")).join(wanted, "id", "left_semi").mapInArrow(run, "id long, set binary")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (pivot, member) whose full sets are similar enough. A pivot's set is copied once per ``fan`` members."""
-    fans = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / s.fan).alias("fans"))
-    spread = fans.select("pivot", F.explode(F.sequence(F.lit(0), F.col("fans").cast("int") - 1)).alias("fan"), "fans")
-    left = spread.join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
+def stars(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """(hub, member, hub_n, n, missing, linked, diff) of each pair (hub, member).
+
+    ``diff`` holds the shingles that one of the two sets has and the other hasn't, ``missing`` of them
+    are the hub's. A hub's set is copied once per ``fan`` members.
+    """
+    fans = pairs.groupBy("hub").agg(F.ceil(F.count("*") / s.fan).cast("int").alias("fans"))
+    left = fans.select("hub", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan")).join(sets.select(F.col("id").alias("hub"), F.col("set").alias("hub_set")), "hub")
     right = (
-        pairs.join(fans, "pivot").withColumn("fan", F.pmod(F.xxhash64("member"), "fans").cast("int")).drop("fans")
+        pairs.join(fans, "hub").withColumn("fan", F.pmod(F.xxhash64("member"), "fans").cast("int")).drop("fans")
         .join(sets.select(F.col("id").alias("member"), F.col("set").alias("member_set")), "member")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for p, m in zip(b.column("pivot_set"), b.column("member_set"), strict=True):
-                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(m.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if s.den * min(len(x), len(y)) >= s.num * max(len(x), len(y)) else 0
-                keep.append(both > 0 and s.den * both >= s.num * (len(x) + len(y) - both))
-            yield b.select(["pivot", "member"]).filter(pa.array(keep, pa.bool_()))
+            rows = []
+            for h, m in zip(b.column("hub_set"), b.column("member_set"), strict=True):
+                x, y = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(m.as_buffer(), np.uint64)
+                diff = np.setxor1d(x, y, assume_unique=True)
+                missing = (len(diff) + len(x) - len(y)) // 2
+                both = len(x) - missing
+                rows.append((len(x), len(y), missing, both > 0 and s.den * both >= s.num * (len(x) + len(y) - both), diff.tobytes()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.record_batch([b.column("hub"), b.column("member"), *(pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True))], names)
+
+    names = ["hub", "member", "hub_n", "n", "missing", "linked", "diff"]
+    joined = right.join(left, ["hub", "fan"]).select("hub", "member", "hub_set", "member_set")
+    return joined.mapInArrow(run, "hub long, member long, hub_n long, n long, missing long, linked boolean, diff binary")
+
+
+def overlaps(diffs: list[np.ndarray], first: int) -> np.ndarray:
+    """Sizes of the intersections of the first ``first`` sets with the others; shingles of one set alone are left out."""
+    flat, rows = np.concatenate(diffs), np.repeat(np.arange(len(diffs)), [len(d) for d in diffs])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    rows, column = rows[times[column] > 1], column[times[column] > 1]
+    out = np.zeros((first, len(diffs) - first), np.float32)
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], np.unique(column[order], return_inverse=True)[1]
+    for at in range(0, int(column.max(initial=-1)) + 1, 2048):
+        low, high = np.searchsorted(column, [at, at + 2048])
+        has = np.zeros((len(diffs), 2048), np.float32)
+        has[rows[low:high], column[low:high] - at] = 1
+        out += has[:first] @ has[first:].T
+    return out
+
+
+def bipartite_roots(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id of the component of each row and column that ``near`` links."""
+    none = np.iinfo(np.int64).max
+    while True:
+        low = np.minimum(left, np.where(near, right[None], none).min(1, initial=none))
+        high = np.minimum(right, np.where(near, low[:, None], none).min(0, initial=none))
+        if (low == left).all() and (high == right).all():
+            return low, high
+        left, right = low, high
+
+
+def tile_links(star: DataFrame, s: Settings) -> DataFrame:
+    """(u, v): for classes that don't link with their hub, and those they link with, the smallest class of their component in each tile."""
+    hubs = star.groupBy("hub").agg(F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("outs"), F.count("*").alias("all")).filter("outs > 0 AND all > 1")
+    hubs = hubs.select("hub", F.ceil(F.col("outs") / s.outer).cast("int").alias("is"), F.ceil(F.col("all") / s.inner).cast("int").alias("js"))
+    met = star.join(hubs, "hub").withColumn("h", F.xxhash64("member"))
+    own = lambda n: F.pmod("h", F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keep = ["member", "hub_n", "n", "missing", "diff"]
+    outer = met.filter("NOT linked").withColumn("i", own("is")).select("hub", "i", every("js").alias("j"), F.lit(0).alias("side"), *keep)
+    inner = met.withColumn("j", own("js")).select("hub", every("is").alias("i"), "j", F.lit(1).alias("side"), *keep)
+    keys = ["hub", "i", "j"]
 
-    joined = right.join(left.drop("fans"), ["pivot", "fan"]).select("pivot", "member", "pivot_set", "member_set")
-    return joined.mapInArrow(run, "pivot long, member long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups(batches, [*keys]):
+            first = rows.num_rows - int(rows.column("side").to_numpy().sum())
+            if first in (0, rows.num_rows):
+                continue
+            ids, n, missing = (rows.column(c).to_numpy() for c in ("member", "n", "missing"))
+            hub_n = int(rows.column("hub_n")[0].as_py())
+            both = hub_n - missing[:first, None] - missing[None, first:] + overlaps([np.frombuffer(d.as_buffer(), np.uint64) for c in rows.column("diff").chunks for d in c], first)
+            near = (both > 0) & (s.den * both >= s.num * (n[:first, None] + n[None, first:] - both)) & (ids[:first, None] != ids[None, first:])
+            a, b = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+            if len(a):
+                roots = bipartite_roots(near[np.ix_(a, b)], ids[:first][a], ids[first:][b])
+                yield pa.record_batch([pa.array(np.concatenate([ids[:first][a], ids[first:][b]])), pa.array(np.concatenate(roots))], ["u", "v"])
+
+    return outer.unionByName(inner).repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "u long, v long")
 
 
 def class_components(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """(id, component) of the classes (id, n, bands) that are linked with a smaller one."""
-    spark = docs.sparkSession
-    entries = classes.select("id", "n", F.posexplode("bands").alias("band", "h")).select("id", "n", F.xxhash64("band", "h").alias("key"))
+    """(id, component) of the classes (id, bands) that are linked with a smaller one."""
+    entries = classes.select("id", F.posexplode("bands").alias("band", "h")).select("id", F.xxhash64("band", "h").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = cut(entries.join(shared, "key"))
     weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
     sets = cut(shingle_sets(docs, weight.select("id"), s))
-    edges, labels = spark.createDataFrame([], "u long, v long"), None
-    members = members.join(weight, "id").select("key", "id", "n", "weight", F.col("id").alias("label"))
-    first = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("down"), "n")).alias("top")).select("key", (-F.col("top.down")).alias("pivot"), F.col("top.n").alias("pn"), F.lit(None).cast("long").alias("pl"))
-    while True:
-        pairs = (
-            members.join(first, "key").filter("id <> pivot AND (pl IS NULL OR pl <> label)")
-            .filter(s.den * F.least("n", "pn") >= s.num * F.greatest("n", "pn"))
-            .select("pivot", F.col("id").alias("member")).distinct()
-        )
-        found = cut(linked(cut(pairs), sets, s))
-        if labels is None or not found.isEmpty():
-            edges = edges.union(found.select(F.col("pivot").alias("u"), F.col("member").alias("v")))
-            labels = cut(connected_components(edges))
-        used = first.select("key", F.col("pivot").alias("id"))
-        members = cut(
-            members.drop("label").join(used, ["key", "id"], "left_anti")
-            .join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        )
-        parts = members.groupBy("key", "label").agg(F.count("*").alias("part"))
-        largest = parts.groupBy("key").agg(F.max(F.struct("part", "label")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("top.label").alias("main"))
-        members = members.join(largest, "key")
-        rest = members.filter("label <> main").withColumn("at", F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), "id"))).filter(F.col("at") <= s.pivots)
-        first = cut(rest.select("key", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("pl")))
-        if first.isEmpty():
-            return labels
-        members = members.drop("main")
+    top = F.max(F.struct("weight", (-F.col("id")).alias("down")))
+    hub = members.join(weight, "id").groupBy("key").agg((-top["down"]).alias("hub"))
+    pairs = members.join(hub, "key").filter("id <> hub").select("hub", F.col("id").alias("member")).distinct()
+    star = cut(stars(pairs, sets, s))
+    links = star.filter("linked").select(F.col("hub").alias("u"), F.col("member").alias("v"))
+    return connected_components(links.union(tile_links(star, s)))
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     rows = cut(sketches(docs, settings))
     ids = rows.filter("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("id"))
-    classes = rows.select(F.col("doc_id").alias("id"), "same", "n", "bands").join(ids, ["id", "same"], "left_semi").dropDuplicates(["id", "same"])
+    classes = rows.select(F.col("doc_id").alias("id"), "same", "bands").join(ids, ["id", "same"], "left_semi").dropDuplicates(["id", "same"])
     labels = class_components(docs, classes, settings)
     return (
         rows.select("doc_id", "n", "same").join(ids, "same", "left").join(labels, "id", "left")
