@@ -101,7 +101,7 @@ ORACLES = {
     "default_fill_join": "SELECT doc_id, coalesce(CAST(quality AS DOUBLE), 1.0) AS frac FROM documents LEFT JOIN labels USING (doc_id)",
     "nearest_supplier": """WITH j AS (SELECT c_custkey AS id, s_suppkey AS node, abs(c_acctbal - s_acctbal) AS dist FROM customer JOIN supplier ON c_nationkey % 5 = s_nationkey % 5)
         SELECT id, arg_min(node, (dist, node)) AS node, round(min(dist), 4) AS dist, CASE WHEN min(dist) <= 500 THEN 1.0 ELSE 0.0 END AS weight FROM j GROUP BY 1""",
-    "range_kernel_smooth": """WITH j AS (SELECT a.p_partkey AS id, exp(-(a.p_retailprice - b.p_retailprice) ** 2 / 8) AS w, b.p_size AS x FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs(a.p_retailprice - b.p_retailprice) <= 5)
+    "range_kernel_smooth": """WITH j AS (SELECT a.p_partkey AS id, exp(-((a.p_retailprice - b.p_retailprice) ** 2) / 8) AS w, b.p_size AS x FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs(a.p_retailprice - b.p_retailprice) <= 5)
         SELECT id, round(sum(w * x) / (sum(w) + 1e-12), 6) AS smooth, count(*) AS n FROM j GROUP BY 1""",
     "six_neighbour_laplacian": """WITH v AS (SELECT p_partkey AS id, p_partkey % 10 AS x, p_partkey // 10 % 10 AS y, p_partkey // 100 AS z FROM part WHERE p_size > 5),
         e AS (SELECT a.id AS i, b.id AS j FROM v a JOIN v b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1)
