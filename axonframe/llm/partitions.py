@@ -41,7 +41,7 @@ class Settings:
     hidden: int = 64
     steps: int = 400
     recall: float = 0.96
-    block: int = 256
+    block: int = 2048
     slice: int = 1024
     seed: int = 7
 
