@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.operators import design, gaps, lookups, moments, regression, windows
+from axonframe.operators import design, evaluation, gaps, graph, lookups, losses, moments, regression, trials, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (moments, regression, windows, gaps, design, lookups):
+for _module in (moments, regression, windows, gaps, design, lookups, trials, evaluation, graph, losses):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

@@ -20,7 +20,7 @@ def user_series(events: DataFrame) -> DataFrame:
 
 def trial_features(embeddings: DataFrame) -> DataFrame:
     """(trial, image, k, x): trial patterns in long form, feature by feature."""
-    return embeddings.select(F.col("vec_id").alias("trial"), F.col("label").alias("image"), F.posexplode("embedding").alias("k", "x0")).select("trial", "image", "k", F.col("x0").cast("double").alias("x"))
+    return embeddings.select(F.col("vec_id").alias("trial"), F.col("label").alias("image"), F.posexplode("embedding").alias("k", "x0")).select("trial", "image", F.col("k").cast("long").alias("k"), F.col("x0").cast("double").alias("x"))
 
 
 DAILY = "long AS (SELECT event_type AS ch, day(ts) AS tr, avg(value) AS v FROM events GROUP BY 1, 2)"
