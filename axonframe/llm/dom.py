@@ -29,6 +29,9 @@ ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottombar sidebar aside rail cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond discussion disqus social share sharing related recommended recommendations widget toolbar pagination pager search copyright legal disclaimer form".split()
 )
 
+#: As in browsers, what is nested deeper is hung up at this depth; no text is lost.
+DEEPEST = 250
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S
 )
@@ -82,7 +85,7 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             node.children.append(page[at : end.start() if end else size])
             at = end.end() if end else size
-        elif tag not in VOID and not m["attrs"].endswith("/"):
+        elif tag not in VOID and not m["attrs"].endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
     return root
 

@@ -51,9 +51,23 @@ def host_of(url: str = "url") -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
 
 
+def is_block(node: Node) -> bool:
+    return node.tag in BLOCK or node.tag == "#"
+
+
+def strings(node: Node) -> Iterator[str]:
+    for c in node.children:
+        if isinstance(c, str):
+            yield c
+        elif c.tag == "br":
+            yield " "
+        elif not is_block(c):
+            yield from strings(c)
+
+
 def own_text(node: Node) -> str:
-    """What stands in the element itself, not in its children."""
-    return clean(" ".join(c for c in node.children if isinstance(c, str)))
+    """What stands in a block itself and in its inline elements, not in blocks inside it; nothing for inline elements."""
+    return clean("".join(strings(node))) if is_block(node) else ""
 
 
 class Folded:
@@ -128,7 +142,7 @@ def varying(node: Node, path: str, constants: set[tuple[str, str]], into: dict[s
         return 0
     path = f"{path}>{node.key}"
     own = own_text(node)
-    n = 0 if (path, own) in constants else len(own)
+    n = 0 if (path, own) in constants else len(own)  # inline text counts with its block
     n += sum(varying(c, path, constants, into) for c in node.children if isinstance(c, Node))
     into[path] = into.get(path, 0) + n
     return n
@@ -176,12 +190,13 @@ class Wrapper:
                 todo += [(here, c) for c in reversed(node.children) if isinstance(c, Node)]
         return found["path"] or found["article"] or found["main"] or [("", tree)]
 
-    def blocks(self, node: Node, path: str, out: list[list[str]], strict: bool, heads: bool) -> None:
+    def blocks(self, node: Node, path: str, out: list[list[str]], strict: bool, heads: bool, constant: bool = False) -> None:
         """Collects the block texts; ``heads``: a header in here is the article's own."""
-        here, block = f"{path}>{node.key}", node.tag in BLOCK
+        here, block = f"{path}>{node.key}", is_block(node)
         if block and out[-1]:
             out.append([])
-        constant = strict and (here, own_text(node)) in self.texts
+        if block:
+            constant = strict and (here, own_text(node)) in self.texts
         for c in node.children:
             if isinstance(c, str):
                 if not constant:
@@ -191,7 +206,7 @@ class Wrapper:
             elif c.tag == "header" and not heads:
                 continue
             elif not c.aside:
-                self.blocks(c, here, out, strict, heads or c.tag in ("article", "main"))
+                self.blocks(c, here, out, strict, heads or c.tag in ("article", "main"), constant)
         if block and out[-1]:
             out.append([])
 
