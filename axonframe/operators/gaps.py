@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from axonframe.sources.series import SERIES, user_series
 from axonframe.sources.tables import table
 
-ORDER = W.partitionBy("sid").orderBy("t")
+
+def order() -> WindowSpec:
+    return W.partitionBy("sid").orderBy("t")
 
 
 def fill_linear(rows: DataFrame, valid: Column) -> DataFrame:
     """Adds ``filled``: invalid samples from the nearest valid ones, weighted by inverse distance; one side alone if there is one, else 0."""
     x = F.when(valid, F.struct("t", "v"))
-    left = F.last(x, ignorenulls=True).over(ORDER.rowsBetween(W.unboundedPreceding, -1))
-    right = F.first(x, ignorenulls=True).over(ORDER.rowsBetween(1, W.unboundedFollowing))
+    left = F.last(x, ignorenulls=True).over(order().rowsBetween(W.unboundedPreceding, -1))
+    right = F.first(x, ignorenulls=True).over(order().rowsBetween(1, W.unboundedFollowing))
     both = rows.withColumns({"l": left, "r": right})
     wl, wr = 1 / (F.col("t") - F.col("l.t")), 1 / (F.col("r.t") - F.col("t"))
     blend = (F.col("l.v") * wl + F.col("r.v") * wr) / (wl + wr)
@@ -25,13 +28,13 @@ def fill_linear(rows: DataFrame, valid: Column) -> DataFrame:
 
 def islands(rows: DataFrame, valid: Column) -> DataFrame:
     """(sid, start, length) of the runs of invalid samples."""
-    marked = rows.withColumn("ok", valid).withColumn("run", F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(ORDER))
+    marked = rows.withColumn("ok", valid).withColumn("run", F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(order()))
     return marked.filter(~F.col("ok")).groupBy("sid", "run").agg(F.min("t").alias("start"), F.count("*").alias("length")).drop("run")
 
 
 def fill_method(rows: DataFrame, valid: Column, most_linear: int = 3) -> DataFrame:
     """Adds ``method``: keep, linear in gaps of up to ``most_linear`` samples, else spectral."""
-    marked = rows.withColumn("ok", valid).withColumn("run", F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(ORDER))
+    marked = rows.withColumn("ok", valid).withColumn("run", F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(order()))
     gap = F.sum(F.when(~F.col("ok"), 1).otherwise(0)).over(W.partitionBy("sid", "run"))
     return marked.withColumn("method", F.when(F.col("ok"), "keep").when(gap <= most_linear, "linear").otherwise("spectral")).drop("ok", "run")
 

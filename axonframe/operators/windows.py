@@ -6,18 +6,21 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from axonframe.operators.moments import guarded_corr, pairs
 from axonframe.sources.series import DAILY, SERIES, daily_channels, user_series
 from axonframe.sources.tables import table
 
-ORDER = W.partitionBy("sid").orderBy("t")
+
+def order() -> WindowSpec:
+    return W.partitionBy("sid").orderBy("t")
 
 
 def causal_z(rows: DataFrame, eps: float = 1e-8, inclusive: bool = False) -> DataFrame:
     """Adds z. Exclusive: row i by rows before it; the first row raw, the second less the first. Inclusive: by rows up to it; fewer than two stay raw."""
-    over = ORDER.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    over = order().rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     n, m, s = F.count("v").over(over), F.avg("v").over(over), F.stddev_pop("v").over(over)
     z = (F.col("v") - m) / (s + eps)
     if inclusive:
@@ -55,30 +58,30 @@ def swc_scaled(long: DataFrame, width: int) -> DataFrame:
 
 def displacement(rows: DataFrame, cols: list[str]) -> DataFrame:
     """Framewise displacement: the sum of absolute differences to the row before, 0 for the first."""
-    return rows.withColumn("fd", F.coalesce(sum((F.abs(F.col(c) - F.lag(c).over(ORDER)) for c in cols[1:]), F.abs(F.col(cols[0]) - F.lag(cols[0]).over(ORDER))), F.lit(0.0)))
+    return rows.withColumn("fd", F.coalesce(sum((F.abs(F.col(c) - F.lag(c).over(order())) for c in cols[1:]), F.abs(F.col(cols[0]) - F.lag(cols[0]).over(order()))), F.lit(0.0)))
 
 
 def unwrap(rows: DataFrame, period: float = 2 * math.pi) -> DataFrame:
     """Adds ``unwrapped``: jumps of half a period or more are replaced by their complement, summed up."""
-    d = F.col("v") - F.lag("v").over(ORDER)
+    d = F.col("v") - F.lag("v").over(order())
     wrapped = F.pmod(d + period / 2, F.lit(period)) - period / 2
     wrapped = F.when((wrapped == -period / 2) & (d > 0), period / 2).otherwise(wrapped)
     steps = rows.withColumn("fix", F.when(F.abs(d) < period / 2, 0.0).otherwise(F.coalesce(wrapped - d, F.lit(0.0))))
-    return steps.withColumn("unwrapped", F.col("v") + F.sum("fix").over(ORDER.rowsBetween(W.unboundedPreceding, 0))).drop("fix")
+    return steps.withColumn("unwrapped", F.col("v") + F.sum("fix").over(order().rowsBetween(W.unboundedPreceding, 0))).drop("fix")
 
 
 def levy(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Levy area of the path (a, b) of each series: half the sum of a db - b da from the start."""
-    start = ORDER.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    start = order().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     path = rows.select("sid", "t", (F.col(a) - F.first(a).over(start)).alias("a"), (F.col(b) - F.first(b).over(start)).alias("b"))
-    pa, pb = F.lag("a").over(ORDER), F.lag("b").over(ORDER)
+    pa, pb = F.lag("a").over(order()), F.lag("b").over(order())
     return path.withColumn("term", pa * (F.col("b") - pb) - pb * (F.col("a") - pa)).groupBy("sid").agg((0.5 * F.coalesce(F.sum("term"), F.lit(0.0))).alias("area"))
 
 
 def roughness(rows: DataFrame, order: int) -> DataFrame:
     """Mean squared n-th difference of each series."""
     for _ in range(order):
-        rows = rows.withColumn("v", F.col("v") - F.lag("v").over(ORDER))
+        rows = rows.withColumn("v", F.col("v") - F.lag("v").over(order()))
     return rows.groupBy("sid").agg(F.avg(F.col("v") * F.col("v")).alias("roughness"))
 
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.operators import design, evaluation, gaps, graph, lookups, losses, moments, regression, trials, windows
+from axonframe.operators import dense, design, evaluation, gaps, graph, lookups, losses, moments, regression, resampling, trials, windows
+from axonframe.streaming import decode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (moments, regression, windows, gaps, design, lookups, trials, evaluation, graph, losses):
+for _module in (moments, regression, windows, gaps, design, lookups, trials, evaluation, graph, losses, dense, resampling, decode):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
