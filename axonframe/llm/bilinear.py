@@ -239,7 +239,8 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 ws.append(END)
                 codes = np.array(list(map(code.__getitem__, ws)))
                 seen = codes >= 0
-                stream = np.where(seen, class_of[codes], -1 - codes) if len(class_of) else -1 - codes
+                stream = -1 - codes
+                stream[seen] = class_of[codes[seen]]
                 rare = Counter([ws[i] for i in np.flatnonzero(~seen).tolist()])
                 tokens.append(len(ws))
                 found.append(int(seen.sum()))
