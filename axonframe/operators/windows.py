@@ -37,7 +37,7 @@ def train_z(rows: DataFrame, train: Column, eps: float = 1e-8) -> DataFrame:
 
 def sliding(long: DataFrame, width: int) -> DataFrame:
     """(win, ch, tr, v): every row in each of the ``width`` windows that hold it; incomplete windows are the caller's to drop."""
-    return long.withColumn("win", F.explode(F.sequence(F.col("tr") - width + 1, F.col("tr"))).cast("long"))
+    return long.withColumn("win", F.explode(F.sequence(F.col("tr").cast("long") - width + 1, F.col("tr").cast("long"))))
 
 
 def sliding_pairs(long: DataFrame, width: int) -> DataFrame:
@@ -78,9 +78,9 @@ def levy(rows: DataFrame, a: str, b: str) -> DataFrame:
     return path.withColumn("term", pa * (F.col("b") - pb) - pb * (F.col("a") - pa)).groupBy("sid").agg((0.5 * F.coalesce(F.sum("term"), F.lit(0.0))).alias("area"))
 
 
-def roughness(rows: DataFrame, order: int) -> DataFrame:
+def roughness(rows: DataFrame, times: int) -> DataFrame:
     """Mean squared n-th difference of each series."""
-    for _ in range(order):
+    for _ in range(times):
         rows = rows.withColumn("v", F.col("v") - F.lag("v").over(order()))
     return rows.groupBy("sid").agg(F.avg(F.col("v") * F.col("v")).alias("roughness"))
 
