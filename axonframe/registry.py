@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from axonframe.operators import dense, design, evaluation, gaps, graph, lookups, losses, moments, regression, resampling, selection, trials, windows
 from axonframe.streaming import decode
+from axonframe.streaming import trials as decoding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (moments, regression, windows, gaps, design, lookups, trials, evaluation, graph, losses, dense, resampling, selection, decode):
+for _module in (moments, regression, windows, gaps, design, lookups, trials, evaluation, graph, losses, dense, resampling, selection, decode, decoding):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

@@ -43,3 +43,20 @@ def test_event_windows_stream(spark, tmp_path):
     got = decode.run_to_end(decode.event_windows(stream), "update", "event_days").toPandas()
     want = decode.event_windows(table(spark, SMALL, "events")).toPandas()
     assert isinstance(got, pd.DataFrame) and got.n.sum() == want.n.sum()
+
+
+def test_trial_stream_equals_batch_and_leaves_last_in_first_out(spark, tmp_path):
+    from axonframe.streaming import trials
+
+    frames = trials.event_frames(spark, SMALL).filter("run < 3").toPandas().sort_values("t")
+    for k, part in enumerate(np.array_split(np.arange(len(frames)), 3)):
+        frames.iloc[part].to_parquet(tmp_path / f"{k}.parquet")
+    schema = "run long, t long, v double, onset boolean"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    got = decode.run_to_end(trials.decode_stream(stream), "append", "trial_frames").toPandas().sort_values(["run", "t"])
+    want = trials.decode_batch(spark.createDataFrame(frames)).toPandas().sort_values(["run", "t"])
+    assert len(want) > 3 and got[["run", "t", "trial"]].values.tolist() == want[["run", "t", "trial"]].values.tolist()
+    assert np.allclose(got["mean"], want["mean"]) and np.allclose(got.snr, want.snr)
+    d = trials.Decoder(wait=2, least=8)
+    left = [trial for _, (trial, *_) in d.run([1.0, 2, 1, 3, 1, 2, 4, 1, 2, 1, 3, 2], [True, True, True] + [False] * 9)]
+    assert left == [3, 2, 1]
