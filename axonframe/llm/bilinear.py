@@ -156,9 +156,9 @@ def count_trigrams(docs: DataFrame, classes: Classes, s: Settings) -> np.ndarray
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at])], ["cell", "n"])
 
-    got = docs.select(utf8().alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select(utf8().alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(n**3)
-    counts[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(float)
+    counts[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     return counts
 
 
