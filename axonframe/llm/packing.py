@@ -60,27 +60,24 @@ def is_latin(text: str) -> bool:
 PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?*&#$%|()]*)")
 
 
-class Encoder:
-    """Token ids of texts. White space always parts tokens, so each word is encoded once and looked up.
+class Words(dict):
+    """Ids of words as bytes, learnt on first sight.
 
     Of plain words, letters and punctuation go to the library's merge model straight away, each
-    distinct stretch once; all other words and odd texts go through the whole tokenizer. Latin
-    letters may be lower-cased first, as the tokenizer does that itself. The caches have a bounded
-    size.
+    distinct stretch once; all other words go through the whole tokenizer.
     """
 
-    CACHE = 300_000
-
     def __init__(self, s: Settings):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(s.tokenizer))
         self.tokenizer.encode_special_tokens = True
-        self.merges = self.tokenizer.model.tokenize
-        self.end, self.cache, self.stretches = np.array([s.end], "<u4").tobytes(), {}, {}
+        self.merges, self.stretches = self.tokenizer.model.tokenize, {}
         steps = self.tokenizer.pre_tokenizer
         spell = {chr(c): "".join(t for t, _ in steps.pre_tokenize_str(chr(c))) for c in [*range(97, 123), *range(0xDF, 0x100)]}
         self.spell = str.maketrans({c: t for c, t in spell.items() if t != c})
+        self.packed = [np.uint32(i).tobytes() for i in range(self.tokenizer.get_vocab_size())]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -88,31 +85,47 @@ class Encoder:
     def stretch(self, text: str) -> bytes:
         got = self.stretches.get(text)
         if got is None:
-            got = self.stretches[text] = b"".join(t.id.to_bytes(4, "little") for t in self.merges(text.translate(self.spell)))
+            packed = self.packed
+            found = self.merges(text if text.isascii() else text.translate(self.spell))
+            got = self.stretches[text] = b"".join([packed[t.id] for t in found])
         return got
 
-    def learn(self, new: list[str]) -> None:
-        for w in new:
-            if w.isascii() and w.isalpha() and w.islower():
-                self.cache[w] = self.stretch(w)
-                continue
-            m = PLAIN.fullmatch(w)
-            self.cache[w] = self.whole(w) if m is None else self.stretch(m[1]) + self.stretch(m[2]) if m[2] else self.stretch(m[1])
+    def __missing__(self, word: str) -> bytes:
+        m = PLAIN.fullmatch(word)
+        if m is None:
+            got = self.whole(word)
+        else:
+            letters, marks = m.groups()
+            got = self.stretch(letters) + self.stretch(marks) if marks else self.stretch(letters)
+        self[word] = got
+        return got
+
+
+class Encoder:
+    """Token ids of texts. White space always parts tokens, so each word is encoded once and looked up.
+
+    Latin letters may be lower-cased first, as the tokenizer does that itself; texts with odd white
+    space are encoded whole. The caches have a bounded size.
+    """
+
+    CACHE = 600_000
+
+    def __init__(self, s: Settings):
+        self.words, self.end = Words(s), np.array([s.end], "<u4").tobytes()
+        self.tokenizer = self.words.tokenizer
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text and the closing id, as little-endian 32-bit numbers."""
-        for i in range(0, len(texts), 256):
-            some = texts[i : i + 256]
-            if len(self.cache) > self.CACHE:
-                self.cache.clear()
-            if len(self.stretches) > self.CACHE:
-                self.stretches.clear()
-            split = [None if ODD.search(t) else (t.lower() if is_latin(t) else t).split() for t in some]
-            words = set().union(*(ws for ws in split if ws))
-            self.learn([w for w in words if w not in self.cache])
-            of = self.cache.__getitem__
-            for t, ws in zip(some, split, strict=True):
-                yield (self.whole(t) if ws is None else b"".join(map(of, ws))) + self.end
+        words = self.words
+        of = words.__getitem__
+        for t in texts:
+            if len(words) > self.CACHE:
+                words.clear()
+                words.stretches.clear()
+            if ODD.search(t):
+                yield words.whole(t) + self.end
+            else:
+                yield b"".join(map(of, (t.lower() if is_latin(t) else t).split())) + self.end
 
 
 def cuts(n: int, s: Settings) -> list[tuple[int, int]]:
