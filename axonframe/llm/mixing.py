@@ -62,7 +62,7 @@ def targets(sources: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def allot(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``docs``, which has doc_id, source and __size, with source_size, target and __copies. All other columns are kept."""
+    """``docs``, which has doc_id, source and __size, with __source_size, __target and __copies. All other columns are kept, whatever their names."""
     n = salts(docs.select("doc_id").count())
     digits = F.length(F.bin("__size"))
     band = digits * 8 + F.expr("shiftright(__size, greatest(length(bin(__size)) - 3, 0))")
@@ -72,11 +72,11 @@ def allot(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     wanted = targets(cells.groupBy("__source").agg(F.sum("__sum").alias("source_size")), s)
     along = W.partitionBy("__source").orderBy("__band", "__salt").rowsBetween(W.unboundedPreceding, -1)
     based = cells.withColumn("__base", F.coalesce(F.sum("__n").over(along), F.lit(0))).drop("__n", "__sum")
-    based = based.alias("b").join(wanted.alias("t"), F.col("b.__source").eqNullSafe(F.col("t.__source"))).select("b.*", "source_size", "target")
+    based = based.alias("b").join(wanted.alias("t"), F.col("b.__source").eqNullSafe(F.col("t.__source"))).select("b.*", F.col("t.source_size").alias("__source_size"), F.col("t.target").alias("__target"))
     numbered = placed.withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy("__size", "doc_id")))
     on = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    joined = numbered.alias("d").join(based.alias("c"), on).select("d.*", "c.__base", "c.source_size", "c.target")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    joined = numbered.alias("d").join(based.alias("c"), on).select("d.*", "c.__base", "c.__source_size", "c.__target")
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(s.seed), F.coalesce(F.col("source"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
     i = F.col("__base") + F.col("__i")
     return joined.withColumns({"__rate": rate, "__offset": offset}).withColumn(
@@ -87,7 +87,7 @@ def allot(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 def shares(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted) of every document."""
     sized = docs.select("doc_id", "source", size_of().alias("__size"))
-    return allot(sized, s).select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__copies") * F.col("__size")).alias("taken"))
+    return allot(sized, s).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -6,11 +6,11 @@ import random
 
 import duckdb
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, score double, id long, set string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, score double, id long, set string, target double, source_size long, size long"
 
 
 def documents(spark, texts, ids=None, sources=None):
-    rows = [((ids[i] if ids else i), t, "en", (sources[i] if sources else f"s{i % 3}"), len(t) if t is not None else None, 1, 0.5, -i, "x") for i, t in enumerate(texts)]
+    rows = [((ids[i] if ids else i), t, "en", (sources[i] if sources else f"s{i % 3}"), len(t) if t is not None else None, 1, 0.5, -i, "x", 0.1, 7, 8) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
