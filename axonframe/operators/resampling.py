@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from axonframe.operators.evaluation import rdm, rdm_agreement
 from axonframe.operators.trials import repeats_mean
+from axonframe.plans.session import cut
 from axonframe.sources.series import daily_channels, trial_features
 from axonframe.sources.tables import table
 
@@ -57,7 +58,7 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 def noise_ceiling(spark: SparkSession, d: str) -> DataFrame:
     """Agreement of image distances from random halves of the features, over 10 splits."""
     f = trial_features(table(spark, d, "embeddings"))
-    mean = repeats_mean(f).cache()
+    mean = cut(repeats_mean(f))
     out = None
     for split in range(10):
         side = uniform(F.lit(split), F.col("k")) < 0.5
