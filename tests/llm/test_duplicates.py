@@ -117,6 +117,18 @@ def test_caps_equal_brute_force(spark):
     assert caps.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_caps_count_copies(spark):
+    """Copies of two near vectors and of one far from both, in two labels: all links count, whatever the size of a group."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    kinds = [base, base + 0.05 * rng.normal(size=16), rng.normal(size=16)]
+    rows = [(900 - i, [float(c) for c in kinds[i % 3]], i % 2) for i in range(300)] + [(901, [float(c) for c in kinds[0]], None)]
+    got = caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), caps.Settings(tile=8)).collect()
+    want = {i: (49 if i % 3 == 2 else 99, min(900 - j for j in range(300) if j % 2 == i % 2 and (j % 3 == 2) == (i % 3 == 2))) for i in range(300)}
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {900 - i: x for i, x in want.items()} | {901: (0, 901)}
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
 def test_partitions_recall_ties_and_odd_rows(spark):
     df = vectors(spark, 900)
     got = partitions.nearest_neighbours(df, "vec_id % 10 = 0", partitions.Settings(block=64, slice=16)).toPandas()
