@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from axonframe.llm.text import WORD
+from axonframe.plans.session import cut
 
 
 @dataclass(frozen=True)
@@ -86,7 +87,7 @@ def allot(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def shares(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted) of every document."""
-    sized = docs.select("doc_id", "source", size_of().alias("__size"))
+    sized = cut(docs.select("doc_id", "source", size_of().alias("__size")))  # texts are read and split once
     return allot(sized, s).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
