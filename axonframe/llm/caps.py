@@ -7,6 +7,12 @@ decoded to its list of filters from 2 b products: both lists are sorted and pair
 their sum exceeds the threshold. Vectors whose list would be short take their best ``least``
 filters, which keeps recall up where the code is sparse.
 
+One such code misses a pair at the limit more often the larger it is, so there are several, with
+rotations and sub-directions of their own, as many as the size asks for: a random rotation makes the
+chance of a miss the same for every pair of one cosine, and independent codes multiply it. It is
+measured for one code on random pairs at the limit, and the number of codes is the least that brings
+the product to ``miss``, at any size of table.
+
 Vectors that share a filter and the label meet in tiles of bounded size; there the cosines of the
 original vectors are computed in double precision. A pair is counted by the first filter that both
 have, so counts need no list of pairs: a tile returns, for each of its vectors, the number of links and
@@ -15,9 +21,6 @@ one edge towards its local component. Buckets of any size are split into tiles.
 Equal vectors of a label are one class, which is compared once and counts for all its members; so a
 group of copies costs one row, not its square. Members get their class's result by class and salt.
 
-A pair at cosine 0.93 shares a given filter of one side with probability of about 0.65, so with 14 or
-more filters it is missed with probability of about 1e-6.
-
 Defined results: null, zero and non-finite vectors, null labels and null ids link with nothing. Rows
 that repeat a vec_id are one vector, see ``valid_vectors``; each is returned. Labels may be of any
 type. Vectors of another dimension than most are compared with those of their own.
@@ -43,26 +46,28 @@ from axonframe.plans.session import cut
 
 @dataclass(frozen=True)
 class Settings:
-    """``lists``: filters a vector has on average; ``tile``: rows of one side of a tile."""
+    """``lists``: filters a vector has on average in one code; ``miss``: chance that a pair at the limit shares none in any; ``tile``: rows of one side of a tile."""
 
     cosine: float = 0.93
-    lists: int = 24
-    least: int = 14
+    lists: int = 8
+    least: int = 8
+    miss: float = 1e-6
+    trials: int = 2000
     tile: int = 512
     salts: int = 32
     seed: int = 3
 
 
 def sub_directions(rows: int) -> int:
-    """Grows with the root of the table, so that a bucket keeps its size."""
+    """Grows with the root of the rows that may meet, so that a bucket keeps its size."""
     return max(32, math.ceil(math.sqrt(rows) / 2))
 
 
 class Code:
-    def __init__(self, dim: int, b: int, s: Settings):
-        rng = np.random.default_rng([s.seed, dim])
-        self.half, self.b, self.s = (dim + 1) // 2, b, s
-        self.turn = rotation(dim, s.seed)
+    def __init__(self, dim: int, b: int, s: Settings, number: int = 0):
+        rng = np.random.default_rng([s.seed, dim, number])
+        self.half, self.b, self.s, self.first = (dim + 1) // 2, b, s, number * b * b
+        self.turn = rotation(dim, s.seed + number)
         self.parts = []
         for n in (self.half, dim - self.half):
             c = rng.normal(size=(n, b))
@@ -72,6 +77,10 @@ class Code:
 
     def decode(self, x: np.ndarray) -> list[list[int]]:
         """The filters of each row, ascending."""
+        step = max(1, 2**20 // self.b)
+        return [fs for at in range(0, len(x), step) for fs in self.part(x[at : at + step])]
+
+    def part(self, x: np.ndarray) -> list[list[int]]:
         x = x / np.linalg.norm(x, axis=1, keepdims=True) @ self.turn
         left, right = x[:, : self.half] @ self.parts[0], x[:, self.half :] @ self.parts[1]
         by = np.argsort(-right, axis=1, kind="stable")
@@ -87,23 +96,47 @@ class Code:
                 sums = left[i, top][:, None] + best[i, :few]
                 pick = np.argsort(-sums, axis=None, kind="stable")[: self.s.least]
                 got = (top[pick // few] * self.b + by[i, pick % few]).tolist()
-            out.append(sorted(got))
+            out.append(sorted(self.first + f for f in got))
         return out
 
 
+def codes_needed(dim: int, b: int, s: Settings) -> int:
+    """The codes that bring the chance to miss a pair at the limit to ``s.miss``, from random pairs in one code (upper bound at two sigma)."""
+    rng = np.random.default_rng([s.seed, dim, b])
+    x, z = rng.normal(size=(2, s.trials, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    y = s.cosine * x + math.sqrt(1 - s.cosine**2) * z
+    missed, runs = 0, 5
+    for k in range(runs):
+        code, at = Code(dim, b, s, 1000 + k), slice(k, None, runs)
+        missed += sum(set(p).isdisjoint(q) for p, q in zip(code.decode(x[at]), code.decode(y[at]), strict=True))
+    chance = min(0.99, (missed + 2 * math.sqrt(missed) + 2) / s.trials)
+    return max(1, math.ceil(math.log(s.miss) / math.log(chance)))
+
+
 def decoded(classes: DataFrame, b: int, s: Settings) -> DataFrame:
-    """Adds ``filters`` to the rows, which have v."""
+    """Adds ``filters`` of all codes to the rows, which have v."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column("dim"), pa.array([codes_needed(d, b, s) for d in batch.column("dim").to_pylist()], pa.int32())], ["dim", "codes"])
+
+    needed = dict(tuple(r) for r in classes.select(F.size("v").alias("dim")).distinct().mapInArrow(count, "dim int, codes int").collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, Code] = {}
+        codes: dict[int, list[Code]] = {}
         for batch in batches:
             found: list[list[int] | None] = [None] * batch.num_rows
             sizes = batch.column("v").value_lengths().to_numpy()
             for dim in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dim)
-                code = codes.get(dim) or codes.setdefault(dim, Code(dim, b, s))
-                for i, fs in zip(at.tolist(), code.decode(matrix(batch.column("v").take(pa.array(at)))), strict=True):
-                    found[i] = fs
+                if dim not in codes:
+                    codes[dim] = [Code(dim, b, s, k) for k in range(needed[dim])]
+                x = matrix(batch.column("v").take(pa.array(at)))
+                for i, fs in zip(at.tolist(), zip(*(c.decode(x) for c in codes[dim]), strict=True), strict=True):
+                    found[i] = [f for part in fs for f in part]
             yield pa.record_batch([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "filters"])
 
     return classes.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("filters", T.ArrayType(T.LongType()))]))
@@ -124,7 +157,7 @@ def compared(tiles: DataFrame, s: Settings) -> DataFrame:
     keys = ["room", "filter", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, f, i, j), rows in groups(batches, keys):
+        for (_, _, i, j), rows in groups(batches, keys):
             if rows.num_rows < 2:
                 continue
             x = matrix(rows.column("v").combine_chunks())
@@ -138,7 +171,7 @@ def compared(tiles: DataFrame, s: Settings) -> DataFrame:
             if not len(at):
                 continue
             near, ids, copies = near[np.ix_(at, at)], rows.column("vec_id").to_numpy()[at], rows.column("copies").to_numpy()[at]
-            lists = [[g for g in fs if g < f] for fs in rows.column("filters").take(pa.array(at)).to_pylist()]
+            lists = rows.column("before").take(pa.array(at)).to_pylist()
             place = {g: k for k, g in enumerate({g for fs in lists for g in fs})}
             has = np.zeros((len(at), len(place)), np.float32)
             for k, fs in enumerate(lists):
@@ -146,7 +179,8 @@ def compared(tiles: DataFrame, s: Settings) -> DataFrame:
             first = near & (has @ has.T == 0)
             yield pa.record_batch([pa.array(ids), pa.array(first @ copies, pa.int64()), pa.array(local_roots(near, ids))], ["vec_id", "links", "root"])
 
-    return tiles.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "own", "vec_id", "copies", "v", "filters").mapInArrow(run, "vec_id long, links long, root long")
+    lists = tiles.select(*keys, "own", "vec_id", "copies", "v", F.slice("filters", 1, F.col("pos")).alias("before"))
+    return lists.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "vec_id long, links long, root long")
 
 
 def near_duplicates(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -155,13 +189,14 @@ def near_duplicates(rows: DataFrame, settings: Settings = Settings()) -> DataFra
     same = ["room", "a", "b"]
     valid = valid_vectors(rows.filter("label IS NOT NULL"), "label").withColumn("room", F.xxhash64("label", F.size("v")))
     vectors = cut(valid.select("vec_id", "room", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"), "v"))
-    least = vectors.groupBy(*same).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    classes = cut(decoded(least, sub_directions(vectors.count()), s))
-    held = classes.select("vec_id", "room", F.explode("filters").alias("filter"))
+    least = cut(vectors.groupBy(*same).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("v").alias("v")))
+    largest = least.groupBy("room").count().agg(F.max("count")).first()[0] or 0
+    classes = cut(decoded(least, sub_directions(largest), s))
+    held = classes.select("vec_id", "room", F.posexplode("filters").alias("pos", "filter"))
     sizes = held.groupBy("room", "filter").agg(F.ceil(F.count("*") / s.tile).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
     split = held.join(sizes, ["room", "filter"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     pairs = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = pairs.select("room", "filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id")
+    tiles = pairs.select("room", "filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "pos")
     found = cut(compared(tiles.join(classes.select("vec_id", "copies", "v", "filters"), "vec_id"), s))
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))

@@ -129,6 +129,20 @@ def test_caps_count_copies(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_caps_miss_no_pairs_at_the_limit_in_the_code_of_a_large_table(spark):
+    """Pairs at cosine 0.93 to 0.94 share a filter also where the code is as large as for 1,000,000 rows that may meet."""
+    rng = np.random.default_rng(9)
+    n, dim = 1500, 64
+    x, z = rng.normal(size=(2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    c = np.linspace(0.93, 0.94, n)[:, None]
+    y = c * x + np.sqrt(1 - c**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*x, *y])], "vec_id long, v array<double>").repartition(8)
+    lists = {r.vec_id: set(r.filters) for r in caps.decoded(rows, caps.sub_directions(1_000_000), caps.Settings()).collect()}
+    assert sum(lists[i].isdisjoint(lists[n + i]) for i in range(n)) == 0
+
+
 def test_partitions_recall_ties_and_odd_rows(spark):
     df = vectors(spark, 900)
     got = partitions.nearest_neighbours(df, "vec_id % 10 = 0", partitions.Settings(block=64, slice=16)).toPandas()
