@@ -1,46 +1,48 @@
 """HTML extraction by wrapper induction.
 
-For every host a few reference pages (those with the smallest hash of their id) are parsed and their
-trees aligned with the first by simple tree matching: children are matched in order so that the
-number of matched nodes is largest. Runs of like siblings count as one repeated node, so that an
-alignment costs little however long the pages are. Text that is the same wherever its node is matched
-is the host's template; nodes whose text varies are its slots. The wrapper holds the constant texts
-by path, and the path of the content: the element that holds nearly all of the varying text.
-
-A page is then read with its host's wrapper: blocks under the content path, without template texts
-and without parts that their tag, role or names mark as menus, headers, footers, sidebars, notices,
-adverts, forms or comments. Where the path isn't found (other layouts, hosts with one page, no host),
-the article or main element is read, or else the whole body.
+Every page is parsed and aligned with the other pages of its host by the paths of its blocks (tags with
+their classes from the root down). Spark counts over all pages of a host, and of a host and layout, how
+many different pages have a text at a path; equal pages count once. A layout is the set of the page's
+containers down to a fixed depth. What ``constant`` of the pages of a layout or of the whole host have, two
+pages at least, is template; the other texts are slots. A second pass sums up, again over all pages, how
+much of the varying text lies below each path: the content is the deepest element that holds nearly all.
+
+A page is then read with the wrapper of its host and layout: blocks under the content path, without
+template texts and without parts that their tag, role or names mark as menus, headers, footers, sidebars,
+notices, adverts, forms or comments. A layout that one page has alone takes the host's path. Where the path
+isn't found (hosts with one page, no host), the article or main element is read, or else the whole body.
+Two or three pages that share over half of their texts are taken for near copies, whose content is kept.
 
 Wrappers are broadcast only if their measured size is small; otherwise pages and wrappers meet by
-host and salt.
+group and salt. Texts are compared by 64-bit hashes with their paths.
 
-Defined results: null html is empty and gives an empty text; a null or odd url is a host of its own
-kind; equal rows give equal rows; pages with a null id are read but are no references.
+Defined results: null html is empty and gives an empty text; a null or odd url has no host and no wrapper;
+equal rows give equal rows.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from axonframe.llm.dom import BLOCK, Node, clean, parse
+from axonframe.llm.dom import ASIDE_TAGS, BLOCK, Node, clean, parse
 from axonframe.plans.session import cut
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``pages``: references of a host. ``constant``: the share of them in which a template text is the same."""
+    """``constant``: the share of a layout's or host's pages in which a template text is the same; ``least``: pages for a template; of less than ``few`` pages that share over half of their texts, all are content."""
 
-    pages: int = 7
-    least: int = 4
+    least: int = 2
+    few: int = 4
     constant: float = 0.8
     salts: int = 32
     broadcast_refs: int = 100_000
@@ -70,107 +72,57 @@ def own_text(node: Node) -> str:
     return clean("".join(strings(node))) if is_block(node) else ""
 
 
-class Folded:
-    """A tree in which a run of like siblings is one node; ``texts`` are the own texts of its nodes."""
+#: The elements that make a layout, and how deep they count.
+FRAME = frozenset("html body div section main article header footer nav aside form".split())
+FRAME_DEPTH = 5
+DIGITS = re.compile(r"\d+")
 
-    __slots__ = ("children", "key", "size", "texts")
 
-    def __init__(self, nodes: list[Node]):
-        self.key, runs = nodes[0].key, []
-        self.texts = [t for n in nodes if (t := own_text(n))]
-        for child in (c for n in nodes for c in n.children if isinstance(c, Node)):
-            if runs and runs[-1][0].key == child.key:
-                runs[-1].append(child)
-            else:
-                runs.append([child])
-        self.children = [Folded(r) for r in self.alternating(runs)]
-        self.size = 1 + sum(c.size for c in self.children)
-
-    @staticmethod
-    def alternating(runs: list[list[Node]]) -> list[list[Node]]:
-        """Joins a run with an earlier one of the same kind if one other kind at most stands between."""
-        out: list[list[Node]] = []
-        for run in runs:
-            back = next((k for k in (2, 3) if len(out) >= k and out[-k][0].key == run[0].key), 0)
-            if back:
-                out[-back] = out[-back] + run
-            else:
-                out.append(run)
-        return out
+def hashed(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def match(a: Folded, b: Folded, memo: dict[tuple[int, int], tuple[int, list]]) -> tuple[int, list]:
-    """Simple tree matching: the most nodes that can be paired, and the pairs of children that do it."""
-    if a.key != b.key:
-        return 0, []
-    if (got := memo.get((id(a), id(b)))) is not None:
-        return got
-    m, n = len(a.children), len(b.children)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            w = match(a.children[i - 1], b.children[j - 1], memo)[0]
-            best[i][j] = max(best[i][j - 1], best[i - 1][j], best[i - 1][j - 1] + w if w else 0)
-    pairs, i, j = [], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((a.children[i], b.children[j]))
-    memo[id(a), id(b)] = got = (1 + best[m][n], pairs[::-1])
-    return got
-
-
-def shared_texts(a: Folded, b: Folded) -> set[tuple[str, str]]:
-    """(path, text) of the texts that aligned nodes have in common."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-    found, todo = set(), [("", a, b)]
+def layout_of(tree: Node) -> str:
+    """The containers of a page by path, without repeats; what an article or main holds is content."""
+    found, todo = set(), [("", tree, 0)]
     while todo:
-        path, x, y = todo.pop()
-        path = f"{path}>{x.key}"
-        found |= {(path, t) for t in set(x.texts) & set(y.texts)}
-        todo += [(path, c, d) for c, d in match(x, y, memo)[1]]
-    return found
+        path, node, depth = todo.pop()
+        for c in node.children:
+            if isinstance(c, Node) and c.tag in FRAME:
+                here = f"{path}>{DIGITS.sub('0', c.key)}"
+                found.add(here)
+                if depth + 1 < FRAME_DEPTH and c.tag not in ("article", "main"):
+                    todo.append((here, c, depth + 1))
+    return "\n".join(sorted(found))
+
+
+def page_texts(node: Node, path: str, into: set[int]) -> None:
+    """The blocks of a page that may be template, as hashes of path and text."""
+    if node.tag in ASIDE_TAGS:
+        return
+    path = f"{path}>{node.key}"
+    if own := own_text(node):
+        into.add(hashed(path, own))
+    for c in node.children:
+        if isinstance(c, Node):
+            page_texts(c, path, into)
 
 
-def varying(node: Node, path: str, constants: set[tuple[str, str]], into: dict[str, int]) -> int:
+def varying(node: Node, path: str, constants: set[int], into: dict[str, int]) -> int:
     """Characters of varying text below each path, parts marked as no article left out."""
     if node.aside:
         return 0
     path = f"{path}>{node.key}"
     own = own_text(node)
-    n = 0 if (path, own) in constants else len(own)  # inline text counts with its block
+    n = 0 if constants and own and hashed(path, own) in constants else len(own)  # inline text counts with its block
     n += sum(varying(c, path, constants, into) for c in node.children if isinstance(c, Node))
     into[path] = into.get(path, 0) + n
     return n
 
 
-def induce(pages: list[str], s: Settings) -> str:
-    """The wrapper of a host as JSON: ``path`` of the content and ``texts`` of the template."""
-    trees = [parse(p) for p in sorted(set(pages))]
-    folded = [Folded([t]) for t in trees]
-    counts: Counter[tuple[str, str]] = Counter()
-    for other in folded[1:]:
-        counts.update(shared_texts(folded[0], other))
-    constants = {c for c, n in counts.items() if n >= s.constant * (len(trees) - 1)} if len(trees) >= s.least else set()
-    total: Counter[str] = Counter()
-    for t in trees:
-        found: dict[str, int] = {}
-        whole = varying(t, "", constants, found)
-        total.update({p: n / whole for p, n in found.items() if whole})
-    paths = [p for p, n in total.items() if n >= 0.98 * len(trees)]
-    article = [p for p, n in total.items() if n >= 0.5 * len(trees) and p.rpartition(">")[2].split(".")[0] in ("article", "main")]
-    path = max(article or paths, key=lambda p: (p.count(">"), len(p)), default="")
-    return json.dumps({"path": path, "texts": sorted(constants)})
-
-
 class Wrapper:
-    def __init__(self, text: str | None):
-        held = json.loads(text) if text else {"path": "", "texts": []}
-        self.path, self.texts = held["path"], {tuple(x) for x in held["texts"]}
+    def __init__(self, path: str, texts: set[int]):
+        self.path, self.texts = path, texts
 
     def roots(self, tree: Node) -> list[tuple[str, Node]]:
         """The content elements with the paths of their parents; without them articles, mains or all."""
@@ -196,7 +148,7 @@ class Wrapper:
         if block and out[-1]:
             out.append([])
         if block:
-            constant = strict and (here, own_text(node)) in self.texts
+            constant = strict and bool(self.texts) and hashed(here, own_text(node)) in self.texts
         for c in node.children:
             if isinstance(c, str):
                 if not constant:
@@ -223,51 +175,100 @@ class Wrapper:
         return got
 
 
-def references(pages: DataFrame, s: Settings) -> DataFrame:
-    """(host, page_id) of each host's reference pages, by two rounds of top-k so that no host is sorted whole."""
-    ids = pages.select(F.col("host"), "page_id", F.xxhash64("page_id").alias("h")).filter("page_id IS NOT NULL AND host <> ''")
-    once = ids.groupBy("host", "page_id").agg(F.first("h").alias("h"))
-    salted = once.withColumn("salt", F.pmod(F.col("h"), F.lit(s.salts)))
-    near = salted.withColumn("k", F.row_number().over(W.partitionBy("host", "salt").orderBy("h", "page_id"))).filter(F.col("k") <= s.pages)
-    best = near.withColumn("k", F.row_number().over(W.partitionBy("host").orderBy("h", "page_id"))).filter(F.col("k") <= s.pages)
-    return best.select("host", "page_id")
+def with_layout(pages: DataFrame) -> DataFrame:
+    """Adds ``layout``, a hash of host and layout, null without a host."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [None if h is None else hashed(str(h), layout_of(parse(p or ""))) for h, p in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)]
+            yield pa.record_batch([*b.columns, pa.array(found, pa.int64())], [*b.schema.names, "layout"])
+
+    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("layout", T.LongType())]))
 
 
-def wrappers(pages: DataFrame, s: Settings) -> DataFrame:
-    """(host, wrapper) from pages with host, page_id and html."""
-    refs = cut(references(pages, s))
-    chosen = F.broadcast(refs) if refs.count() <= s.broadcast_refs else refs
-    texts = pages.join(chosen, ["host", "page_id"]).groupBy("host", "page_id").agg(F.min("html").alias("html"))
+def templates(pages: DataFrame, s: Settings) -> DataFrame:
+    """(group, texts): the template texts of each host and each layout of ``least`` different pages or more."""
 
-    def run(table: pa.Table) -> pa.Table:
-        return pa.table({"host": table.column("host").slice(0, 1), "wrapper": pa.array([induce([p or "" for p in table.column("html").to_pylist()], s)], pa.string())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            layouts, contents, texts = [], [], []
+            for h, p in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                tree, found = parse(p or ""), {0}
+                page_texts(tree, "", found)
+                layouts.append(hashed(str(h), layout_of(tree)))
+                contents.append(hashed(p or ""))
+                texts.append(list(found))
+            yield pa.record_batch([b.column("host"), pa.array(layouts, pa.int64()), pa.array(contents, pa.int64()), pa.array(texts, pa.list_(pa.int64()))], ["host", "layout", "content", "texts"])
+
+    seen = pages.filter("host IS NOT NULL").select("host", "html").mapInArrow(run, "host long, layout long, content long, texts array<long>")
+    once = seen.select("host", "layout", "content", F.size("texts").alias("size"), F.explode("texts").alias("text")).distinct()
+    counts = once.select(F.explode(F.array("host", "layout")).alias("group"), "text", "size").groupBy("group", "text").agg(F.count("*").alias("count"), F.sum(F.col("size") - 1).alias("blocks"))
+    counts = cut(counts.filter(F.col("count") >= s.least))
+    size = counts.filter("text = 0").select("group", F.col("count").alias("n"), F.col("blocks").alias("all"))
+    fixed = counts.join(size, "group").filter((F.col("text") == 0) | (F.col("count") >= s.constant * F.col("n")))
+    found = fixed.groupBy("group").agg(F.first("n").alias("n"), F.first("all").alias("all"), F.filter(F.collect_list("text"), lambda x: x != 0).alias("texts"))
+    copies = (F.col("n") < s.few) & (2 * F.size("texts") * F.col("n") > F.col("all"))
+    return found.select("group", F.when(copies, F.array().cast("array<bigint>")).otherwise(F.col("texts")).alias("texts"))
+
+
+def met(pages: DataFrame, held: DataFrame, s: Settings) -> DataFrame:
+    """Pages with what ``held`` has for their layout and their host, as ``of_layout`` and ``of_host``."""
+    fields = [c for c in held.columns if c != "group"]
+    count, size = held.agg(F.count("*"), F.coalesce(F.sum(8 * F.coalesce(F.size("texts"), F.lit(0)) + 50 + sum((F.coalesce(F.length(c), F.lit(0)) for c in fields if c == "path"), F.lit(0))), F.lit(0))).first()
+    packed = held.select("group", F.struct(*fields).alias("x"))
+    small = count <= s.broadcast_refs and size <= s.broadcast_bytes
+    if not small:
+        packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))))
+        pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(s.salts)).cast("int"))
+    for key in ("layout", "host"):
+        side = packed.withColumnsRenamed({"group": key, "x": f"of_{key}"})
+        pages = pages.join(F.broadcast(side) if small else side, [key] if small else [key, "salt"], "left")
+    return pages
+
+
+def constants(row: tuple[dict | None, dict | None]) -> set[int]:
+    return {t for x in row if x and x["texts"] for t in x["texts"]}
+
+
+def content_paths(pages: DataFrame, held: DataFrame, s: Settings) -> DataFrame:
+    """(group, path): the deepest element that holds nearly all varying text of a group's pages."""
 
-    return texts.groupBy("host").applyInArrow(run, "host string, wrapper string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total: Counter[tuple[int, str]] = Counter()
+            for h, layout, p, *of in zip(*(b.column(c).to_pylist() for c in ("host", "layout", "html", "of_layout", "of_host")), strict=True):
+                found: dict[str, int] = {}
+                whole = varying(parse(p or ""), "", constants(of), found)
+                for g in (h, layout) if of[0] else (h,):
+                    total[g, ""] += 1
+                    total.update({(g, path): n / whole for path, n in found.items() if whole})
+            yield pa.record_batch([pa.array([g for g, _ in total], pa.int64()), pa.array([x for _, x in total], pa.string()), pa.array(map(float, total.values()), pa.float64())], ["group", "path", "n"])
+
+    shares = met(pages.filter("host IS NOT NULL"), held, s).select("host", "layout", "html", "of_layout", "of_host").mapInArrow(run, "group long, path string, n double")
+    shares = cut(shares.groupBy("group", "path").agg(F.sum("n").alias("n")))
+    size = shares.filter("path = ''").select("group", F.col("n").alias("pages"))
+    last = F.regexp_extract("path", r">([^>.]*)[^>]*$", 1)
+    article = last.isin("article", "main") & (F.col("n") >= 0.5 * F.col("pages"))
+    fits = shares.filter("path <> ''").join(size, "group").filter(article | (F.col("n") >= 0.98 * F.col("pages")))
+    depth = F.length("path") - F.length(F.replace("path", F.lit(">"), F.lit("")))
+    return fits.groupBy("group").agg(F.max(F.struct(article.alias("a"), depth.alias("d"), F.length("path").alias("l"), "path"))["path"].alias("path"))
 
 
 def extract(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     s = settings
-    pages = rows.select("page_id", "url", "html").withColumn("host", host_of())
-    held = cut(wrappers(pages, s))
-    size = held.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
-    if size <= s.broadcast_bytes:
-        met = pages.join(F.broadcast(held), "host", "left")
-    else:
-        salted = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))))
-        met = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(s.salts)).cast("int")).join(salted, ["host", "salt"], "left")
+    pages = rows.select("page_id", "url", "html", F.when(host_of() != "", F.xxhash64(host_of())).alias("host"))
+    fixed = cut(templates(pages, s))
+    grouped = with_layout(pages)
+    held = cut(fixed.join(content_paths(grouped, fixed, s), "group", "full"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, Wrapper] = {}
         for b in batches:
             texts = []
-            for page, w in zip(b.column("html").to_pylist(), b.column("wrapper").to_pylist(), strict=True):
-                if w not in known:
-                    if len(known) > 500:
-                        known.clear()
-                    known[w] = Wrapper(w)
-                texts.append(known[w].read(page or ""))
+            for page, *of in zip(*(b.column(c).to_pylist() for c in ("html", "of_layout", "of_host")), strict=True):
+                path = next((x["path"] for x in of if x and x["path"]), "")
+                texts.append(Wrapper(path, constants(of)).read(page or ""))
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-    return met.select("page_id", "url", "html", "wrapper").mapInArrow(run, schema)
+    return met(grouped, held, s).select("page_id", "url", "html", "of_layout", "of_host").mapInArrow(run, schema)

@@ -119,3 +119,17 @@ def test_wrappers(spark):
     assert all(r.n_chars == len(r.text) for r in rows) and wrappers.extract(df.limit(0)).count() == 0
     salted = wrappers.extract(df, wrappers.Settings(broadcast_bytes=0, broadcast_refs=0))
     assert sorted((r.page_id or -1, r.text) for r in salted.collect()) == sorted((r.page_id or -1, r.text) for r in rows)
+
+
+def two_layouts(k, host):
+    """Pages of two layouts by turns, each with a fixed line of its own that no name gives away."""
+    kind = "ab"[k % 2]
+    return (k, f"http://{host}/p{k}", f"<html><body><div class={kind}><div class=text><p>Story {k} of {host}</p><p>Fixed line {kind}</p><p>Body {k}</p></div></div></body></html>")
+
+
+def test_wrappers_learn_every_layout_and_small_hosts(spark):
+    small = [(100 + k, f"http://small.example/{k}", f"<body><div><p>Fixed line</p><p>Story {k}</p></div></body>") for k in range(2)]
+    copies = [(200 + k, f"http://copies.example/{k}", f"<body><div><p>One</p><p>Two</p><p>Three</p><p>Edit {k}</p></div></body>") for k in range(2)]
+    df = spark.createDataFrame([two_layouts(k, "two.example") for k in range(30)] + small + copies, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    assert got == {k: f"Story {k} of two.example\nBody {k}" for k in range(30)} | {100 + k: f"Story {k}" for k in range(2)} | {200 + k: f"One\nTwo\nThree\nEdit {k}" for k in range(2)}
