@@ -24,11 +24,16 @@ CLOSES = {
 }
 #: Names of what is no part of an article.
 ASIDE_TAGS = frozenset("script style noscript template nav footer aside form iframe svg button select textarea input head object canvas dialog menu option".split())
+UNREAD = frozenset("script style noscript template iframe svg head object canvas".split())  # no reader sees these
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottombar sidebar aside rail cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond discussion disqus social share sharing related recommended recommendations widget toolbar pagination pager search copyright legal disclaimer form".split()
 )
 
+#: Elements that hold a page or its article, so that no name makes them an aside.
+HOLDERS = frozenset("# html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 #: As in browsers, what is nested deeper is hung up at this depth; no text is lost.
 DEEPEST = 250
 
@@ -36,20 +41,30 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: What a name may have before or after a listed word and still be that part, not something that merely has or follows it.
+PARTS = frozenset("site page main top bottom left right global primary secondary sub mobile desktop wrapper wrap container box block area section inner outer bar list item items link links button buttons content header footer icon icons text form title widget unit slot group col column row panel".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def names_aside(name: str) -> bool:
+    """Whether a class or id, as a whole, names a part that is no article: ``ad``, ``site-footer``, not ``has-sidebar`` or ``related-work``."""
+    words = [w.lower() for w in NAME.findall(name)]
+    return any(w in ASIDE_NAMES for w in words) and all(w in ASIDE_NAMES or w in PARTS for w in words)
+
+
 class Node:
-    __slots__ = ("aside", "children", "key", "tag")
+    __slots__ = ("aside", "children", "hidden", "key", "tag")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.children = tag, []
-        names, self.aside = "", tag in ASIDE_TAGS
+        names, self.aside, self.hidden = "", tag in ASIDE_TAGS, tag in UNREAD
         if attrs and not attrs.isspace():
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
             names = " ".join(found.get(k, "") for k in ("id", "class")).strip()
-            words = {w.lower() for w in NAME.findall(names)}
-            self.aside |= bool(words & ASIDE_NAMES) or found.get("role", "").lower() in ASIDE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+            if tag not in HOLDERS:
+                named = tag not in HEADINGS and any(names_aside(n) for n in names.split())
+                self.hidden |= "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+                self.aside |= self.hidden or named or found.get("role", "").lower() in ASIDE_ROLES
         self.key = f"{tag}.{found.get('class', '')}" if names else tag
 
 
@@ -87,8 +102,29 @@ def parse(page: str) -> Node:
             at = end.end() if end else size
         elif tag not in VOID and not m["attrs"].endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
+    free_holders(root)
     return root
 
 
+def free_holders(root: Node) -> None:
+    """What holds an article or main element, a form around most of the page's text and the paragraphs of an article are no aside; hidden parts stay so."""
+    order, todo = [], [root]
+    while todo:
+        order.append(node := todo.pop())
+        todo += [c for c in node.children if isinstance(c, Node) and not c.hidden]
+    length: dict[int, int] = {}
+    holds: dict[int, bool] = {}
+    for n in reversed(order):
+        inner = [c for c in n.children if isinstance(c, Node) and not c.hidden]
+        length[id(n)] = sum(len(c.split()) for c in n.children if isinstance(c, str)) + sum(length[id(c)] for c in inner)
+        holds[id(n)] = any(c.tag in ("article", "main") or holds[id(c)] for c in inner)
+    within = set()
+    for n in order:
+        if n.tag in ("article", "main") or id(n) in within:
+            within |= {id(c) for c in n.children if isinstance(c, Node)}
+        if n.aside and not n.hidden and (n.tag == "p" and id(n) in within or holds[id(n)] or n.tag == "form" and 2 * length[id(n)] > length[id(root)]):
+            n.aside = False
+
+
 def clean(text: str) -> str:
     return " ".join(html.unescape(text).split())

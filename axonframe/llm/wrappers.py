@@ -122,7 +122,10 @@ def varying(node: Node, path: str, constants: set[int], into: dict[str, int]) ->
 
 class Wrapper:
     def __init__(self, path: str, texts: set[int]):
-        self.path, self.texts = path, texts
+        self.path, self.texts, self.named = path, texts, True
+
+    def unread(self, node: Node) -> bool:
+        return node.aside if self.named else node.hidden
 
     def roots(self, tree: Node) -> list[tuple[str, Node]]:
         """The content elements with the paths of their parents; without them articles, mains or all."""
@@ -131,7 +134,7 @@ class Wrapper:
         while todo:
             path, node = todo.pop()
             here = f"{path}>{node.key}"
-            if node.aside:
+            if self.unread(node):
                 continue
             for kind, fits in (("path", here == self.path), (node.tag, node.tag in ("article", "main"))):
                 if fits:
@@ -155,24 +158,23 @@ class Wrapper:
                     out[-1].append(c)
             elif c.tag == "br":
                 out[-1].append(" ")
-            elif c.tag == "header" and not heads:
+            elif c.tag == "header" and not heads and self.named:
                 continue
-            elif not c.aside:
+            elif not self.unread(c):
                 self.blocks(c, here, out, strict, heads or c.tag in ("article", "main"), constant)
         if block and out[-1]:
             out.append([])
 
     def read(self, page: str) -> str:
+        """The text of a page; if nothing is left, template texts are read too, and then parts that only names, roles or tags mark."""
         tree = parse(page)
-        roots = self.roots(tree)
-        for strict in (True, False):
+        for strict, self.named in ((True, True), (False, True), (True, False), (False, False)):
             out: list[list[str]] = [[]]
-            for path, node in roots:
+            for path, node in self.roots(tree):
                 self.blocks(node, path, out, strict, node.tag not in ("#", "html", "body"))
-            got = "\n".join(t for t in (clean("".join(b)) for b in out) if t)
-            if got or not self.texts:
+            if got := "\n".join(t for t in (clean("".join(b)) for b in out) if t):
                 return got
-        return got
+        return ""
 
 
 def with_layout(pages: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -133,3 +134,19 @@ def test_wrappers_learn_every_layout_and_small_hosts(spark):
     df = spark.createDataFrame([two_layouts(k, "two.example") for k in range(30)] + small + copies, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in wrappers.extract(df).collect()}
     assert got == {k: f"Story {k} of two.example\nBody {k}" for k in range(30)} | {100 + k: f"Story {k}" for k in range(2)} | {200 + k: f"One\nTwo\nThree\nEdit {k}" for k in range(2)}
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<body class='has-sidebar'><p>One</p></body>", "One"),
+        ("<body class='no-sidebar home'><div class='content with-sidebar'><p>One</p></div><div class=sidebar>x</div></body>", "One"),
+        ("<body><form id=aspnetForm><div class=search><input>find</div><div><p>One two three</p></div></form></body>", "One two three"),
+        ("<body><article><h1 class='post-header'>Head</h1><p class='legal'>Law</p><p class='related-work'>Work</p><p>One</p></article></body>", "Head\nLaw\nWork\nOne"),
+        ("<body><div class='site-footer'>f</div><div class='cookie-banner'>c</div><div class='mainNav'>n</div><p>One</p></body>", "One"),
+        ("<body><div class='notice'><article><p>One</p></article></div><p>Other</p></body>", "One"),
+        ("<body><div class='comments'>Only this</div><p hidden>never</p></body>", "Only this"),
+    ],
+)
+def test_names_drop_no_content(html, text):
+    assert wrappers.Wrapper("", set()).read(html) == text
