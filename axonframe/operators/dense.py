@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from axonframe.functions import kernels as K
 from axonframe.operators.evaluation import rdm
+from axonframe.operators.moments import guarded_corr, pairs
 from axonframe.operators.trials import repeats_mean
 from axonframe.sources.series import daily_channels, trial_features, user_series
 from axonframe.sources.tables import table
@@ -47,9 +48,10 @@ def _series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _channels(spark: SparkSession, d: str) -> DataFrame:
-    """One row: the day x channel matrix, flattened by day and channel."""
-    long = daily_channels(table(spark, d, "events")).withColumn("one", F.lit(1))
-    return packed(long, ["one"], F.struct("tr", "ch"), v=F.col("v"), ch=F.col("ch"))
+    """One row: covariance ``c`` and correlation ``r`` of all channel pairs over the days that both have; 0 where they share less than two."""
+    long = pairs(daily_channels(table(spark, d, "events")))
+    m = long.groupBy("ch_i", "ch_j").agg(F.coalesce(F.covar_samp("x", "y"), F.lit(0.0)).alias("c"), guarded_corr("x", "y").alias("r")).withColumn("one", F.lit(1))
+    return packed(m, ["one"], F.struct("ch_i", "ch_j"), i=F.col("ch_i"), j=F.col("ch_j"), c=F.col("c"), r=F.col("r"))
 
 
 def _patterns(spark: SparkSession, d: str) -> DataFrame:
@@ -58,18 +60,28 @@ def _patterns(spark: SparkSession, d: str) -> DataFrame:
     return packed(f, ["image"], F.struct("trial", "k"), x=F.col("x"))
 
 
-def _days(v: np.ndarray, ch: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    names = sorted(set(ch.tolist()))
-    return v[: len(v) // len(names) * len(names)].reshape(-1, len(names)), names
+def _matrix(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Values placed by their keys; pairs that aren't there are 0."""
+    names = sorted(set(i.tolist()))
+    place = {n: k for k, n in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    m[[place[a] for a in i.tolist()], [place[b] for b in j.tolist()]] = v
+    return m, names
+
+
+def _cov(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """The covariance matrix; where cells are missing, pairs may contradict, and negative eigenvalues are set to 0."""
+    m, names = _matrix(i, j, c)
+    w, v = np.linalg.eigh(m)
+    return (m if w[0] >= 0 else (v * np.maximum(w, 0)) @ v.T), names
 
 
 def _square(m: np.ndarray, names: list[str]) -> list[tuple]:
     return [(a, b, float(m[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
 
 
-def _fc(v: np.ndarray, ch: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    x, names = _days(v, ch)
-    w = np.maximum(np.corrcoef(x.T), 0)
+def _fc(i: np.ndarray, j: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    w, names = _matrix(i, j, np.maximum(r, 0))
     np.fill_diagonal(w, 0)
     return w, names
 
@@ -128,17 +140,17 @@ def fracridge_cv(spark: SparkSession, d: str) -> DataFrame:
 
 
 def precision(spark: SparkSession, d: str) -> DataFrame:
-    def fit(one, v, ch):
-        x, names = _days(v, ch)
-        return _square(np.linalg.inv(np.cov(x.T) + 1e-6 * np.eye(len(names))), names)
+    def fit(one, i, j, c, r):
+        m, names = _cov(i, j, c)
+        return _square(np.linalg.inv(m + 1e-6 * np.eye(len(names))), names)
 
     return map_rows(_channels(spark, d), fit, "ch_i string, ch_j string, p double")
 
 
 def partial_corr(spark: SparkSession, d: str) -> DataFrame:
-    def fit(one, v, ch):
-        x, names = _days(v, ch)
-        return _square(K.partial_correlation(np.cov(x.T)), names)
+    def fit(one, i, j, c, r):
+        m, names = _cov(i, j, c)
+        return _square(K.partial_correlation(m), names)
 
     return map_rows(_channels(spark, d), fit, "ch_i string, ch_j string, r double")
 
@@ -146,10 +158,9 @@ def partial_corr(spark: SparkSession, d: str) -> DataFrame:
 def conditional_cov(spark: SparkSession, d: str) -> DataFrame:
     """Covariance of the first channels given the last one, by the Schur complement."""
 
-    def fit(one, v, ch):
-        x, names = _days(v, ch)
-        c = np.cov(x.T)
-        return _square(c[:-1, :-1] - np.outer(c[:-1, -1], c[-1, :-1]) / (c[-1, -1] + 1e-6), names[:-1])
+    def fit(one, i, j, c, r):
+        m, names = _cov(i, j, c)
+        return _square(m[:-1, :-1] - np.outer(m[:-1, -1], m[-1, :-1]) / (m[-1, -1] + 1e-6), names[:-1])
 
     return map_rows(_channels(spark, d), fit, "ch_i string, ch_j string, c double")
 
@@ -240,8 +251,8 @@ def spd_mean_geom(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eigenmaps_embed(spark: SparkSession, d: str) -> DataFrame:
-    def fit(one, v, ch):
-        w, names = _fc(v, ch)
+    def fit(one, i, j, c, r):
+        w, names = _fc(i, j, r)
         _, vec = K.eigenmaps(w, 2)
         return [(n, float(a), float(b)) for n, (a, b) in zip(names, vec, strict=True)]
 
@@ -249,8 +260,8 @@ def eigenmaps_embed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diffusion_map(spark: SparkSession, d: str) -> DataFrame:
-    def fit(one, v, ch):
-        w, names = _fc(v, ch)
+    def fit(one, i, j, c, r):
+        w, names = _fc(i, j, r)
         _, vec = K.diffusion_map(w, 2)
         return [(n, float(a), float(b)) for n, (a, b) in zip(names, vec, strict=True)]
 
@@ -258,8 +269,8 @@ def diffusion_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spectral_features(spark: SparkSession, d: str) -> DataFrame:
-    def fit(one, v, ch):
-        values = np.linalg.eigvalsh(K.graph_laplacian(_fc(v, ch)[0]))
+    def fit(one, i, j, c, r):
+        values = np.linalg.eigvalsh(K.graph_laplacian(_fc(i, j, r)[0]))
         return [("gap", float(values[1])), ("connectivity", float(values[1])), ("largest", float(values[-1]))]
 
     return map_rows(_channels(spark, d), fit, "feature string, value double")
