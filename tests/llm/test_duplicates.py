@@ -129,18 +129,42 @@ def test_caps_count_copies(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
-def test_caps_miss_no_pairs_at_the_limit_in_the_code_of_a_large_table(spark):
-    """Pairs at cosine 0.93 to 0.94 share a filter also where the code is as large as for 1,000,000 rows that may meet."""
-    rng = np.random.default_rng(9)
-    n, dim = 1500, 64
+def pairs_at(n, dim, low, high, seed=9):
+    """Pairs of unit vectors with cosines from ``low`` to ``high``."""
+    rng = np.random.default_rng(seed)
     x, z = rng.normal(size=(2, n, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z -= (z * x).sum(1, keepdims=True) * x
-    c = np.linspace(0.93, 0.94, n)[:, None]
-    y = c * x + np.sqrt(1 - c**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*x, *y])], "vec_id long, v array<double>").repartition(8)
-    lists = {r.vec_id: set(r.filters) for r in caps.decoded(rows, caps.sub_directions(1_000_000), caps.Settings()).collect()}
-    assert sum(lists[i].isdisjoint(lists[n + i]) for i in range(n)) == 0
+    c = np.linspace(low, high, n)[:, None]
+    return x, c * x + np.sqrt(1 - c**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("dim, rows", [(16, 10**6), (64, 10**3), (64, 10**5), (64, 10**6), (64, 10**8), (64, 10**9), (128, 10**8)])
+def test_caps_recall_at_the_limit_is_the_same_at_any_size(dim, rows):
+    """At cosine 0.93, by the code that a table of 1e3 to 1e9 vectors that may meet gets; lists are as long as set, not filled up."""
+    s = caps.Settings(trials=1000)
+    b, codes = caps.fitted(dim, caps.sub_directions(rows, s), s)
+    x, y = pairs_at(400, dim, 0.93, 0.93)
+    left, right = [set() for _ in x], [set() for _ in x]
+    for k in range(codes):
+        code = caps.Code(dim, b, s, k)
+        for found, v in ((left, x), (right, y)):
+            for fs, more in zip(found, code.decode(v), strict=True):
+                fs.update(more)
+    assert sum(p.isdisjoint(q) for p, q in zip(left, right, strict=True)) <= 1
+    assert dim < 64 or 0.7 * s.lists <= np.mean([len(p) for p in left]) / codes <= 1.4 * s.lists
+
+
+def test_caps_find_planted_links_in_dimension_64(spark):
+    """Links at cosine 0.93 to 0.95 among random vectors, and components beyond what squares can hold."""
+    x, y = pairs_at(300, 64, 0.9301, 0.95)
+    noise = np.random.default_rng(3).normal(size=(2000, 64))
+    huge = [noise[0] * 1e200, noise[0] * 2e-200]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate([*x, *y, *noise, *huge])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(8)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in caps.near_duplicates(df).collect()}
+    assert all(got[i] == (1, i) and got[300 + i] == (1, i) for i in range(300))
+    assert all(got[k] == (2, 600) for k in (600, 2600, 2601)) and sum(n for n, _ in got.values()) == 606
 
 
 def test_partitions_recall_ties_and_odd_rows(spark):
