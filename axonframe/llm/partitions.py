@@ -1,24 +1,31 @@
 """Approximate nearest neighbours over learned partitions.
 
-On a bounded sample (``Settings.sample`` rows with the smallest hash of their id) the graph of nearest
-neighbours is cut into equal parts by recursive bisection: the slowest mode of each half, split at its
+The rows are divided into a tree of parts, as many as the table asks for: a node of more than
+``Settings.leaf`` rows is split into up to ``parts`` children. For that the graph of nearest
+neighbours of a bounded sample of its rows (those with the smallest hashes of their id, ``sample`` on
+average) is cut into equal parts by recursive bisection: the slowest mode of each half, split at its
 median, then improved by swaps. A small network learns which parts hold a point's neighbours. Every
-row is indexed under its most probable part; a query goes to its several most probable parts, whose
-rows are compared exactly. How many parts are visited is calibrated on sample rows that the network
-has not seen, so that ``recall`` is reached against brute force.
-
-Parts are split into blocks of bounded size and the queries of a part into slices, so no part, however
-many equal vectors it holds, becomes one task. Only the counts of the parts and the sample reach the
-driver.
-
-Defined results: null, zero and non-finite vectors and null ids take no part, nor do vectors of another
-dimension than most of the sample; rows that repeat a vec_id are one vector. Ties go to the smaller
-vec_id. With fewer candidates than k all are returned. Columns other than vec_id and embedding are not
-read.
+row is indexed under its most probable part. A query goes to its most probable parts until their
+probabilities reach a sum that is calibrated on sample rows the network has not seen, so that
+``recall`` is reached against brute force; so a query inside a cluster visits one or two parts and one
+among uniform vectors many. The leaves' rows are compared exactly.
+
+The nodes of a level are fitted in tasks, one group of a sample each. Fitted nodes of a small measured
+size are broadcast to the rows; beyond that rows and nodes meet by node and block. Leaves are split
+into blocks of bounded size and their queries into slices, so no leaf, however many equal vectors it
+holds, becomes one task. Queries whose leaves hold less than k rows are compared with all rows.
+
+Defined results: null, zero and non-finite vectors and null ids take no part; rows that repeat a vec_id
+are one vector. Vectors of different dimensions have no distance: each dimension is an index of its
+own, with its own queries. Ties go to the smaller vec_id. With fewer candidates than k all are
+returned. Blocks with components whose squares leave the range of doubles are compared by scaled
+differences. Columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,15 +41,21 @@ from axonframe.plans.session import cut
 
 @dataclass(frozen=True)
 class Settings:
+    """``leaf``: rows of a node that is not split; ``parts``: most children of a node, a power of two; ``batch``: rows that meet a node in one group; ``broadcast_*``: what is broadcast at most."""
+
     k: int = 10
+    leaf: int = 2048
     sample: int = 6000
     graph: int = 10
-    parts: int = 16
+    parts: int = 64
     hidden: int = 64
     steps: int = 400
-    recall: float = 0.96
+    recall: float = 0.95
     block: int = 2048
     slice: int = 1024
+    batch: int = 20_000
+    broadcast_bytes: int = 16_000_000
+    broadcast_nodes: int = 100_000
     seed: int = 7
 
 
@@ -98,24 +111,13 @@ def partition(neighbours: np.ndarray, parts: int, seed: int) -> np.ndarray:
 
 
 class Router:
-    """One hidden layer and a softmax over the parts."""
-
-    def __init__(self, x: np.ndarray, target: np.ndarray, s: Settings):
-        rng = np.random.default_rng(s.seed)
-        self.mean, self.scale = x.mean(0), x.std() + 1e-12
-        n, d, p = len(x), x.shape[1], target.shape[1]
-        self.w = [rng.normal(0, d**-0.5, (d, s.hidden)), np.zeros(s.hidden), rng.normal(0, s.hidden**-0.5, (s.hidden, p)), np.zeros(p), np.zeros((d, p))]
-        m, u = [np.zeros_like(a) for a in self.w], [np.zeros_like(a) for a in self.w]
-        z = (x - self.mean) / self.scale
-        for step in range(1, s.steps + 1):
-            at = rng.integers(0, n, min(n, 512))
-            h, y = self.forward(z[at])
-            g = (y - target[at]) / len(at)
-            gh = g @ self.w[2].T * (h > 0)
-            for k, grad in enumerate([z[at].T @ gh, gh.sum(0), h.T @ g, g.sum(0), z[at].T @ g]):
-                m[k] += 0.1 * (grad - m[k])
-                u[k] += 0.01 * (grad * grad - u[k])
-                self.w[k] = self.w[k] - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(u[k] / (1 - 0.99**step)) + 1e-8)
+    """One hidden layer and a softmax over the parts; ``most`` is the sum of probabilities up to which a query visits parts."""
+
+    def __init__(self, mean: np.ndarray, scale: float, w: list[np.ndarray], most: float = 1.0):
+        self.mean, self.scale, self.w, self.most = mean, scale, w, most
+
+    def packed(self) -> bytes:
+        return pickle.dumps((self.mean, self.scale, self.w, self.most))
 
     def forward(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = np.maximum(z @ self.w[0] + self.w[1], 0)
@@ -123,87 +125,186 @@ class Router:
         y = np.exp(y - y.max(1, keepdims=True))
         return h, y / y.sum(1, keepdims=True)
 
-    def ranked(self, x: np.ndarray) -> np.ndarray:
-        """Parts of each row, most probable first."""
-        return np.argsort(-self.forward((x - self.mean) / self.scale)[1], axis=1, kind="stable")
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of each row, most probable first, and the probability of all before each."""
+        y = self.forward((x - self.mean) / self.scale)[1]
+        order = np.argsort(-y, axis=1, kind="stable")
+        return order, np.cumsum(np.take_along_axis(y, order, 1), 1) - np.take_along_axis(y, order, 1)
 
 
-def fit(x: np.ndarray, s: Settings) -> tuple[Router, int]:
-    """A router and the number of parts that a query has to visit."""
+def trained(x: np.ndarray, target: np.ndarray, s: Settings) -> Router:
+    """Adam on the cross entropy with the share of each part in a point's neighbours."""
+    rng = np.random.default_rng(s.seed)
+    n, d, p = len(x), x.shape[1], target.shape[1]
+    router = Router(x.mean(0), x.std() + 1e-12, [rng.normal(0, d**-0.5, (d, s.hidden)), np.zeros(s.hidden), rng.normal(0, s.hidden**-0.5, (s.hidden, p)), np.zeros(p), np.zeros((d, p))])
+    w = router.w
+    m, u = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
+    z = (x - router.mean) / router.scale
+    for step in range(1, s.steps + 1):
+        at = rng.integers(0, n, min(n, 512))
+        h, y = router.forward(z[at])
+        g = (y - target[at]) / len(at)
+        gh = g @ w[2].T * (h > 0)
+        for k, grad in enumerate([z[at].T @ gh, gh.sum(0), h.T @ g, g.sum(0), z[at].T @ g]):
+            m[k] += 0.1 * (grad - m[k])
+            u[k] += 0.01 * (grad * grad - u[k])
+            w[k] -= 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(u[k] / (1 - 0.99**step)) + 1e-8)
+    return router
+
+
+def tame(*arrays: np.ndarray) -> float:
+    """A power of two by which components are divided so that squares stay in range; 1 for ordinary vectors."""
+    top = max((float(np.abs(a).max(initial=0)) for a in arrays), default=0.0)
+    return 1.0 if top == 0 or 1e-120 < top < 1e120 else 2.0 ** math.frexp(top)[1]
+
+
+def fit(x: np.ndarray, rows: int, recall: float, s: Settings) -> Router:
+    """A router of a node of ``rows`` rows from a sample of them, calibrated on a tenth of it."""
     held = len(x) // 10
     index = x[held:]
-    k = min(s.graph, len(index) - 1)
-    parts = 1
-    while parts * 2 <= s.parts and len(index) >= 64 * parts:
+    k, parts = min(s.graph, len(index) - 1), 1
+    while parts < min(s.parts, rows / s.leaf) and len(index) >= 64 * parts:
         parts *= 2
     neighbours = nearest(index, index, k, True) if k > 0 else np.zeros((len(index), 0), int)
     part = partition(neighbours, parts, s.seed)
     target = np.zeros((len(index), parts))
     np.add.at(target, (np.repeat(np.arange(len(index)), k + 1), np.column_stack([part, part[neighbours]]).ravel()), 1 / (k + 1))
-    router = Router(index, target, s)
-    if parts == 1 or held == 0:
-        return router, parts
-    home = router.ranked(index)[:, 0]
-    true = home[nearest(index, x[:held], min(s.k, len(index)), False)]
-    order = router.ranked(x[:held])
-    place = np.argsort(order, axis=1)
-    steps = np.take_along_axis(place, true, 1)
-    share = np.array([(steps < m).mean() for m in range(1, parts + 1)])
-    return router, int(np.argmax(share >= s.recall)) + 1
+    router = trained(index, target, s)
+    if held and parts > 1:
+        home = router.ranked(index)[0][:, 0]
+        true = home[nearest(index, x[:held], min(s.k, len(index)), False)]
+        order, before = router.ranked(x[:held])
+        needed = np.take_along_axis(before, np.take_along_axis(np.argsort(order, axis=1), true, 1), 1)
+        router.most = float(np.quantile(needed, recall, method="higher")) + 1e-9
+    return router
 
 
-def nearest_neighbours(rows: DataFrame, is_query: str = "vec_id % 100 = 0", settings: Settings = Settings()) -> DataFrame:
-    """query_id, rank, vec_id and score (Euclidean distance): the k nearest found of every query row."""
-    s = settings
-    vectors = cut(valid_vectors(rows))
-    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(s.sample).toPandas()["v"]
-    dims = [len(v) for v in chosen]
-    dim = max(set(dims), key=lambda d: (dims.count(d), d)) if dims else 0
-    fitted = fit(np.array([v for v in chosen if len(v) == dim]), s) if dim else None
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router, visits = fitted
-        for b in batches:
-            if b.num_rows:
-                got = router.ranked(matrix(b.column("v")))[:, :visits].astype(np.int32)
-                yield pa.record_batch([*b.columns, pa.array(list(got), pa.list_(pa.int32()))], ["vec_id", "v", "parts"])
-
-    routed = cut(vectors.filter(F.size("v") == dim).mapInArrow(route, "vec_id long, v array<double>, parts array<int>"))
-    home = routed.withColumn("part", F.element_at("parts", 1))
-    asked = routed.filter(is_query).withColumn("part", F.explode("parts"))
-    sizes = home.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / s.block)).cast("int").alias("blocks"))
-    slices = asked.groupBy("part").agg(F.ceil(F.count("*") / s.slice).cast("int").alias("slices"))
-    dealt = sizes.join(slices, "part").collect()
-    blocks = F.create_map(*(F.lit(x) for r in dealt for x in (r["part"], r["blocks"]))) if dealt else F.create_map(F.lit(-1), F.lit(1))
-    cuts = F.create_map(*(F.lit(x) for r in dealt for x in (r["part"], r["slices"]))) if dealt else F.create_map(F.lit(-1), F.lit(1))
-    here = home.withColumns({"blocks": blocks[F.col("part")], "slices": cuts[F.col("part")]}).filter("blocks IS NOT NULL")
-    there = asked.withColumns({"blocks": blocks[F.col("part")], "slices": cuts[F.col("part")]}).filter("blocks IS NOT NULL")
+def fitted(index: DataFrame, large: DataFrame, recall: float, level: int, s: Settings) -> DataFrame:
+    """(node, model) of the nodes ``large`` (node, count), each fitted in one group of its bounded sample."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("vec_id")
+        x = matrix(rows.column("v").combine_chunks())
+        x = x[np.random.default_rng(s.seed).permutation(len(x))]
+        router = fit(x / tame(x), rows.column("count")[0].as_py(), recall, s)
+        return pa.table({"node": pa.array([key[0].as_py()]), "model": pa.array([router.packed()], pa.binary())})
+
+    drawn = F.pmod(F.xxhash64("vec_id", F.lit(level)), F.lit(1_000_000_007)) < F.lit(1_000_000_007.0) * s.sample / F.col("count")
+    return index.join(F.broadcast(large) if large.count() <= s.broadcast_nodes else large, "node").filter(drawn).groupBy("node").applyInArrow(run, "node string, model binary")
+
+
+def sent(router: Router, x: np.ndarray, several: bool) -> list[list[int]]:
+    order, before = router.ranked(x / tame(x))
+    if not several:
+        return order[:, :1].tolist()
+    return [o[:n].tolist() for o, n in zip(order, np.maximum(1, (before < router.most).sum(1)), strict=True)]
+
+
+def route(rows: DataFrame, models: DataFrame, several: bool, s: Settings) -> DataFrame:
+    """(vec_id, v, node): rows of fitted nodes move to their most probable child, or to ``several``; others stay."""
+    schema = "vec_id long, v array<double>, node string"
+
+    def moved(batch: pa.RecordBatch | pa.Table, held: dict[str, Router]) -> Iterator[pa.RecordBatch]:
+        node = batch.column("node").to_pylist()
+        for name in dict.fromkeys(node):
+            part = batch.take(pa.array([i for i, n in enumerate(node) if n == name]))
+            v = part.column("v").combine_chunks() if isinstance(part, pa.Table) else part.column("v")
+            to = sent(held[name], matrix(v), several) if name in held else [[]] * part.num_rows
+            at = pa.array([i for i, t in enumerate(to) for _ in t or [0]], pa.int64())
+            names = pa.array([f"{name}/{c}" if t else name for t in to for c in (t or [0])], pa.string())
+            yield pa.record_batch([part.column("vec_id").take(at).combine_chunks() if isinstance(part, pa.Table) else part.column("vec_id").take(at), v.take(at), names], ["vec_id", "v", "node"])
+
+    if models.agg(F.coalesce(F.sum(F.length("model")), F.lit(0))).first()[0] <= s.broadcast_bytes:
+        known = rows.sparkSession.sparkContext.broadcast({r["node"]: r["model"] for r in models.collect()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = {n: Router(*pickle.loads(m)) for n, m in known.value.items()}
+            for b in batches:
+                yield from moved(b, held)
+
+        return rows.mapInArrow(run, schema)
+    blocks = rows.join(models.select("node"), "node", "left_semi").groupBy("node").agg(F.ceil(F.count("*") / s.batch).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "node", "left").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    copies = models.join(blocks, "node").select("node", "model", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = {n: Router(*pickle.loads(m)) for n, m in zip(right.column("node").to_pylist(), right.column("model").to_pylist(), strict=True)}
+        return pa.Table.from_batches(list(moved(left, held)), pa.schema({"vec_id": pa.int64(), "v": pa.list_(pa.float64()), "node": pa.string()}))
+
+    stay = dealt.filter("blocks IS NULL").select("vec_id", "v", "node")
+    return dealt.filter("blocks IS NOT NULL").select("vec_id", "v", "node", "block").groupBy("node", "block").cogroup(copies.groupBy("node", "block")).applyInArrow(meet, schema).union(stay)
+
+
+def indexed(vectors: DataFrame, is_query: str, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, v, node) of all rows with their leaf, and of the queries with each leaf that they visit."""
+    index = vectors.withColumn("node", F.size("v").cast("string"))
+    asked = index.filter(is_query)
+    most = index.groupBy("node").count().agg(F.max("count")).first()[0] or 0
+    levels = math.ceil(math.log(max(1.0, most / s.leaf)) / math.log(s.parts))
+    for level in range(levels):
+        large = index.groupBy("node").count().filter(F.col("count") > s.leaf)
+        models = cut(fitted(index, large, s.recall ** (1 / levels), level, s))
+        index, asked = cut(route(index, models, False, s)), cut(route(asked, models, True, s))
+    return index, asked
+
+
+def distances(c: np.ndarray, q: np.ndarray, plain: bool) -> np.ndarray:
+    """Euclidean; unless ``plain`` each row's largest difference is divided out first."""
+    if plain or not len(c):
+        return np.sqrt(((c - q) ** 2).sum(1))
+    d = np.abs(c - q)
+    top = np.maximum(d.max(1, keepdims=True), 5e-324)
+    return top[:, 0] * np.sqrt(((d / top) ** 2).sum(1))
+
+
+def compared(here: DataFrame, there: DataFrame, s: Settings) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest rows of ``here`` (vec_id, v, node) for each row of ``there``, node by node and block by block."""
+    sizes = here.groupBy("node").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
+    dealt = cut(sizes.join(there.groupBy("node").agg(F.ceil(F.count("*") / s.slice).cast("int").alias("slices")), "node"))
+    dealt = F.broadcast(dealt) if dealt.count() <= s.broadcast_nodes else dealt
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["part", "block", "slice"]
-    candidates = here.withColumn("block", own("blocks")).select("part", "block", every("slices").alias("slice"), F.lit(False).alias("query"), "vec_id", "v")
-    queries = there.withColumn("slice", own("slices")).select("part", every("blocks").alias("block"), "slice", F.lit(True).alias("query"), "vec_id", "v")
+    keys = ["node", "block", "slice"]
+    candidates = here.join(dealt, "node").withColumn("block", own("blocks")).select("node", "block", every("slices").alias("slice"), F.lit(False).alias("query"), "vec_id", "v")
+    queries = there.join(dealt, "node").withColumn("slice", own("slices")).select("node", every("blocks").alias("block"), "slice", F.lit(True).alias("query"), "vec_id", "v")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows_of in groups(batches, keys):
             asks = rows_of.column("query").to_numpy()
             ids, x = rows_of.column("vec_id").to_numpy(), matrix(rows_of.column("v").combine_chunks())
             if not asks.any() or asks.all():
                 continue
-            c, cid = x[~asks], ids[~asks]
-            norms = (c * c).sum(1)
+            c, cid, plain = x[~asks], ids[~asks], tame(x) == 1.0
+            norms = (c * c).sum(1) if plain else None
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for q, qid in zip(x[asks], ids[asks], strict=True):
-                rough = norms - 2 * c @ q + q @ q
-                rough[cid == qid] = np.inf
-                kth = np.partition(rough, min(s.k, len(rough)) - 1)[min(s.k, len(rough)) - 1]
-                near = np.flatnonzero(np.isfinite(rough) & (rough <= kth + 1e-9 * (1 + q @ q + norms.max())))
-                exact = np.sqrt(((c[near] - q) ** 2).sum(1))
-                top = near[np.lexsort((cid[near], exact))[: s.k]]
-                out.append((np.full(len(top), qid), cid[top], np.sqrt(((c[top] - q) ** 2).sum(1))))
+                near = cid != qid
+                if plain:
+                    rough = np.where(near, norms - 2 * c @ q + q @ q, np.inf)
+                    kth = np.partition(rough, min(s.k, len(rough)) - 1)[min(s.k, len(rough)) - 1]
+                    near &= rough <= kth + 1e-9 * (1 + q @ q + norms.max())
+                near = np.flatnonzero(near)
+                exact = distances(c[near], q, plain)
+                best = np.lexsort((cid[near], exact))[: s.k]
+                out.append((np.full(len(best), qid), cid[near[best]], exact[best]))
             yield pa.record_batch([pa.array(np.concatenate(z)) for z in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     met = queries.unionByName(candidates).repartition(*keys).sortWithinPartitions(*keys)
-    found = met.mapInArrow(compare, "query_id long, vec_id long, score double")
+    return met.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def nearest_neighbours(rows: DataFrame, is_query: str = "vec_id % 100 = 0", settings: Settings = Settings()) -> DataFrame:
+    """query_id, rank, vec_id and score (Euclidean distance): the k nearest found of every query row."""
+    s = settings
+    vectors = cut(valid_vectors(rows))
+    index, asked = indexed(vectors, is_query, s)
+    found = cut(compared(index, asked, s))
+    dims = vectors.groupBy(F.size("v").alias("dim")).count()
+    got = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"))
+    wanted = vectors.filter(is_query).withColumn("dim", F.size("v")).join(dims, "dim").join(got, "vec_id", "left")
+    short = cut(wanted.filter(F.coalesce("n", F.lit(0)) < F.least(F.lit(s.k), F.col("count") - 1)).select("vec_id", "v", F.col("dim").cast("string").alias("node")))
+    if not short.isEmpty():
+        again = compared(vectors.withColumn("node", F.size("v").cast("string")), short, s)
+        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     best = W.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")

@@ -182,3 +182,44 @@ def test_partitions_recall_ties_and_odd_rows(spark):
     assert hits / (10 * len(asked)) >= 0.9 and set(got.query_id) == set(asked)
     few = partitions.nearest_neighbours(df.filter("vec_id IN (0, 1, 2)"), "vec_id = 0").collect()
     assert len(few) == 2 and partitions.nearest_neighbours(df.limit(0)).count() == 0
+
+
+def clustered(n, dim, clusters, seed=6):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(clusters, dim))[rng.integers(0, clusters, n)] + 0.25 * rng.normal(size=(n, dim))
+
+
+@pytest.mark.parametrize("broadcast", [16_000_000, 0])
+def test_partitions_grow_and_clustered_queries_visit_few(spark, broadcast):
+    """Two levels of learned parts, whether fitted nodes are broadcast or meet the rows by block."""
+    x = clustered(6000, 24, 60)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    s = partitions.Settings(leaf=128, parts=8, sample=1500, steps=250, block=64, slice=16, batch=700, broadcast_bytes=broadcast)
+    index, asked = partitions.indexed(partitions.valid_vectors(df), "vec_id % 20 = 0", s)
+    sizes = {r["node"]: r["count"] for r in index.groupBy("node").count().collect()}
+    assert sum(sizes.values()) == 6000 and len(sizes) >= 30 and max(n.count("/") for n in sizes) == 2
+    pairs = sum(sizes.get(r["node"], 0) for r in asked.collect())
+    assert pairs <= 0.2 * 300 * 6000
+    got = partitions.nearest_neighbours(df, "vec_id % 20 = 0", s).toPandas()
+    near = {q: set(np.argsort(((x - x[q]) ** 2).sum(1) + (np.arange(len(x)) == q) * 1e9, kind="stable")[:10]) for q in range(0, 6000, 20)}
+    assert len(got) == 3000 and sum(len(set(g.vec_id) & near[q]) for q, g in got.groupby("query_id")) >= 0.9 * 3000
+
+
+def test_partitions_serve_every_dimension_and_size_of_component(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(300)] + [(1000 + k, (rng.normal(size=8) * 1e200).tolist()) for k in range(12)] + [(2000 + k, [1e-190 * (k + 1)] * 3) for k in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = partitions.nearest_neighbours(df, "vec_id % 10 = 0").toPandas()
+    v = {i: np.array(x) for i, x in rows}
+    for q in (i for i in v if i % 10 == 0):
+        d = sorted((float(np.abs(v[j] - v[q]).max() * np.sqrt((((v[j] - v[q]) / np.abs(v[j] - v[q]).max()) ** 2).sum())), j) for j in v if j != q and len(v[j]) == len(v[q]))[:10]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine.vec_id.tolist() == [j for _, j in d] and np.allclose(mine.score, [a for a, _ in d], rtol=1e-9, atol=0)
+
+
+def test_partitions_look_further_where_leaves_are_short(spark):
+    """Copies of two vectors: a leaf with less than k rows is no excuse."""
+    rows = [(i, [0.0, 1.0] if i < 3 else [float(i % 7 - 3), 5.0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = partitions.nearest_neighbours(df, "vec_id % 100 = 0", partitions.Settings(leaf=16, parts=16, sample=400, steps=100)).toPandas()
+    assert len(got) == 40 and (got.groupby("query_id")["rank"].max() == 10).all()
