@@ -1,4 +1,7 @@
-"""A small tree of a page: elements with tag, class-like names and children; text nodes are strings."""
+"""A page as its elements in document order, and the events of reading it: opened and closed elements and text.
+
+Nothing here recurses, so elements may be nested at any depth.
+"""
 
 from __future__ import annotations
 
@@ -30,13 +33,15 @@ ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottombar sidebar aside rail cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond discussion disqus social share sharing related recommended recommendations widget toolbar pagination pager search copyright legal disclaimer form".split()
 )
 
+#: Of these names, those that name no part of an article even inside one.
+ASIDE_WITHIN = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup login comment comments commentlist disqus share sharing widget toolbar pagination pager".split()
+)
+
 #: Elements that hold a page or its article, so that no name makes them an aside.
 HOLDERS = frozenset("# html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: As in browsers, what is nested deeper is hung up at this depth; no text is lost.
-DEEPEST = 250
-
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S
 )
@@ -44,86 +49,147 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 #: What a name may have before or after a listed word and still be that part, not something that merely has or follows it.
 PARTS = frozenset("site page main top bottom left right global primary secondary sub mobile desktop wrapper wrap container box block area section inner outer bar list item items link links button buttons content header footer icon icons text form title widget unit slot group col column row panel".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+DIGITS = re.compile(r"\d+")
 
 
-def names_aside(name: str) -> bool:
+def names_aside(name: str, listed: frozenset[str]) -> bool:
     """Whether a class or id, as a whole, names a part that is no article: ``ad``, ``site-footer``, not ``has-sidebar`` or ``related-work``."""
     words = [w.lower() for w in NAME.findall(name)]
-    return any(w in ASIDE_NAMES for w in words) and all(w in ASIDE_NAMES or w in PARTS for w in words)
+    return any(w in listed for w in words) and all(w in ASIDE_NAMES or w in PARTS for w in words)
+
+
+class Page:
+    """Elements by number, in document order; 0 is the page itself. ``end`` is the number after an element's last inner one.
 
+    ``events`` holds texts, ``i`` where element i opens and ``~i`` where it closes; ``closed`` is the place of the latter.
+    """
 
-class Node:
-    __slots__ = ("aside", "children", "hidden", "key", "tag")
+    def __init__(self) -> None:
+        self.tag, self.key, self.parent, self.end, self.closed = ["#"], ["#"], [-1], [0], [0]
+        self.aside, self.within, self.hidden = [False], [False], [False]
+        self.events: list[str | int] = [0]
 
-    def __init__(self, tag: str, attrs: str):
-        self.tag, self.children = tag, []
-        names, self.aside, self.hidden = "", tag in ASIDE_TAGS, tag in UNREAD
+    def open(self, tag: str, attrs: str, parent: int) -> int:
+        i = len(self.tag)
+        key, aside, hidden = tag, tag in ASIDE_TAGS, tag in UNREAD
+        within = aside
         if attrs and not attrs.isspace():
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
-            names = " ".join(found.get(k, "") for k in ("id", "class")).strip()
+            if "class" in found or "id" in found:
+                key = DIGITS.sub("0", f"{tag}.{found.get('class', '')}")
             if tag not in HOLDERS:
-                named = tag not in HEADINGS and any(names_aside(n) for n in names.split())
-                self.hidden |= "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-                self.aside |= self.hidden or named or found.get("role", "").lower() in ASIDE_ROLES
-        self.key = f"{tag}.{found.get('class', '')}" if names else tag
+                names = () if tag in HEADINGS else (*found.get("id", "").split(), *found.get("class", "").split())
+                hidden |= "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+                role = found.get("role", "").lower() in ASIDE_ROLES
+                within |= hidden or role or any(names_aside(n, ASIDE_WITHIN) for n in names)
+                aside |= within or any(names_aside(n, ASIDE_NAMES) for n in names)
+        self.tag.append(tag)
+        self.key.append(key)
+        self.parent.append(parent)
+        self.end.append(i + 1)
+        self.closed.append(0)
+        self.aside.append(aside)
+        self.within.append(within)
+        self.hidden.append(hidden)
+        self.events.append(i)
+        return i
+
+    def close(self, i: int) -> None:
+        self.end[i], self.closed[i] = len(self.tag), len(self.events)
+        self.events.append(~i)
+
+    def inside(self, i: int, outer: int) -> bool:
+        return outer <= i < self.end[outer]
+
+
+def parse(text: str) -> Page:
+    page = Page()
+    stack, opened, at, size = [0], {}, 0, len(text)
+
+    def drop_from(k: int) -> None:
+        for i in reversed(stack[k:]):
+            page.close(i)
+            opened[page.tag[i]] -= 1
+        del stack[k:]
 
-
-def parse(page: str) -> Node:
-    root = Node("#", "")
-    stack, at, size = [root], 0, len(page)
     while at < size:
-        m = TOKEN.search(page, at)
-        begin = m.start() if m else size
-        if begin > at:
-            stack[-1].children.append(page[at:begin])
+        begin = text.find("<", at)
+        m = None
+        while begin >= 0 and not (m := TOKEN.match(text, begin)):
+            begin = text.find("<", begin + 1)
         if not m:
+            page.events.append(text[at:])
             break
+        if begin > at:
+            page.events.append(text[at:begin])
         at = m.end()
         if not m["tag"]:
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                k = len(stack) - 1
+                while page.tag[stack[k]] != tag:
+                    k -= 1
+                drop_from(k)
             continue
-        if rule := CLOSES.get(tag):
+        if (rule := CLOSES.get(tag)) and any(opened.get(t) for t in rule[0]):
+            lowest = len(stack)
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in rule[1]:
+                if page.tag[stack[k]] in rule[1]:
                     break
-                if stack[k].tag in rule[0]:
-                    del stack[k:]
-        node = Node(tag, m["attrs"])
-        stack[-1].children.append(node)
+                if page.tag[stack[k]] in rule[0]:
+                    lowest = k
+            drop_from(lowest)
+        i = page.open(tag, m["attrs"], stack[-1])
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            node.children.append(page[at : end.start() if end else size])
+            end = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
+            page.events.append(text[at : end.start() if end else size])
             at = end.end() if end else size
-        elif tag not in VOID and not m["attrs"].endswith("/") and len(stack) < DEEPEST:
-            stack.append(node)
-    free_holders(root)
-    return root
-
-
-def free_holders(root: Node) -> None:
-    """What holds an article or main element, a form around most of the page's text and the paragraphs of an article are no aside; hidden parts stay so."""
-    order, todo = [], [root]
-    while todo:
-        order.append(node := todo.pop())
-        todo += [c for c in node.children if isinstance(c, Node) and not c.hidden]
-    length: dict[int, int] = {}
-    holds: dict[int, bool] = {}
-    for n in reversed(order):
-        inner = [c for c in n.children if isinstance(c, Node) and not c.hidden]
-        length[id(n)] = sum(len(c.split()) for c in n.children if isinstance(c, str)) + sum(length[id(c)] for c in inner)
-        holds[id(n)] = any(c.tag in ("article", "main") or holds[id(c)] for c in inner)
-    within = set()
-    for n in order:
-        if n.tag in ("article", "main") or id(n) in within:
-            within |= {id(c) for c in n.children if isinstance(c, Node)}
-        if n.aside and not n.hidden and (n.tag == "p" and id(n) in within or holds[id(n)] or n.tag == "form" and 2 * length[id(n)] > length[id(root)]):
-            n.aside = False
+            page.close(i)
+        elif tag in VOID or m["attrs"].endswith("/"):
+            page.close(i)
+        else:
+            stack.append(i)
+            opened[tag] = opened.get(tag, 0) + 1
+    drop_from(1)
+    page.close(0)
+    free_holders(page)
+    return page
+
+
+def free_holders(page: Page) -> None:
+    """What holds an article or main element, and a form around most of the page's text, are no aside; in an article fewer names count, and paragraphs never do. Hidden parts stay so."""
+    n = len(page.tag)
+    holds, in_article = [False] * n, [False] * n
+    for i in range(1, n):
+        up = page.parent[i]
+        in_article[i] = in_article[up] or page.tag[up] in ("article", "main")
+    for i in range(n - 1, 0, -1):
+        if not page.hidden[i] and (holds[i] or page.tag[i] in ("article", "main")):
+            holds[page.parent[i]] = True
+    for i in range(1, n):
+        if page.aside[i] and not page.hidden[i]:
+            if holds[i] or in_article[i] and (page.tag[i] == "p" or not page.within[i]):
+                page.aside[i] = page.within[i] = False
+    if forms := [i for i in range(1, n) if page.tag[i] == "form" and page.aside[i] and not page.hidden[i]]:
+        words = [0] * n
+        hidden, stack = [page.hidden[0]], [0]
+        for e in page.events[1:-1]:
+            if isinstance(e, str):
+                if not hidden[-1]:
+                    words[stack[-1]] += len(e.split())
+            elif e >= 0:
+                stack.append(e)
+                hidden.append(hidden[-1] or page.hidden[e])
+            else:
+                stack.pop()
+                hidden.pop()
+        for i in range(n - 1, 0, -1):
+            words[page.parent[i]] += words[i]
+        for i in forms:
+            if 2 * words[i] > words[0]:
+                page.aside[i] = page.within[i] = False
 
 
 def clean(text: str) -> str:

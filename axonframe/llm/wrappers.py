@@ -1,180 +1,313 @@
-"""HTML extraction by wrapper induction.
-
-Every page is parsed and aligned with the other pages of its host by the paths of its blocks (tags with
-their classes from the root down). Spark counts over all pages of a host, and of a host and layout, how
-many different pages have a text at a path; equal pages count once. A layout is the set of the page's
-containers down to a fixed depth. What ``constant`` of the pages of a layout or of the whole host have, two
-pages at least, is template; the other texts are slots. A second pass sums up, again over all pages, how
-much of the varying text lies below each path: the content is the deepest element that holds nearly all.
-
-A page is then read with the wrapper of its host and layout: blocks under the content path, without
-template texts and without parts that their tag, role or names mark as menus, headers, footers, sidebars,
-notices, adverts, forms or comments. A layout that one page has alone takes the host's path. Where the path
-isn't found (hosts with one page, no host), the article or main element is read, or else the whole body.
-Two or three pages that share over half of their texts are taken for near copies, whose content is kept.
+"""HTML extraction by wrapper induction: the trees of a host's pages are aligned by simple tree matching.
+
+Pages of a host with the same layout (the containers from the root down to a fixed depth) are one
+group, and one of them is its reference tree. Every page of the group is aligned with the reference:
+matched nodes have equal tags and classes, and of all order-preserving matchings of two nodes'
+children the one with the largest total subtree match is taken. Many inner-less siblings of one kind
+(paragraphs, items) are one slot. Nodes without a partner are slots of their own below the
+last matched node. Spark counts, over all different pages of a group, which texts each slot has:
+
+- a text that ``constant`` of the pages have in its slot, two pages at least, is template;
+- a slot in which few different texts keep recurring (rotating adverts, menus, footers) is template
+  too, if ``many`` were seen and all such slots together are the smaller part of the group's text;
+- all other slots vary. The content is the deepest reference node with ``share`` of the varying text
+  that no name marks, and with the headings beside it.
+
+A page is read by aligning it with the wrapper of its group, a page whose layout is its own with that of
+its host's largest group: the content node without template. Names decide only what counts don't:
+varying parts marked as menus, comments, adverts and so on by tag, role or a whole class or id are
+left out, and an article or main element around or inside the content node bounds it. Pages without a
+wrapper (hosts with one page, no host) are read by names alone. What would be empty is read again
+with template texts, and then without names. Two or three pages that share over half of their texts
+are taken for near copies, whose content is kept.
 
 Wrappers are broadcast only if their measured size is small; otherwise pages and wrappers meet by
-group and salt. Texts are compared by 64-bit hashes with their paths.
+group and salt.
 
 Defined results: null html is empty and gives an empty text; a null or odd url has no host and no wrapper;
-equal rows give equal rows.
+equal rows give equal rows, and count once; very long pages are read whole, elements nest at any
+depth. Children beyond ``cells`` pairs of two nodes are matched in order of their kinds instead of by
+the best sum. Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axonframe.llm.dom import ASIDE_TAGS, BLOCK, Node, clean, parse
+from axonframe.llm.dom import BLOCK, HEADINGS, Page, clean, parse
 from axonframe.plans.session import cut
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``constant``: the share of a layout's or host's pages in which a template text is the same; ``least``: pages for a template; of less than ``few`` pages that share over half of their texts, all are content."""
+    """``constant``: the share of a group's pages in which a template text is the same; ``least``: pages for a wrapper; of less than ``few`` pages that share over half of their texts, all are content; ``rotating``: different texts among those of a slot at most, for a template slot."""
 
     least: int = 2
     few: int = 4
     constant: float = 0.8
+    many: int = 8
+    rotating: float = 0.5
+    share: float = 0.9
     salts: int = 32
     broadcast_refs: int = 100_000
-    broadcast_bytes: int = 4_000_000
-
-
-def host_of(url: str = "url") -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
-
-
-def is_block(node: Node) -> bool:
-    return node.tag in BLOCK or node.tag == "#"
-
-
-def strings(node: Node) -> Iterator[str]:
-    for c in node.children:
-        if isinstance(c, str):
-            yield c
-        elif c.tag == "br":
-            yield " "
-        elif not is_block(c):
-            yield from strings(c)
-
-
-def own_text(node: Node) -> str:
-    """What stands in a block itself and in its inline elements, not in blocks inside it; nothing for inline elements."""
-    return clean("".join(strings(node))) if is_block(node) else ""
+    broadcast_bytes: int = 8_000_000
 
 
+CELLS, DEEP, ALIKE = 40_000, 40, 3
 #: The elements that make a layout, and how deep they count.
 FRAME = frozenset("html body div section main article header footer nav aside form".split())
 FRAME_DEPTH = 5
-DIGITS = re.compile(r"\d+")
+
+
+def host_of(url: str = "url") -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
 
 
 def hashed(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def layout_of(tree: Node) -> str:
+def layout_of(page: Page) -> str:
     """The containers of a page by path, without repeats; what an article or main holds is content."""
-    found, todo = set(), [("", tree, 0)]
-    while todo:
-        path, node, depth = todo.pop()
-        for c in node.children:
-            if isinstance(c, Node) and c.tag in FRAME:
-                here = f"{path}>{DIGITS.sub('0', c.key)}"
-                found.add(here)
-                if depth + 1 < FRAME_DEPTH and c.tag not in ("article", "main"):
-                    todo.append((here, c, depth + 1))
-    return "\n".join(sorted(found))
-
-
-def page_texts(node: Node, path: str, into: set[int]) -> None:
-    """The blocks of a page that may be template, as hashes of path and text."""
-    if node.tag in ASIDE_TAGS:
-        return
-    path = f"{path}>{node.key}"
-    if own := own_text(node):
-        into.add(hashed(path, own))
-    for c in node.children:
-        if isinstance(c, Node):
-            page_texts(c, path, into)
-
-
-def varying(node: Node, path: str, constants: set[int], into: dict[str, int]) -> int:
-    """Characters of varying text below each path, parts marked as no article left out."""
-    if node.aside:
-        return 0
-    path = f"{path}>{node.key}"
-    own = own_text(node)
-    n = 0 if constants and own and hashed(path, own) in constants else len(own)  # inline text counts with its block
-    n += sum(varying(c, path, constants, into) for c in node.children if isinstance(c, Node))
-    into[path] = into.get(path, 0) + n
-    return n
+    paths: dict[int, str] = {0: ""}
+    for i in range(1, len(page.tag)):
+        up = paths.get(page.parent[i])
+        if up is not None and page.tag[i] in FRAME and up.count(">") < FRAME_DEPTH and page.tag[page.parent[i]] not in ("article", "main"):
+            paths[i] = f"{up}>{page.key[i]}"
+    return "\n".join(sorted(set(paths.values())))
+
+
+def own_texts(page: Page) -> list[str]:
+    """For each block what stands in it and in its inline elements, not in blocks inside it; nothing for hidden parts."""
+    found: dict[int, list[str]] = {}
+    stack, events, at = [0], page.events, 1
+    while at < len(events) - 1:
+        e = events[at]
+        at += 1
+        if isinstance(e, str):
+            found.setdefault(stack[-1], []).append(e)
+        elif e < 0:
+            if stack[-1] == ~e:
+                stack.pop()
+        elif page.hidden[e]:
+            at = page.closed[e] + 1
+        elif page.tag[e] == "br":
+            found.setdefault(stack[-1], []).append(" ")
+        elif page.tag[e] in BLOCK:
+            stack.append(e)
+    out = [""] * len(page.tag)
+    for i, parts in found.items():
+        out[i] = " ".join("".join(parts).split())
+    return out
+
+
+class Shape:
+    """A page's blocks as a tree: children that are blocks or hold some, subtree sizes and signatures."""
+
+    def __init__(self, page: Page):
+        n = len(page.tag)
+        self.page, self.size, self.children = page, [1] * n, [[] for _ in range(n)]
+        self.signature: list[int] = [0] * n
+        blocks = [False] * n
+        for i in range(n - 1, -1, -1):
+            children = self.children[i]
+            children.reverse()
+            self.signature[i] = hash((page.key[i], *(self.signature[c] for c in children)))
+            if i and (children or blocks[i] or page.tag[i] in BLOCK):
+                up = page.parent[i]
+                self.children[up].append(i)
+                self.size[up] += self.size[i]
+        #: Kinds of which a node has several children without inner blocks.
+        self.alike = [{k for k, m in Counter(page.key[c] for c in cs if not self.children[c]).items() if m >= ALIKE} if len(cs) >= ALIKE else () for cs in self.children]
+
+
+class Matching:
+    """Simple tree matching of a page with a reference."""
+
+    def __init__(self, a: Shape, b: Shape):
+        self.a, self.b, self.known = a, b, {}
+
+    def weight(self, i: int, j: int, depth: int = 0) -> int:
+        """Nodes of the best matching of two subtrees; 0 if their roots differ."""
+        a, b = self.a, self.b
+        if a.page.key[i] != b.page.key[j]:
+            return 0
+        if a.signature[i] == b.signature[j]:
+            return a.size[i]
+        if depth >= DEEP:
+            return 1
+        if (i, j) not in self.known:
+            self.known[i, j] = 1 + sum(self.weight(x, y, depth + 1) for x, y in self.pairs(a.children[i], b.children[j], depth + 1))
+        return self.known[i, j]
+
+    def pairs(self, xs: list[int], ys: list[int], depth: int = 0) -> list[tuple[int, int]]:
+        """Matched children in order, with the largest sum of weights."""
+        s, t = self.a.signature, self.b.signature
+        n = 0
+        while n < min(len(xs), len(ys)) and s[xs[n]] == t[ys[n]]:
+            n += 1
+        found = list(zip(xs[:n], ys[:n], strict=True))
+        xs, ys = xs[n:], ys[n:]
+        m = 0
+        while m < min(len(xs), len(ys)) and s[xs[-1 - m]] == t[ys[-1 - m]]:
+            m += 1
+        last = list(zip(xs[len(xs) - m :], ys[len(ys) - m :], strict=True))
+        xs, ys = xs[: len(xs) - m], ys[: len(ys) - m]
+        return found + (self.best(xs, ys, depth) if xs and ys else []) + last
+
+    def best(self, xs: list[int], ys: list[int], depth: int) -> list[tuple[int, int]]:
+        a, b = self.a.page.key, self.b.page.key
+        if len(xs) * len(ys) > CELLS:
+            found, j = [], 0
+            where: dict[str, list[int]] = {}
+            for k, y in enumerate(ys):
+                where.setdefault(b[y], []).append(k)
+            used = dict.fromkeys(where, 0)
+            for x in xs:
+                places = where.get(a[x], ())
+                u = used.get(a[x], 0)
+                while u < len(places) and places[u] < j:
+                    u += 1
+                if u < len(places):
+                    found.append((x, ys[places[u]]))
+                    j, used[a[x]] = places[u] + 1, u + 1
+            return found
+        w = [[self.weight(x, y, depth) for y in ys] for x in xs]
+        top = [[0] * (len(ys) + 1)]
+        for row in w:
+            last, line = top[-1], [0]
+            for j, v in enumerate(row):
+                line.append(max(last[j + 1], line[j], last[j] + v if v else 0))
+            top.append(line)
+        found, i, j = [], len(xs), len(ys)
+        while i and j:
+            if top[i][j] == top[i - 1][j]:
+                i -= 1
+            elif top[i][j] == top[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((xs[i], ys[j]))
+        return found[::-1]
+
+    def slots(self) -> tuple[list[tuple[int, int]], dict[int, int]]:
+        """(reference node, tail) of each node, where a tail of 0 is the reference node itself; and the page's node of each matched reference node."""
+        a, b, page = self.a, self.b, self.a.page
+        slot: list[tuple[int, int]] = [(0, 0)] * len(page.tag)
+        partner, todo = {0: 0}, [(0, 0)]
+        while todo:
+            i, j = todo.pop()
+            slot[i] = (j, 0)
+            partner[j] = i
+            alike = b.alike[j]
+            some = [c for c in a.children[i] if page.key[c] not in alike or a.children[c]]
+            matched = self.pairs(some, [c for c in b.children[j] if b.page.key[c] not in alike or b.children[c]])
+            todo += matched
+            with_partner = {x for x, _ in matched}
+            for c in a.children[i]:
+                if c not in with_partner:
+                    slot[c] = (j, zlib.crc32(page.key[c].encode("utf-8", "surrogatepass")))
+                    for d in range(c + 1, page.end[c]):
+                        slot[d] = (j, zlib.crc32(page.key[d].encode("utf-8", "surrogatepass"), slot[page.parent[d]][1]))
+        return slot, partner
+
+
+def place(slot: tuple[int, int]) -> int:
+    return slot[0] << 32 | slot[1]
 
 
 class Wrapper:
-    def __init__(self, path: str, texts: set[int]):
-        self.path, self.texts, self.named = path, texts, True
-
-    def unread(self, node: Node) -> bool:
-        return node.aside if self.named else node.hidden
-
-    def roots(self, tree: Node) -> list[tuple[str, Node]]:
-        """The content elements with the paths of their parents; without them articles, mains or all."""
-        found: dict[str, list[tuple[str, Node]]] = {"path": [], "article": [], "main": []}
-        todo = [("", tree)]
-        while todo:
-            path, node = todo.pop()
-            here = f"{path}>{node.key}"
-            if self.unread(node):
+    """What is known of a group: its reference, template texts by slot, template slots and the content's reference node (-1 if unknown)."""
+
+    def __init__(self, html: str, texts: list[int], slots: list[int], content: int):
+        self.shape, self.texts, self.slots, self.content = Shape(parse(html)), set(texts), set(slots), content
+
+
+def read(text: str, wrapper: Wrapper | None = None, by_name: bool = True) -> str:
+    """The main text of a page. If nothing is left, template texts are read too, and then parts that only names, roles or tags mark."""
+    page = parse(text)
+    template = [False] * len(page.tag)
+    target = None
+    if wrapper:
+        slot, partner = Matching(Shape(page), wrapper.shape).slots()
+        for i, own in enumerate(own_texts(page)):
+            if own:
+                template[i] = place(slot[i]) in wrapper.slots or hashed(str(place(slot[i])), own) in wrapper.texts
+        target = partner.get(wrapper.content) if wrapper.content >= 0 else None
+    for strict, named in ((True, True), (False, True), (True, False), (False, False)):
+        if by_name or not named:
+            skip = page.aside if named else page.hidden
+            roots = content_roots(page, target, skip, by_name)
+            if got := "\n".join(blocks(page, roots, skip, named, template if strict else None)):
+                return got
+    return ""
+
+
+def content_roots(page: Page, target: int | None, skip: list[bool], by_name: bool) -> list[int]:
+    """The content node; an article or main around or inside it bounds it. Without it articles, mains or all."""
+    outer: dict[str, list[int]] = {"article": [], "main": []}
+    i = 1
+    while i < len(page.tag):
+        if skip[i]:
+            i = page.end[i]
+            continue
+        kind = outer.get(page.tag[i])
+        if kind is not None and not (kind and page.inside(i, kind[-1])):
+            kind.append(i)
+        i += 1
+    if target is None:
+        return outer["article"] or outer["main"] or [0]
+    if by_name:
+        for kind in outer.values():
+            if around := [k for k in kind if page.inside(target, k)]:
+                return around
+            if kind and all(page.inside(k, target) for k in kind):
+                return kind
+    return [target]
+
+
+def blocks(page: Page, roots: list[int], skip: list[bool], named: bool, template: list[bool] | None) -> Iterator[str]:
+    """The block texts below the roots; a header outside of an article is the site's."""
+    events = page.events
+    for root in roots:
+        begin = 0 if root == 0 else next(k for k in range(root, len(events)) if events[k] == root)
+        own = page.tag[root] not in ("#", "html", "body")
+        articles, stack, parts, at = int(own), [root], [], begin + 1
+        while at < page.closed[root]:
+            e = events[at]
+            at += 1
+            if isinstance(e, str):
+                if template is None or not template[stack[-1]]:
+                    parts.append(e)
                 continue
-            for kind, fits in (("path", here == self.path), (node.tag, node.tag in ("article", "main"))):
-                if fits:
-                    found[kind].append((path, node))
-                    if kind == "path":
-                        break
-            else:
-                todo += [(here, c) for c in reversed(node.children) if isinstance(c, Node)]
-        return found["path"] or found["article"] or found["main"] or [("", tree)]
-
-    def blocks(self, node: Node, path: str, out: list[list[str]], strict: bool, heads: bool, constant: bool = False) -> None:
-        """Collects the block texts; ``heads``: a header in here is the article's own."""
-        here, block = f"{path}>{node.key}", is_block(node)
-        if block and out[-1]:
-            out.append([])
-        if block:
-            constant = strict and bool(self.texts) and hashed(here, own_text(node)) in self.texts
-        for c in node.children:
-            if isinstance(c, str):
-                if not constant:
-                    out[-1].append(c)
-            elif c.tag == "br":
-                out[-1].append(" ")
-            elif c.tag == "header" and not heads and self.named:
+            i = e if e >= 0 else ~e
+            tag = page.tag[i]
+            if e >= 0 and (skip[i] or tag == "header" and named and not articles):
+                at = page.closed[i] + 1
                 continue
-            elif not self.unread(c):
-                self.blocks(c, here, out, strict, heads or c.tag in ("article", "main"), constant)
-        if block and out[-1]:
-            out.append([])
-
-    def read(self, page: str) -> str:
-        """The text of a page; if nothing is left, template texts are read too, and then parts that only names, roles or tags mark."""
-        tree = parse(page)
-        for strict, self.named in ((True, True), (False, True), (True, False), (False, False)):
-            out: list[list[str]] = [[]]
-            for path, node in self.roots(tree):
-                self.blocks(node, path, out, strict, node.tag not in ("#", "html", "body"))
-            if got := "\n".join(t for t in (clean("".join(b)) for b in out) if t):
-                return got
-        return ""
+            articles += (tag in ("article", "main")) * (1 if e >= 0 else -1)
+            if tag == "br":
+                parts.append(" ")
+            elif tag in BLOCK:
+                if parts and (done := clean("".join(parts))):
+                    yield done
+                parts = []
+                if e >= 0:
+                    stack.append(i)
+                else:
+                    stack.pop()
+        if parts and (done := clean("".join(parts))):
+            yield done
 
 
 def with_layout(pages: DataFrame) -> DataFrame:
@@ -188,89 +321,152 @@ def with_layout(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("layout", T.LongType())]))
 
 
-def templates(pages: DataFrame, s: Settings) -> DataFrame:
-    """(group, texts): the template texts of each host and each layout of ``least`` different pages or more."""
+def references(pages: DataFrame, s: Settings) -> DataFrame:
+    """(group, layout, n, html): different pages and reference of each layout of ``least`` pages, and of a host as its own group those of its largest such layout."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, int] = {}
         for b in batches:
-            layouts, contents, texts = [], [], []
+            layouts, contents, kept = [], [], []
             for h, p in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                tree, found = parse(p or ""), {0}
-                page_texts(tree, "", found)
-                layouts.append(hashed(str(h), layout_of(tree)))
-                contents.append(hashed(p or ""))
-                texts.append(list(found))
-            yield pa.record_batch([b.column("host"), pa.array(layouts, pa.int64()), pa.array(contents, pa.int64()), pa.array(texts, pa.list_(pa.int64()))], ["host", "layout", "content", "texts"])
-
-    seen = pages.filter("host IS NOT NULL").select("host", "html").mapInArrow(run, "host long, layout long, content long, texts array<long>")
-    once = seen.select("host", "layout", "content", F.size("texts").alias("size"), F.explode("texts").alias("text")).distinct()
-    counts = once.select(F.explode(F.array("host", "layout")).alias("group"), "text", "size").groupBy("group", "text").agg(F.count("*").alias("count"), F.sum(F.col("size") - 1).alias("blocks"))
-    counts = cut(counts.filter(F.col("count") >= s.least))
-    size = counts.filter("text = 0").select("group", F.col("count").alias("n"), F.col("blocks").alias("all"))
-    fixed = counts.join(size, "group").filter((F.col("text") == 0) | (F.col("count") >= s.constant * F.col("n")))
-    found = fixed.groupBy("group").agg(F.first("n").alias("n"), F.first("all").alias("all"), F.filter(F.collect_list("text"), lambda x: x != 0).alias("texts"))
-    copies = (F.col("n") < s.few) & (2 * F.size("texts") * F.col("n") > F.col("all"))
-    return found.select("group", F.when(copies, F.array().cast("array<bigint>")).otherwise(F.col("texts")).alias("texts"))
+                layout, content = hashed(str(h), layout_of(parse(p or ""))), hashed(p or "")
+                first = content < least.get(layout, 1 << 63)
+                if first:
+                    if len(least) >= 100_000:
+                        least.clear()
+                    least[layout] = content
+                layouts.append(layout)
+                contents.append(content)
+                kept.append(p or "" if first else None)
+            yield pa.record_batch([b.column("host"), pa.array(layouts, pa.int64()), pa.array(contents, pa.int64()), pa.array(kept, pa.string())], ["host", "layout", "content", "html"])
+
+    seen = cut(pages.filter("host IS NOT NULL").select("host", "html").mapInArrow(run, "host long, layout long, content long, html string"))
+    sizes = seen.select("host", "layout", "content").distinct().groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("content").alias("content")).filter(F.col("n") >= s.least)
+    texts = seen.filter("html IS NOT NULL").groupBy("layout", "content").agg(F.first("html").alias("html"))
+    found = cut(sizes.join(texts, ["layout", "content"]).select("host", "layout", "n", "html"))
+    largest = found.withColumn("k", F.row_number().over(W.partitionBy("host").orderBy(F.desc("n"), "layout"))).filter("k = 1")
+    return found.select(F.col("layout").alias("group"), "layout", "n", "html").union(largest.select(F.col("host").alias("group"), "layout", "n", "html"))
 
 
 def met(pages: DataFrame, held: DataFrame, s: Settings) -> DataFrame:
-    """Pages with what ``held`` has for their layout and their host, as ``of_layout`` and ``of_host``."""
-    fields = [c for c in held.columns if c != "group"]
-    count, size = held.agg(F.count("*"), F.coalesce(F.sum(8 * F.coalesce(F.size("texts"), F.lit(0)) + 50 + sum((F.coalesce(F.length(c), F.lit(0)) for c in fields if c == "path"), F.lit(0))), F.lit(0))).first()
-    packed = held.select("group", F.struct(*fields).alias("x"))
-    small = count <= s.broadcast_refs and size <= s.broadcast_bytes
+    """Pages with what ``held`` has for their layout, or else for their host, as ``group`` and ``w``; null if there is nothing."""
+    lists = [f.name for f in held.schema if isinstance(f.dataType, T.ArrayType)]
+    size = sum((8 * F.size(c) for c in lists), F.length("html") + 50)
+    count, total = held.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    packed = held.select("group", F.struct(*held.columns).alias("x"))
+    small = count <= s.broadcast_refs and total <= s.broadcast_bytes
     if not small:
         packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))))
         pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(s.salts)).cast("int"))
     for key in ("layout", "host"):
         side = packed.withColumnsRenamed({"group": key, "x": f"of_{key}"})
         pages = pages.join(F.broadcast(side) if small else side, [key] if small else [key, "salt"], "left")
-    return pages
+    return pages.withColumn("w", F.coalesce("of_layout", "of_host"))
+
+
+class Known(dict):
+    """Wrappers by group, built once; cleared when it has grown to its bound."""
 
+    BOUND = 256
 
-def constants(row: tuple[dict | None, dict | None]) -> set[int]:
-    return {t for x in row if x and x["texts"] for t in x["texts"]}
+    def of(self, w: dict | None) -> Wrapper | None:
+        if w is None:
+            return None
+        if w["group"] not in self:
+            if len(self) >= self.BOUND:
+                self.clear()
+            self[w["group"]] = Wrapper(w["html"], w.get("texts", []), w.get("slots", []), w.get("content", -1))
+        return self[w["group"]]
 
 
-def content_paths(pages: DataFrame, held: DataFrame, s: Settings) -> DataFrame:
-    """(group, path): the deepest element that holds nearly all varying text of a group's pages."""
+def seen_texts(pages: DataFrame, refs: DataFrame, s: Settings) -> DataFrame:
+    """(group, anchor, tail, text, size, pages): in how many different pages of a group each slot has each text."""
+    names = ["group", "anchor", "tail", "text", "size", "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
+        for b in batches:
+            rows = []
+            for text, layout, w in zip(*(b.column(c).to_pylist() for c in ("html", "layout", "w")), strict=True):
+                if w and w["group"] == layout:  # lone layouts are read with the host's wrapper and don't teach it
+                    page, content = parse(text or ""), hashed(text or "")
+                    slot, _ = Matching(Shape(page), known.of(w).shape).slots()
+                    rows += [(layout, *slot[i], hashed(str(place(slot[i])), own), len(own), content) for i, own in enumerate(own_texts(page)) if own]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], names)
+
+    found = met(pages.filter("host IS NOT NULL"), refs, s).select("html", "layout", "w").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return found.distinct().groupBy("group", "anchor", "tail", "text").agg(F.first("size").alias("size"), F.count("*").alias("pages"))
+
+
+def induced(refs: DataFrame, seen: DataFrame, s: Settings) -> DataFrame:
+    """(group, html, texts, slots, content): the wrapper of each group."""
+    fixed = (F.col("pages") >= s.least) & (F.col("pages") >= s.constant * F.col("n"))
+    varies = lambda x: F.sum(F.when(fixed, 0).otherwise(x))
+    slots = seen.join(refs.select("group", "n"), "group").groupBy("group", "anchor", "tail").agg(
+        varies(F.lit(1)).alias("kinds"), varies(F.col("pages")).alias("seen"), varies(F.col("pages") * F.col("size")).alias("chars"),
+        F.sum(F.when(fixed, F.col("pages")).otherwise(0)).alias("same"), F.collect_list(F.when(fixed, F.col("text"))).alias("texts"),
+    )
+    gathered = slots.groupBy("group").agg(F.collect_list(F.struct("anchor", "tail", "kinds", "seen", "chars", "same", "texts")).alias("stats"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total: Counter[tuple[int, str]] = Counter()
-            for h, layout, p, *of in zip(*(b.column(c).to_pylist() for c in ("host", "layout", "html", "of_layout", "of_host")), strict=True):
-                found: dict[str, int] = {}
-                whole = varying(parse(p or ""), "", constants(of), found)
-                for g in (h, layout) if of[0] else (h,):
-                    total[g, ""] += 1
-                    total.update({(g, path): n / whole for path, n in found.items() if whole})
-            yield pa.record_batch([pa.array([g for g, _ in total], pa.int64()), pa.array([x for _, x in total], pa.string()), pa.array(map(float, total.values()), pa.float64())], ["group", "path", "n"])
-
-    shares = met(pages.filter("host IS NOT NULL"), held, s).select("host", "layout", "html", "of_layout", "of_host").mapInArrow(run, "group long, path string, n double")
-    shares = cut(shares.groupBy("group", "path").agg(F.sum("n").alias("n")))
-    size = shares.filter("path = ''").select("group", F.col("n").alias("pages"))
-    last = F.regexp_extract("path", r">([^>.]*)[^>]*$", 1)
-    article = last.isin("article", "main") & (F.col("n") >= 0.5 * F.col("pages"))
-    fits = shares.filter("path <> ''").join(size, "group").filter(article | (F.col("n") >= 0.98 * F.col("pages")))
-    depth = F.length("path") - F.length(F.replace("path", F.lit(">"), F.lit("")))
-    return fits.groupBy("group").agg(F.max(F.struct(article.alias("a"), depth.alias("d"), F.length("path").alias("l"), "path"))["path"].alias("path"))
-
-
-def extract(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+            rows = []
+            for group, n, html, got in zip(*(b.column(c).to_pylist() for c in ("group", "n", "html", "stats")), strict=True):
+                stats = got or []
+                copies = n < s.few and 2 * sum(x["same"] for x in stats) > sum(x["same"] + x["seen"] for x in stats)
+                texts = [] if copies else [t for x in stats for t in x["texts"]]
+                rotating = [x for x in stats if x["seen"] >= s.many and x["kinds"] <= s.rotating * x["seen"]]
+                if 2 * sum(x["chars"] for x in rotating) > sum(x["chars"] for x in stats):
+                    rotating = []
+                places = [place((x["anchor"], x["tail"])) for x in rotating]
+                left = [x for x in stats if place((x["anchor"], x["tail"])) not in set(places)]
+                rows.append((group, html, texts, places, content_node(parse(html), left, s)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["group", "html", "texts", "slots", "content"])
+
+    return refs.join(gathered, "group", "left").mapInArrow(run, "group long, html string, texts array<long>, slots array<long>, content long")
+
+
+def content_node(page: Page, stats: list[dict], s: Settings) -> int:
+    """The deepest node with ``share`` of the varying text that isn't marked by names, and with the headings beside it."""
+    n = len(page.tag)
+    chars, marked = [0] * n, list(page.aside)
+    for x in stats:
+        chars[x["anchor"]] += x["chars"]
+    for i in range(1, n):
+        marked[i] = marked[i] or marked[page.parent[i]]
+    varying = [0 if m else c for c, m in zip(chars, marked, strict=True)]
+    total = list(varying)
+    for i in range(n - 1, 0, -1):
+        total[page.parent[i]] += total[i]
+    if not total[0]:
+        return -1
+    at = max(i for i in range(n) if total[i] >= s.share * total[0])
+    while at and page.tag[at] not in ("body", "article", "main"):
+        up = page.parent[at]
+        beside = [i for i in range(up + 1, page.end[up]) if varying[i] and not page.inside(i, at)]
+        if page.tag[up] in ("html", "#") or not any(page.tag[i] in HEADINGS for i in beside) or any(page.tag[page.parent[i]] in ("nav", "footer") for i in beside):
+            break
+        at = up
+    return at
+
+
+def extract(rows: DataFrame, settings: Settings = Settings(), by_name: bool = True) -> DataFrame:
+    """page_id, url, text and n_chars of every page; ``by_name`` may be taken away to see what the alignment alone finds."""
     s = settings
     pages = rows.select("page_id", "url", "html", F.when(host_of() != "", F.xxhash64(host_of())).alias("host"))
-    fixed = cut(templates(pages, s))
+    refs = cut(references(pages, s))
     grouped = with_layout(pages)
-    held = cut(fixed.join(content_paths(grouped, fixed, s), "group", "full"))
+    own = induced(refs.filter(F.col("group") == F.col("layout")), cut(seen_texts(grouped, refs, s)), s)
+    held = cut(refs.select("group", "layout").join(own.withColumnRenamed("group", "layout"), "layout").drop("layout"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for b in batches:
-            texts = []
-            for page, *of in zip(*(b.column(c).to_pylist() for c in ("html", "of_layout", "of_host")), strict=True):
-                path = next((x["path"] for x in of if x and x["path"]), "")
-                texts.append(Wrapper(path, constants(of)).read(page or ""))
+            texts = [read(page or "", known.of(w), by_name) for page, w in zip(b.column("html").to_pylist(), b.column("w").to_pylist(), strict=True)]
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-    return met(grouped, held, s).select("page_id", "url", "html", "of_layout", "of_host").mapInArrow(run, schema)
+    return met(grouped, held, s).select("page_id", "url", "html", "w").mapInArrow(run, schema)

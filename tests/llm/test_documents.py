@@ -8,10 +8,12 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from axonframe.llm import mixing, packing, queries, secrets, wrappers
+from axonframe.llm import dom, mixing, packing, queries, secrets, wrappers
 
+from ..compare import SMALL
 from .fixtures import documents, odd_texts, run_sql
 
 RULES = {
@@ -149,4 +151,57 @@ def test_wrappers_learn_every_layout_and_small_hosts(spark):
     ],
 )
 def test_names_drop_no_content(html, text):
-    assert wrappers.Wrapper("", set()).read(html) == text
+    assert wrappers.read(html) == text
+
+
+@pytest.mark.parametrize("name", ["legal", "social-policy", "share-price", "search-results-article", "rail-transport", "header-story", "post comment-of-the-week", "article-form"])
+def test_no_name_empties_an_article(name):
+    assert wrappers.read(f"<body><nav>menu</nav><article class='{name}'><p>One</p><div class='legal'>Law</div><div class='ad'>buy</div></article></body>") == "One\nLaw"
+
+
+def test_depth_leaks_nothing():
+    deep = 5000
+    assert wrappers.read("<body>" + "<div>" * deep + "<nav>MENU</nav><p>One</p>" + "</div>" * deep + "<p>Two</p></body>") == "One\nTwo"
+    assert wrappers.read("<article>" + "<div>" * deep + "<p>One</p><div class=ad>buy</div>") == "One"
+
+
+def brute_matching(a, b, i, j):
+    """Nodes of the best order-preserving matching of two subtrees, by trying all."""
+    if a.page.key[i] != b.page.key[j]:
+        return 0
+
+    def of(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max(of(xs[1:], ys), of(xs, ys[1:]), brute_matching(a, b, xs[0], ys[0]) + of(xs[1:], ys[1:]) if brute_matching(a, b, xs[0], ys[0]) else 0)
+
+    return 1 + of(a.children[i], b.children[j])
+
+
+TREES = st.recursive(st.sampled_from(["<p>x</p>", "<h2>y</h2>", "<ul></ul>"]), lambda inner: st.tuples(st.sampled_from(["div", "section", "ul"]), st.lists(inner, max_size=4)).map(lambda t: f"<{t[0]}>{''.join(t[1])}</{t[0]}>"), max_leaves=7)
+
+
+@settings(max_examples=150, deadline=None)
+@given(TREES, TREES)
+def test_tree_matching_against_brute_force(left, right):
+    a, b = (wrappers.Shape(dom.parse(f"<body>{t}</body>")) for t in (left, right))
+    assert wrappers.Matching(a, b).weight(0, 0) == brute_matching(a, b, 0, 0)
+
+
+def stripped(html):
+    """The page without what tells a reader its parts: article, nav, lists and names become plain containers."""
+    html = re.sub(r"<(/?)(article|nav|footer|ul|li)\b[^>]*>", r"<\1div>", html)
+    return re.sub(r"<div class=\"ad\">", "<div>", html)
+
+
+def test_alignment_finds_articles_without_tags_and_names(spark):
+    """Pages of the test data with article, nav, footer and names taken away: the text must come from the alignment."""
+    pages = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/pages.parquet")
+    host = F.element_at(F.split("url", "/"), 3)
+    rows = pages.join(pages.groupBy(host.alias("h")).count().filter("count >= 8"), host == F.col("h")).select("page_id", F.concat(F.lit("http://"), "h", F.lit("/"), F.col("page_id").cast("string")).alias("url"), "html")
+    want = {r.page_id: r.text for r in wrappers.extract(rows).collect()}
+    bare = spark.createDataFrame([(r.page_id, r.url, stripped(r.html)) for r in rows.collect()], rows.schema).repartition(4)
+    got = {r.page_id: r.text for r in wrappers.extract(bare).collect()}
+    alone = {r.page_id: wrappers.read(r.html) for r in bare.collect()}
+    assert len(want) >= 30 and sum(got[k] == want[k] for k in want) >= 0.95 * len(want) and not any(alone[k] == want[k] for k in want)
+    assert {r.page_id: r.text for r in wrappers.extract(rows, by_name=False).collect()} == got
