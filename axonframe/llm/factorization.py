@@ -6,8 +6,9 @@ and ends, and bins of structure statistics and of the length. The score is
 the pairwise part linear in the number of features.
 
 The model is fitted on at most ``Settings.sample`` labelled rows (those with the smallest hash of
-their id), which bounds what reaches the driver; scoring covers every whole text. The screened model
-has ``Settings.kept`` features, so what travels to the tasks has a fixed size.
+their id). Features are counted by class and screened in Spark; only the ``Settings.kept`` best of
+them and the rows' features among these, two bytes each, reach the driver, so what it holds and what
+travels to the tasks has a fixed size, however long the texts are. Scoring covers every whole text.
 
 Defined results: null text scores as empty text; an empty text has only its bins; null ids are never
 learnt from; labels that repeat an id count once, by their largest value; without labelled rows of
@@ -27,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.llm.text import fold, utf8
+from axonframe.llm.text import fold, slices, utf8
+from axonframe.plans.session import cut
 
 UPPER, LOWER, DIGITS = (bytes(range(a, b + 1)) for a, b in ((65, 90), (97, 122), (48, 57)))
 SPACES = bytes([32, *range(9, 14)])
@@ -97,7 +99,7 @@ def bins(text: bytes, tokens: list[bytes], distinct: int, s: Settings) -> list[i
 class Features:
     """Maps texts to features, with a word cache of bounded size; ``kept`` limits it to screened ids."""
 
-    CACHE = 300_000
+    CACHE = 150_000
 
     def __init__(self, s: Settings, kept: np.ndarray | None = None):
         self.s, self.cache = s, {}
@@ -128,10 +130,10 @@ class Features:
         return sorted(active)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, s: Settings, parts: int) -> list[tuple[int, np.ndarray]]:
-    """(label, features) of at most ``s.sample`` documents outside fold 0; the bounded ids are broadcast to the texts."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, s: Settings, parts: int) -> DataFrame:
+    """(doc_id, label, features) of at most ``s.sample`` documents outside fold 0; the bounded ids are broadcast to the texts."""
     chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.least(F.lit(1), F.greatest(F.lit(0), F.col(label).cast("int"))).alias("label"))
         .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (fold("doc_id", parts) != 0))
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
@@ -139,32 +141,47 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, s: Settings,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(s)
-        for b in batches:
-            rows = [np.asarray(features(t.as_py()), dtype="<i4").tobytes() for t in b.column("text")]
+        for b in slices(batches):
+            rows = [np.asarray(features(t), dtype="<i4").tobytes() for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), b.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "features"])
 
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-        .join(F.broadcast(chosen), "doc_id")
-        .mapInArrow(run, "doc_id long, label int, features binary")
-        .groupBy("doc_id").agg(F.min(F.struct("features", "label")).alias("row"))
-        .select("doc_id", "row.*").collect()
-    )
-    return [(r["label"], np.frombuffer(r["features"], "<i4")) for r in sorted(rows, key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = rows.mapInArrow(run, "doc_id long, label int, features binary")
+    return cut(found.groupBy("doc_id").agg(F.min(F.struct("features", "label")).alias("row")).select("doc_id", "row.*"))
 
 
-def screen(y: np.ndarray, sizes: np.ndarray, flat: np.ndarray, s: Settings) -> np.ndarray:
+def screened(rows: DataFrame, s: Settings) -> np.ndarray:
     """The features whose presence differs most between the classes, by a smoothed log odds ratio over its deviation."""
-    of_one = np.repeat(y == 1, sizes)
-    top = s.buckets + 64 * 16
-    one = np.bincount(flat[of_one], minlength=top).astype(float)
-    all_ = np.bincount(flat, minlength=top).astype(float)
-    n1, n0, zero = (y == 1).sum(), (y == 0).sum(), all_ - one
-    odds = np.log((one + 0.5) / (n1 - one + 0.5)) - np.log((zero + 0.5) / (n0 - zero + 0.5))
-    z = np.abs(odds) / np.sqrt(1 / (one + 0.5) + 1 / (zero + 0.5))
-    z[(all_ < s.least_docs) & (np.arange(top) < s.buckets)] = 0
-    best = np.argsort(-z, kind="stable")[: s.kept]
-    return np.sort(best[z[best] > s.least_z])
+    of = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, s.buckets + 64 * 16), np.int32)
+        for b in batches:
+            for label, x in zip(b.column("label").to_pylist(), b.column("features").to_pylist(), strict=True):
+                found[label, np.frombuffer(x, "<i4")] += 1  # a row has a feature once
+        at = np.flatnonzero(found.any(0))
+        yield pa.record_batch([pa.array(at, pa.int64()), *(pa.array(found[k, at].astype(np.int64)) for k in range(2))], ["id", "zero", "one"])
+
+    counts = rows.select("label", "features").mapInArrow(run, "id long, zero long, one long").groupBy("id").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
+    side = lambda n, c: F.log((F.col(c) + 0.5) / (F.lit(n) - F.col(c) + 0.5))
+    z = F.abs(side(of.get(1, 0), "one") - side(of.get(0, 0), "zero")) / F.sqrt(1 / (F.col("one") + 0.5) + 1 / (F.col("zero") + 0.5))
+    enough = (F.col("zero") + F.col("one") >= s.least_docs) | (F.col("id") >= s.buckets)
+    best = counts.filter(enough).withColumn("z", F.round(z, 9)).filter(F.col("z") > s.least_z).orderBy(F.desc("z"), "id").limit(s.kept)
+    return np.sort(np.array([r["id"] for r in best.select("id").collect()], np.int64))
+
+
+def kept_features(rows: DataFrame, ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(label, places among ``ids``) of the rows, by the hash of their id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.flatnonzero(np.isin(ids, np.frombuffer(x, "<i4"), assume_unique=True)).astype("<u2").tobytes() for x in b.column("features").to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), b.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "places"])
+
+    got = rows.mapInArrow(run, "doc_id long, label int, places binary").toArrow()
+    order = sorted(range(got.num_rows), key=lambda k: zlib.crc32(str(got.column("doc_id")[k].as_py()).encode()))
+    labels, places = got.column("label").to_pylist(), got.column("places").to_pylist()
+    return [(labels[k], np.frombuffer(places[k], "<u2").astype(np.int64)) for k in order]
 
 
 def sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -182,18 +199,13 @@ def logits(model_bias: float, w: np.ndarray, v: np.ndarray, flat: np.ndarray, si
     return model_bias + sums(w[flat], starts, sizes) + pairs, s
 
 
-def train(sample: list[tuple[int, np.ndarray]], s: Settings) -> Model:
-    """Adam on the logistic loss, in batches of rows; the rows come in the order of their hash."""
-    y = np.array([min(1, max(0, a)) for a, _ in sample], dtype=float)
-    empty = np.zeros(0, np.int64)
+def train(sample: list[tuple[int, np.ndarray]], ids: np.ndarray, s: Settings) -> Model:
+    """Adam on the logistic loss, in batches of rows; the rows come in the order of their hash, their features as places among ``ids``."""
+    y = np.array([a for a, _ in sample], dtype=float)
     if len(y) == 0 or y.min() == y.max():
-        return Model(s, empty, 0.0, np.zeros(0), np.zeros((0, s.rank)), float(y.mean()) if len(y) else 0.5)
+        return Model(s, np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, s.rank)), float(y.mean()) if len(y) else 0.5)
     sizes, flat = np.array([len(r) for _, r in sample]), np.concatenate([r for _, r in sample])
-    ids = screen(y, sizes, flat, s)
-    place = np.full(s.buckets + 64 * 16, -1)
-    place[ids] = np.arange(len(ids))
-    rows, flat = np.repeat(np.arange(len(y)), sizes)[place[flat] >= 0], place[flat][place[flat] >= 0]
-    ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(y)))])
+    rows, ends = np.repeat(np.arange(len(y)), sizes), np.concatenate([[0], np.cumsum(sizes)])
     rng = np.random.default_rng(17)
     p = [np.array([math.log(y.mean() / (1 - y.mean()))]), np.zeros(len(ids)), rng.normal(0, 0.02, (len(ids), s.rank))]
     m, u = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
@@ -213,7 +225,9 @@ def train(sample: list[tuple[int, np.ndarray]], s: Settings) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, parts: int = 5) -> Model:
-    return train(labelled_sample(docs, labels, label, settings, parts), settings)
+    rows = labelled_rows(docs, labels, label, settings, parts)
+    ids = screened(rows, settings)
+    return train(kept_features(rows, ids), ids, settings)
 
 
 def probabilities(model: Model, texts: list[bytes], features: Features) -> np.ndarray:
@@ -232,7 +246,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], into: str = "score") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model.settings, model.ids)
-        for b in batches:
+        for b in slices(batches):
             got = probabilities(model, b.column(b.num_columns - 1).to_pylist(), features)
             yield pa.record_batch([*b.columns[:-1], pa.array(got, pa.float64())], [*keep, into])
 

@@ -86,3 +86,48 @@ def test_noise_contrast_learns_a_bigram_table():
 def test_language_model_without_rows(spark):
     docs = documents(spark, ["a b"]).limit(0)
     assert bilinear.score(docs).count() == 0
+
+
+def test_scores_against_all_pairs_of_features(spark):
+    """Every score recomputed from the fitted model by a loop over all pairs of a text's features."""
+    docs, labels = labelled(spark, 120)
+    s = toxicity.SETTINGS
+    model = factorization.fit(docs, labels, "toxic", s)
+    place = {int(x): k for k, x in enumerate(model.ids)}
+    got = {r.doc_id: r.score for r in toxicity.detect(docs, labels).collect()}
+    assert len(model.ids) and len({round(x, 6) for x in got.values()}) > 20
+    for r in docs.collect():
+        words = r.text.lower().encode().split()
+        ids = {zlib.crc32(w) % s.buckets for w in words}
+        ids |= {zlib.crc32(w[:n] if n > 0 else w[n:], 7 * n & 0xFFFF) % s.buckets for w in words for n in s.affix if len(w) > abs(n)}
+        ids |= set(factorization.bins(r.text.encode(), words, len(set(words)), s))
+        on = [place[x] for x in ids if x in place]
+        z = model.bias + sum(model.w[a] for a in on) + sum(model.v[a] @ model.v[b] for k, a in enumerate(on) for b in on[k + 1 :])
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_screening_against_counts(spark):
+    """The features kept are those with the largest smoothed log odds ratios, counted one by one."""
+    docs, labels = labelled(spark, 120)
+    s = factorization.Settings(kept=15)
+    rows = factorization.labelled_rows(docs, labels, "toxic", s, 5)
+    sets = [(r.label, set(np.frombuffer(r.features, "<i4").tolist())) for r in rows.collect()]
+    n = [sum(y == k for y, _ in sets) for k in (0, 1)]
+    z = {}
+    for f in set().union(*(x for _, x in sets)):
+        zero, one = (sum(f in x for y, x in sets if y == k) for k in (0, 1))
+        if zero + one >= s.least_docs or f >= s.buckets:
+            odds = np.log((one + 0.5) / (n[1] - one + 0.5)) - np.log((zero + 0.5) / (n[0] - zero + 0.5))
+            z[f] = round(abs(odds) / np.sqrt(1 / (one + 0.5) + 1 / (zero + 0.5)), 9)
+    want = sorted(sorted((f for f in z if z[f] > s.least_z), key=lambda f: (-z[f], f))[: s.kept])
+    assert factorization.screened(rows, s).tolist() == want and len(want) > 2
+
+
+def test_repeated_ids_and_very_long_texts(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 20_000, 3000), "a b", "a b", *(prose(rng, 30) for _ in range(40))]
+    docs = documents(spark, texts, ids=[0, 1, 1, *range(3, len(texts))])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    for got in (quality.classify(docs, labels), toxicity.detect(docs, labels), bilinear.score(docs, bilinear.Settings(common=20, steps=20))):
+        rows = got.toPandas()
+        assert len(rows) == len(texts) and rows.score.notna().all() and rows[rows.doc_id == 1].score.nunique() == 1
