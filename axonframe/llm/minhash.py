@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.llm.components import connected_components
-from axonframe.llm.text import utf8
+from axonframe.llm.text import slices, utf8
 from axonframe.llm.vectors import groups
 from axonframe.plans.session import cut
 
@@ -49,10 +49,13 @@ class Settings:
     bands: int = 28
     rows: int = 5
     seed: int = 11
-    #: Members that meet a hub in one task, and the sides of a tile.
+    #: Members that meet a hub in one run, and the sides of a tile in rows and in bytes of differences.
     fan: int = 512
     outer: int = 128
     inner: int = 512
+    side_bytes: int = 4_000_000
+    #: Parts of a class of equal sets, when its members get their component.
+    salts: int = 32
     #: At most so many ids are broadcast to the scan that rebuilds sets; beyond, the scan is joined by shuffle.
     broadcast_ids: int = 400_000
 
@@ -65,7 +68,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """Sorted distinct 64-bit hashes of the word shingles of a text; the word cache has a bounded size."""
 
-    CACHE = 300_000
+    CACHE = 150_000
 
     def __init__(self, words: int):
         self.words, self.cache = words, {}
@@ -121,10 +124,10 @@ def sketches(docs: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, minmax = Shingles(s.words), MinMax(s)
-        for b in batches:
+        for b in slices(batches):
             size, same, bands = [], [], []
-            for t in b.column("text"):
-                x = shingles(t.as_py())
+            for t in b.column("text").to_pylist():
+                x = shingles(t)
                 size.append(len(x))
                 same.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
                 bands.append(minmax(x) if len(x) else None)
@@ -138,8 +141,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(s.words)
-        for b in batches:
-            yield pa.record_batch([b.column("id"), pa.array([shingles(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], ["id", "set"])
+        for b in slices(batches):
+            yield pa.record_batch([b.column("id"), pa.array([shingles(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["id", "set"])
 
     wanted = F.broadcast(ids) if ids.count() <= s.broadcast_ids else ids
     return docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("text")).join(wanted, "id", "left_semi").mapInArrow(run, "id long, set binary")
@@ -149,30 +152,32 @@ def stars(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """(hub, member, hub_n, n, missing, linked, diff) of each pair (hub, member).
 
     ``diff`` holds the shingles that one of the two sets has and the other hasn't, ``missing`` of them
-    are the hub's. A hub's set is copied once per ``fan`` members.
+    are the hub's. A hub's set is sent once per ``fan`` members, ahead of them.
     """
     fans = pairs.groupBy("hub").agg(F.ceil(F.count("*") / s.fan).cast("int").alias("fans"))
-    left = fans.select("hub", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan")).join(sets.select(F.col("id").alias("hub"), F.col("set").alias("hub_set")), "hub")
-    right = (
-        pairs.join(fans, "hub").withColumn("fan", F.pmod(F.xxhash64("member"), "fans").cast("int")).drop("fans")
-        .join(sets.select(F.col("id").alias("member"), F.col("set").alias("member_set")), "member")
-    )
+    left = fans.select("hub", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan")).join(sets.withColumnRenamed("id", "hub"), "hub").withColumn("member", F.lit(None).cast("long"))
+    right = pairs.join(fans, "hub").withColumn("fan", F.pmod(F.xxhash64("member"), "fans").cast("int")).drop("fans").join(sets.withColumnRenamed("id", "member"), "member")
+    names = ["hub", "member", "hub_n", "n", "missing", "linked", "diff"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        x = np.zeros(0, np.uint64)
+        for b in slices(batches):
             rows = []
-            for h, m in zip(b.column("hub_set"), b.column("member_set"), strict=True):
-                x, y = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(m.as_buffer(), np.uint64)
+            for hub, member, found in zip(b.column("hub").to_pylist(), b.column("member").to_pylist(), b.column("set"), strict=True):
+                y = np.frombuffer(found.as_buffer(), np.uint64)
+                if member is None:  # the hub comes before its members
+                    x = y.copy()
+                    continue
                 diff = np.setxor1d(x, y, assume_unique=True)
                 missing = (len(diff) + len(x) - len(y)) // 2
                 both = len(x) - missing
-                rows.append((len(x), len(y), missing, both > 0 and s.den * both >= s.num * (len(x) + len(y) - both), diff.tobytes()))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.record_batch([b.column("hub"), b.column("member"), *(pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True))], names)
+                rows.append((hub, member, len(x), len(y), missing, both > 0 and s.den * both >= s.num * (len(x) + len(y) - both), diff.tobytes()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    names = ["hub", "member", "hub_n", "n", "missing", "linked", "diff"]
-    joined = right.join(left, ["hub", "fan"]).select("hub", "member", "hub_set", "member_set")
-    return joined.mapInArrow(run, "hub long, member long, hub_n long, n long, missing long, linked boolean, diff binary")
+    met = left.unionByName(right).select("hub", "fan", "member", "set").repartition("hub", "fan").sortWithinPartitions("hub", "fan", F.col("member").asc_nulls_first())
+    return met.mapInArrow(run, "hub long, member long, hub_n long, n long, missing long, linked boolean, diff binary")
 
 
 def overlaps(diffs: list[np.ndarray], first: int) -> np.ndarray:
@@ -204,8 +209,10 @@ def bipartite_roots(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tu
 
 def tile_links(star: DataFrame, s: Settings) -> DataFrame:
     """(u, v): for classes that don't link with their hub, and those they link with, the smallest class of their component in each tile."""
-    hubs = star.groupBy("hub").agg(F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("outs"), F.count("*").alias("all")).filter("outs > 0 AND all > 1")
-    hubs = hubs.select("hub", F.ceil(F.col("outs") / s.outer).cast("int").alias("is"), F.ceil(F.col("all") / s.inner).cast("int").alias("js"))
+    out = lambda x: F.sum(F.when(F.col("linked"), 0).otherwise(x))
+    hubs = star.groupBy("hub").agg(out(1).alias("outs"), F.count("*").alias("all"), out(F.length("diff")).alias("out_bytes"), F.sum(F.length("diff")).alias("bytes")).filter("outs > 0 AND all > 1")
+    sides = lambda n, rows, size: F.ceil(F.greatest(F.col(n) / rows, F.col(size) / s.side_bytes)).cast("int")
+    hubs = hubs.select("hub", sides("outs", s.outer, "out_bytes").alias("is"), sides("all", s.inner, "bytes").alias("js"))
     met = star.join(hubs, "hub").withColumn("h", F.xxhash64("member"))
     own = lambda n: F.pmod("h", F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -249,12 +256,17 @@ def class_components(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFr
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     rows = cut(sketches(docs, settings))
-    ids = rows.filter("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("id"))
-    classes = rows.select(F.col("doc_id").alias("id"), "same", "bands").join(ids, ["id", "same"], "left_semi").dropDuplicates(["id", "same"])
+    ids = cut(rows.filter("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
+    classes = rows.select(F.col("doc_id").alias("id"), "same", "bands").join(ids.drop("copies"), ["id", "same"], "left_semi").dropDuplicates(["id", "same"])
     labels = class_components(docs, classes, settings)
+    salt = F.pmod(F.xxhash64("doc_id", "n"), F.lit(settings.salts)).cast("int")
+    several = ids.filter("copies > 1").select("same", "id", F.explode(F.sequence(F.lit(0), F.lit(settings.salts - 1))).alias("salt"))
+    classed = rows.select("doc_id", "n", "same", salt.alias("salt")).join(several, ["same", "salt"], "left")
+    of_class = ids.select("id").join(labels, "id")
+    salted = of_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(settings.salts - 1))))
     return (
-        rows.select("doc_id", "n", "same").join(ids, "same", "left").join(labels, "id", "left")
-        .withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "id", "doc_id")))
+        classed.withColumn("id", F.coalesce("id", "doc_id")).join(salted, ["id", "salt"], "left")
+        .withColumn("component_id", F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "id")))
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
 
