@@ -5,14 +5,15 @@ up in a fixed order within the source and one random offset u, a document is emi
 integer boundary that its stretch of the sum crosses: ``floor(rate * i + u) - floor(rate * (i - 1) + u)``
 for the i-th document (the running sum of equal rates is taken as a product, so it has no drift).
 
-The order is by size band, then by a salt of the id, then by size and id. So the words taken come
+The order is by size band, then by a salt (a hash of id and size), then by size and id. So the words taken come
 near the target at every size, and no source is numbered in one task: documents are numbered within
 (source, band, salt) cells, and only the cells' counts are summed up along a source. The number of
 salts grows with the root of the number of documents.
 
 Defined results: null text has size 0, and so has a source of empty texts, which gets target 0. Null
 sources are one source, the last; null ids sort first. Equal rows share out their copies among
-themselves. An empty table gives an empty result. Reruns agree.
+themselves. An empty table gives an empty result. Very long texts are
+only counted. Reruns agree.
 """
 
 from __future__ import annotations
@@ -68,7 +69,8 @@ def allot(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     digits = F.length(F.bin("__size"))
     band = digits * 8 + F.expr("shiftright(__size, greatest(length(bin(__size)) - 3, 0))")
     keys = ["__source", "__band", "__salt"]
-    placed = docs.withColumns({"__source": F.col("source"), "__band": band.cast("int"), "__salt": F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(n)).cast("int")})
+    of_row = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("__size").cast("string"))), 1, 8), 16, 10).cast("long")
+    placed = docs.withColumns({"__source": F.col("source"), "__band": band.cast("int"), "__salt": F.pmod(of_row, F.lit(n)).cast("int")})
     cells = placed.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum("__size").alias("__sum"))
     wanted = targets(cells.groupBy("__source").agg(F.sum("__sum").alias("source_size")), s)
     along = W.partitionBy("__source").orderBy("__band", "__salt").rowsBetween(W.unboundedPreceding, -1)

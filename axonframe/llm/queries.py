@@ -77,7 +77,7 @@ t AS (SELECT source, source_size, least(2 * source_size, w * (SELECT arg_min(lev
     CAST('0x' || substr(md5('mix' || coalesce(source, '')), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM l),
 i AS (SELECT d.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
     row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)),
-    coalesce(doc_id, 0) % (32 * greatest(1, round(sqrt((SELECT count(*) FROM d) / 1e6)))), size, doc_id NULLS FIRST) AS i
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size), 1, 8) AS BIGINT) % CAST(32 * greatest(1, round(sqrt((SELECT count(*) FROM d) / 1e6))) AS BIGINT), size, doc_id NULLS FIRST) AS i
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
     CAST(size * (floor(rate * i + u) - floor(rate * (i - 1) + u)) AS BIGINT) AS taken FROM i
