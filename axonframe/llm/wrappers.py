@@ -39,12 +39,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axonframe.llm.dom import BLOCK, HEADINGS, Page, clean, parse
+from axonframe.llm.text import slices
 from axonframe.plans.session import cut
 
 
@@ -233,9 +235,8 @@ class Wrapper:
         self.shape, self.texts, self.slots, self.content = Shape(parse(html)), set(texts), set(slots), content
 
 
-def read(text: str, wrapper: Wrapper | None = None, by_name: bool = True) -> str:
+def read(page: Page, wrapper: Wrapper | None = None, by_name: bool = True) -> str:
     """The main text of a page. If nothing is left, template texts are read too, and then parts that only names, roles or tags mark."""
-    page = parse(text)
     template = [False] * len(page.tag)
     target = None
     if wrapper:
@@ -310,12 +311,15 @@ def blocks(page: Page, roots: list[int], skip: list[bool], named: bool, template
             yield done
 
 
-def with_layout(pages: DataFrame) -> DataFrame:
-    """Adds ``layout``, a hash of host and layout, null without a host."""
+def group_of(host: int | None, page: Page) -> int | None:
+    """A hash of host and layout, null without a host."""
+    return None if host is None else hashed(str(host), layout_of(page))
+
 
+def with_layout(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [None if h is None else hashed(str(h), layout_of(parse(p or ""))) for h, p in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)]
+        for b in slices(batches):
+            found = [group_of(h, parse(p or "")) for h, p in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)]
             yield pa.record_batch([*b.columns, pa.array(found, pa.int64())], [*b.schema.names, "layout"])
 
     return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("layout", T.LongType())]))
@@ -326,10 +330,10 @@ def references(pages: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[int, int] = {}
-        for b in batches:
+        for b in slices(batches):
             layouts, contents, kept = [], [], []
             for h, p in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                layout, content = hashed(str(h), layout_of(parse(p or ""))), hashed(p or "")
+                layout, content = group_of(h, parse(p or "")), hashed(p or "")
                 first = content < least.get(layout, 1 << 63)
                 if first:
                     if len(least) >= 100_000:
@@ -348,62 +352,70 @@ def references(pages: DataFrame, s: Settings) -> DataFrame:
     return found.select(F.col("layout").alias("group"), "layout", "n", "html").union(largest.select(F.col("host").alias("group"), "layout", "n", "html"))
 
 
-def met(pages: DataFrame, held: DataFrame, s: Settings) -> DataFrame:
-    """Pages with what ``held`` has for their layout, or else for their host, as ``group`` and ``w``; null if there is nothing."""
-    lists = [f.name for f in held.schema if isinstance(f.dataType, T.ArrayType)]
-    size = sum((8 * F.size(c) for c in lists), F.length("html") + 50)
-    count, total = held.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    packed = held.select("group", F.struct(*held.columns).alias("x"))
-    small = count <= s.broadcast_refs and total <= s.broadcast_bytes
-    if not small:
-        packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))))
-        pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(s.salts)).cast("int"))
-    for key in ("layout", "host"):
-        side = packed.withColumnsRenamed({"group": key, "x": f"of_{key}"})
-        pages = pages.join(F.broadcast(side) if small else side, [key] if small else [key, "salt"], "left")
-    return pages.withColumn("w", F.coalesce("of_layout", "of_host"))
-
-
-class Known(dict):
-    """Wrappers by group, built once; cleared when it has grown to its bound."""
+class Known:
+    """Wrappers by group, built once; cleared when they have grown to their bound. ``held`` are the rows that are broadcast, if any."""
 
     BOUND = 256
 
-    def of(self, w: dict | None) -> Wrapper | None:
+    def __init__(self, held: Broadcast | None):
+        self.held, self.built = held and held.value, {}
+
+    def of(self, host: int | None, layout: int | None, w: dict | None) -> tuple[dict | None, Wrapper | None]:
+        """What is known of a page's layout, or else of its host."""
+        if self.held is not None:
+            w = self.held.get(layout) or self.held.get(host)
         if w is None:
-            return None
-        if w["group"] not in self:
-            if len(self) >= self.BOUND:
-                self.clear()
-            self[w["group"]] = Wrapper(w["html"], w.get("texts", []), w.get("slots", []), w.get("content", -1))
-        return self[w["group"]]
+            return None, None
+        if w["group"] not in self.built:
+            if len(self.built) >= self.BOUND:
+                self.built.clear()
+            self.built[w["group"]] = Wrapper(w["html"], w.get("texts", []), w.get("slots", []), w.get("content", -1))
+        return w, self.built[w["group"]]
+
+
+def met(pages: DataFrame, held: DataFrame, s: Settings) -> tuple[DataFrame, Broadcast | None]:
+    """``held`` by group as a broadcast, if its measured size is small; else pages with a column ``w``, what it has for their layout or host."""
+    lists = [f.name for f in held.schema if isinstance(f.dataType, T.ArrayType)]
+    size = sum((8 * F.size(c) for c in lists), F.length("html") + 50)
+    count, total = held.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if count <= s.broadcast_refs and total <= s.broadcast_bytes:
+        return pages.withColumn("w", F.lit(None).cast(held.schema)), pages.sparkSession.sparkContext.broadcast({r["group"]: r.asDict() for r in held.collect()})
+    packed = held.select("group", F.struct(*held.columns).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))).alias("salt"))
+    pages = with_layout(pages).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(s.salts)).cast("int"))
+    for key in ("layout", "host"):
+        pages = pages.join(packed.withColumnsRenamed({"group": key, "x": f"of_{key}"}), [key, "salt"], "left")
+    return pages.withColumn("w", F.coalesce("of_layout", "of_host")), None
 
 
 def seen_texts(pages: DataFrame, refs: DataFrame, s: Settings) -> DataFrame:
-    """(group, anchor, tail, text, size, pages): in how many different pages of a group each slot has each text."""
-    names = ["group", "anchor", "tail", "text", "size", "content"]
+    """(group, n, anchor, tail, text, size, pages): in how many different pages of a group each slot has each text."""
+    names = ["group", "n", "anchor", "tail", "text", "size", "content"]
+    pages, held = met(pages.filter("host IS NOT NULL"), refs, s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known()
-        for b in batches:
+        known = Known(held)
+        for b in slices(batches):
             rows = []
-            for text, layout, w in zip(*(b.column(c).to_pylist() for c in ("html", "layout", "w")), strict=True):
+            for text, host, w in zip(*(b.column(c).to_pylist() for c in ("html", "host", "w")), strict=True):
+                page = parse(text or "")
+                layout = group_of(host, page)
+                w, wrapper = known.of(host, layout, w)
                 if w and w["group"] == layout:  # lone layouts are read with the host's wrapper and don't teach it
-                    page, content = parse(text or ""), hashed(text or "")
-                    slot, _ = Matching(Shape(page), known.of(w).shape).slots()
-                    rows += [(layout, *slot[i], hashed(str(place(slot[i])), own), len(own), content) for i, own in enumerate(own_texts(page)) if own]
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
+                    content = hashed(text or "")
+                    slot, _ = Matching(Shape(page), wrapper.shape).slots()
+                    rows += [(layout, w["n"], *slot[i], hashed(str(place(slot[i])), own), len(own), content) for i, own in enumerate(own_texts(page)) if own]
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], names)
 
-    found = met(pages.filter("host IS NOT NULL"), refs, s).select("html", "layout", "w").mapInArrow(run, ", ".join(f"{c} long" for c in names))
-    return found.distinct().groupBy("group", "anchor", "tail", "text").agg(F.first("size").alias("size"), F.count("*").alias("pages"))
+    found = pages.select("html", "host", "w").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return found.distinct().groupBy("group", "n", "anchor", "tail", "text").agg(F.first("size").alias("size"), F.count("*").alias("pages"))
 
 
 def induced(refs: DataFrame, seen: DataFrame, s: Settings) -> DataFrame:
     """(group, html, texts, slots, content): the wrapper of each group."""
     fixed = (F.col("pages") >= s.least) & (F.col("pages") >= s.constant * F.col("n"))
     varies = lambda x: F.sum(F.when(fixed, 0).otherwise(x))
-    slots = seen.join(refs.select("group", "n"), "group").groupBy("group", "anchor", "tail").agg(
+    slots = seen.groupBy("group", "anchor", "tail").agg(
         varies(F.lit(1)).alias("kinds"), varies(F.col("pages")).alias("seen"), varies(F.col("pages") * F.col("size")).alias("chars"),
         F.sum(F.when(fixed, F.col("pages")).otherwise(0)).alias("same"), F.collect_list(F.when(fixed, F.col("text"))).alias("texts"),
     )
@@ -458,15 +470,19 @@ def extract(rows: DataFrame, settings: Settings = Settings(), by_name: bool = Tr
     s = settings
     pages = rows.select("page_id", "url", "html", F.when(host_of() != "", F.xxhash64(host_of())).alias("host"))
     refs = cut(references(pages, s))
-    grouped = with_layout(pages)
-    own = induced(refs.filter(F.col("group") == F.col("layout")), cut(seen_texts(grouped, refs, s)), s)
+    own = induced(refs.filter(F.col("group") == F.col("layout")), cut(seen_texts(pages, refs, s)), s)
     held = cut(refs.select("group", "layout").join(own.withColumnRenamed("group", "layout"), "layout").drop("layout"))
 
+    pages, known_rows = met(pages, held, s)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known()
-        for b in batches:
-            texts = [read(page or "", known.of(w), by_name) for page, w in zip(b.column("html").to_pylist(), b.column("w").to_pylist(), strict=True)]
+        known = Known(known_rows)
+        for b in slices(batches):
+            texts = []
+            for text, host, w in zip(*(b.column(c).to_pylist() for c in ("html", "host", "w")), strict=True):
+                page = parse(text or "")
+                texts.append(read(page, known.of(host, group_of(host, page) if known_rows else None, w)[1], by_name))
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-    return met(grouped, held, s).select("page_id", "url", "html", "w").mapInArrow(run, schema)
+    return pages.select("page_id", "url", "html", "host", "w").mapInArrow(run, schema)

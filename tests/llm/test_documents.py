@@ -151,18 +151,18 @@ def test_wrappers_learn_every_layout_and_small_hosts(spark):
     ],
 )
 def test_names_drop_no_content(html, text):
-    assert wrappers.read(html) == text
+    assert wrappers.read(dom.parse(html)) == text
 
 
 @pytest.mark.parametrize("name", ["legal", "social-policy", "share-price", "search-results-article", "rail-transport", "header-story", "post comment-of-the-week", "article-form"])
 def test_no_name_empties_an_article(name):
-    assert wrappers.read(f"<body><nav>menu</nav><article class='{name}'><p>One</p><div class='legal'>Law</div><div class='ad'>buy</div></article></body>") == "One\nLaw"
+    assert wrappers.read(dom.parse(f"<body><nav>menu</nav><article class='{name}'><p>One</p><div class='legal'>Law</div><div class='ad'>buy</div></article></body>")) == "One\nLaw"
 
 
 def test_depth_leaks_nothing():
     deep = 5000
-    assert wrappers.read("<body>" + "<div>" * deep + "<nav>MENU</nav><p>One</p>" + "</div>" * deep + "<p>Two</p></body>") == "One\nTwo"
-    assert wrappers.read("<article>" + "<div>" * deep + "<p>One</p><div class=ad>buy</div>") == "One"
+    assert wrappers.read(dom.parse("<body>" + "<div>" * deep + "<nav>MENU</nav><p>One</p>" + "</div>" * deep + "<p>Two</p></body>")) == "One\nTwo"
+    assert wrappers.read(dom.parse("<article>" + "<div>" * deep + "<p>One</p><div class=ad>buy</div>")) == "One"
 
 
 def brute_matching(a, b, i, j):
@@ -202,6 +202,6 @@ def test_alignment_finds_articles_without_tags_and_names(spark):
     want = {r.page_id: r.text for r in wrappers.extract(rows).collect()}
     bare = spark.createDataFrame([(r.page_id, r.url, stripped(r.html)) for r in rows.collect()], rows.schema).repartition(4)
     got = {r.page_id: r.text for r in wrappers.extract(bare).collect()}
-    alone = {r.page_id: wrappers.read(r.html) for r in bare.collect()}
+    alone = {r.page_id: wrappers.read(dom.parse(r.html)) for r in bare.collect()}
     assert len(want) >= 30 and sum(got[k] == want[k] for k in want) >= 0.95 * len(want) and not any(alone[k] == want[k] for k in want)
     assert {r.page_id: r.text for r in wrappers.extract(rows, by_name=False).collect()} == got
