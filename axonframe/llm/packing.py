@@ -1,18 +1,20 @@
 """Packing by non-negative least squares on the histogram of piece lengths.
 
-A document's tokens are cut at multiples of the window; what remains is cut once more, into a piece
-whose length is a multiple of ``grain`` and a tail shorter than that. So there are few lengths: a
-histogram of 128 grains and 15 tails, whatever the corpus. On it, shallow combinations that fill a
-window exactly are enumerated, non-negative least squares gives how often each is repeated, the
-counts are rounded down, and the residual (a few pieces per length) is packed greedily, largest
-first. What the last greedy sequences leave open is all the padding there is.
+A document's tokens are cut at multiples of the window; what remains is one piece, whatever its
+length, so most documents are one piece. Pieces count by their length rounded up to ``grain``, which
+makes 256 lengths whatever the corpus, all of them in the equations. Shallow combinations that
+fill a window (up to ``deep`` pieces, or two lengths repeated as often as fits) are enumerated,
+non-negative least squares gives how often each is repeated so that the histogram is met, the counts
+are rounded, and the residual is packed greedily, largest first. Padding is what rounding up costs
+(some 3.5 tokens a piece) and what the last greedy sequences leave open.
 
 Only the histogram reaches the driver. The plan says, for the j-th piece of a length, which sequence
 and offset it takes; pieces are numbered within (length, salt) cells with the cells' counts summed
 up, so no length is numbered in one task.
 
 Defined results: null text is empty and has only the closing id; equal rows and null ids are packed
-like any others; an empty table gives an empty result.
+like any others, very long texts in as many pieces as windows; an empty table gives an empty result.
+Columns other than doc_id and text are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from axonframe.llm.text import slices
 from axonframe.plans.session import cut
 
 
@@ -40,8 +43,8 @@ class Settings:
     tokenizer: str = "word_bpe_49k.json"
     end: int = 1
     window: int = 2048
-    grain: int = 16
-    deep: int = 3
+    grain: int = 8
+    deep: int = 4
 
 
 #: Python's split() takes these as white space and the tokenizer doesn't; texts that have them are encoded whole.
@@ -130,17 +133,13 @@ class Encoder:
 
 def cuts(n: int, s: Settings) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens."""
-    found = [(a, s.window) for a in range(0, n - s.window + 1, s.window)]
-    at = len(found) * s.window
-    body = (n - at) // s.grain * s.grain
-    found += [(at, body)] * (body > 0)
-    return found + [(at + body, n - at - body)] * (n > at + body)
+    return [(a, min(s.window, n - a)) for a in range(0, n, s.window)]
 
 
 def pieces(docs: DataFrame, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(s)
-        for b in batches:
+        for b in slices(batches):
             row, start, length, crc, total = [], [], [], [], []
             for k, ids in enumerate(encoder(b.column("text").to_pylist())):
                 for a, n in cuts(len(ids) // 4, s):
@@ -159,39 +158,60 @@ def pieces(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def combinations(lengths: list[int], window: int, deep: int) -> list[tuple[int, ...]]:
-    """Multisets of at most ``deep`` lengths with exactly the sum ``window``; and each length repeated as often as fits, with its complement."""
+    """Multisets of at most ``deep`` lengths with exactly the sum ``window``; and two lengths, each repeated so often that they fill it."""
     have = set(lengths)
 
     @functools.cache
     def filling(left: int, most: int, parts: int) -> list[tuple[int, ...]]:
         if left == 0:
             return [()]
-        if parts == 0:
-            return []
+        if parts == 1:
+            return [(left,)] if left <= most and left in have else []
         return [(x, *rest) for x in lengths if x <= min(left, most) and x * parts >= left for rest in filling(left - x, x, parts - 1)]
 
     found = set(filling(window, window, deep))
     for x in lengths:
         for times in range(1, window // x + 1):
             left = window - times * x
-            if left == 0 or left in have:
-                found.add(tuple(sorted([x] * times + [left] * (left > 0), reverse=True)))
+            if left == 0:
+                found.add((x,) * times)
+            for more in range(1, left // x + 1):
+                y, rest = divmod(left, more)
+                if rest == 0 and y > x and y in have:
+                    found.add((y,) * more + (x,) * times)
+                elif y <= x:
+                    break
     return sorted(found)
 
 
-def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """min |a x - b| with x >= 0, by the active set method of Lawson and Hanson."""
-    x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    for _ in range(3 * a.shape[0]):
-        w = a.T @ (b - a @ x)
+def nnls(index: np.ndarray, count: np.ndarray, b: np.ndarray, near: float = 0.0) -> np.ndarray:
+    """min |a x - b| with x >= 0, by the active set method of Lawson and Hanson; column j of a has ``count[j]`` in the rows ``index[j]``.
+
+    Ends early where the sum of |a x - b| is at most ``near``.
+    """
+
+    def dense(columns: np.ndarray) -> np.ndarray:
+        a = np.zeros((len(b), len(columns)))
+        np.add.at(a, (index[columns].ravel(), np.repeat(np.arange(len(columns)), index.shape[1])), count[columns].ravel())
+        return a
+
+    x, left = np.zeros(len(index)), b.astype(float)
+    active = np.zeros(len(index), bool)
+    for _ in range(2 * len(b)):
+        w = (left[index] * count).sum(1)
         w[active] = -np.inf
-        j = int(np.argmax(w))
-        if w[j] <= 1e-9 * max(1.0, np.abs(b).max()):
+        least, used = max(1e-9 * max(1.0, np.abs(b).max()), 0.5 * w.max()), np.zeros(len(b), bool)
+        if w.max() < least or np.abs(left).sum() <= near:
             break
-        active[j] = True
+        top = np.flatnonzero(w >= least)
+        for j in top[np.argsort(-w[top], kind="stable")[: len(b)]]:  # columns without a row in common come in together
+            if not used[index[j]].any():
+                active[j] = True
+                used[index[j]] = True
         while True:
             cols = np.flatnonzero(active)
-            z = np.linalg.lstsq(a[:, cols], b, rcond=None)[0]
+            a = dense(cols)
+            z = np.linalg.solve(a.T @ a + 1e-9 * np.eye(len(cols)), a.T @ b)
             if (z > 1e-12).all():
                 x[:] = 0
                 x[cols] = z
@@ -205,11 +225,28 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             active = x > 0
             if not active.any():
                 return x
+        cols = np.flatnonzero(active)
+        left = b - dense(cols) @ x[cols]
     return x
 
 
-def plan(histogram: dict[int, int], s: Settings) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, repeats) that use every piece of the histogram exactly once."""
+def solved(histogram: dict[int, int], s: Settings) -> list[tuple[tuple[int, ...], float]]:
+    """(combination, repeats) that come nearest to the histogram."""
+    lengths = sorted((x for x, n in histogram.items() if n > 0), reverse=True)
+    combos = combinations(lengths, s.window, s.deep) if lengths else []
+    if not combos:
+        return []
+    place = {x: i for i, x in enumerate(lengths)}
+    index, count = np.zeros((len(combos), s.deep), np.int32), np.zeros((len(combos), s.deep))
+    for j, c in enumerate(combos):
+        for k, x in enumerate(dict.fromkeys(c)):
+            index[j, k], count[j, k] = place[x], c.count(x)
+    times = nnls(index, count, np.array([histogram[x] for x in lengths], float), 0.005 * sum(histogram[x] for x in lengths))  # rounding costs more
+    return [(combos[j], float(times[j])) for j in np.flatnonzero(times)]
+
+
+def plan(histogram: dict[int, int], s: Settings) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """(lengths of a sequence, repeats) that use every piece of the histogram exactly once; and how many of these steps the equations gave."""
     left = dict(histogram)
     found: list[tuple[tuple[int, ...], int]] = []
 
@@ -223,18 +260,12 @@ def plan(histogram: dict[int, int], s: Settings) -> list[tuple[tuple[int, ...],
 
     if left.get(s.window):
         take((s.window,), left[s.window])
-    bodies = [x for x in sorted(left, reverse=True) if x % s.grain == 0 and left[x] > 0]
-    combos = combinations(bodies, s.window, s.deep) if bodies else []
-    if combos:
-        place = {x: i for i, x in enumerate(bodies)}
-        a = np.zeros((len(bodies), len(combos)))
-        for j, c in enumerate(combos):
-            for x in c:
-                a[place[x], j] += 1
-        times = nnls(a, np.array([left[x] for x in bodies], float))
-        for j in np.argsort(-times, kind="stable"):
-            if times[j] >= 1:
-                take(combos[j], int(times[j] + 1e-9))
+    steps = solved(left, s)
+    for combo, times in sorted(steps, key=lambda x: (-x[1], x[0])):
+        take(combo, int(times + 1e-9))
+    for combo, _ in sorted(steps, key=lambda x: (-(x[1] % 1), x[0])):
+        take(combo, 1)
+    by_equations = len(found)
     while any(left.values()):
         combo, room = [], s.window
         for x in sorted(left, reverse=True):
@@ -242,7 +273,7 @@ def plan(histogram: dict[int, int], s: Settings) -> list[tuple[tuple[int, ...],
             combo += [x] * n
             room -= n * x
         take(tuple(combo), max(left.values()))
-    return found
+    return found, by_equations
 
 
 def slots(steps: list[tuple[tuple[int, ...], int]]) -> dict[int, list[np.ndarray]]:
@@ -264,29 +295,31 @@ def slots(steps: list[tuple[tuple[int, ...], int]]) -> dict[int, list[np.ndarray
 def pack(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
     s = settings
-    rows = cut(pieces(docs, s))
-    counted = rows.groupBy("length").count().collect()
-    table = slots(plan({r["length"]: r["count"] for r in counted}, s))
+    rows = cut(pieces(docs, s).withColumn("kind", F.ceil(F.col("length") / s.grain) * s.grain))
+    counted = rows.groupBy("kind").count().collect()
+    table = slots(plan({r["kind"]: r["count"] for r in counted}, s)[0])
     n = 32 * max(1, round((sum(r["count"] for r in counted) / 1e6) ** 0.5))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n)).cast("int"))
-    cells = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    cells = salted.groupBy("kind", "salt").agg(F.count("*").alias("n"))
+    before = W.partitionBy("kind").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     based = cells.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    ranked = salted.withColumn("i", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32"))).join(based, ["length", "salt"])
+    ranked = salted.withColumn("i", F.row_number().over(W.partitionBy("kind", "salt").orderBy("doc_id", "start", "ids_crc32"))).join(based, ["kind", "salt"])
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, j = b.column("length").to_numpy(), b.column("rank").to_numpy()
-            sequence, offset = np.zeros(len(j), np.int64), np.zeros(len(j), np.int64)
-            for x in np.unique(length):
-                of = length == x
+            kind, j = b.column("kind").to_numpy(), b.column("rank").to_numpy()
+            sequence, place = np.zeros(len(j), np.int64), np.zeros(len(j), np.int64)
+            for x in np.unique(kind):
+                of = kind == x
                 first, begins, each, start = table[int(x)]
                 k = np.searchsorted(first, j[of], side="right") - 1
                 within = j[of] - first[k]
                 sequence[of] = begins[k] + within // each[k]
-                offset[of] = start[k] + within % each[k] * x
-            yield pa.record_batch([*(b.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+                place[of] = start[k] + within % each[k] * x
+            yield pa.record_batch([*(b.column(c) for c in names), pa.array(sequence), pa.array(place)], [*names, "sequence_id", "place"])
 
-    schema = rows.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.select(*names, (F.col("base") + F.col("i") - 1).alias("rank")).mapInArrow(run, schema)
+    schema = rows.select(*names).schema.add("sequence_id", "long").add("place", "long")
+    placed = ranked.select(*names, "kind", (F.col("base") + F.col("i") - 1).alias("rank")).mapInArrow(run, schema)
+    ahead = W.partitionBy("sequence_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    return placed.select(*names, "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"))
