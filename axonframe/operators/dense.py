@@ -18,7 +18,7 @@ from axonframe.functions import kernels as K
 from axonframe.operators.evaluation import rdm
 from axonframe.operators.moments import guarded_corr, pairs
 from axonframe.operators.trials import repeats_mean
-from axonframe.sources.series import daily_channels, trial_features, user_series
+from axonframe.sources.series import daily_channels, day_number, trial_features, user_series
 from axonframe.sources.tables import table
 
 
@@ -89,36 +89,6 @@ def _fc(i: np.ndarray, j: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, list[s
 # -- queries -----------------------------------------------------------------------------------------
 
 
-def glm_multi(spark: SparkSession, d: str) -> DataFrame:
-    def fit(sid, y, e):
-        x = K.drift_design(len(y))
-        beta, resid, inv = K.ridge_ols(x, y)
-        t = K.t_statistic(beta, resid, inv, np.array([0, 1.0, 0])) if len(y) > 3 else 0.0
-        return [(sid, *map(float, beta), t, K.t_to_p(t, max(1, len(y) - 3)))]
-
-    return map_rows(_series(spark, d), fit, "sid long, b0 double, b1 double, b2 double, t double, p double")
-
-
-def glm_fstat(spark: SparkSession, d: str) -> DataFrame:
-    def fit(sid, y, e):
-        if len(y) < 5:
-            return []
-        beta, resid, inv = K.ridge_ols(K.drift_design(len(y)), y)
-        return [(sid, K.f_statistic(beta, resid, inv, np.eye(3)[1:]), len(y) - 3)]
-
-    return map_rows(_series(spark, d), fit, "sid long, f double, df long")
-
-
-def ar1_conjugate(spark: SparkSession, d: str) -> DataFrame:
-    def fit(sid, y, e):
-        if len(y) < 6:
-            return []
-        beta, var, rho = K.ar1_posterior(K.drift_design(len(y)), y)
-        return [(sid, float(beta[1]), float(var[1]), float(abs(beta[1]) / max(var[1], 1e-30) ** 0.5), rho)]
-
-    return map_rows(_series(spark, d), fit, "sid long, mean double, var double, snr double, rho double")
-
-
 def fracridge(spark: SparkSession, d: str) -> DataFrame:
     def fit(sid, y, e):
         fr = np.array([0.25, 0.5, 0.75, 1.0])
@@ -139,32 +109,6 @@ def fracridge_cv(spark: SparkSession, d: str) -> DataFrame:
     return map_rows(_series(spark, d), fit, "sid long, frac double, r2 double")
 
 
-def precision(spark: SparkSession, d: str) -> DataFrame:
-    def fit(one, i, j, c, r):
-        m, names = _cov(i, j, c)
-        return _square(np.linalg.inv(m + 1e-6 * np.eye(len(names))), names)
-
-    return map_rows(_channels(spark, d), fit, "ch_i string, ch_j string, p double")
-
-
-def partial_corr(spark: SparkSession, d: str) -> DataFrame:
-    def fit(one, i, j, c, r):
-        m, names = _cov(i, j, c)
-        return _square(K.partial_correlation(m), names)
-
-    return map_rows(_channels(spark, d), fit, "ch_i string, ch_j string, r double")
-
-
-def conditional_cov(spark: SparkSession, d: str) -> DataFrame:
-    """Covariance of the first channels given the last one, by the Schur complement."""
-
-    def fit(one, i, j, c, r):
-        m, names = _cov(i, j, c)
-        return _square(m[:-1, :-1] - np.outer(m[:-1, -1], m[-1, :-1]) / (m[-1, -1] + 1e-6), names[:-1])
-
-    return map_rows(_channels(spark, d), fit, "ch_i string, ch_j string, c double")
-
-
 def pca(spark: SparkSession, d: str) -> DataFrame:
     def fit(image, x):
         v, share = K.principal(x.reshape(-1, 8), 3)
@@ -390,7 +334,7 @@ def phase_corr(spark: SparkSession, d: str) -> DataFrame:
 
 def acompcor(spark: SparkSession, d: str) -> DataFrame:
     """Components of the noise pool: users whose id is divisible by 3, as a day x user Gram matrix that Spark sums up."""
-    e = table(spark, d, "events").filter("user_id % 3 = 0").groupBy("user_id", F.dayofmonth("ts").alias("tr")).agg(F.avg("value").alias("v"))
+    e = table(spark, d, "events").filter("user_id % 3 = 0").groupBy("user_id", day_number().alias("tr")).agg(F.avg("value").alias("v"))
     c = e.join(e.groupBy("user_id").agg(F.avg("v").alias("m")), "user_id").select("user_id", "tr", (F.col("v") - F.col("m")).alias("v"))
     gram = c.join(c.select("user_id", F.col("tr").alias("ts"), F.col("v").alias("w")), "user_id").groupBy("tr", "ts").agg(F.sum(F.col("v") * F.col("w")).alias("g")).withColumn("one", F.lit(1))
 
@@ -409,7 +353,7 @@ def glmdenoise(spark: SparkSession, d: str) -> DataFrame:
     """R2 of each user's drift model with 0 to 3 noise components as extra columns, averaged per count."""
     comps = acompcor(spark, d)
     wide = comps.groupBy("tr").pivot("component", [0, 1, 2]).agg(F.first("v")).select("tr", *(F.col(str(k)).alias(f"c{k}") for k in range(3)))
-    e = table(spark, d, "events").groupBy(F.col("user_id").alias("sid"), F.dayofmonth("ts").cast("long").alias("tr")).agg(F.avg("value").alias("v")).join(wide, "tr")
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("sid"), day_number().alias("tr")).agg(F.avg("value").alias("v")).join(wide, "tr")
     p = packed(e, ["sid"], F.col("tr"), y=F.col("v"), c0=F.col("c0"), c1=F.col("c1"), c2=F.col("c2"))
 
     def fit(sid, y, c0, c1, c2):
@@ -432,7 +376,7 @@ def tcompcor_pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    glm_multi, glm_fstat, ar1_conjugate, fracridge, fracridge_cv, precision, partial_corr, conditional_cov, pca, cca, mv_cmi, eigenspectrum, broken_stick, spd_tangent, spd_mean_logeuc,
+    fracridge, fracridge_cv, pca, cca, mv_cmi, eigenspectrum, broken_stick, spd_tangent, spd_mean_logeuc,
     spd_mean_geom, eigenmaps_embed, diffusion_map, spectral_features, hilbert_envelope, band_filter, spectral_fill, sinkhorn, gromov_w, nordic, nordic_patch, bilateral, phase_corr, acompcor, glmdenoise, tcompcor_pool,
 )}
 ORACLES = {

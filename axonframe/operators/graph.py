@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonframe.operators.moments import correlation
+from axonframe.plans.session import cut
 from axonframe.sources.series import DAILY, daily_channels
 from axonframe.sources.tables import table
 
@@ -53,18 +54,19 @@ def aggregate(edges: DataFrame, nodes: DataFrame, features: DataFrame) -> DataFr
 
 
 def chebyshev(lap: DataFrame, x: DataFrame, coeffs: list[float]) -> DataFrame:
-    """sum_k c_k T_k(L - I) x of the signal (i, x), by the recurrence; each step is one sparse product."""
+    """sum_k c_k T_k(L - I) x of the signal (i, x), by the recurrence; each step is one sparse product. A step uses the last two terms, so lineage is cut after each."""
+    lap = cut(lap)
 
     def apply(v: DataFrame) -> DataFrame:
         shifted = lap.join(v.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("lx"))
         return v.join(shifted, "i", "left").select("i", (F.coalesce("lx", F.lit(0.0)) - F.col("x")).alias("x"))
 
-    terms = [x]
+    terms = [cut(x)]
     if len(coeffs) > 1:
-        terms.append(apply(x))
+        terms.append(cut(apply(terms[0])))
     while len(terms) < len(coeffs):
         a = apply(terms[-1]).select("i", (2 * F.col("x")).alias("a"))
-        terms.append(a.join(terms[-2].select("i", F.col("x").alias("b")), "i").select("i", (F.col("a") - F.col("b")).alias("x")))
+        terms.append(cut(a.join(terms[-2].select("i", F.col("x").alias("b")), "i").select("i", (F.col("a") - F.col("b")).alias("x"))))
     parts = [t.select("i", (F.col("x") * c).alias("y")) for t, c in zip(terms, coeffs, strict=True)]
     out = parts[0]
     for p in parts[1:]:

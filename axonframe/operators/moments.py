@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonframe.sources.series import DAILY, daily_channels
+from axonframe.sources.series import DAILY, DAY, daily_channels, day_number
 from axonframe.sources.tables import table
 
 
@@ -76,7 +76,7 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _posterior(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("ch"), F.dayofmonth("ts").alias("tr")).agg(F.avg("value").alias("v"), (F.coalesce(F.var_samp("value"), F.lit(0.0)) / F.count("*")).alias("var"))
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("ch"), day_number().alias("tr")).agg(F.avg("value").alias("v"), (F.coalesce(F.var_samp("value"), F.lit(0.0)) / F.count("*")).alias("var"))
 
 
 def fc_cov(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ def fc_posterior_corr(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cross_cov(spark: SparkSession, d: str) -> DataFrame:
-    counts = table(spark, d, "events").groupBy(F.col("event_type").alias("ch"), F.dayofmonth("ts").alias("tr")).agg(F.count("*").cast("double").alias("v"))
+    counts = table(spark, d, "events").groupBy(F.col("event_type").alias("ch"), day_number().alias("tr")).agg(F.count("*").cast("double").alias("v"))
     return pairs(_daily(spark, d), counts).groupBy("ch_i", "ch_j").agg(F.round(F.covar_samp("x", "y"), 6).alias("c"))
 
 
@@ -126,9 +126,9 @@ ORACLES = {
         SELECT ch_i, ch_j, round(sum(w * dx * dy) / (1 - sum(w * w)), 6) AS c, round(sum(w * dx * dy) / sqrt(sum(w * dx * dx) * sum(w * dy * dy)), 6) AS r FROM c GROUP BY 1, 2""",
     "fc_attenuated": f"WITH {_PAIRS}, e AS (SELECT ch_i, ch_j, {_R} AS r FROM pairs GROUP BY 1, 2), rel AS (SELECT ch, count(*) / (count(*) + 10.0) AS rel FROM long GROUP BY 1) SELECT ch_i, ch_j, {_DIS}",
     "fc_posterior_corr": f"""WITH {_PAIRS}, e AS (SELECT ch_i, ch_j, {_R} AS r FROM pairs GROUP BY 1, 2),
-        p AS (SELECT event_type AS ch, day(ts) AS tr, avg(value) AS v, coalesce(var_samp(value), 0) / count(*) AS vv FROM events GROUP BY 1, 2),
+        p AS (SELECT event_type AS ch, {DAY} AS tr, avg(value) AS v, coalesce(var_samp(value), 0) / count(*) AS vv FROM events GROUP BY 1, 2),
         rel AS (SELECT ch, greatest(least(var_pop(v) / (var_pop(v) + avg(vv)), 1), 1e-8) AS rel FROM p GROUP BY 1) SELECT ch_i, ch_j, {_DIS}""",
-    "cross_cov": f"""WITH {DAILY}, c AS (SELECT event_type AS ch, day(ts) AS tr, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2)
+    "cross_cov": f"""WITH {DAILY}, c AS (SELECT event_type AS ch, {DAY} AS tr, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2)
         SELECT a.ch AS ch_i, b.ch AS ch_j, round(covar_samp(a.v, b.v), 6) AS c FROM long a JOIN c b ON a.tr = b.tr GROUP BY 1, 2""",
     "plv": f"WITH {_PAIRS} SELECT ch_i, ch_j, round(sqrt(avg(cos(x % {2 * math.pi!r} - y % {2 * math.pi!r})) ** 2 + avg(sin(x % {2 * math.pi!r} - y % {2 * math.pi!r})) ** 2), 6) AS plv FROM pairs GROUP BY 1, 2",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from axonframe.operators.resampling import uniform
-from axonframe.sources.series import TRIALS, daily_channels, trial_features, user_series
+from axonframe.sources.series import DAY, TRIALS, daily_channels, day_number, trial_features, user_series
 from axonframe.sources.tables import table
 
 
@@ -124,7 +124,7 @@ def stimulus_betas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nuisance_regressors(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select((F.col("user_id") % 2).alias("tissue"), F.dayofmonth("ts").cast("long").alias("tr"), F.col("value").alias("v"))
+    rows = table(spark, d, "events").select((F.col("user_id") % 2).alias("tissue"), day_number().alias("tr"), F.col("value").alias("v"))
     return nuisance(rows).select("tissue", "tr", F.round("v", 6).alias("v"), F.round("dv", 6).alias("dv"))
 
 
@@ -182,7 +182,7 @@ ORACLES = {
     "zscore_then_filter": f"WITH {TRIALS}, z AS (SELECT *, (x - avg(x) OVER p) / (stddev_pop(x) OVER p + 1e-8) AS z FROM f WINDOW p AS (PARTITION BY k)) SELECT trial, k, round(z, 5) AS z FROM z WHERE image = 3",
     "prefix_filter": "SELECT doc_id, source, substr(md5(source), 1, 8) AS key FROM documents WHERE starts_with(source, 'src1')",
     "stimulus_betas": "SELECT user_id AS sid, round(coalesce(avg(value) FILTER (event_type = 'purchase'), avg(value)), 6) AS beta FROM events GROUP BY 1",
-    "nuisance_regressors": """WITH m AS (SELECT user_id % 2 AS tissue, day(ts) AS tr, avg(value) AS v FROM events GROUP BY 1, 2)
+    "nuisance_regressors": f"""WITH m AS (SELECT user_id % 2 AS tissue, {DAY} AS tr, avg(value) AS v FROM events GROUP BY 1, 2)
         SELECT tissue, tr, round(v, 6) AS v, round(coalesce(v - lag(v) OVER (PARTITION BY tissue ORDER BY tr), 0), 6) AS dv FROM m""",
     "image_index": "SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS index FROM events GROUP BY 1",
     "truth_rank": """WITH s AS (SELECT user_id AS trial, event_type AS c, avg(value / 10) AS s FROM events GROUP BY 1, 2), p AS (SELECT *, exp(s - max(s) OVER w) AS e, rank() OVER (PARTITION BY trial ORDER BY s DESC) AS rank FROM s WINDOW w AS (PARTITION BY trial)),
@@ -194,6 +194,6 @@ ORACLES = {
     "vessel_threshold": """WITH m AS (SELECT max(value) AS m FROM events WHERE value > 0), h AS (SELECT least(floor(value / m * 256), 255) AS b, any_value(m) AS m, count(*) AS n FROM events, m WHERE value > 0 GROUP BY 1),
         c AS (SELECT *, sum(n) OVER o AS w0, sum((b + 0.5) * n) OVER o AS s0, sum(n) OVER () AS w, sum((b + 0.5) * n) OVER () AS s FROM h WINDOW o AS (ORDER BY b)),
         g AS (SELECT b, m, coalesce(w0 * (w - w0) * (s0 / w0 - (s - s0) / nullif(w - w0, 0)) ** 2, 0) AS x FROM c) SELECT round((b + 1) * m / 256, 6) AS threshold FROM g ORDER BY x DESC, b LIMIT 1""",
-    "window_tiles": "WITH t AS (SELECT (day(ts) - 1) // 5 AS win FROM events GROUP BY 1 HAVING count(DISTINCT day(ts)) = 5) SELECT win, win * 5 + 1 AS start FROM t ORDER BY md5('tiles' || win) LIMIT 3",
+    "window_tiles": f"WITH t AS (SELECT ({DAY} - 1) // 5 AS win FROM events GROUP BY 1 HAVING count(DISTINCT {DAY}) = 5) SELECT win, win * 5 + 1 AS start FROM t ORDER BY md5('tiles' || win) LIMIT 3",
     "event_props": "SELECT CAST(props->>'$.k' AS BIGINT) AS k, count(*) AS n, round(avg(value), 6) AS v FROM events GROUP BY 1",
 }

@@ -25,8 +25,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor the context names one (tests on a single machine) is a
-    temporary folder set.
+    Only where neither the setting nor the context names one is a temporary folder set, and only
+    with a local master: on a cluster other machines couldn't read it, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -34,6 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="axonframe-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 

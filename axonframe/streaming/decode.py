@@ -6,7 +6,7 @@ or the last ``width`` rows for sliding connectivity. Micro-batches may cut a ser
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from axonframe.functions.kernels import rls, rls_step
 from axonframe.operators.dense import map_rows, packed
+from axonframe.plans.session import shared_folder
 from axonframe.sources.series import SERIES, user_series
 from axonframe.sources.tables import table
 
@@ -89,7 +90,7 @@ def event_windows(events: DataFrame, late: str = "1 day", size: str = "1 day") -
 
 def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Drains an available-now stream into a memory table; for tests and small replays."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp()).start()
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}").start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
 
