@@ -1,17 +1,20 @@
 """Retrieval, discriminability and representational similarity.
 
-Trials are compared with image templates (the mean pattern of each image), so the work is trials times
-images, not trials squared. Templates are few by nature; they are broadcast only if Spark finds them
-small.
+Retrieval compares trials with image templates (the mean pattern of each image), so its work is trials
+times images. Measures over all pairs of trials come from moments where they can; only the rank
+statistic makes the pairs, in tiles.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from axonframe.operators.trials import repeats_mean
+from axonframe.plans.session import cut
 from axonframe.sources.series import TRIALS, trial_features
 from axonframe.sources.tables import table
 
@@ -25,21 +28,89 @@ def similarity(features: DataFrame, templates: DataFrame) -> DataFrame:
     return both.select("trial", "image", "candidate", (F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("cos"), F.sqrt("d2").alias("dist"))
 
 
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
+def packed(features: DataFrame, key: str) -> DataFrame:
+    """(key, v): long features back in one array, in order of k."""
+    return features.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("v"))
+
+
+def similarity_packed(trials: DataFrame, templates: DataFrame, most_bytes: int = 8_000_000) -> DataFrame:
+    """As ``similarity``, of trials (trial, image, v) in arrays: small templates, measured, are broadcast and nothing is shuffled; others meet by feature."""
+    t = cut(packed(templates, "image").select(F.col("image").alias("candidate"), F.col("v").alias("w")))
+    if t.agg(F.coalesce(F.sum(8 * F.size("w") + 50), F.lit(0))).first()[0] > most_bytes:
+        return similarity(trials.select("trial", "image", F.posexplode("v").alias("k", "x")).withColumn("k", F.col("k").cast("long")), templates)
+    both = trials.withColumn("one", F.lit(1)).join(F.broadcast(t.withColumn("one", F.lit(1))), "one")
+    d = F.zip_with("v", "w", lambda a, b: a - b)
+    return both.select("trial", "image", "candidate", (dot(F.col("v"), F.col("w")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("w"), F.col("w")))).alias("cos"), F.sqrt(dot(d, d)).alias("dist"))
+
+
+def unit_patterns(features: DataFrame, centre: bool = False) -> DataFrame:
+    """Patterns of length one, by trial; with ``centre`` their mean is taken out first, so products are Pearson's r."""
+    own = W.partitionBy("trial")
+    rows = features.withColumn("x", F.col("x") - F.avg("x").over(own)) if centre else features
+    return rows.withColumn("x", F.col("x") / F.nullif(F.sqrt(F.sum(F.col("x") ** 2).over(own)), F.lit(0.0))).filter("x IS NOT NULL")
+
+
+def pair_moments(units: DataFrame, group: list[str]) -> DataFrame:
+    """(group, pairs, s, q): number, sum and sum of squares of the products of all trial pairs i < j, without making them.
+
+    With u of length one the sum of all products is |sum u|^2, and of their squares the squared norm of
+    the sum of u u'; each trial's product with itself, 1, is taken off. Linear in trials.
+    """
+    first = units.groupBy(*group, "k").agg(F.sum("x").alias("m"), F.count("*").alias("n"))
+    sums = first.groupBy(*group).agg(F.max("n").alias("n"), F.sum(F.col("m") ** 2).alias("mm"))
+    v = units.groupBy(*group, "trial").agg(F.collect_list(F.struct("k", "x")).alias("v"))
+    cells = v.select(*group, F.explode("v").alias("a"), "v").select(*group, "a", F.explode("v").alias("b")).filter("a.k <= b.k")
+    outer = cells.groupBy(*group, F.col("a.k").alias("k"), F.col("b.k").alias("l")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("m"))
+    squares = outer.groupBy(*group).agg(F.sum(F.when(F.col("k") == F.col("l"), 1.0).otherwise(2.0) * F.col("m") ** 2).alias("qq"))
+    both = sums.join(squares, group) if group else sums.withColumn("one", F.lit(1)).join(squares.withColumn("one", F.lit(1)), "one")
+    n = F.col("n")
+    return both.select(*group, (n * (n - 1) / 2).alias("pairs"), ((F.col("mm") - n) / 2).alias("s"), ((F.col("qq") - n) / 2).alias("q"))
+
+
+def pair_distances(trials: DataFrame, blocks: int) -> DataFrame:
+    """(dist, s, d): how many pairs i < j of one image and of two have each cosine distance, of (trial, image, v) in unit arrays of one length.
+
+    Every pair meets once, in the tile of its two blocks, as a product of two small matrices; distances
+    that agree to twelve places are one.
+    """
+
+    def run(tile: pa.Table) -> pa.Table:
+        v, own, trial, image = (tile.column(c).combine_chunks() for c in ("v", "own", "trial", "image"))
+        x, own, trial, image = v.flatten().to_numpy().reshape(len(v), -1), own.to_numpy(), trial.to_numpy(), image.to_numpy(zero_copy_only=False)
+        pairs = trial[:, None] < trial[None]
+        if own.min() != own.max():
+            pairs &= own[:, None] != own[None]
+        else:
+            pairs &= tile.column("i")[0].as_py() == tile.column("j")[0].as_py()
+        dist, place = np.unique(np.round(1 - (x @ x.T)[pairs], 12), return_inverse=True)
+        same = (image[:, None] == image[None])[pairs]
+        return pa.table({"dist": dist + 0.0, "s": np.bincount(place, same, len(dist)).astype(np.int64), "d": np.bincount(place, ~same, len(dist)).astype(np.int64)})
+
+    own = F.pmod(F.xxhash64("trial"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = trials.withColumn("own", own).withColumn("other", every).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "trial", "image", "v")
+    return rows.groupBy("i", "j").applyInArrow(run, "dist double, s long, d long")
+
+
 def ranked(sim: DataFrame) -> DataFrame:
     """Adds the 1-based rank of each candidate of a trial; ties go to the smaller candidate."""
     return sim.withColumn("rank", F.row_number().over(W.partitionBy("trial").orderBy(F.desc("cos"), "candidate")).cast("long"))
 
 
-def strict_auc(scores: DataFrame) -> DataFrame:
-    """Share of (same, diff) pairs with a strictly greater diff distance; no pairs are made, distances are counted on a grid of 1e-6.
+def strict_auc(scores: DataFrame, per_unit: int = 4096) -> DataFrame:
+    """Share of (same, diff) pairs with a strictly greater diff distance; exact, and no pairs are made.
 
-    ``scores``: (same BOOLEAN, dist). Counts per grid cell are summed along the grid.
+    ``scores``: (dist, s, d), counts of same and diff ones. Equal distances are counted together, and counts
+    of same ones are summed up along the distances, in blocks of a fixed width.
     """
-    grid = scores.groupBy(F.floor(F.col("dist") * 1e6).alias("cell")).agg(F.sum(F.when(F.col("same"), 1).otherwise(0)).alias("s"), F.sum(F.when(F.col("same"), 0).otherwise(1)).alias("d"))
-    part = grid.withColumn("block", F.floor(F.col("cell") / 4096))
+    part = scores.groupBy("dist").agg(F.sum("s").alias("s"), F.sum("d").alias("d")).withColumn("block", F.floor(F.col("dist") * per_unit))
     blocks = part.groupBy("block").agg(F.sum("s").alias("bs"))
     before = blocks.withColumn("base", F.coalesce(F.sum("bs").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inner = W.partitionBy("block").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("block").orderBy("dist").rowsBetween(W.unboundedPreceding, -1)
     below = part.withColumn("in", F.coalesce(F.sum("s").over(inner), F.lit(0))).join(before, "block")
     return below.agg((F.sum((F.col("base") + F.col("in")) * F.col("d")) / (F.sum("s").cast("double") * F.sum("d"))).alias("auc"), F.sum("s").alias("n_same"), F.sum("d").alias("n_diff"))
 
@@ -88,8 +159,9 @@ def _f(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sim(spark: SparkSession, d: str) -> DataFrame:
-    f = _f(spark, d)
-    return similarity(f, repeats_mean(f))
+    e = table(spark, d, "embeddings")
+    trials = e.select(F.col("vec_id").alias("trial"), F.col("label").alias("image"), F.col("embedding").cast("array<double>").alias("v"))
+    return similarity_packed(trials, repeats_mean(trial_features(e)))
 
 
 def retrieval_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -103,17 +175,48 @@ def brain_retrieval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_auc(spark: SparkSession, d: str) -> DataFrame:
-    s = _sim(spark, d).select((F.col("image") == F.col("candidate")).alias("same"), (1 - F.col("cos")).alias("dist"))
-    return strict_auc(s).select(F.round("auc", 4).alias("auc"), "n_same", "n_diff")
+    """All pairs of trials: those of one image against those of two. Pairs grow with the square of the trials, so they are made in tiles."""
+    v = F.col("embedding").cast("array<double>")
+    norm = F.sqrt(dot(v, v))
+    rows = table(spark, d, "embeddings").filter(norm > 0).select(F.col("vec_id").alias("trial"), F.col("label").alias("image"), F.transform(v, lambda x: x / norm).alias("v"))
+    s = pair_distances(rows, max(1, round(rows.count() / 1000)))
+    return strict_auc(s).select(F.round("auc", 5).alias("auc"), "n_same", "n_diff")
 
 
 def cohens_d(spark: SparkSession, d: str) -> DataFrame:
+    """Of the cosine distances of trial pairs of two images and of one image, from moments."""
+    u = cut(unit_patterns(_f(spark, d)))
+    whole = pair_moments(u, []).select(*(F.col(c).alias(f"all_{c}") for c in ("pairs", "s", "q")), F.lit(1).alias("one"))
+    same = pair_moments(u, ["image"]).agg(*(F.sum(c).alias(c) for c in ("pairs", "s", "q"))).withColumn("one", F.lit(1))
+    both = whole.join(same, "one").select(*(F.col(c).alias(f"same_{c}") for c in ("pairs", "s", "q")), *((F.col(f"all_{c}") - F.col(c)).alias(f"diff_{c}") for c in ("pairs", "s", "q")))
+    mean = lambda k: F.col(f"{k}_s") / F.col(f"{k}_pairs")
+    var = lambda k: F.col(f"{k}_q") / F.col(f"{k}_pairs") - mean(k) ** 2
+    return both.select(F.round((mean("same") - mean("diff")) / (F.sqrt((var("diff") + var("same")) / 2) + 1e-8), 5).alias("d"))
+
+
+def beta_reliability(spark: SparkSession, d: str) -> DataFrame:
+    """Mean correlation of all pairs of an image's repeats, after z by feature; from sums of standardised patterns."""
+    over = W.partitionBy("k")
+    z = _f(spark, d).withColumn("x", (F.col("x") - F.avg("x").over(over)) / (F.stddev_pop("x").over(over) + 1e-6))
+    sums = unit_patterns(z, centre=True).groupBy("image", "k").agg(F.sum("x").alias("m"), F.count("*").alias("n"))
+    r = sums.groupBy("image").agg(F.max("n").alias("n"), F.sum(F.col("m") ** 2).alias("mm")).filter("n >= 2")
+    return r.select("image", F.round((F.col("mm") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("reliability"), "n")
+
+
+def template_auc(spark: SparkSession, d: str) -> DataFrame:
+    """The cheaper variant: trials against image templates, own trial included."""
+    same = (F.col("image") == F.col("candidate")).cast("long")
+    s = _sim(spark, d).select((1 - F.col("cos")).alias("dist"), same.alias("s"), (1 - same).alias("d"))
+    return strict_auc(s).select(F.round("auc", 4).alias("auc"), "n_same", "n_diff")
+
+
+def template_d(spark: SparkSession, d: str) -> DataFrame:
     x = 1 - F.col("cos")
     same, diff = F.when(F.col("image") == F.col("candidate"), x), F.when(F.col("image") != F.col("candidate"), x)
     return _sim(spark, d).agg(F.round((F.avg(diff) - F.avg(same)) / F.sqrt((F.var_pop(diff) + F.var_pop(same)) / 2), 6).alias("d"))
 
 
-def beta_reliability(spark: SparkSession, d: str) -> DataFrame:
+def loo_reliability(spark: SparkSession, d: str) -> DataFrame:
     """Mean correlation of each image's repeats with the mean of its other repeats (leave-one-out)."""
     f = _f(spark, d)
     over = W.partitionBy("image", "k")
@@ -158,19 +261,27 @@ def w1_fc(spark: SparkSession, d: str) -> DataFrame:
 
 
 _T = f"{TRIALS}, t AS (SELECT image AS candidate, k, avg(x) AS y FROM f GROUP BY 1, 2), s AS (SELECT trial, image, candidate, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS cos FROM f JOIN t USING (k) GROUP BY 1, 2, 3)"
+_P = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    p AS (SELECT a.label = b.label AS same, 1 - list_cosine_similarity(a.e, b.e) AS x FROM v a JOIN v b ON a.vec_id < b.vec_id)"""
 _HALF = "{h} AS (SELECT image, k, avg(x) AS x FROM f WHERE trial % 2 = {r} GROUP BY 1, 2), d{h} AS (SELECT a.image AS i, b.image AS j, 1 - corr(a.x, b.x) AS d FROM {h} a JOIN {h} b ON a.k = b.k AND a.image < b.image GROUP BY 1, 2)"
 _HALVES = f"{TRIALS}, {_HALF.format(h='od', r=1)}, {_HALF.format(h='ev', r=0)}"
 _M = f"{TRIALS}, m AS (SELECT image, k, avg(x) AS x FROM f GROUP BY 1, 2)"
-QUERIES = {f.__name__: f for f in (retrieval_topk, brain_retrieval, pair_auc, cohens_d, beta_reliability, image_identifiability, rdm_corr, rdm_euclid, rdm_spearman, category_dprime, w1_fc)}
+QUERIES = {f.__name__: f for f in (retrieval_topk, brain_retrieval, pair_auc, cohens_d, beta_reliability, template_auc, template_d, loo_reliability, image_identifiability, rdm_corr, rdm_euclid, rdm_spearman, category_dprime, w1_fc)}
 ORACLES = {
     "retrieval_topk": f"""WITH {_T}, r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY cos DESC, candidate) AS rank FROM s)
         SELECT image, count(*) AS n, CAST(sum(CASE WHEN rank <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS top1, CAST(sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS BIGINT) AS top5 FROM r WHERE candidate = image GROUP BY 1""",
     "brain_retrieval": f"WITH {_T}, r AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY cos DESC, trial) AS rank FROM s) SELECT candidate, trial, image = candidate AS hit FROM r WHERE rank = 1",
-    "pair_auc": f"""WITH {_T}, p AS (SELECT image = candidate AS same, 1 - cos AS x FROM s), a AS (SELECT x FROM p WHERE same), b AS (SELECT x FROM p WHERE NOT same)
+    "template_auc": f"""WITH {_T}, p AS (SELECT image = candidate AS same, 1 - cos AS x FROM s), a AS (SELECT x FROM p WHERE same), b AS (SELECT x FROM p WHERE NOT same)
         SELECT round((SELECT count(*) FROM a, b WHERE b.x > a.x) / (CAST((SELECT count(*) FROM a) AS DOUBLE) * (SELECT count(*) FROM b)), 4) AS auc, (SELECT count(*) FROM a) AS n_same, (SELECT count(*) FROM b) AS n_diff""",
-    "cohens_d": f"WITH {_T}, p AS (SELECT image = candidate AS same, 1 - cos AS x FROM s) SELECT round((avg(x) FILTER (NOT same) - avg(x) FILTER (same)) / sqrt((var_pop(x) FILTER (NOT same) + var_pop(x) FILTER (same)) / 2), 6) AS d FROM p",
-    "beta_reliability": f"""WITH {TRIALS}, r AS (SELECT trial, image, x, count(*) OVER p AS n, (sum(x) OVER p - x) / (count(*) OVER p - 1) AS y FROM f WINDOW p AS (PARTITION BY image, k)),
+    "template_d": f"WITH {_T}, p AS (SELECT image = candidate AS same, 1 - cos AS x FROM s) SELECT round((avg(x) FILTER (NOT same) - avg(x) FILTER (same)) / sqrt((var_pop(x) FILTER (NOT same) + var_pop(x) FILTER (same)) / 2), 6) AS d FROM p",
+    "loo_reliability": f"""WITH {TRIALS}, r AS (SELECT trial, image, x, count(*) OVER p AS n, (sum(x) OVER p - x) / (count(*) OVER p - 1) AS y FROM f WINDOW p AS (PARTITION BY image, k)),
         c AS (SELECT image, trial, corr(x, y) AS r FROM r WHERE n >= 2 GROUP BY 1, 2) SELECT image, round(avg(r), 6) AS reliability, count(*) AS n FROM c GROUP BY 1""",
+    "pair_auc": f"""WITH {_P}, a AS (SELECT x FROM p WHERE same), b AS (SELECT x FROM p WHERE NOT same)
+        SELECT round((SELECT count(*) FROM a, b WHERE b.x > a.x) / (CAST((SELECT count(*) FROM a) AS DOUBLE) * (SELECT count(*) FROM b)), 5) AS auc, (SELECT count(*) FROM a) AS n_same, (SELECT count(*) FROM b) AS n_diff""",
+    "cohens_d": f"WITH {_P} SELECT round((avg(x) FILTER (NOT same) - avg(x) FILTER (same)) / (sqrt((var_pop(x) FILTER (NOT same) + var_pop(x) FILTER (same)) / 2) + 1e-8), 5) AS d FROM p",
+    "beta_reliability": f"""WITH {TRIALS}, z AS (SELECT trial, image, k, (x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-6) AS x FROM f WINDOW w AS (PARTITION BY k)),
+        c AS (SELECT a.image, a.trial, b.trial AS other, corr(a.x, b.x) AS r FROM z a JOIN z b ON a.image = b.image AND a.trial < b.trial AND a.k = b.k GROUP BY ALL)
+        SELECT image, round(avg(r), 6) AS reliability, (SELECT count(*) FROM embeddings WHERE label = image) AS n FROM c GROUP BY image""",
     "image_identifiability": f"""WITH {TRIALS}, t AS (SELECT image AS candidate, k, sum(x) AS s, count(*) AS n FROM f GROUP BY 1, 2),
         y AS (SELECT trial, image, candidate, x, CASE WHEN image = candidate THEN (s - x) / (n - 1) ELSE s / n END AS y FROM f JOIN t USING (k)),
         c AS (SELECT trial, image, candidate, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS cos FROM y GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY cos DESC, candidate) AS rank FROM c)
