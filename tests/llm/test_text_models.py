@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -73,7 +74,7 @@ def test_language_model_base_scores_and_normalisation(spark):
 
 
 def test_noise_contrast_learns_a_bigram_table():
-    s = bilinear.Settings(classes=6, singles=2, steps=800)
+    s = bilinear.Settings(classes=6, steps=800)
     counts = np.zeros((6, 6, 6))
     for a in range(6):
         counts[:, a, (a + 1) % 6] = 500
@@ -131,3 +132,43 @@ def test_repeated_ids_and_very_long_texts(spark):
     for got in (quality.classify(docs, labels), toxicity.detect(docs, labels), bilinear.score(docs, bilinear.Settings(common=20, steps=20))):
         rows = got.toPandas()
         assert len(rows) == len(texts) and rows.score.notna().all() and rows[rows.doc_id == 1].score.nunique() == 1
+
+
+def test_language_model_scores_against_a_direct_sum(spark):
+    """Every score recomputed token by token from the learnt classes, the trained table and the counts."""
+    rng = random.Random(3)
+    texts = [*odd_texts(), *(prose(rng, 60, 150) for _ in range(60))]
+    docs = documents(spark, texts, ids=[None, *range(1, len(texts))])
+    s = bilinear.Settings(common=40, words=30, ends=16, classes=24, singles=5, first=12, steps=50)
+    training = docs.filter("doc_id IS NOT NULL AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 10 <> 0")
+    counts = {r.word: r.n for r in bilinear.count_words(training, s).collect()}
+    counts = {bytes(w): n for w, n in counts.items()}
+    common = bilinear.common_words(bilinear.count_words(training, s), s)
+    classes = bilinear.learnt_classes(training, common, s)
+    table = bilinear.train(bilinear.count_trigrams(training, classes, s), s)
+    assert np.allclose((10**table).sum(1), 1) and len({classes(w) for w in counts}) > 8
+    size, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        size[classes(w)] += n
+        kinds[classes(w)] += 1
+    got = bilinear.score(docs, s).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want, c2, c1 = 0.0, 0, 0
+        for w in [*(texts[r.doc_id or 0] or "").encode().lower().split(), bilinear.END]:
+            c = classes(w)
+            want += table[c2 * s.classes + c1, c] + np.log10((counts.get(w, 0) + 0.1) / (size[c] + 0.1 * (kinds[c] + 1)))
+            c2, c1 = c1, c
+        assert abs(r.score - want) < 1e-3 + 1e-6 * abs(want)
+
+
+def test_words_of_one_place_share_a_class(spark):
+    """Two kinds of words that stand after different markers are told apart by their neighbours, not by their endings."""
+    rng = random.Random(6)
+    kinds = {"after": [f"x{k}q" for k in range(20)], "before": [f"y{k}q" for k in range(20)]}
+    texts = [" ".join(f"{m} {rng.choice(ws)}" for m, ws in rng.choices(list(kinds.items()), k=40)) for _ in range(120)]
+    s = bilinear.Settings(classes=8, singles=2, first=6, words=60, ends=8)
+    common = bilinear.common_words(bilinear.count_words(documents(spark, texts), s), s)
+    classes = bilinear.learnt_classes(documents(spark, texts), common, s)
+    a, b = ({classes(w.encode()) for w in ws} for ws in kinds.values())
+    assert a.isdisjoint(b)
