@@ -272,7 +272,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
 
 def without_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, in the same columns; of rows with equal id and text one stays."""
+    """``docs`` with one row of each group of near-duplicates, in the same columns, whatever their names; of rows with equal id and text one stays."""
     kept = near_duplicates(docs, settings).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
-    return known.unionByName(docs.filter("doc_id IS NULL"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
+    known = rows.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "h"])
+    return known.select("row.*").union(docs.filter("doc_id IS NULL"))

@@ -64,7 +64,7 @@ def targets(sources: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def allot(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``docs``, which has doc_id, source and __size, with __source_size, __target and __copies. All other columns are kept, whatever their names."""
+    """``docs``, which has doc_id, source and __size, with __source_size, __target and __copies. All other columns are kept."""
     n = salts(docs.select("doc_id").count())
     digits = F.length(F.bin("__size"))
     band = digits * 8 + F.expr("shiftright(__size, greatest(length(bin(__size)) - 3, 0))")
@@ -94,7 +94,6 @@ def shares(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, in the same columns."""
-    names = docs.columns
-    dealt = allot(docs.withColumn("__size", size_of()), s)
-    return dealt.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*names)
+    """The rows of ``docs``, each as often as the mix takes it, in the same columns, whatever their names."""
+    dealt = allot(docs.select("doc_id", "source", size_of().alias("__size"), F.struct("*").alias("__row")), s)
+    return dealt.select(F.explode(F.array_repeat("__row", F.col("__copies"))).alias("row")).select("row.*")

@@ -18,8 +18,7 @@ def detect(docs: DataFrame, labels: DataFrame, settings: fm.Settings = SETTINGS,
 
 
 def clean(docs: DataFrame, labels: DataFrame, settings: fm.Settings = SETTINGS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents scored as toxic, in the same columns. Rows are judged one by one, so nothing is joined back."""
+    """``docs`` without the documents scored as toxic, in the same columns, whatever their names. Rows are judged one by one, so nothing is joined back."""
     model = fm.fit(docs, labels, "toxic", settings, PARTS)
-    names = docs.columns
-    into = "__toxicity"
-    return fm.score(docs, model, names, into).filter(F.col(into) < threshold).select(*names)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return fm.score(rows, model, ["row"]).filter(F.col("score") < threshold).select("row.*")
