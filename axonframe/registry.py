@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.operators import dense, design, evaluation, gaps, graph, lookups, losses, matrices, moments, normal, phasor, regression, resampling, selection, session, summaries, trials, windows
+from axonframe.operators import dense, design, evaluation, gaps, graph, lookups, losses, matrices, moments, normal, phasor, regression, resampling, selection, session, spatial, summaries, trials, variants, windows
 from axonframe.streaming import decode
 from axonframe.streaming import trials as decoding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (moments, regression, normal, matrices, phasor, summaries, windows, gaps, design, lookups, trials, evaluation, graph, losses, dense, resampling, selection, session, decode, decoding):
+for _module in (moments, regression, normal, matrices, phasor, summaries, variants, spatial, windows, gaps, design, lookups, trials, evaluation, graph, losses, dense, resampling, selection, session, decode, decoding):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
