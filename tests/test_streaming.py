@@ -1,11 +1,12 @@
 import numpy as np
 import pandas as pd
+import pytest
 
 from axonframe.operators.moments import pairs
 from axonframe.operators.windows import swc_scaled
 from axonframe.sources.series import daily_channels, user_series
 from axonframe.sources.tables import table
-from axonframe.streaming import decode
+from axonframe.streaming import decode, kalman
 
 from .compare import SMALL
 
@@ -60,3 +61,27 @@ def test_trial_stream_equals_batch_and_leaves_last_in_first_out(spark, tmp_path)
     d = trials.Decoder(wait=2, least=8)
     left = [trial for _, (trial, *_) in d.run([1.0, 2, 1, 3, 1, 2, 4, 1, 2, 1, 3, 2], [True, True, True] + [False] * 9)]
     assert left == [3, 2, 1]
+
+
+@pytest.mark.parametrize("kind, step", [(kalman.DIAGONAL, kalman.diagonal_step), (kalman.AR1, kalman.ar1_step)])
+def test_kalman_streams_equal_ordered_folds(spark, tmp_path, kind, step):
+    frames = user_series(table(spark, SMALL, "events")).select("sid", "t", "v").filter("sid < 4").toPandas()
+    for k, part in enumerate(np.array_split(frames.sort_values("t"), 3)):
+        part.to_parquet(tmp_path / f"{k}.parquet")
+    stream = spark.readStream.schema(decode.frames_schema()).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    got = decode.run_to_end(kalman.streamed(stream, kind, step), "update", f"kalman_{len(kind)}").toPandas()
+    last = got.sort_values("t").groupby("sid").tail(1).sort_values("sid").reset_index(drop=True)
+    want = kalman.folded(spark.createDataFrame(frames), kind, step).toPandas().sort_values("sid").reset_index(drop=True)
+    assert len(want) == 4 and last["sid"].tolist() == want["sid"].tolist() and np.allclose(last.drop(columns="sid"), want.drop(columns="sid"), rtol=1e-9)
+
+
+def test_ar1_noise_is_found(spark):
+    """A trend under AR(1) noise: rho and the slope come near the truth, the first frame is a plain update."""
+    rng = np.random.default_rng(1)
+    e, v = 0.0, []
+    for t in range(1, 1501):
+        e = 0.6 * e + rng.normal()
+        v.append((1, t, 3 + 0.02 * t + e))
+    got = kalman.folded(spark.createDataFrame(v, "sid long, t long, v double"), kalman.AR1, kalman.ar1_step).first()
+    assert abs(got.rho - 0.6) < 0.08 and abs(got.slope - 0.2) < 0.02
+    assert kalman.ar1_step(kalman.START[kalman.AR1], 10, 2.0)[:2] == pytest.approx((2000 / 2001, 2000 / 2001))
