@@ -283,58 +283,57 @@ def _voxels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select((k % 10).cast("int").alias("x"), (F.floor(k / 10) % 10).cast("int").alias("y"), F.floor(k / 100).cast("int").alias("z"), F.col("p_size").cast("double").alias("v"))
 
 
-def patches(voxels: DataFrame, size: int, stride: int) -> DataFrame:
-    """Voxels with every overlapping cube that holds them, named by its corner."""
+def patches(voxels: DataFrame, size: int, stride: int, frames: int) -> DataFrame:
+    """Voxels (x, y, z, v), z being time, with every overlapping square of the plane that holds them, named by its corner, and their window of time."""
     corners = lambda c: F.filter(F.sequence(F.floor((F.col(c) - size + stride) / stride), F.floor(F.col(c) / stride)), lambda i: i >= 0)
-    out = voxels
-    for c in "xyz":
+    out = voxels.withColumn("win", F.floor(F.col("z") / frames))
+    for c in "xy":
         out = out.withColumn(f"p{c}", F.explode(corners(c)))
     return out
 
 
 def nordic_patch(spark: SparkSession, d: str) -> DataFrame:
-    """Each overlapping patch is cut to low rank on its own; a voxel is the mean over its patches."""
+    """Each overlapping patch is cut to low rank as voxels by time; a voxel is the mean over its patches."""
 
-    def fit(px, py, pz, v, at):
-        n = int(len(v) ** 0.5)
-        m = v[: n * n].reshape(n, n)
-        z = np.concatenate([K.low_rank(m, float(m.std()) / 4 + 1e-9)[0].ravel(), v[n * n :]])
-        return [(int(a) // 10**8, int(a) // 10**4 % 10**4, int(a) % 10**4, float(x)) for a, x in zip(at, z, strict=True)]
+    def fit(px, py, win, x, y, z, v):
+        place = np.unique(x * 10_000 + y, return_inverse=True)[1]
+        m = np.zeros((place.max() + 1, z.max() - z.min() + 1))
+        m[place, z - z.min()] = v
+        cut = K.low_rank(m, float(m.std()) / 4 + 1e-9)[0]
+        return [(int(a), int(b), int(c), float(w)) for a, b, c, w in zip(x, y, z, cut[place, z - z.min()], strict=True)]
 
-    p = packed(patches(_voxels(spark, d), 4, 2), ["px", "py", "pz"], F.struct("x", "y", "z"), v=F.col("v"), at=F.col("x").cast("long") * 10**8 + F.col("y") * 10**4 + F.col("z"))
+    p = packed(patches(_voxels(spark, d), 4, 2, 10), ["px", "py", "win"], F.struct("x", "y", "z"), x=F.col("x"), y=F.col("y"), z=F.col("z"), v=F.col("v"))
     return map_rows(p, fit, "x long, y long, z long, v double").groupBy("x", "y", "z").agg(F.avg("v").alias("v"), F.count("*").alias("patches"))
 
 
-def bilateral(spark: SparkSession, d: str) -> DataFrame:
-    """Edge-keeping smoothing on slabs: a slab of 10 planes with one plane of margin on each side fits a task."""
-    slab = F.explode(F.array_distinct(F.array(F.floor((F.col("z") - 1) / 10), F.floor(F.col("z") / 10), F.floor((F.col("z") + 1) / 10))))
-    v = _voxels(spark, d).withColumn("slab", slab)
+def edge_keeping(voxels: DataFrame, radius: int, space: float, tone: float) -> DataFrame:
+    """(x, y, z, v): mean over a cube of neighbours, weighted by distance and by likeness; outside of the mask counts as 0. One equi-join, for volumes of any size."""
+    steps = [(i, j, k) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) for k in range(-radius, radius + 1)]
+    around = F.array(*(F.struct(*(F.lit(n).alias(f"d{c}") for c, n in zip("xyz", s, strict=True)), F.lit(-sum(n * n for n in s) / (2 * space**2)).alias("near")) for s in steps))
+    out = voxels.withColumn("s", F.explode(around)).select(*(F.col(c).alias(f"o{c}") for c in "xyz"), F.col("v").alias("own"), F.col("s.near").alias("near"), *((F.col(c) + F.col(f"s.d{c}")).alias(c) for c in "xyz"))
+    v = F.coalesce("v", F.lit(0.0))
+    w = out.join(voxels, ["x", "y", "z"], "left").select("ox", "oy", "oz", v.alias("v"), F.exp(F.col("near") - (v - F.col("own")) ** 2 / (2 * tone**2)).alias("w"))
+    return w.groupBy(F.col("ox").alias("x"), F.col("oy").alias("y"), F.col("oz").alias("z")).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
 
-    def fit(slab, z, y, x, v):
-        cube = np.zeros((12, 10, 10))
-        cube[z - slab * 10 + 1, y, x] = v
-        out = K.bilateral(cube, 1, 1.5, 5.0)
-        own = z // 10 == slab
-        return [(int(c), int(b), int(a), float(out[a - slab * 10 + 1, b, c])) for a, b, c in zip(z[own], y[own], x[own], strict=True)]
 
-    return map_rows(packed(v, ["slab"], F.struct("z", "y", "x"), z=F.col("z"), y=F.col("y"), x=F.col("x"), v=F.col("v")), fit, "x long, y long, z long, v double")
+def bilateral(spark: SparkSession, d: str) -> DataFrame:
+    return edge_keeping(_voxels(spark, d), 1, 1.5, 5.0).select("x", "y", "z", F.round("v", 6).alias("v"))
 
 
 def phase_corr(spark: SparkSession, d: str) -> DataFrame:
-    """Shift of each channel's 4 x 7 day grid against a copy rolled by (1, 2), and after registration the residual."""
+    """The shift in days that brings each channel onto each other one, over all days that both have."""
 
-    def fit(ch, v):
-        grid = v[:28].reshape(4, 7)
-        t = K.translation(grid, np.roll(grid, (1, 2), (0, 1)))
-        return [(ch, float(round(t[0])), float(round(t[1])))]
+    def fit(ch_i, ch_j, x, y):
+        return [(ch_i, ch_j, float(K.translation(x, y)[0]))] if len(x) > 2 else []
 
-    long = daily_channels(table(spark, d, "events"))
-    return map_rows(packed(long, ["ch"], F.col("tr"), v=F.col("v")), fit, "ch string, dx double, dy double")
+    both = pairs(daily_channels(table(spark, d, "events"))).filter("ch_i < ch_j")
+    return map_rows(packed(both, ["ch_i", "ch_j"], F.col("tr"), x=F.col("x"), y=F.col("y")), fit, "ch_i string, ch_j string, shift double")
 
 
 def acompcor(spark: SparkSession, d: str) -> DataFrame:
-    """Components of the noise pool: users whose id is divisible by 3, as a day x user Gram matrix that Spark sums up."""
-    e = table(spark, d, "events").filter("user_id % 3 = 0").groupBy("user_id", day_number().alias("tr")).agg(F.avg("value").alias("v"))
+    """Components of the noise pool, the most variable series, as a day x user Gram matrix that Spark sums up."""
+    pool = tcompcor_pool(spark, d).select(F.col("sid").alias("user_id"))
+    e = table(spark, d, "events").join(pool, "user_id", "left_semi").groupBy("user_id", day_number().alias("tr")).agg(F.avg("value").alias("v"))
     c = e.join(e.groupBy("user_id").agg(F.avg("v").alias("m")), "user_id").select("user_id", "tr", (F.col("v") - F.col("m")).alias("v"))
     gram = c.join(c.select("user_id", F.col("tr").alias("ts"), F.col("v").alias("w")), "user_id").groupBy("tr", "ts").agg(F.sum(F.col("v") * F.col("w")).alias("g")).withColumn("one", F.lit(1))
 
@@ -380,5 +379,8 @@ QUERIES = {f.__name__: f for f in (
     spd_mean_geom, eigenmaps_embed, diffusion_map, spectral_features, hilbert_envelope, band_filter, spectral_fill, sinkhorn, gromov_w, nordic, nordic_patch, bilateral, phase_corr, acompcor, glmdenoise, tcompcor_pool,
 )}
 ORACLES = {
+    "bilateral": """WITH v AS (SELECT p_partkey % 10 AS x, p_partkey // 10 % 10 AS y, p_partkey // 100 AS z, p_size AS v FROM part), o AS (SELECT v.*, a.i, b.i AS j, c.i AS k FROM v, range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i)),
+        n AS (SELECT o.x, o.y, o.z, coalesce(w.v, 0) AS q, exp(-(i * i + j * j + k * k) / 4.5 - (coalesce(w.v, 0) - o.v) ** 2 / 50.0) AS w FROM o LEFT JOIN v w ON w.x = o.x + i AND w.y = o.y + j AND w.z = o.z + k)
+        SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z, round(sum(w * q) / sum(w), 6) AS v FROM n GROUP BY 1, 2, 3""",
     "tcompcor_pool": "WITH v AS (SELECT user_id AS sid, var_pop(value) AS v FROM events GROUP BY 1), r AS (SELECT *, rank() OVER (ORDER BY v DESC) AS r, count(*) OVER () AS n FROM v) SELECT sid, round(v, 5) AS v FROM r WHERE r <= ceil(n / 10.0)",
 }
