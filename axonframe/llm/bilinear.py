@@ -132,13 +132,14 @@ def count_neighbours(docs: DataFrame, first: Classes, rows: Classes, height: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, of, at = np.zeros(height * 2 * n, np.int64), Cached(first), Cached(rows)
         for b in slices(batches):
+            ws: list[bytes] = []
             for t in b.column("text").to_pylist():
-                ws = [*t.lower().split(), END]
-                near, row = np.array(list(map(of.__getitem__, ws))), np.array(list(map(at.__getitem__, ws))) * 2 * n
-                left = np.concatenate([[0], near[:-1]])
-                cells = np.concatenate([row + left, row[:-1] + n + near[1:]])
-                found, times = np.unique(cells, return_counts=True)
-                total[found] += times
+                ws += t.lower().split()
+                ws.append(END)
+            near, row = np.array(list(map(of.__getitem__, ws))), np.array(list(map(at.__getitem__, ws))) * 2 * n
+            left = np.concatenate([[0], near[:-1]])  # after an end comes the next text's first word: the end is 0
+            right = (near != 0)[:-1]
+            total += np.bincount(np.concatenate([row + left, (row[:-1] + n + near[1:])[right]]), minlength=len(total))
         at_cells = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at_cells, pa.int64()), pa.array(total[at_cells])], ["cell", "n"])
 
@@ -225,8 +226,7 @@ def count_trigrams(docs: DataFrame, classes: Classes, s: Settings) -> np.ndarray
         for b in batches:
             for part in slices([b]):
                 cells = [contexts(np.array([*map(of.__getitem__, t.lower().split()), 0]), n) for t in part.column("text").to_pylist()]
-                found, times = np.unique(np.concatenate(cells), return_counts=True)
-                total[found] += times
+                total += np.bincount(np.concatenate(cells), minlength=n**3)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at])], ["cell", "n"])
 

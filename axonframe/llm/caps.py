@@ -14,8 +14,8 @@ sub-directions of their own: a random rotation makes the chance of a miss the sa
 one cosine, and independent codes multiply it. It is measured for one code on random pairs at the
 limit, and the number of codes is the least that brings the product to ``miss``. In dimension 64 one
 code finds 0.81 of the pairs at cosine 0.93 among 5,000 vectors, 0.67 among 100,000, 0.59 among 1M
-and 0.47 among 1G, so 6, 9, 11 and 15 codes miss one in 10,000 of them. Codes for less than 16
-dimensions are those of vectors filled up with zeros, which changes no cosine.
+and 0.47 among 1G; with a margin for the measurement 6, 9, 12 and 17 codes are taken. Codes for less than
+16 dimensions are those of vectors filled up with zeros, which changes no cosine.
 
 Vectors that share a filter and the label meet in tiles of bounded size; there the cosines of the
 original vectors are computed in double precision. A pair is counted by the first filter that both
