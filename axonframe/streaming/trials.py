@@ -3,7 +3,8 @@
 Frames are (run, t, v, onset BOOLEAN), t counting from 1. A frame lets one trial out at most: the
 latest that is ready and hasn't been out, so a backlog leaves last in, first out. The design has the
 trial's own response, that of all other trials seen, an intercept and a slow drift; noise is AR(1). The
-state is the run's frames, which a run bounds; replayed frames change nothing.
+state is the run's frames, which a run bounds; replayed frames change nothing. Frames are fitted only when
+a trial leaves, as the slow drift and the noise of all frames so far change with every frame.
 """
 
 from __future__ import annotations
@@ -48,23 +49,28 @@ class Decoder:
     def step(self, v: list[float], onsets: list[int], out: list[int]) -> tuple | None:
         """(trial, frames, mean, var, snr) if the newest frame lets a trial out."""
         n = len(v)
-        ready = [o for o in onsets if o + self.wait <= n and o not in out]
-        if not ready or n < self.least:
+        if n < self.least or len(out) == len(onsets):
             return None
-        beta, var, _ = ar1_posterior(self.design(n, onsets, max(ready)), np.array(v))
+        gone = set(out)
+        newest = next((o for o in reversed(onsets) if o + self.wait <= n and o not in gone), None)
+        if newest is None:
+            return None
+        beta, var, _ = ar1_posterior(self.design(n, onsets, newest), np.array(v))
         mean, s = float(beta[0]), float(var[0])
         if self.prior:
             p = 1 / s + 1 / self.prior[1]
             mean, s = (mean / s + self.prior[0] / self.prior[1]) / p, 1 / p
-        return max(ready), n, mean, s, abs(mean) / max(s, 1e-30) ** 0.5
+        return newest, n, mean, s, abs(mean) / max(s, 1e-30) ** 0.5
 
     def run(self, v, onset) -> Iterator[tuple[int, tuple]]:
+        seen: list[float] = []
         onsets: list[int] = []
         out: list[int] = []
-        for t in range(1, len(v) + 1):
-            if onset[t - 1]:
+        for t, (x, starts) in enumerate(zip(v, onset, strict=True), 1):
+            seen.append(x)
+            if starts:
                 onsets.append(t)
-            if got := self.step(list(v[:t]), onsets, out):
+            if got := self.step(seen, onsets, out):
                 out.append(got[0])
                 yield t, got
 
