@@ -7,7 +7,10 @@ those shorter than their rule asks are dropped after they have taken their place
 followed by a filter does.
 
 Spans count code points. Null text is empty; texts of any length are read whole. Columns other than
-doc_id and text are neither read nor returned by ``scan``; ``redact`` keeps all columns.
+doc_id and text are neither read nor returned by ``scan``; ``redact`` keeps all columns, whatever their names.
+Rows are read one by one, so repeated rows give repeated results and an empty table none. Spans of two
+kinds that begin at one place are given in the order of the kinds; where they overlap ``redact`` writes
+the mark of the first and leaves out the rest.
 """
 
 from __future__ import annotations
