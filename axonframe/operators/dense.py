@@ -1,8 +1,9 @@
 """Dense kernels over packed rows: Spark groups and shuffles, numpy works on one series or matrix at a time.
 
 A group is packed into arrays by an aggregate (so values are ordered and moved once), and kernels run
-in Arrow batches of packed rows. Groups are sessions, channels or categories; one group must fit a
-task, which these packings ensure by grouping on bounded things (a user's series, a week's matrix).
+in Arrow batches of packed rows. One group has to fit a task: that holds for channel matrices, patches
+and windows, not for a label's trials (``_patterns``) or a user's series (``_series``) on skewed data. What
+can be said in sums and joins is in ``normal``, ``matrices`` and ``spatial`` instead.
 """
 
 from __future__ import annotations
