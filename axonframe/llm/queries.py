@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.llm import bilinear, caps, minhash, mixing, packing, partitions, quality, secrets, toxicity, wrappers
+from axonframe.llm import bilinear, caps, merkle, minhash, mixing, packing, partitions, quality, secrets, toxicity, wrappers
 from axonframe.sources.tables import table
 
 
@@ -50,6 +50,10 @@ def op10_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -93,6 +97,42 @@ SELECT t.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(m.compone
 FROM embeddings t LEFT JOIN n ON n.u = t.vec_id LEFT JOIN m ON m.id = t.vec_id
 """
 
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of ASCII text: bit by bit, as DuckDB has no function for it."""
+    return f"""xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split({text}, ''), lambda ch: ord(ch)::UBIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda d, i: xor(d >> 1, (d & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"""
+
+
+def _leaf(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in fields) + ")"
+
+
+_TREE = """{name}(tree, level, pos, digest) AS (SELECT tree, 0, pos, digest FROM {leaves} UNION ALL
+    SELECT tree, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}) WHERE n > 1 GROUP BY tree, level, pos // 16)"""
+_WALK = """{name}(tree, place, level, pos, proof, node) AS (SELECT {key}, 0, pos, {proof}, {node} FROM {start} UNION ALL
+    SELECT w.tree, w.place, w.level + 1, w.pos // 16, w.proof || array_to_string(r.ds[1:w.pos % 16], '') || array_to_string(r.ds[w.pos % 16 + 2:], ''),
+    sha256(array_to_string(r.ds[1:w.pos % 16], '') || w.node || array_to_string(r.ds[w.pos % 16 + 2:], ''))
+    FROM {name} w JOIN {runs} r ON r.tree = w.tree AND r.level = w.level AND r.run = w.pos // 16)"""
+_RUNS = "{name} AS (SELECT tree, level, pos // 16 AS run, list(digest ORDER BY pos) AS ds FROM (SELECT *, count(*) OVER (PARTITION BY tree, level) AS n FROM {nodes}) WHERE n > 1 GROUP BY tree, level, pos // 16)"
+_ENDS = "{name} AS (SELECT tree, place, arg_max(proof, level) AS proof, arg_max(node, level) AS node FROM {walk} GROUP BY tree, place)"
+
+OP11_SQL = f"""
+WITH RECURSIVE l AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf("text")} AS digest, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0
+    THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS now FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM l),
+{_TREE.format(name="t", leaves="d")}, {_RUNS.format(name="tr", nodes="t")},
+s AS (SELECT tree AS of, arg_max(digest, level) AS digest, 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos FROM t GROUP BY of),
+{_TREE.format(name="u", leaves="s")}, {_RUNS.format(name="ur", nodes="u")},
+{_WALK.format(name="w", start="d", key="tree, pos", proof="''", node="coalesce(now, digest)", runs="tr")}, {_ENDS.format(name="we", walk="w")},
+a AS (SELECT doc_id, d.digest AS leaf, s.digest AS subroot, we.proof, we.node, 0 AS tree, s.pos, row_number() OVER () AS place FROM d JOIN s ON s.of = d.tree JOIN we ON we.tree = d.tree AND we.place = d.pos),
+{_WALK.format(name="x", start="a", key="tree, place", proof="proof", node="node", runs="ur")}, {_ENDS.format(name="z", walk="x")},
+top AS (SELECT arg_max(digest, level) AS root FROM u)
+SELECT doc_id, leaf, subroot, root, sha256(z.proof) AS proof_sha256, z.node AS folded_root, z.node = root AS verified FROM a JOIN z USING (place), top
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -104,5 +144,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bilinear": op8_bilinear,
     "op9_mixing": op9_mixing,
     "op10_caps": op10_caps,
+    "op11_merkle": op11_merkle,
 }
-ORACLES: dict[str, str] = {"op4_minhash": OP4_SQL, "op9_mixing": OP9_SQL, "op10_caps": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_minhash": OP4_SQL, "op9_mixing": OP9_SQL, "op10_caps": OP10_SQL, "op11_merkle": OP11_SQL}
