@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.llm import bilinear, caps, merkle, minhash, mixing, packing, partitions, quality, secrets, toxicity, wrappers
+from axonframe.llm import bilinear, caps, merkle, minhash, mixing, packing, partitions, pieces, quality, secrets, toxicity, wrappers
 from axonframe.sources.tables import table
 
 
@@ -54,6 +54,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -145,5 +149,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_caps": op10_caps,
     "op11_merkle": op11_merkle,
+    "op12_pieces": op12_pieces,
 }
 ORACLES: dict[str, str] = {"op4_minhash": OP4_SQL, "op9_mixing": OP9_SQL, "op10_caps": OP10_SQL, "op11_merkle": OP11_SQL}
