@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.llm import bilinear, caps, merkle, minhash, mixing, packing, partitions, pieces, quality, secrets, toxicity, wrappers
+from axonframe.llm import bilinear, caps, merkle, minhash, mixing, packing, partitions, pieces, prefixes, quality, secrets, toxicity, wrappers
 from axonframe.sources.tables import table
 
 
@@ -58,6 +58,10 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -137,6 +141,23 @@ top AS (SELECT arg_max(digest, level) AS root FROM u)
 SELECT doc_id, leaf, subroot, root, sha256(z.proof) AS proof_sha256, z.node AS folded_root, z.node = root AS verified FROM a JOIN z USING (place), top
 """
 
+OP13_SQL = f"""
+WITH a AS (SELECT conv_id, turn, coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) AS words, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS i, count(*) OVER (PARTITION BY conv_id) AS turns FROM a),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS p, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM own WHERE i = 1),
+r AS (SELECT c.conv_id, i, key, words FROM c JOIN own o ON o.conv_id = c.p AND o.i <= c.h UNION ALL
+    SELECT o.conv_id, o.i - c.h + least(c.h, coalesce(f.turns, 0)), o.key, o.words FROM own o JOIN c ON o.conv_id = c.conv_id AND o.i > c.h LEFT JOIN own f ON f.conv_id = c.p AND f.i = 1),
+k AS (SELECT conv_id, CAST(i AS BIGINT) AS depth, words, sha256(string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY i)) AS node FROM r),
+m AS (SELECT *, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent, count(*) OVER (PARTITION BY conv_id) AS last FROM k UNION ALL
+    SELECT conv_id, 0, 0, '', NULL, (SELECT count(*) FROM r WHERE r.conv_id = c.conv_id) FROM c),
+n AS (SELECT node, depth, parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last = depth), '')) AS ends_sha256 FROM m GROUP BY ALL),
+d AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY parent),
+x AS (SELECT n.*, coalesce(d.n_children, 0) AS n_children FROM n LEFT JOIN d USING (node)),
+s AS (SELECT m.node, sum(CAST(x.n_children = 0 AS INT)) AS n_leaves, sum((x.n_convs - 1) * x.words) AS saved_tokens FROM x JOIN m ON m.conv_id = x.conv_id AND m.depth <= x.depth GROUP BY m.node)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM x JOIN s USING (node) LEFT JOIN n p ON p.node = x.parent
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -150,5 +171,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_caps": op10_caps,
     "op11_merkle": op11_merkle,
     "op12_pieces": op12_pieces,
+    "op13_prefixes": op13_prefixes,
 }
-ORACLES: dict[str, str] = {"op4_minhash": OP4_SQL, "op9_mixing": OP9_SQL, "op10_caps": OP10_SQL, "op11_merkle": OP11_SQL}
+ORACLES: dict[str, str] = {"op4_minhash": OP4_SQL, "op9_mixing": OP9_SQL, "op10_caps": OP10_SQL, "op11_merkle": OP11_SQL, "op13_prefixes": OP13_SQL}
