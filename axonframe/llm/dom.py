@@ -38,6 +38,12 @@ ASIDE_WITHIN = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup login comment comments commentlist disqus share sharing widget toolbar pagination pager".split()
 )
 
+#: Tags and names of parts that hold no article of the page, even if they hold article elements.
+NEVER_TAGS = frozenset("aside nav footer menu".split())
+NEVER_NAMES = frozenset("comment comments commentlist reply replies respond discussion disqus related recommended recommendations nav navbar navigation menu menubar breadcrumb breadcrumbs footer ad ads advert adverts advertisement sponsored promo".split())
+#: What a reader fills in.
+CONTROLS = frozenset("input textarea select button".split())
+
 #: Elements that hold a page or its article, so that no name makes them an aside.
 HOLDERS = frozenset("# html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -47,7 +53,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: What a name may have before or after a listed word and still be that part, not something that merely has or follows it.
-PARTS = frozenset("site page main top bottom left right global primary secondary sub mobile desktop wrapper wrap container box block area section inner outer bar list item items link links button buttons content header footer icon icons text form title widget unit slot group col column row panel".split())
+PARTS = frozenset("site page main top bottom left right global primary secondary sub mobile desktop wrapper wrap container box block area section inner outer bar list item items link links button buttons content header footer icon icons text form title widget unit slot group col column row panel posts articles stories entries".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 
@@ -66,13 +72,14 @@ class Page:
 
     def __init__(self) -> None:
         self.tag, self.key, self.parent, self.end, self.closed = ["#"], ["#"], [-1], [0], [0]
-        self.aside, self.within, self.hidden = [False], [False], [False]
+        self.aside, self.within, self.hidden, self.never = [False], [False], [False], [False]
+        self.named: dict[int, bool] = {}  # articles with the name of a part, and whether it counts anywhere
         self.events: list[str | int] = [0]
 
     def open(self, tag: str, attrs: str, parent: int) -> int:
         i = len(self.tag)
         key, aside, hidden = tag, tag in ASIDE_TAGS, tag in UNREAD
-        within = aside
+        within, never = aside, tag in NEVER_TAGS
         if attrs and not attrs.isspace():
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
             if "class" in found or "id" in found:
@@ -83,6 +90,11 @@ class Page:
                 role = found.get("role", "").lower() in ASIDE_ROLES
                 within |= hidden or role or any(names_aside(n, ASIDE_WITHIN) for n in names)
                 aside |= within or any(names_aside(n, ASIDE_NAMES) for n in names)
+                never |= any(names_aside(n, NEVER_NAMES) for n in names)
+            elif tag == "article":
+                names = (*found.get("id", "").split(), *found.get("class", "").split())
+                if any(names_aside(n, ASIDE_NAMES) for n in names):
+                    self.named[i] = any(names_aside(n, ASIDE_WITHIN) for n in names)
         self.tag.append(tag)
         self.key.append(key)
         self.parent.append(parent)
@@ -91,6 +103,7 @@ class Page:
         self.aside.append(aside)
         self.within.append(within)
         self.hidden.append(hidden)
+        self.never.append(never)
         self.events.append(i)
         return i
 
@@ -154,42 +167,84 @@ def parse(text: str) -> Page:
             opened[tag] = opened.get(tag, 0) + 1
     drop_from(1)
     page.close(0)
-    free_holders(page)
+    settle(page)
     return page
 
 
-def free_holders(page: Page) -> None:
-    """What holds an article or main element, and a form around most of the page's text, are no aside; in an article fewer names count, and paragraphs never do. Hidden parts stay so."""
-    n = len(page.tag)
-    holds, in_article = [False] * n, [False] * n
+def settle(page: Page) -> None:
+    """Which marks hold, once the whole page is known.
+
+    What holds the page's article is no aside, unless it is a part like comments or related posts, or
+    another article stands outside of all marked parts; so is a form around paragraphs that has few
+    fields. Of articles in an article those with a part's name are asides. In an article fewer names
+    count, but what holds more articles keeps its mark. Hidden parts stay so.
+    """
+    n, parent, tag = len(page.tag), page.parent, page.tag
+    in_article, in_main, unseen = [False] * n, [False] * n, list(page.hidden)
     for i in range(1, n):
-        up = page.parent[i]
-        in_article[i] = in_article[up] or page.tag[up] in ("article", "main")
+        up = parent[i]
+        in_article[i] = in_article[up] or tag[up] == "article"
+        in_main[i] = in_main[up] or tag[up] == "main"
+        unseen[i] = unseen[i] or unseen[up]
+    outer = [i for i in range(1, n) if tag[i] == "article" and not in_article[i] and not unseen[i]]
+    plain = [i for i in outer if not page.named.get(i)] or outer
+    for i in range(1, n):
+        if i in page.named and (in_article[i] or i not in plain):
+            page.aside[i] = page.within[i] = True
+    free_forms(page)
+    held = plain or [i for i in range(1, n) if tag[i] == "main" and not unseen[i]]
+    above = {i: marked_above(page, i) for i in held}
+    if all(above.values()):
+        for marks in above.values():
+            if not any(page.never[k] for k in marks):
+                for k in marks:
+                    page.aside[k] = page.within[k] = False
+    holds = [False] * n
     for i in range(n - 1, 0, -1):
-        if not page.hidden[i] and (holds[i] or page.tag[i] in ("article", "main")):
-            holds[page.parent[i]] = True
+        holds[parent[i]] = holds[parent[i]] or holds[i] or tag[i] == "article"
+    for i in range(1, n):
+        if (in_article[i] or in_main[i] and not plain) and page.aside[i] and not page.within[i] and not page.hidden[i] and not holds[i]:
+            page.aside[i] = False
+
+
+def marked_above(page: Page, i: int) -> list[int]:
+    found = []
+    while (i := page.parent[i]) > 0:
+        if page.aside[i]:
+            found.append(i)
+    return found
+
+
+def free_forms(page: Page) -> None:
+    """Forms with at least half of the page's words in their paragraphs, headings and items, and at most a field for 20 of these, parts marked within not counted."""
+    n = len(page.tag)
+    if not any(page.tag[i] == "form" and page.aside[i] and not page.hidden[i] for i in range(1, n)):
+        return
+    prose, fields, words, total = [0] * n, [0] * n, [0] * n, 0
     for i in range(1, n):
-        if page.aside[i] and not page.hidden[i]:
-            if holds[i] or in_article[i] and (page.tag[i] == "p" or not page.within[i]):
-                page.aside[i] = page.within[i] = False
-    if forms := [i for i in range(1, n) if page.tag[i] == "form" and page.aside[i] and not page.hidden[i]]:
-        words = [0] * n
-        hidden, stack = [page.hidden[0]], [0]
-        for e in page.events[1:-1]:
-            if isinstance(e, str):
-                if not hidden[-1]:
-                    words[stack[-1]] += len(e.split())
-            elif e >= 0:
-                stack.append(e)
-                hidden.append(hidden[-1] or page.hidden[e])
-            else:
-                stack.pop()
-                hidden.pop()
-        for i in range(n - 1, 0, -1):
-            words[page.parent[i]] += words[i]
-        for i in forms:
-            if 2 * words[i] > words[0]:
-                page.aside[i] = page.within[i] = False
+        fields[i] = int(page.tag[i] in CONTROLS)
+    off, stack = [page.hidden[0]], [0]
+    for e in page.events[1:-1]:
+        if isinstance(e, str):
+            if not off[-1]:
+                words[stack[-1]] += len(e.split())
+        elif e >= 0:
+            stack.append(e)
+            off.append(off[-1] or page.hidden[e])
+        else:
+            stack.pop()
+            off.pop()
+    total = sum(words)
+    in_prose = [False] * n
+    for i in range(1, n):
+        in_prose[i] = in_prose[page.parent[i]] or page.tag[i] == "p" or page.tag[i] == "li" or page.tag[i] in HEADINGS
+        prose[i] = words[i] if in_prose[i] else 0
+    for i in range(n - 1, 0, -1):
+        if not (page.aside[i] and page.tag[i] not in CONTROLS):
+            prose[page.parent[i]] += prose[i]
+            fields[page.parent[i]] += fields[i]
+        if page.tag[i] == "form" and page.aside[i] and not page.hidden[i] and total and 2 * prose[i] >= total and 20 * fields[i] <= prose[i]:
+            page.aside[i] = page.within[i] = False
 
 
 def clean(text: str) -> str:

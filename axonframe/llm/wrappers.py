@@ -16,9 +16,9 @@ last matched node. Spark counts, over all different pages of a group, which text
 A page is read by aligning it with the wrapper of its group, a page whose layout is its own with that of
 its host's largest group: the content node without template. Names decide only what counts don't:
 varying parts marked as menus, comments, adverts and so on by tag, role or a whole class or id are
-left out, and an article or main element around or inside the content node bounds it. Pages without a
-wrapper (hosts with one page, no host) are read by names alone. What would be empty is read again
-with template texts, and then without names. Two or three pages that share over half of their texts
+left out, an article within such a part with it. Pages without a wrapper (hosts with one page, no
+host) are read by names alone: the articles, or the main element, or the page. What would be empty is
+read again with template texts, but never with marked parts: a page of menus, notices or forms alone has no text. Two or three pages that share over half of their texts
 are taken for near copies, whose content is kept.
 
 Wrappers are broadcast only if their measured size is small; otherwise pages and wrappers meet by
@@ -236,7 +236,7 @@ class Wrapper:
 
 
 def read(page: Page, wrapper: Wrapper | None = None, by_name: bool = True) -> str:
-    """The main text of a page. If nothing is left, template texts are read too, and then parts that only names, roles or tags mark."""
+    """The main text of a page. If nothing is left, template texts are read too; what names, roles or tags mark never is, unless ``by_name`` is taken away."""
     template = [False] * len(page.tag)
     target = None
     if wrapper:
@@ -245,17 +245,17 @@ def read(page: Page, wrapper: Wrapper | None = None, by_name: bool = True) -> st
             if own:
                 template[i] = place(slot[i]) in wrapper.slots or hashed(str(place(slot[i])), own) in wrapper.texts
         target = partner.get(wrapper.content) if wrapper.content >= 0 else None
-    for strict, named in ((True, True), (False, True), (True, False), (False, False)):
-        if by_name or not named:
-            skip = page.aside if named else page.hidden
-            roots = content_roots(page, target, skip, by_name)
-            if got := "\n".join(blocks(page, roots, skip, named, template if strict else None)):
-                return got
+    skip = page.aside if by_name else page.hidden
+    for strict in (True, False):
+        if got := "\n".join(blocks(page, content_roots(page, target, skip), skip, by_name, template if strict else None)):
+            return got
     return ""
 
 
-def content_roots(page: Page, target: int | None, skip: list[bool], by_name: bool) -> list[int]:
-    """The content node; an article or main around or inside it bounds it. Without it articles, mains or all."""
+def content_roots(page: Page, target: int | None, skip: list[bool]) -> list[int]:
+    """The content node that the alignment found. Without it the outer articles, or mains, or all."""
+    if target is not None:
+        return [target]
     outer: dict[str, list[int]] = {"article": [], "main": []}
     i = 1
     while i < len(page.tag):
@@ -266,15 +266,7 @@ def content_roots(page: Page, target: int | None, skip: list[bool], by_name: boo
         if kind is not None and not (kind and page.inside(i, kind[-1])):
             kind.append(i)
         i += 1
-    if target is None:
-        return outer["article"] or outer["main"] or [0]
-    if by_name:
-        for kind in outer.values():
-            if around := [k for k in kind if page.inside(target, k)]:
-                return around
-            if kind and all(page.inside(k, target) for k in kind):
-                return kind
-    return [target]
+    return outer["article"] or outer["main"] or [0]
 
 
 def blocks(page: Page, roots: list[int], skip: list[bool], named: bool, template: list[bool] | None) -> Iterator[str]:
@@ -419,6 +411,9 @@ def induced(refs: DataFrame, seen: DataFrame, s: Settings) -> DataFrame:
         varies(F.lit(1)).alias("kinds"), varies(F.col("pages")).alias("seen"), varies(F.col("pages") * F.col("size")).alias("chars"),
         F.sum(F.when(fixed, F.col("pages")).otherwise(0)).alias("same"), F.collect_list(F.when(fixed, F.col("text"))).alias("texts"),
     )
+    once = F.col("same") + F.col("seen") <= 1  # slots of one page count where they hang, so a group's row is bounded by its reference and by what pages share
+    numbers = [F.sum(c).alias(c) for c in ("kinds", "seen", "chars", "same")]
+    slots = slots.groupBy("group", "anchor", F.when(once, F.lit(-1)).otherwise(F.col("tail")).alias("tail")).agg(*numbers, F.flatten(F.collect_list(F.when(~once, F.col("texts")))).alias("texts"))
     gathered = slots.groupBy("group").agg(F.collect_list(F.struct("anchor", "tail", "kinds", "seen", "chars", "same", "texts")).alias("stats"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

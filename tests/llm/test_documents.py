@@ -168,7 +168,10 @@ def test_wrappers_learn_every_layout_and_small_hosts(spark):
         ("<body><article><h1 class='post-header'>Head</h1><p class='legal'>Law</p><p class='related-work'>Work</p><p>One</p></article></body>", "Head\nLaw\nWork\nOne"),
         ("<body><div class='site-footer'>f</div><div class='cookie-banner'>c</div><div class='mainNav'>n</div><p>One</p></body>", "One"),
         ("<body><div class='notice'><article><p>One</p></article></div><p>Other</p></body>", "One"),
-        ("<body><div class='comments'>Only this</div><p hidden>never</p></body>", "Only this"),
+        ("<body><div class='comments'>Only this</div><p hidden>never</p></body>", ""),
+        ("<body><nav>Menu one</nav><footer>Foot</footer></body>", ""),
+        ("<body><div class='cookie-notice'>We use cookies</div></body>", ""),
+        ("<body><form><p>Your name</p><input><button>Send</button></form></body>", ""),
     ],
 )
 def test_names_drop_no_content(html, text):
@@ -180,6 +183,43 @@ def test_no_name_empties_an_article(name):
     assert wrappers.read(dom.parse(f"<body><nav>menu</nav><article class='{name}'><p>One</p><div class='legal'>Law</div><div class='ad'>buy</div></article></body>")) == "One\nLaw"
 
 
+BESIDE = {
+    "comments in the article": "<article><h1>Head {k}</h1><p>Body {k} of the story</p><section id='comments'><article class='comment'><p>Nice {k} says {j}</p></article></section></article>",
+    "comments beside the article": "<article><h1>Head {k}</h1><p>Body {k} of the story</p></article><section class='comments'><article class='comment'><p>Nice {k} says {j}</p></article><article class='comment'><p>No {k} {j} and many more words than the story has</p></article></section>",
+    "related posts": "<article><h1>Head {k}</h1><p>Body {k} of the story</p></article><div class='related-posts'><article><p>Other {j} {k}</p></article></div>",
+    "related posts in the article": "<article><h1>Head {k}</h1><p>Body {k} of the story</p><div class='related-posts'><article><p>Other {j} {k}</p></article></div></article>",
+    "advert in a paragraph": "<article><h1>Head {k}</h1><p class='ad'>BUY {j} {k}</p><p>Body {k} of the story</p></article>",
+    "article in a form": "<form><div class='search'><input>find</div><article><h1>Head {k}</h1><p>Body {k} of the story</p></article></form>",
+}
+
+
+def beside(kind, k):
+    return f"<html><body><nav><a>Menu {k}</a></nav><main>{BESIDE[kind].format(k=k, j=k * 7 % 11)}</main><footer>Foot</footer></body></html>"
+
+
+@pytest.mark.parametrize("kind", sorted(BESIDE))
+def test_parts_beside_the_article_are_left_out_of_single_pages(kind):
+    assert wrappers.read(dom.parse(beside(kind, 3))) == "Head 3\nBody 3 of the story"
+
+
+def test_parts_beside_the_article_are_left_out_with_wrappers(spark):
+    """Twelve pages for each kind of markup on a host of its own, and pages that have no content; extra columns of any name."""
+    rows = [(100 * h + k, f"http://h{h}.example/{k}", beside(kind, k), 1, "x") for h, kind in enumerate(sorted(BESIDE)) for k in range(12)]
+    empty = [(9000 + k, f"http://empty.example/{k}", f"<body><nav>Menu {k}</nav><form><p>Name {k}</p><input></form><footer>Foot {k}</footer></body>", 1, "x") for k in range(5)]
+    df = spark.createDataFrame(rows + empty, "page_id long, url string, html string, layout int, w string")
+    got = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    assert got == {r[0]: f"Head {r[0] % 100}\nBody {r[0] % 100} of the story" for r in rows} | {r[0]: "" for r in empty}
+
+
+def test_very_long_pages_are_read_whole(spark):
+    lines = [f"Line {i} of many" for i in range(30_000)]
+    long = "<body><nav>m</nav><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article></body>"
+    other = [(k, f"http://long.example/{k}", f"<body><nav>m</nav><article><p>Short {k}</p></article></body>") for k in range(3)]
+    df = spark.createDataFrame([(9, "http://long.example/9", long), *other], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    assert got[9] == "\n".join(lines) and got[1] == "Short 1"
+
+
 def test_depth_leaks_nothing():
     deep = 5000
     assert wrappers.read(dom.parse("<body>" + "<div>" * deep + "<nav>MENU</nav><p>One</p>" + "</div>" * deep + "<p>Two</p></body>")) == "One\nTwo"
