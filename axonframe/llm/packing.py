@@ -12,7 +12,8 @@ Only the histogram reaches the driver. The plan says, for the j-th piece of a le
 and offset it takes; pieces are numbered within (length, salt) cells with the cells' counts summed
 up, so no length is numbered in one task.
 
-Defined results: null text is empty and has only the closing id; equal rows and null ids are packed
+Defined results: null text is empty and has only the closing id; a special token's name in a text is that token, as the
+tokenizer reads it by default; equal rows and null ids are packed
 like any others, very long texts in as many pieces as windows; an empty table gives an empty result.
 Columns other than doc_id and text are neither read nor returned.
 """
@@ -47,8 +48,8 @@ class Settings:
     deep: int = 4
 
 
-#: Python's split() takes these as white space and the tokenizer doesn't; texts that have them are encoded whole.
-ODD = re.compile("[\x1c-\x1f]")
+#: Python's split() takes these as white space and the tokenizer doesn't; and special tokens begin so. Texts that have them are encoded whole.
+ODD = re.compile("[\x1c-\x1f]|<\\|")
 
 
 def is_latin(text: str) -> bool:
@@ -67,15 +68,17 @@ class Words(dict):
     """Ids of words as bytes, learnt on first sight.
 
     Of plain words, letters and punctuation go to the library's merge model straight away, each
-    distinct stretch once; all other words go through the whole tokenizer.
+    distinct stretch once; all other words go through the whole tokenizer. Words over ``LONGEST``
+    characters aren't kept, so the cache is bounded in bytes too.
     """
 
+    LONGEST = 64
+
     def __init__(self, s: Settings):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(s.tokenizer))
-        self.tokenizer.encode_special_tokens = True
         self.merges, self.stretches = self.tokenizer.model.tokenize, {}
         steps = self.tokenizer.pre_tokenizer
         spell = {chr(c): "".join(t for t, _ in steps.pre_tokenize_str(chr(c))) for c in [*range(97, 123), *range(0xDF, 0x100)]}
@@ -90,7 +93,9 @@ class Words(dict):
         if got is None:
             packed = self.packed
             found = self.merges(text if text.isascii() else text.translate(self.spell))
-            got = self.stretches[text] = b"".join([packed[t.id] for t in found])
+            got = b"".join([packed[t.id] for t in found])
+            if len(text) <= self.LONGEST:
+                self.stretches[text] = got
         return got
 
     def __missing__(self, word: str) -> bytes:
@@ -100,7 +105,8 @@ class Words(dict):
         else:
             letters, marks = m.groups()
             got = self.stretch(letters) + self.stretch(marks) if marks else self.stretch(letters)
-        self[word] = got
+        if len(word) <= self.LONGEST:
+            self[word] = got
         return got
 
 

@@ -57,11 +57,10 @@ def test_secret_scan_and_redaction(spark):
 
 
 def test_packing_is_an_exact_round_trip(spark):
-    texts = [*odd_texts(), *odd_texts(7), "don't <|endoftext|> 3.14", "x\x1cy \x1f z", "Σίσυφος İ"]
+    texts = [*odd_texts(), *odd_texts(7), "don't <|endoftext|> 3.14", "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>", "QUJDRA" * 5000 + " <| |>", "x\x1cy \x1f z", "Σίσυφος İ"]
     docs = documents(spark, texts)
     got = packing.pack(docs).toPandas()
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     for i, text in enumerate(texts):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
         mine = got[got.doc_id == i].sort_values("start")
