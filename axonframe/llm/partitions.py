@@ -19,7 +19,7 @@ Defined results: null, zero and non-finite vectors and null ids take no part; ro
 are one vector. Vectors of different dimensions have no distance: each dimension is an index of its
 own, with its own queries. Ties go to the smaller vec_id. With fewer candidates than k all are
 returned. Blocks with components whose squares leave the range of doubles are compared by scaled
-differences. Columns other than vec_id and embedding are not read.
+differences. An empty table gives an empty result. Columns other than vec_id and embedding are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ class Settings:
     """``leaf``: rows of a node that is not split; ``parts``: most children of a node, a power of two; ``batch``: rows that meet a node in one group; ``broadcast_*``: what is broadcast at most."""
 
     k: int = 10
-    leaf: int = 2048
+    leaf: int = 256
     sample: int = 6000
     graph: int = 10
     parts: int = 64
