@@ -11,9 +11,12 @@ Compatibility is tested along the seam: the tokens that touch it, each from its
 its whole, with the score of the merge that takes it up. Tokens whose score others share (the runs
 of spaces) are tested by merging their joined text, as ties go by place.
 
-Texts are first cut where no merge can cross: before spaces (checked: no piece has a space after
-another character) and at line ends (in no piece). Each distinct stretch is encoded once and kept in a
-cache that is bounded by number and by length, so by bytes; longer stretches go through the table as a whole.
+Single characters needn't be looked for: where no longer piece is compatible, the last token is the last character.
+
+Texts are first cut where no merge can cross, as the pieces say: before spaces (if no piece has a
+space after another character), at line ends (if in no piece), and between a Latin letter and a mark
+that follows a letter in no piece. Each distinct stretch is encoded once and kept in a cache of two
+generations, bounded by number and by length, so by bytes; longer stretches go through the table as a whole.
 
 Defined results: null text is empty and has no ids; its decoded text is empty. Texts of any length
 are encoded whole. Characters that no piece has become their UTF-8 bytes. The special symbols'
@@ -42,11 +45,12 @@ from sentencepiece import SentencePieceProcessor
 from axonframe.llm.text import slices
 
 SPACE = "▁"
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``model``: a BPE model file of the sentencepiece library. ``cached``: stretches kept, of at most ``longest`` characters."""
+    """``model``: a BPE model file of the sentencepiece library. ``cached``: stretches kept in a generation, of at most ``longest`` characters."""
 
     model: str = "piece_bpe_32k.model"
     cached: int = 200_000
@@ -127,7 +131,8 @@ class Encoder(dict):
             tokens, split = m.merged(m.texts[t])
             if len(tokens) > 1:
                 continue  # never the result of merges
-            self.automaton.add_word(m.texts[t], t)
+            if split is not None:
+                self.automaton.add_word(m.texts[t], t)
             own = ((t, -math.inf),)
             if split is None:
                 self.at_left[t] = self.at_right[t] = own
@@ -138,8 +143,12 @@ class Encoder(dict):
         self.automaton.make_automaton()
         self.joined = {(m.known[t[:k]] << 20) | m.known[t[k:]]: m.scores[m.known[t]] for t in m.texts for k in range(1, len(t)) if t[:k] in m.known and t[k:] in m.known}
         self.fits: dict[int, bool] = {}
-        cut = r" *[^ ]+| +" if m.parts_at_spaces else r"(?s:.+)"
-        self.stretches = re.compile(rf"\n|{cut.replace('[^ ]', '[^ \n]')}" if m.parts_at_lines and m.parts_at_spaces else cut)
+        self.single = {t: k for k, t in enumerate(m.texts) if len(t) == 1}
+        after_letters = {c for t in m.texts for c in re.findall(rf"(?s)(?<=[{LATIN}]).", t)}
+        marks = "".join(re.escape(c) for c in self.single if not c.isalnum() and not c.isspace() and c not in after_letters)
+        whole = rf" *[{LATIN}]+(?=[{marks}])| *[^ \n]+| +|\n" if marks else r" *[^ \n]+| +|\n"
+        self.stretches = re.compile(whole if m.parts_at_spaces and m.parts_at_lines else r"(?s:.+)")
+        self.older: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the joined text of two tokens gives these two."""
@@ -172,13 +181,26 @@ class Encoder(dict):
 
     def table(self, text: str) -> list[int]:
         """For each prefix its last token; -1 for the empty prefix and after a character that no piece has."""
-        last, lengths, compatible = [-1] * (len(text) + 1), self.lengths, self.compatible
+        last, lengths, fits, single, filled = [-1] * (len(text) + 1), self.lengths, self.fits, self.single, 0
         for end, t in self.automaton.iter(text):
+            while filled < end:  # the prefixes before are complete
+                filled += 1
+                if last[filled] < 0:
+                    last[filled] = single.get(text[filled - 1], -1)
             end += 1
             if last[end] < 0:
                 before = last[end - lengths[t]]
-                if before < 0 or compatible(before, t):
-                    last[end] = t
+                if before >= 0:
+                    fit = fits.get((before << 20) | t)
+                    if fit is None:
+                        fit = self.compatible(before, t)
+                    if not fit:
+                        continue
+                last[end] = t
+        while filled < len(text):
+            filled += 1
+            if last[filled] < 0:
+                last[filled] = single.get(text[filled - 1], -1)
         return last
 
     def recovered(self, text: str) -> list[int]:
@@ -195,9 +217,12 @@ class Encoder(dict):
         return found
 
     def __missing__(self, stretch: str) -> bytes:
-        got = np.array(self.recovered(stretch), "<i4").tobytes()
+        got = self.older.get(stretch)
+        if got is None:
+            got = np.array(self.recovered(stretch), "<i4").tobytes()
         if len(stretch) <= self.s.longest:
             if len(self) >= self.s.cached:
+                self.older = dict(self)
                 self.clear()
             self[stretch] = got
         return got
@@ -223,14 +248,23 @@ class Decoder:
         return pa.array(texts, pa.string())
 
     def text(self, joined: bytes, ids: np.ndarray) -> str:
+        silent = np.flatnonzero(self.m.is_silent[ids])
         heard = next((i for i in ids.tolist() if not self.m.is_silent[i]), None)
         if heard is not None and self.m.is_spaced[heard]:
             joined = joined[1:]
         try:
-            return joined.decode()
+            return self.between(ids, silent) if heard is not None and len(silent) else joined.decode()
         except UnicodeDecodeError:
             return "".join(self.spelled(joined))
 
+    def between(self, ids: np.ndarray, silent: np.ndarray) -> str:
+        """Control ids part characters that are spelled in bytes."""
+        parts = [b"".join(self.m.surface[i] for i in x.tolist()) for x in np.split(ids, silent)]
+        first = next(k for k, x in enumerate(parts) if x)
+        if self.m.is_spaced[next(i for i in ids.tolist() if not self.m.is_silent[i])]:
+            parts[first] = parts[first][1:]
+        return "".join(c for x in parts for c in self.spelled(x))
+
     @staticmethod
     def spelled(data: bytes) -> Iterator[str]:
         at = 0
