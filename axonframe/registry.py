@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from axonframe.functions import scalars
 from axonframe.operators import dense, design, designs, evaluation, gaps, graph, lookups, losses, matrices, moments, normal, phasor, regression, resampling, selection, session, spatial, summaries, trials, variants, windows
-from axonframe.streaming import decode, kalman
+from axonframe.streaming import decode, kalman, tiers
 from axonframe.streaming import trials as decoding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (moments, regression, normal, designs, matrices, phasor, summaries, variants, spatial, windows, gaps, design, lookups, trials, evaluation, graph, losses, dense, resampling, selection, session, decode, decoding, kalman, scalars):
+for _module in (moments, regression, normal, designs, matrices, phasor, summaries, variants, spatial, windows, gaps, design, lookups, trials, evaluation, graph, losses, dense, resampling, selection, session, decode, decoding, kalman, tiers, scalars):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

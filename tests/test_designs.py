@@ -51,8 +51,8 @@ def test_posterior_of_a_known_ar1_process(spark):
     n, e, rows = 2000, 0.0, []
     for t in range(n):
         e = 0.6 * e + rng.normal()
-        x = [1.0, t / n, float(rng.random() < 0.1), np.cos(t / 9)]
-        rows.append((1, t, *x, float(np.dot(x, [2, -1, 3, 0.5])) + e))
+        x = [1.0, t / n, float(rng.random() < 0.1), float(np.cos(t / 9))]
+        rows.append((1, t, *x, float(np.dot(x, [2, -1, 3, 0.5]) + e)))
     names = ["x0", "x1", "x2", "x3"]
     df = spark.createDataFrame(rows, "sid long, t long, x0 double, x1 double, x2 double, x3 double, y double")
     rho = designs.lag_one(df, designs.fitted(df, ["sid"], names), names)
