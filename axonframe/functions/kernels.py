@@ -22,41 +22,6 @@ def ridge_ols(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> tuple[np.nda
     return beta, y - x @ beta, inverse
 
 
-def t_statistic(beta: np.ndarray, resid: np.ndarray, inverse: np.ndarray, contrast: np.ndarray) -> float:
-    df = len(resid) - len(beta)
-    return float(contrast @ beta / math.sqrt(max(resid @ resid / df * (contrast @ inverse @ contrast), 1e-300)))
-
-
-def f_statistic(beta: np.ndarray, resid: np.ndarray, inverse: np.ndarray, contrasts: np.ndarray) -> float:
-    cb = contrasts @ beta
-    quad = cb @ np.linalg.solve(contrasts @ inverse @ contrasts.T, cb)
-    return float(quad / len(contrasts) / max(resid @ resid / (len(resid) - len(beta)), 1e-300))
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction (Lentz)."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d, f = 1.0, 0.0, 1.0
-    for i in range(400):
-        m = i // 2
-        num = 1.0 if i == 0 else (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
-        d = 1 / ((1 + num * d) or 1e-300)
-        c = (1 + num / c) or 1e-300
-        f *= c * d
-        if abs(1 - c * d) < 1e-14:
-            break
-    return front * (f - 1)
-
-
-def t_to_p(t: float, df: float) -> float:
-    """Two-tailed p of Student's t."""
-    return incomplete_beta(df / 2, 0.5, df / (df + t * t))
-
-
 def lag_one(resid: np.ndarray, mean: float = 0.5, var: float = 0.09) -> float:
     """Lag-1 autocorrelation shrunk to a Gaussian prior, clipped to 0.99."""
     den = float(resid[:-1] @ resid[:-1])
@@ -163,16 +128,6 @@ def low_rank(z: np.ndarray, sigma: float | None = None) -> tuple[np.ndarray, int
     return (u[:, keep] * s[keep]) @ vh[keep], int(keep.sum())
 
 
-def truncate_modes(tensor: np.ndarray, sigma: float) -> tuple[np.ndarray, list[int]]:
-    """Each unfolding of a tensor cut at the noise level in turn; the ranks kept."""
-    ranks = []
-    for mode in range(tensor.ndim):
-        front = np.moveaxis(tensor, mode, 0)
-        flat, kept = low_rank(front.reshape(front.shape[0], -1), sigma)
-        tensor, ranks = np.moveaxis(flat.reshape(front.shape), 0, mode), [*ranks, kept]
-    return tensor, ranks
-
-
 # -- symmetric positive definite matrices ----------------------------------------------------------
 
 
@@ -210,14 +165,6 @@ def geometric_mean(ms: list[np.ndarray], steps: int = 10) -> np.ndarray:
     return mean
 
 
-def partial_correlation(cov: np.ndarray, l2: float = 1e-6) -> np.ndarray:
-    p = np.linalg.inv(cov + l2 * np.eye(len(cov)))
-    d = np.sqrt(np.diag(p))
-    out = -p / np.outer(d, d)
-    np.fill_diagonal(out, 1)
-    return out
-
-
 # -- spectra of graphs -----------------------------------------------------------------------------
 
 
@@ -317,18 +264,6 @@ def gromov(d1: np.ndarray, d2: np.ndarray, eps: float = 0.1, outer: int = 10, in
 # -- volumes ---------------------------------------------------------------------------------------
 
 
-def bilateral(volume: np.ndarray, radius: int = 1, space: float = 1.5, tone: float | None = None) -> np.ndarray:
-    """Edge-keeping mean over a cube of neighbours; outside counts as 0."""
-    if tone is None:
-        tone = max(1.4826 * float(np.median(np.abs(volume - np.median(volume)))), 1e-6)
-    padded, num, den = np.pad(volume, radius), np.zeros_like(volume), np.zeros_like(volume)
-    for shift in np.ndindex(*(2 * radius + 1,) * 3):
-        part = padded[tuple(slice(s, s + n) for s, n in zip(shift, volume.shape, strict=True))]
-        w = math.exp(-sum((s - radius) ** 2 for s in shift) / (2 * space**2)) * np.exp(-((part - volume) ** 2) / (2 * tone**2))
-        num, den = num + w * part, den + w
-    return num / den
-
-
 def translation(template: np.ndarray, moving: np.ndarray) -> np.ndarray:
     """The shift that brings ``moving`` onto ``template``: peak of the phase correlation, refined by parabolas."""
     cross = np.fft.fftn(template) * np.conj(np.fft.fftn(moving))

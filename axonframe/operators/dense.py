@@ -2,8 +2,8 @@
 
 A group is packed into arrays by an aggregate (so values are ordered and moved once), and kernels run
 in Arrow batches of packed rows. One group has to fit a task: that holds for channel matrices, patches
-and windows, not for a label's trials (``_patterns``) or a user's series (``_series``) on skewed data. What
-can be said in sums and joins is in ``normal``, ``matrices`` and ``spatial`` instead.
+and windows, not for a user's series (``_series``) on skewed data. What can be said in sums and joins is
+in ``normal``, ``designs``, ``matrices``, ``components`` and ``spatial`` instead.
 """
 
 from __future__ import annotations
@@ -55,12 +55,6 @@ def _channels(spark: SparkSession, d: str) -> DataFrame:
     return packed(m, ["one"], F.struct("ch_i", "ch_j"), i=F.col("ch_i"), j=F.col("ch_j"), c=F.col("c"), r=F.col("r"))
 
 
-def _patterns(spark: SparkSession, d: str) -> DataFrame:
-    """(image, x): the trials of an image by 8 features, each the sum of every eighth, flattened by trial and feature."""
-    f = trial_features(table(spark, d, "embeddings")).groupBy("image", "trial", (F.col("k") % 8).alias("k")).agg(F.sum("x").alias("x"))
-    return packed(f, ["image"], F.struct("trial", "k"), x=F.col("x"))
-
-
 def _matrix(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, list[str]]:
     """Values placed by their keys; pairs that aren't there are 0."""
     names = sorted(set(i.tolist()))
@@ -110,91 +104,6 @@ def fracridge_cv(spark: SparkSession, d: str) -> DataFrame:
     return map_rows(_series(spark, d), fit, "sid long, frac double, r2 double")
 
 
-def pca(spark: SparkSession, d: str) -> DataFrame:
-    def fit(image, x):
-        v, share = K.principal(x.reshape(-1, 8), 3)
-        return [(image, k, float(s), float(np.abs(v[k]).max())) for k, s in enumerate(share)]
-
-    return map_rows(_patterns(spark, d), fit, "image int, component long, share double, top double")
-
-
-def cca(spark: SparkSession, d: str) -> DataFrame:
-    def fit(image, x):
-        m = x.reshape(-1, 8)
-        return [(image, k, float(r)) for k, r in enumerate(K.canonical(m[:, :4], m[:, 4:]))] if len(m) > 8 else []
-
-    return map_rows(_patterns(spark, d), fit, "image int, component long, r double")
-
-
-def mv_cmi(spark: SparkSession, d: str) -> DataFrame:
-    def fit(image, x):
-        m = x.reshape(-1, 8)
-        return [(image, K.conditional_information(m[:, :2], m[:, 2:4], m[:, 4:]))] if len(m) > 8 else []
-
-    return map_rows(_patterns(spark, d), fit, "image int, information double")
-
-
-def eigenspectrum(spark: SparkSession, d: str) -> DataFrame:
-    def fit(image, x):
-        share = K.principal(x.reshape(-1, 8), 8)[1]
-        return [(image, k, float(s), float(b)) for k, (s, b) in enumerate(zip(share, K.broken_stick(len(share)), strict=True))]
-
-    return map_rows(_patterns(spark, d), fit, "image int, component long, share double, stick double")
-
-
-def broken_stick(spark: SparkSession, d: str) -> DataFrame:
-    def fit(image, x):
-        share = K.principal(x.reshape(-1, 8), 8)[1]
-        return [(image, K.leading_above(share, K.broken_stick(len(share))))]
-
-    return map_rows(_patterns(spark, d), fit, "image int, dimension long")
-
-
-def spd_tangent(spark: SparkSession, d: str) -> DataFrame:
-    """Norm of each image's covariance in the tangent space at the identity."""
-
-    def fit(image, x):
-        c = np.cov(x.reshape(-1, 8).T) + 1e-6 * np.eye(8)
-        return [(image, float(np.linalg.norm(K.tangent(c, np.eye(8)))))]
-
-    return map_rows(_patterns(spark, d), fit, "image int, norm double")
-
-
-def _logs(spark: SparkSession, d: str) -> DataFrame:
-    def fit(image, x):
-        m = K.logm(np.cov(x.reshape(-1, 8).T) + 1e-6 * np.eye(8))
-        return [(i, j, float(m[i, j])) for i in range(8) for j in range(8)]
-
-    return map_rows(_patterns(spark, d), fit, "i long, j long, v double")
-
-
-def spd_mean_logeuc(spark: SparkSession, d: str) -> DataFrame:
-    """exp of the mean log: logs in tasks, the mean per cell by Spark, one small exp at the end."""
-    mean = _logs(spark, d).groupBy("i", "j").agg(F.avg("v").alias("v")).withColumn("one", F.lit(1))
-
-    def end(one, v):
-        m = K.expm(v.reshape(8, 8))
-        return [(i, j, float(m[i, j])) for i in range(8) for j in range(8)]
-
-    return map_rows(packed(mean, ["one"], F.struct("i", "j"), v=F.col("v")), end, "i long, j long, v double")
-
-
-def spd_mean_geom(spark: SparkSession, d: str) -> DataFrame:
-    """The geometric mean of the images' covariances; one matrix per image reaches the task."""
-
-    def cov(image, x):
-        m = np.cov(x.reshape(-1, 8).T) + 1e-6 * np.eye(8)
-        return [(image, i, j, float(m[i, j])) for i in range(8) for j in range(8)]
-
-    covs = map_rows(_patterns(spark, d), cov, "image int, i long, j long, v double").withColumn("one", F.lit(1))
-
-    def end(one, v):
-        m = K.geometric_mean(list(v.reshape(-1, 8, 8)))
-        return [(i, j, float(m[i, j])) for i in range(8) for j in range(8)]
-
-    return map_rows(packed(covs, ["one"], F.struct("image", "i", "j"), v=F.col("v")), end, "i long, j long, v double")
-
-
 def eigenmaps_embed(spark: SparkSession, d: str) -> DataFrame:
     def fit(one, i, j, c, r):
         w, names = _fc(i, j, r)
@@ -270,14 +179,6 @@ def gromov_w(spark: SparkSession, d: str) -> DataFrame:
     return map_rows(_rdms(spark, d), lambda one, a, b: [("gromov", K.gromov(_full(a), _full(b)))], "measure string, value double")
 
 
-def nordic(spark: SparkSession, d: str) -> DataFrame:
-    def fit(image, x):
-        z, kept = K.low_rank(x.reshape(-1, 8).T)
-        return [(image, kept, float(np.linalg.norm(z)))]
-
-    return map_rows(_patterns(spark, d), fit, "image int, kept long, norm double")
-
-
 def _voxels(spark: SparkSession, d: str) -> DataFrame:
     """A volume from part sizes: 10 x 10 x n, one value per voxel."""
     k = F.col("p_partkey")
@@ -376,8 +277,7 @@ def tcompcor_pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    fracridge, fracridge_cv, pca, cca, mv_cmi, eigenspectrum, broken_stick, spd_tangent, spd_mean_logeuc,
-    spd_mean_geom, eigenmaps_embed, diffusion_map, spectral_features, hilbert_envelope, band_filter, spectral_fill, sinkhorn, gromov_w, nordic, nordic_patch, bilateral, phase_corr, acompcor, glmdenoise, tcompcor_pool,
+    fracridge, fracridge_cv, eigenmaps_embed, diffusion_map, spectral_features, hilbert_envelope, band_filter, spectral_fill, sinkhorn, gromov_w, nordic_patch, bilateral, phase_corr, acompcor, glmdenoise, tcompcor_pool,
 )}
 ORACLES = {
     "bilateral": """WITH v AS (SELECT p_partkey % 10 AS x, p_partkey // 10 % 10 AS y, p_partkey // 100 AS z, p_size AS v FROM part), o AS (SELECT v.*, a.i, b.i AS j, c.i AS k FROM v, range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i)),

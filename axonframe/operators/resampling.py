@@ -22,6 +22,19 @@ def repeated(df: DataFrame, times: int, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
 
+def shuffled(flat: DataFrame, draws: int, salts: int = 32) -> DataFrame:
+    """(draw, pos, k, x) of (trial, k, x): in draws from 1 each feature in an order of its own, in draw 0 all in the same.
+
+    The order is that of a hash; rows are numbered within stretches of it, whose counts are summed up.
+    """
+    u = F.when(F.col("draw") == 0, uniform(F.lit(0), F.col("trial"))).otherwise(uniform(F.col("draw"), F.col("k"), F.col("trial")))
+    placed = repeated(flat, draws + 1, "draw").withColumn("u", u).withColumn("salt", F.floor(F.col("u") * salts).cast("int"))
+    cells = placed.groupBy("draw", "k", "salt").agg(F.count("*").alias("n"))
+    based = cells.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("draw", "k").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    own = F.row_number().over(W.partitionBy("draw", "k", "salt").orderBy("u", "trial"))
+    return placed.withColumn("own", own).join(based, ["draw", "k", "salt"]).select("draw", (F.col("base") + F.col("own")).alias("pos"), "k", "x")
+
+
 def permutation_max(long: DataFrame, times: int) -> DataFrame:
     """(perm, stat): max over channels of |corr(v, permuted time)|; permutation 0 is the data. Exactly ``times`` permutations follow.
 
@@ -67,24 +80,5 @@ def noise_ceiling(spark: SparkSession, d: str) -> DataFrame:
     return out.agg(F.avg("rho").alias("lower"), F.max("rho").alias("upper"), F.count("*").alias("splits"))
 
 
-def parallel_analysis(spark: SparkSession, d: str) -> DataFrame:
-    """Variance shares of 8 folded features against 20 shuffles of each feature over the trials."""
-    import numpy as np
-
-    from axonframe.operators.dense import map_rows, packed
-
-    f = trial_features(table(spark, d, "embeddings")).groupBy("trial", (F.col("k") % 8).alias("k")).agg(F.sum("x").alias("x"))
-    moved = repeated(f, 21, "draw").withColumn("pos", F.row_number().over(W.partitionBy("draw", "k").orderBy(F.when(F.col("draw") == 0, F.lit(0.0)).otherwise(uniform("draw", "k", "trial")), "trial")))
-    cells = moved.select("draw", "pos", "k", "x")
-    cross = cells.join(cells.select("draw", "pos", F.col("k").alias("j"), F.col("x").alias("y")), ["draw", "pos"]).groupBy("draw", "k", "j").agg(F.covar_samp("x", "y").alias("c"))
-
-    def fit(draw, c):
-        w = np.linalg.eigvalsh(c.reshape(8, 8))[::-1]
-        return [(int(draw), k, float(v / w.sum())) for k, v in enumerate(w)]
-
-    shares = map_rows(packed(cross, ["draw"], F.struct("k", "j"), c=F.col("c")), fit, "draw long, component long, share double")
-    return shares.groupBy("component").agg(F.max(F.when(F.col("draw") == 0, F.col("share"))).alias("share"), F.percentile(F.when(F.col("draw") > 0, F.col("share")), F.lit(0.95)).alias("null95"))
-
-
-QUERIES = {f.__name__: f for f in (perm_max_t, bootstrap_ci, noise_ceiling, parallel_analysis)}
+QUERIES = {f.__name__: f for f in (perm_max_t, bootstrap_ci, noise_ceiling)}
 ORACLES: dict[str, str] = {}
