@@ -41,7 +41,7 @@ from axonframe.plans.session import cut
 
 @dataclass(frozen=True)
 class Settings:
-    """``leaf``: rows of a node that is not split; ``parts``: most children of a node, a power of two; ``batch``: rows that meet a node in one group; ``broadcast_*``: what is broadcast at most."""
+    """``leaf``: rows of a node that is not split; ``parts``: most children of a node, a power of two; ``batch``: rows that meet a node in one group; ``merged``: results that a task puts together; ``broadcast_*``: what is broadcast at most."""
 
     k: int = 10
     leaf: int = 256
@@ -54,6 +54,7 @@ class Settings:
     block: int = 2048
     slice: int = 1024
     batch: int = 20_000
+    merged: int = 400_000
     broadcast_bytes: int = 16_000_000
     broadcast_nodes: int = 100_000
     seed: int = 7
@@ -264,11 +265,22 @@ def compared(here: DataFrame, there: DataFrame, s: Settings) -> DataFrame:
     dealt = F.broadcast(dealt) if dealt.count() <= s.broadcast_nodes else dealt
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["node", "block", "slice"]
+    keys, names = ["node", "block", "slice"], ["query_id", "vec_id", "score"]
     candidates = here.join(dealt, "node").withColumn("block", own("blocks")).select("node", "block", every("slices").alias("slice"), F.lit(False).alias("query"), "vec_id", "v")
     queries = there.join(dealt, "node").withColumn("slice", own("slices")).select("node", every("blocks").alias("block"), "slice", F.lit(True).alias("query"), "vec_id", "v")
 
+    def best_of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, c, d = (np.concatenate(z) for z in zip(*parts, strict=True))
+        order = np.lexsort((c, d, q))
+        q, c, d = q[order], c[order], d[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < s.k
+        return q[keep], c[keep], d[keep]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's leaves are put together: of a query that visits several, only the k nearest go on."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
         for _, rows_of in groups(batches, keys):
             asks = rows_of.column("query").to_numpy()
             ids, x = rows_of.column("vec_id").to_numpy(), matrix(rows_of.column("v").combine_chunks())
@@ -276,7 +288,6 @@ def compared(here: DataFrame, there: DataFrame, s: Settings) -> DataFrame:
                 continue
             c, cid, plain = x[~asks], ids[~asks], tame(x) == 1.0
             norms = (c * c).sum(1) if plain else None
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for q, qid in zip(x[asks], ids[asks], strict=True):
                 near = cid != qid
                 if plain:
@@ -287,7 +298,15 @@ def compared(here: DataFrame, there: DataFrame, s: Settings) -> DataFrame:
                 exact = distances(c[near], q, plain)
                 best = np.lexsort((cid[near], exact))[: s.k]
                 out.append((np.full(len(best), qid), cid[near[best]], exact[best]))
-            yield pa.record_batch([pa.array(np.concatenate(z)) for z in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                held += len(best)
+            if held > s.merged:
+                out = [best_of(out)]
+                held = len(out[0][0])
+                if 2 * held > s.merged:
+                    yield pa.record_batch(list(map(pa.array, out[0])), names)
+                    out, held = [], 0
+        if out:
+            yield pa.record_batch(list(map(pa.array, best_of(out))), names)
 
     met = queries.unionByName(candidates).repartition(*keys).sortWithinPartitions(*keys)
     return met.mapInArrow(run, "query_id long, vec_id long, score double")
