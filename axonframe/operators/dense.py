@@ -19,6 +19,7 @@ from axonframe.functions import kernels as K
 from axonframe.operators.evaluation import rdm
 from axonframe.operators.moments import guarded_corr, pairs
 from axonframe.operators.trials import repeats_mean
+from axonframe.plans.ranks import ranked
 from axonframe.sources.series import daily_channels, day_number, trial_features, user_series
 from axonframe.sources.tables import table
 
@@ -271,9 +272,10 @@ def glmdenoise(spark: SparkSession, d: str) -> DataFrame:
 def tcompcor_pool(spark: SparkSession, d: str) -> DataFrame:
     """The most variable tenth of the series; ties at the cut stay."""
     v = table(spark, d, "events").groupBy(F.col("user_id").alias("sid")).agg(F.var_pop("value").alias("v"))
-    n = max(1, -(-v.count() // 10))
-    cut = v.orderBy(F.desc("v")).limit(n).agg(F.min("v")).first()[0]
-    return v.filter(F.col("v") >= F.lit(cut)).select("sid", F.round("v", 5).alias("v"))
+    placed = ranked(v, [F.desc("v"), "sid"], "place")
+    n = max(1, -(-placed.count() // 10))
+    least = placed.filter(F.col("place") == n).select("v").first()
+    return v.filter(F.col("v") >= F.lit(least["v"] if least else None)).select("sid", F.round("v", 5).alias("v"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -19,7 +19,7 @@ def fill_linear(rows: DataFrame, valid: Column) -> DataFrame:
     """Adds ``filled``: invalid samples from the nearest valid ones, weighted by inverse distance; one side alone if there is one, else 0."""
     x = F.when(valid, F.struct("t", "v"))
     left = F.last(x, ignorenulls=True).over(order().rowsBetween(W.unboundedPreceding, -1))
-    right = F.first(x, ignorenulls=True).over(order().rowsBetween(1, W.unboundedFollowing))
+    right = F.last(x, ignorenulls=True).over(W.partitionBy("sid").orderBy(F.desc("t")).rowsBetween(W.unboundedPreceding, -1))  # a running value; one that looks ahead would be sought anew for each row
     both = rows.withColumns({"l": left, "r": right})
     wl, wr = 1 / (F.col("t") - F.col("l.t")), 1 / (F.col("r.t") - F.col("t"))
     blend = (F.col("l.v") * wl + F.col("r.v") * wr) / (wl + wr)

@@ -33,7 +33,7 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: str, width: float, r
     order = W.partitionBy(cell).orderBy("pos", "node", "id")
     mark = F.when(F.col("node").isNotNull(), F.struct(F.col("pos").alias("p"), "node"))
     back = F.last(mark, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
-    ahead = F.first(mark, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
+    ahead = F.last(mark, ignorenulls=True).over(W.partitionBy(cell).orderBy(F.desc("pos"), F.desc("node"), F.desc("id")).rowsBetween(W.unboundedPreceding, -1))
     d = lambda x: F.struct(F.abs(F.col("pos") - x["p"]).alias("dist"), x["node"].alias("node"))
     best = F.least(F.when(back.isNotNull(), d(back)), F.when(ahead.isNotNull(), d(ahead)))
     found = both.withColumn("best", best).filter("id IS NOT NULL AND best IS NOT NULL")

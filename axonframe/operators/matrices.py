@@ -7,6 +7,7 @@ matrix row lives on its own, so a matrix of some thousand channels is spread ove
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from axonframe.operators.moments import covariance, pairs
@@ -142,13 +143,11 @@ def toeplitz_lags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_to_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Nations' balances laid out as the 15 pairs of 6 things, and back from the packed form."""
-    v = table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("k")).agg(F.round(F.sum("s_acctbal"), 2).alias("v"))
-    full = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k")).filter("k < 15").join(v, "k", "left").select("k", F.coalesce("v", F.lit(0.0)).alias("v"))
-    m = unpacked(full, 1.0)
-    back = packed_upper(m)
-    assert back.columns == full.columns
-    return unpacked(back, 1.0)
+    """The covariances of the channels, by their places, packed into a vector and laid out again with 1 on the diagonal."""
+    m = _cov(spark, d)
+    names = m.filter("i = j").select("i", (F.row_number().over(W.orderBy("i")) - 1).cast("long").alias("a"))
+    placed = m.join(names, "i").join(names.select(F.col("i").alias("j"), F.col("a").alias("b")), "j").select(F.col("a").alias("i"), F.col("b").alias("j"), "v")
+    return unpacked(packed_upper(placed), 1.0).select("i", "j", F.round("v", 6).alias("v"))
 
 
 def _sweeps(ridge: float, last_only: bool = False) -> str:
@@ -172,7 +171,6 @@ ORACLES = {
         SELECT round(avg(d2 * d2), 4) AS kurtosis, count(*) AS n FROM d""",
     "toeplitz_lags": f"""WITH {DAILY}, c AS (SELECT tr, v FROM long WHERE ch = 'click'), k AS (SELECT b.tr - a.tr AS k, sum(a.v * b.v) AS v FROM c a JOIN c b ON b.tr - a.tr BETWEEN 0 AND 4 GROUP BY 1)
         SELECT CAST(i.k AS BIGINT) AS i, CAST(j.k AS BIGINT) AS j, round(x.v, 5) AS v FROM k i, k j JOIN k x ON x.k = abs(i.k - j.k)""",
-    "vector_to_matrix": """WITH f AS (SELECT n_nationkey AS k, coalesce((SELECT round(sum(s_acctbal), 2) FROM supplier WHERE s_nationkey = n_nationkey), 0) AS v FROM nation WHERE n_nationkey < 15),
-        c AS (SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS k FROM range(6) a(i), range(6) b(j) WHERE i < j), u AS (SELECT i, j, v FROM c JOIN f USING (k))
-        SELECT i, j, v FROM u UNION ALL SELECT j, i, v FROM u UNION ALL SELECT i, i, 1.0 FROM range(6) a(i)""",
+    "vector_to_matrix": f"""WITH {DAILY}, o AS (SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS k FROM (SELECT DISTINCT ch FROM long))
+        SELECT x.k AS i, y.k AS j, round(CASE WHEN x.k = y.k THEN 1.0 ELSE covar_samp(a.v, b.v) END, 6) AS v FROM long a JOIN long b ON a.tr = b.tr JOIN o x ON x.ch = a.ch JOIN o y ON y.ch = b.ch GROUP BY x.k, y.k""",
 }

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from axonframe.operators.moments import guarded_corr, pairs
+from axonframe.plans.ranks import ranked, running_before
 from axonframe.sources.series import DAILY, SERIES, TRIALS, daily_channels, trial_features, user_series
 from axonframe.sources.tables import table
 
@@ -20,8 +19,7 @@ def noise_pool(r2: DataFrame, threshold: float = 0.0, most: float = 0.5) -> Data
     rows = per.withColumn("e", eligible)
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("e").cast("int")), F.lit(0)).alias("es")).withColumn("one", F.lit(1))
     low = rows.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").filter("es = 0 OR e")
-    ranked = low.withColumn("k", F.row_number().over(W.orderBy("mean", "unit")))
-    kept = ranked.filter(F.col("k") <= F.floor(F.col("n") * most)).select("unit", F.lit(True).alias("pool"))
+    kept = ranked(low, ["mean", "unit"], "k").filter(F.col("k") <= F.floor(F.col("n") * most)).select("unit", F.lit(True).alias("pool"))
     return per.join(kept, "unit", "left").select("unit", "mean", F.coalesce("pool", F.lit(False)).alias("pool"))
 
 
@@ -48,17 +46,17 @@ def condition_design(events: DataFrame, tr: float) -> DataFrame:
 
 
 def concatenated(runs: DataFrame) -> DataFrame:
-    """(run, t, at, v): runs one after the other along time; lengths are summed over runs, which are few."""
+    """(run, t, at, v): runs one after the other along time; lengths are summed up along ranges of runs."""
     sizes = runs.groupBy("run").agg(F.max("t").alias("n"))
-    before = W.orderBy("run").rowsBetween(W.unboundedPreceding, -1)
-    offset = sizes.select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return runs.join(F.broadcast(offset), "run").select("run", "t", (F.col("offset") + F.col("t")).alias("at"), "v")
+    offset = running_before(sizes, ["run"], "n", "offset").select("run", "offset")
+    return runs.join(offset, "run").select("run", "t", (F.col("offset") + F.col("t")).alias("at"), "v")
 
 
-def cosine_drift(n: int, tr: float, high_pass: float) -> list[list[float]]:
-    """The first floor(2 n tr f) + 1 discrete cosines, two at least; column 0 is constant."""
-    k = max(2, math.floor(2 * n * tr * high_pass) + 1)
-    return [[math.cos(math.pi * c * (2 * t + 1) / (2 * n)) for c in range(k)] for t in range(n)]
+def cosine_drift(rows: DataFrame, t: str, tr: float, high_pass: float) -> DataFrame:
+    """Each row with (k, drift): the first floor(2 n tr f) + 1 discrete cosines, two at least, over the n = max(t) samples, t from 1; cosine 0 is constant."""
+    n = rows.agg(F.max(t).alias("__n")).withColumn("__k", F.greatest(F.lit(2), F.floor(2 * F.col("__n") * tr * high_pass) + 1))
+    spread = rows.join(F.broadcast(n)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k") - 1)))
+    return spread.withColumn("drift", F.cos(F.pi() * F.col("k") * (2 * F.col(t) - 1) / (2 * F.col("__n")))).drop("__n", "__k")
 
 
 def hashed_uniform(seed: str, *parts: Column) -> Column:
@@ -88,7 +86,7 @@ def natural_gradient(rows: DataFrame, least: float = 1e-8) -> DataFrame:
     return rows.withColumn("next", F.col("e") / F.sum("e").over(own)).drop("e")
 
 
-def overlapping_windows(length: int, size: int, count: int, seed: str) -> Column:
+def overlapping_windows(length: Column, size: int, count: int, seed: str) -> Column:
     """Sorted starts 0 .. length - size, drawn with replacement by a hash."""
     return F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(hashed_uniform(seed, i) * (length - size + 1)).cast("long")))
 
@@ -133,18 +131,18 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
     """Images by the share of variance that they don't leave within, best first."""
     f = trial_features(table(spark, d, "embeddings"))
     score = f.groupBy("image", "k").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")).groupBy("image").agg((F.sum(F.col("m") ** 2) / F.sum(F.col("m") ** 2 + F.col("v"))).alias("score"))
-    return leaders(score.withColumn("all", F.lit(0)), "all", "image", "score", 1000).select("place", "image", F.round("score", 6).alias("score"))
+    return ranked(score, [F.desc("score"), "image"], "place").select("place", "image", F.round("score", 6).alias("score"))
 
 
 def atlas_softmax(spark: SparkSession, d: str) -> DataFrame:
-    v = user_series(table(spark, d, "events")).select(F.col("sid").alias("unit"), "t", "v").filter("t <= 20")
+    v = user_series(table(spark, d, "events")).select(F.col("sid").alias("unit"), "t", "v")
     w = v.select("unit").distinct().select("unit", (F.col("unit") % 6).alias("parcel"), (F.col("unit") % 11 / 5.0).alias("logit"))
     return softmax_parcels(v, w).select("parcel", "t", F.round("v", 6).alias("v"))
 
 
 def cortical_projection(spark: SparkSession, d: str) -> DataFrame:
     """Block start: a unit weighs most in the parcel of its own block."""
-    v = user_series(table(spark, d, "events")).select(F.col("sid").alias("unit"), "t", "v").filter("t <= 10")
+    v = user_series(table(spark, d, "events")).select(F.col("sid").alias("unit"), "t", "v")
     units = v.select("unit").distinct().withColumn("parcel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
     return softmax_parcels(v, units.withColumn("logit", F.when(F.col("unit") % 4 == F.col("parcel"), 2.0).otherwise(0.0))).select("parcel", "t", F.round("v", 6).alias("v"))
 
@@ -161,10 +159,8 @@ def concat_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def drift_basis(spark: SparkSession, d: str) -> DataFrame:
     """What the cosines explain of each channel's days: products with the basis."""
-    basis = cosine_drift(30, 1.5, 0.05)
-    cells = F.array(*(F.array(*map(F.lit, row)) for row in basis))
-    rows = daily_channels(table(spark, d, "events")).filter("tr <= 30").select("ch", "v", F.posexplode(F.element_at(cells, F.col("tr").cast("int"))).alias("k", "x"))
-    return rows.groupBy("ch", F.col("k").cast("long").alias("k")).agg(F.round(F.sum(F.col("v") * F.col("x")), 5).alias("c"))
+    rows = cosine_drift(daily_channels(table(spark, d, "events")), "tr", 1.5, 0.05)
+    return rows.groupBy("ch", "k").agg(F.round(F.sum(F.col("v") * F.col("drift")), 5).alias("c"))
 
 
 def paired_diff_ci(spark: SparkSession, d: str) -> DataFrame:
@@ -184,9 +180,10 @@ def fisher_rao(spark: SparkSession, d: str) -> DataFrame:
 
 def window_samples(spark: SparkSession, d: str) -> DataFrame:
     """Mean of each channel in 6 windows of 7 days, drawn with replacement."""
-    starts = F.posexplode(overlapping_windows(30, 7, 6, "over")).alias("win", "start")
-    rows = spark.range(1).select(starts).withColumn("tr", F.explode(F.sequence(F.col("start") + 1, F.col("start") + 7)))
-    return rows.join(daily_channels(table(spark, d, "events")), "tr").groupBy(F.col("win").cast("long").alias("win"), "start", "ch").agg(F.round(F.avg("v"), 6).alias("v"))
+    days = daily_channels(table(spark, d, "events"))
+    starts = F.posexplode(overlapping_windows(F.col("n"), 7, 6, "over")).alias("win", "start")
+    rows = days.agg(F.max("tr").alias("n")).select(starts).withColumn("tr", F.explode(F.sequence(F.col("start") + 1, F.col("start") + 7)))
+    return rows.join(days, "tr").groupBy(F.col("win").cast("long").alias("win"), "start", "ch").agg(F.round(F.avg("v"), 6).alias("v"))
 
 
 def window_modularity(spark: SparkSession, d: str) -> DataFrame:
@@ -222,19 +219,20 @@ ORACLES = {
     "leaderboard": f"""WITH {TRIALS}, m AS (SELECT image, k, avg(x) AS m, var_pop(x) AS v FROM f GROUP BY 1, 2), s AS (SELECT image, sum(m * m) / sum(m * m + v) AS score FROM m GROUP BY 1)
         SELECT row_number() OVER (ORDER BY score DESC, image) AS place, image, round(score, 6) AS score FROM s""",
     "atlas_softmax": f"""WITH {SERIES}, u AS (SELECT DISTINCT sid FROM s), w AS (SELECT sid, sid % 6 AS parcel, exp(sid % 11 / 5.0) / sum(exp(sid % 11 / 5.0)) OVER (PARTITION BY sid % 6) AS w FROM u)
-        SELECT parcel, t, round(sum(w * v), 6) AS v FROM s JOIN w USING (sid) WHERE t <= 20 GROUP BY 1, 2""",
+        SELECT parcel, t, round(sum(w * v), 6) AS v FROM s JOIN w USING (sid) GROUP BY 1, 2""",
     "cortical_projection": f"""WITH {SERIES}, u AS (SELECT DISTINCT sid FROM s), e AS (SELECT sid, parcel, CASE WHEN sid % 4 = parcel THEN exp(2.0) ELSE 1.0 END AS e FROM u, range(4) r(parcel)), w AS (SELECT sid, parcel, e / sum(e) OVER (PARTITION BY parcel) AS w FROM e)
-        SELECT parcel, t, round(sum(w * v), 6) AS v FROM s JOIN w USING (sid) WHERE t <= 10 GROUP BY 1, 2""",
+        SELECT parcel, t, round(sum(w * v), 6) AS v FROM s JOIN w USING (sid) GROUP BY 1, 2""",
     "condition_columns": """WITH n AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS col FROM (SELECT DISTINCT event_type FROM events)), o AS (SELECT user_id AS run, event_type, floor(epoch(ts)) AS o FROM events)
         SELECT DISTINCT run, CAST(round_even((o - min(o) OVER (PARTITION BY run)) / 3600.0, 0) AS BIGINT) AS tr, col FROM o JOIN n USING (event_type)""",
     "concat_runs": f"WITH {SERIES}, n AS (SELECT sid, max(t) AS n FROM s GROUP BY 1), o AS (SELECT sid, sum(n) OVER (ORDER BY sid) - n AS o FROM n) SELECT sid AS run, t, CAST(o + t AS BIGINT) AS at, round(v, 6) AS v FROM s JOIN o USING (sid)",
-    "drift_basis": f"WITH {DAILY} SELECT ch, k, round(sum(v * cos(pi() * k * (2 * (tr - 1) + 1) / 60)), 5) AS c FROM long, range(5) r(k) WHERE tr <= 30 GROUP BY 1, 2",
+    "drift_basis": f"""WITH {DAILY}, n AS (SELECT max(tr) AS n FROM long), k AS (SELECT n, unnest(range(0, CAST(greatest(2, floor(2 * n * 1.5 * 0.05) + 1) AS BIGINT))) AS k FROM n)
+        SELECT ch, k, round(sum(v * cos(pi() * k * (2 * tr - 1) / (2 * n))), 5) + 0.0 AS c FROM long, k GROUP BY 1, 2""",
     "paired_diff_ci": f"""WITH {TRIALS}, a AS (SELECT image, avg(x * x) FILTER (trial % 2 = 1) - avg(x * x) FILTER (trial % 2 = 0) AS diff FROM f GROUP BY 1), i AS (SELECT row_number() OVER (ORDER BY image) - 1 AS i, diff FROM a WHERE diff IS NOT NULL),
         b AS (SELECT b, avg(j.diff) AS m FROM i, range(200) r(b), i j WHERE j.i = CAST(floor({_U.format("'pair:' || b || ':' || i.i")} * (SELECT count(*) FROM i)) AS BIGINT) GROUP BY 1)
         SELECT (SELECT count(*) FROM i) AS n, round((SELECT avg(diff) FROM i), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0 END), 6) AS p FROM b""",
     "fisher_rao": """WITH e AS (SELECT user_id AS key, event_type AS k, count(*) AS n, avg(value) AS g FROM events GROUP BY 1, 2), p AS (SELECT *, n / sum(n) OVER (PARTITION BY key) AS p FROM e)
         SELECT key, k, round(1 / p, 6) AS metric, round(p * g, 6) AS natural, round(p * exp(-0.01 * p * g) / sum(p * exp(-0.01 * p * g)) OVER (PARTITION BY key), 6) AS next FROM p""",
-    "window_samples": f"""WITH {DAILY}, d AS (SELECT CAST(floor({_U.format("'over:' || i")} * 24) AS BIGINT) AS start FROM range(6) r(i)), n AS (SELECT row_number() OVER (ORDER BY start) - 1 AS win, start FROM d)
+    "window_samples": f"""WITH {DAILY}, d AS (SELECT CAST(floor({_U.format("'over:' || i")} * ((SELECT max(tr) FROM long) - 6)) AS BIGINT) AS start FROM range(6) r(i)), n AS (SELECT row_number() OVER (ORDER BY start) - 1 AS win, start FROM d)
         SELECT win, start, ch, round(avg(v), 6) AS v FROM n JOIN long ON tr BETWEEN start + 1 AND start + 7 GROUP BY 1, 2, 3""",
     "window_modularity": f"""WITH {DAILY}, w AS (SELECT t - 9 AS win FROM (SELECT DISTINCT tr AS t FROM long) GROUP BY t HAVING (SELECT count(DISTINCT tr) FROM long WHERE tr BETWEEN t - 9 AND t) = 10),
         r AS (SELECT win, a.ch AS i, b.ch AS j, greatest(coalesce(covar_samp(a.v, b.v) / nullif(stddev_samp(a.v) * stddev_samp(b.v), 0), 0), 0) AS w FROM w JOIN long a ON a.tr BETWEEN win AND win + 9 JOIN long b ON a.tr = b.tr AND a.ch <> b.ch GROUP BY 1, 2, 3),
