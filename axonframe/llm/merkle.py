@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.llm.ordering import numbered
+from axonframe.plans.ranks import numbered
 from axonframe.plans.session import cut
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")

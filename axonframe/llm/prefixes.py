@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from axonframe.llm.mixing import size_of
-from axonframe.llm.ordering import numbered
+from axonframe.plans.ranks import numbered
 from axonframe.plans.session import cut
 
 NONE = hashlib.sha256(b"").hexdigest()
