@@ -97,9 +97,9 @@ def bins(text: bytes, tokens: list[bytes], distinct: int, s: Settings) -> list[i
 
 
 class Features:
-    """Maps texts to features, with a word cache of bounded size; ``kept`` limits it to screened ids."""
+    """Maps texts to features, with a word cache bounded by number and by the words' length; ``kept`` limits it to screened ids."""
 
-    CACHE = 150_000
+    CACHE, LONGEST = 80_000, 64
 
     def __init__(self, s: Settings, kept: np.ndarray | None = None):
         self.s, self.cache = s, {}
@@ -109,9 +109,11 @@ class Features:
         found = word_features(word, self.s)
         if self.place is not None:
             found = [self.place[x] for x in found if x in self.place]
-        if len(self.cache) >= self.CACHE:
-            self.cache.clear()
-        self.cache[word] = got = tuple(found)
+        got = tuple(found)
+        if len(word) <= self.LONGEST:
+            if len(self.cache) >= self.CACHE:
+                self.cache.clear()
+            self.cache[word] = got
         return got
 
     def __call__(self, text: bytes) -> list[int]:

@@ -19,7 +19,8 @@ with less than 1e-10.
 Defined results: null text is empty; a text with fewer words than a shingle is one shingle; a text
 without words has the empty set and links with nothing. A null doc_id links with nothing, its
 component_id is null and it is kept. Rows that repeat a doc_id are one node. Columns other than
-doc_id and text are neither read nor returned.
+doc_id and text are neither read nor returned, whatever their names. Texts of any length are read whole. Pairs at exactly the
+limit link, as the test is in whole numbers. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -66,18 +67,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Sorted distinct 64-bit hashes of the word shingles of a text; the word cache has a bounded size."""
+    """Sorted distinct 64-bit hashes of the word shingles of a text; the word cache is bounded by number and by the words' length."""
 
-    CACHE = 150_000
+    CACHE, LONGEST = 150_000, 64
 
     def __init__(self, words: int):
         self.words, self.cache = words, {}
         self.odd = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x1234567 * k) for k in range(words)]
 
     def _hash(self, word: bytes) -> int:
-        if len(self.cache) >= self.CACHE:
-            self.cache.clear()
-        self.cache[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self.cache) >= self.CACHE:
+                self.cache.clear()
+            self.cache[word] = h
         return h
 
     def __call__(self, text: bytes) -> np.ndarray:

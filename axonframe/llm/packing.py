@@ -117,7 +117,7 @@ class Encoder:
     space are encoded whole. The caches have a bounded size.
     """
 
-    CACHE = 400_000
+    CACHE = 250_000
 
     def __init__(self, s: Settings):
         self.words, self.end = Words(s), np.array([s.end], "<u4").tobytes()
