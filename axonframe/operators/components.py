@@ -156,6 +156,14 @@ def information(m: np.ndarray, a: int, b: int, reg: float = 1e-4) -> float:
     return 0.5 * float(of(q[:a, :a]) + of(q[a : a + b, a : a + b]) - of(q[: a + b, : a + b]))
 
 
+def block_information(m: np.ndarray, k: int, reg: float = 1e-4) -> list[tuple]:
+    """(i, j, information) of all pairs of blocks of k features given all others, from the blocks of the inverse; features after the last whole block only count as given."""
+    q, one = np.linalg.inv(m + reg * np.eye(len(m))), np.eye(k)
+    at = [slice(a, a + k) for a in range(0, len(m) - k + 1, k)]
+    inner = [np.linalg.inv(q[a, a] + reg * one) for a in at]
+    return [(i, j, -0.5 * float(np.linalg.slogdet(one - inner[j] @ q[at[j], at[i]] @ inner[i] @ q[at[i], at[j]])[1])) for i in range(len(at)) for j in range(i + 1, len(at))]
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("label").alias("image"), "vec_id", F.col("embedding").alias("v"))
 
@@ -291,13 +299,62 @@ def parallel_analysis(spark: SparkSession, d: str, draws: int = 20) -> DataFrame
     return shares.groupBy("component").agg(F.max(F.when(F.col("draw") == 0, F.col("share"))).alias("share"), F.percentile(F.when(F.col("draw") > 0, F.col("share")), F.lit(0.95)).alias("null95"))
 
 
+def _blocks(spark: SparkSession, d: str, k: int) -> DataFrame:
+    whole = _vectors(spark, d).withColumn("one", F.lit(1))
+    rows = by_matrix(covariance(products(whole, ["one"]), ["one"]), ["one"], "c", lambda m, n: block_information(m, k), "i long, j long, cmi double")
+    return rows.select("i", "j", (F.round("cmi", 5) + 0.0).alias("cmi"))
+
+
+def block_cmi2(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d, 2)
+
+
+def block_cmi3(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d, 3)
+
+
 def causal_components(spark: SparkSession, d: str) -> DataFrame:
     """Runs are stretches of 100 trials."""
     return causal_shares(_vectors(spark, d).withColumn("run", F.floor(F.col("vec_id") / 100)), "run", 8)
 
 
-QUERIES = {f.__name__: f for f in (label_covariance, pca, eigenspectrum, broken_stick, cca, mv_cmi, spd_tangent, spd_mean_logeuc, spd_mean_geom, nordic, parallel_analysis, causal_components)}
+QUERIES = {f.__name__: f for f in (label_covariance, pca, eigenspectrum, broken_stick, cca, mv_cmi, spd_tangent, spd_mean_logeuc, spd_mean_geom, nordic, parallel_analysis, causal_components, block_cmi2, block_cmi3)}
+
+
+def _blocks_sql(k: int) -> str:
+    """Blocks of the inverse by sweeps of lists; determinants of what remains by expansion."""
+    e = lambda m, i, j: f"{m}[{i + 1}][{j + 1}]"
+
+    def det(m: str) -> str:
+        if k == 2:
+            return f"({e(m, 0, 0)} * {e(m, 1, 1)} - {e(m, 0, 1)} * {e(m, 1, 0)})"
+        return " + ".join(f"{e(m, 0, c)} * ({e(m, 1, (c + 1) % 3)} * {e(m, 2, (c + 2) % 3)} - {e(m, 1, (c + 2) % 3)} * {e(m, 2, (c + 1) % 3)})" for c in range(3))
+
+    def inverse(m: str) -> str:
+        if k == 2:
+            return f"[[{e(m, 1, 1)} / d, -{e(m, 0, 1)} / d], [-{e(m, 1, 0)} / d, {e(m, 0, 0)} / d]]"
+        co = lambda i, j: f"({e(m, (j + 1) % 3, (i + 1) % 3)} * {e(m, (j + 2) % 3, (i + 2) % 3)} - {e(m, (j + 1) % 3, (i + 2) % 3)} * {e(m, (j + 2) % 3, (i + 1) % 3)}) / d"
+        return "[" + ", ".join("[" + ", ".join(co(i, j) for j in range(3)) + "]" for i in range(3)) + "]"
+
+    def times(a: str, b: str) -> str:
+        return "[" + ", ".join("[" + ", ".join(" + ".join(f"{e(a, i, x)} * {e(b, x, j)}" for x in range(k)) for j in range(k)) + "]" for i in range(k)) + "]"
+
+    cut_out = lambda r, c: f"[[q[{r} * {k} + i][{c} * {k} + j] FOR j IN range(1, {k + 1})] FOR i IN range(1, {k + 1})]"
+    return f"""WITH RECURSIVE f AS (SELECT vec_id, unnest(generate_series(0, len(embedding) - 1)) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+        c AS (SELECT a.k AS i, b.k AS j, covar_samp(a.x, b.x) + CASE WHEN a.k = b.k THEN 1e-4 ELSE 0 END AS v FROM f a JOIN f b USING (vec_id) GROUP BY 1, 2),
+        l AS (SELECT i, list(v ORDER BY j) AS line FROM c GROUP BY i), m AS (SELECT list(line ORDER BY i) AS m, 0 AS p, count(*) AS n FROM l UNION ALL
+            SELECT list_transform(m, lambda line_, i: list_transform(line_, lambda v, j: CASE WHEN i - 1 = p AND j - 1 = p THEN -1 / m[p + 1][p + 1] WHEN i - 1 = p OR j - 1 = p THEN v / m[p + 1][p + 1] ELSE v - m[i][p + 1] * m[p + 1][j] / m[p + 1][p + 1] END)), p + 1, n FROM m WHERE p < n),
+        q AS (SELECT list_transform(m, lambda line_: list_transform(line_, lambda v: -v)) AS q, n // {k} AS blocks FROM m WHERE p = n),
+        b AS (SELECT x.b, list_transform({cut_out('x.b', 'x.b')}, lambda line_, i: list_transform(line_, lambda v, j: CASE WHEN i = j THEN v + 1e-4 ELSE v END)) AS s FROM q, (SELECT unnest(range(0, (SELECT blocks FROM q))) AS b) x),
+        d AS (SELECT b, s, {det('s')} AS d FROM b), v AS (SELECT b, {inverse('s')} AS s FROM d),
+        o AS (SELECT a.b AS i, b.b AS j, a.s AS si, b.s AS sj, {cut_out('b.b', 'a.b')} AS ji, {cut_out('a.b', 'b.b')} AS ij FROM v a JOIN v b ON a.b < b.b, q),
+        t AS (SELECT i, j, {times('sj', 'ji')} AS l, {times('si', 'ij')} AS r FROM o), u AS (SELECT i, j, {times('l', 'r')} AS z FROM t), w AS (SELECT i, j, list_transform(z, lambda line_, a: list_transform(line_, lambda v, b: CASE WHEN a = b THEN 1 - v ELSE -v END)) AS z FROM u)
+        SELECT i, j, round(-0.5 * ln(abs({det('z')})), 5) + 0.0 AS cmi FROM w"""
+
+
 ORACLES = {
+    "block_cmi2": _blocks_sql(2),
+    "block_cmi3": _blocks_sql(3),
     "label_covariance": """WITH f AS (SELECT vec_id, label AS image, unnest(generate_series(0, len(embedding) - 1)) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
         SELECT a.image, CAST(a.k AS INT) AS i, CAST(b.k AS INT) AS j, count(*) AS n, round(covar_samp(a.x, b.x), 6) + 0.0 AS c FROM f a JOIN f b ON a.vec_id = b.vec_id AND a.k <= b.k GROUP BY 1, 2, 3""",
 }

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from axonframe.operators.design import double_gamma
 from axonframe.operators.normal import lagged, two_tailed_p
-from axonframe.sources.series import SERIES, user_series
+from axonframe.operators.resampling import shuffled
+from axonframe.plans.session import cut
+from axonframe.sources.series import SERIES, daily_channels, user_series
 from axonframe.sources.tables import table
 
 TINY = 1e-9
@@ -76,13 +78,14 @@ def weighed(array: Column, weights: Sequence[float]) -> Column:
     return functools.reduce(operator.add, (w * array[i] for i, w in enumerate(weights) if w), F.lit(0.0))
 
 
-def contrast(fit: DataFrame, weights: Sequence[float], name: str = "c") -> DataFrame:
+def contrast(fit: DataFrame, weights: Sequence[float], name: str = "c", with_p: bool = True) -> DataFrame:
     """Adds effect, t and two-tailed p of a weighted sum of the coefficients, named after ``name``."""
     effect, df = weighed(F.col("beta"), weights), F.col("n") - len(weights)
     var = functools.reduce(operator.add, (a * b * F.col("inverse")[i][j] for i, a in enumerate(weights) for j, b in enumerate(weights) if a and b), F.lit(0.0))
     s2 = F.greatest(F.col("rss") / df, F.lit(1e-300))
     t = F.when(var > 0, effect / F.sqrt(s2 * var))
-    return fit.withColumns({f"{name}_effect": effect, f"{name}_t": t}).withColumn(f"{name}_p", two_tailed_p(F.col(f"{name}_t"), df.cast("double")))
+    found = fit.withColumns({f"{name}_effect": effect, f"{name}_t": t})
+    return found if not with_p else found.withColumn(f"{name}_p", two_tailed_p(F.col(f"{name}_t"), df.cast("double")))
 
 
 def joint(fit: DataFrame, weights: Sequence[Sequence[float]], name: str = "f") -> DataFrame:
@@ -129,6 +132,18 @@ def conjugate(rows: DataFrame, columns: Sequence[str], precision: float = 0.01,
     return fit.withColumn("var", F.transform("inverse", lambda row, i: sigma2 * row[i])).select("sid", "n", "beta", "var")
 
 
+def permutation_max_t(rows: DataFrame, design: DataFrame, columns: Sequence[str], weights: Sequence[float], times: int) -> DataFrame:
+    """(perm, t): the largest |t| of a contrast over all series (sid, t, y), with the rows of ``design`` (t, columns) as they are (perm 0) and in ``times`` other orders.
+
+    An order is shared by all series. Only times are put in order, in stretches; the fits are sums by permutation and series.
+    """
+    axis = cut(shuffled(design.select(F.col("t").alias("trial"), F.lit(0).alias("k"), F.col("t").alias("x")), times).select("draw", "pos", F.col("x").alias("t")))
+    moved = axis.join(axis.filter("draw = 0").select("pos", F.col("t").alias("from")), "pos").select(F.col("draw").alias("perm"), "t", "from")
+    drawn = moved.join(design.withColumnRenamed("t", "from"), "from").select("perm", "t", *columns)
+    fit = fitted(rows.select("sid", "t", "y").join(drawn, "t"), ["perm", "sid"], columns)
+    return contrast(fit.filter(F.col("n") > len(columns)), weights, with_p=False).groupBy("perm").agg(F.max(F.abs("c_t")).alias("t"))
+
+
 def best_response(frames: DataFrame, onsets: DataFrame, library: list[list[float]], nuisance: Sequence[str]) -> DataFrame:
     """(sid, response, r2, beta): for each series the response of ``library`` that explains most beside the ``nuisance`` columns of ``frames`` (sid, t, y, ..).
 
@@ -183,6 +198,16 @@ def conjugate_design(spark: SparkSession, d: str) -> DataFrame:
     return post.select("sid", F.round(F.col("beta")[7], 4).alias("onset"), F.round(F.col("var")[7], 4).alias("var"), F.round(F.col("beta")[0], 4).alias("one"))
 
 
+def perm_contrast_t(spark: SparkSession, d: str) -> DataFrame:
+    """The weekly wave of the channels' days against 200 orders of the days: the largest t, its 95th percentile by chance and the corrected p."""
+    days = daily_channels(table(spark, d, "events")).select(F.col("ch").alias("sid"), F.col("tr").alias("t"), F.col("v").alias("y"))
+    turn = 2 * F.pi() * F.col("t") / 7
+    design = days.select("t").distinct().select("t", F.lit(1.0).alias("one"), F.col("t").cast("double").alias("line"), F.cos(turn).alias("cos"), F.sin(turn).alias("sin"))
+    found = permutation_max_t(days, design, ["one", "line", "cos", "sin"], [0.0, 0.0, 1.0, 0.0], 200)
+    seen = found.filter("perm = 0").select(F.col("t").alias("observed"))
+    return found.filter("perm > 0").join(F.broadcast(seen)).groupBy("observed").agg(F.percentile("t", F.lit(0.95)).alias("fwer95"), F.avg((F.col("t") >= F.col("observed")).cast("double")).alias("p"), F.count("*").alias("perms"))
+
+
 def response_choice(spark: SparkSession, d: str) -> DataFrame:
     frames = _design(spark, d)
     best = best_response(frames, frames.filter("onset = 1").select("sid", "t"), LIBRARY, ["one", "line"])
@@ -210,7 +235,7 @@ _P = "list_sum([CASE WHEN i = 0 OR i = 400 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE
 _JOINT = """w AS (SELECT sid, n, greatest(m[9][9], 0) / (n - 8) AS s2, sums, m, [[-m[a][b] FOR b IN range(4, 8)] || [m[a][9]] FOR a IN range(4, 8)] || [[m[a][9] FOR a IN range(4, 8)] || [0.0]] AS g FROM f WHERE n > 10),
     js AS (SELECT sid, g AS m, 0 AS p FROM w UNION ALL SELECT sid, list_transform(m, lambda line_, i: list_transform(line_, lambda v, j: CASE WHEN i - 1 = p AND j - 1 = p THEN -1 / m[p + 1][p + 1]
         WHEN i - 1 = p OR j - 1 = p THEN v / m[p + 1][p + 1] ELSE v - m[i][p + 1] * m[p + 1][j] / m[p + 1][p + 1] END)), p + 1 FROM js WHERE p < 4)"""
-QUERIES = {f.__name__: f for f in (glm_design, glm_contrasts, ar1_design, conjugate_design, response_choice)}
+QUERIES = {f.__name__: f for f in (glm_design, glm_contrasts, ar1_design, conjugate_design, response_choice, perm_contrast_t)}
 _F8 = solve_sql("f", "x", "sid", COLUMNS)
 ORACLES = {
     "glm_design": f"WITH RECURSIVE {_X}, {_F8} SELECT sid, unnest(range(0, 8))::INT AS col, round(unnest([m[i][9] FOR i IN range(1, 9)]), 3) AS beta FROM f WHERE n > 10",
