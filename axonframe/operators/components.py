@@ -176,6 +176,42 @@ def _spd(spark: SparkSession, d: str) -> DataFrame:
     return _cov(spark, d).withColumn("c", F.col("c") + F.when(F.col("i") == F.col("j"), 1e-6).otherwise(0.0))
 
 
+def clamped(cells: DataFrame, keys: list[str], least: float = 1e-6) -> DataFrame:
+    """(keys, i, j, v): matrices (keys, i, j, n, c) with eigenvalues of ``least`` at least, whole."""
+    return by_matrix(cells, keys, "c", lambda m, n: _cells(K.spectral(m, lambda w: np.maximum(w, least))), "i long, j long, v double")
+
+
+def prewhitened(rows: DataFrame, run: str, column: str = "v", least: float = 1e-6) -> DataFrame:
+    """``rows`` with ``column`` multiplied by the inverse root of the log-Euclidean mean of the runs' covariances.
+
+    Logs are taken run by run and averaged cell by cell; the mean, one matrix of features by features, goes to every row.
+    """
+    cov = covariance(products(rows, [run], column), [run])
+    logs = by_matrix(cov, [run], "c", lambda m, n: _cells(K.logm(m)), "i long, j long, l double")
+    mean = logs.groupBy("i", "j").agg(F.avg("l").alias("l"), F.count("*").alias("n")).withColumn("one", F.lit(1))
+    root = by_matrix(mean, ["one"], "l", lambda m, n: _cells(K.spectral(K.expm(m), lambda w: 1 / np.sqrt(np.maximum(w, least)))), "i long, j long, v double")
+    lines = root.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("line"))
+    whole = lines.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("__root"))
+    times = lambda line, v: F.aggregate(F.zip_with(line, v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    v = F.col(column).cast("array<double>")
+    return rows.join(F.broadcast(whole)).withColumn(column, F.transform("__root", lambda line: times(line, v))).drop("__root")
+
+
+def consensus(rows: DataFrame, row_id: str, draws: int, share: float, column: str = "v") -> DataFrame:
+    """(draw, dimension): components above the broken stick in subsamples without replacement of ``share`` of the rows, ten at least."""
+    from axonframe.operators.resampling import shuffled
+
+    ids = cut(rows.select(F.col(row_id).alias("trial")))
+    k = max(int(ids.count() * share), 10)
+    drawn = shuffled(ids.select("trial", F.lit(0).alias("k"), F.col("trial").alias("x")), draws).filter((F.col("draw") > 0) & (F.col("pos") <= k)).select("draw", F.col("x").alias(row_id))
+
+    def of(m: np.ndarray, n: int) -> list[tuple]:
+        w = leading(m, len(m))[0]
+        return [(int(K.leading_above(w / max(w.sum(), 1e-300), K.broken_stick(len(w)))),)]
+
+    return by_matrix(covariance(products(drawn.join(rows, row_id), ["draw"], column), ["draw"]), ["draw"], "c", of, "dimension long")
+
+
 def label_covariance(spark: SparkSession, d: str) -> DataFrame:
     return _cov(spark, d).select("image", "i", "j", "n", F.round("c", 6).alias("c"))
 
@@ -313,12 +349,29 @@ def block_cmi3(spark: SparkSession, d: str) -> DataFrame:
     return _blocks(spark, d, 3)
 
 
+def spd_clamp(spark: SparkSession, d: str) -> DataFrame:
+    """Covariances of labels, whose trials may be fewer than their features, with eigenvalues of 0.001 at least."""
+    return clamped(_cov(spark, d), ["image"], 1e-3)
+
+
+def prewhitened_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Five runs, whitened by their mean covariance: what is left between the features, which the identity is near."""
+    rows = _vectors(spark, d).withColumn("run", F.col("vec_id") % 5)
+    white = covariance(products(prewhitened(rows, "run").withColumn("one", F.lit(1)), ["one"]), ["one"])
+    return white.select("i", "j", F.round("c", 6).alias("c"))
+
+
+def consensus_dimensionality(spark: SparkSession, d: str) -> DataFrame:
+    dims = consensus(_vectors(spark, d).filter("v IS NOT NULL"), "vec_id", 20, 0.8)
+    return dims.agg(F.percentile("dimension", F.lit(0.5)).alias("median"), (F.percentile("dimension", F.lit(0.75)) - F.percentile("dimension", F.lit(0.25))).alias("iqr"), F.count("*").alias("draws"))
+
+
 def causal_components(spark: SparkSession, d: str) -> DataFrame:
     """Runs are stretches of 100 trials."""
     return causal_shares(_vectors(spark, d).withColumn("run", F.floor(F.col("vec_id") / 100)), "run", 8)
 
 
-QUERIES = {f.__name__: f for f in (label_covariance, pca, eigenspectrum, broken_stick, cca, mv_cmi, spd_tangent, spd_mean_logeuc, spd_mean_geom, nordic, parallel_analysis, causal_components, block_cmi2, block_cmi3)}
+QUERIES = {f.__name__: f for f in (label_covariance, pca, eigenspectrum, broken_stick, cca, mv_cmi, spd_tangent, spd_mean_logeuc, spd_mean_geom, nordic, parallel_analysis, causal_components, block_cmi2, block_cmi3, spd_clamp, prewhitened_runs, consensus_dimensionality)}
 
 
 def _blocks_sql(k: int) -> str:

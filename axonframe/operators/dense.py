@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonframe.functions import kernels as K
+from axonframe.operators.designs import column_curve
 from axonframe.operators.evaluation import rdm
 from axonframe.operators.moments import guarded_corr, pairs
 from axonframe.operators.trials import repeats_mean
 from axonframe.plans.ranks import ranked
+from axonframe.plans.session import cut
 from axonframe.sources.series import daily_channels, day_number, trial_features, user_series
 from axonframe.sources.tables import table
 
@@ -252,21 +254,13 @@ def acompcor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def glmdenoise(spark: SparkSession, d: str) -> DataFrame:
-    """R2 of each user's drift model with 0 to 3 noise components as extra columns, averaged per count."""
-    comps = acompcor(spark, d)
-    wide = comps.groupBy("tr").pivot("component", [0, 1, 2]).agg(F.first("v")).select("tr", *(F.col(str(k)).alias(f"c{k}") for k in range(3)))
-    e = table(spark, d, "events").groupBy(F.col("user_id").alias("sid"), day_number().alias("tr")).agg(F.avg("value").alias("v")).join(wide, "tr")
-    p = packed(e, ["sid"], F.col("tr"), y=F.col("v"), c0=F.col("c0"), c1=F.col("c1"), c2=F.col("c2"))
-
-    def fit(sid, y, c0, c1, c2):
-        out = []
-        for k in range(4):
-            x = np.column_stack([K.drift_design(len(y)), c0, c1, c2])[:, : 3 + k]
-            resid = K.ridge_ols(x, y)[1] if len(y) > 6 else y - y.mean()
-            out.append((sid, k, float(1 - resid @ resid / (((y - y.mean()) ** 2).sum() + 1e-12))))
-        return out
-
-    return map_rows(p, fit, "sid long, components long, r2 double").groupBy("components").agg(F.avg("r2").alias("r2"))
+    """(components, r2, chosen): mean fit of all users and runs of ten days with 0 to 3 noise components beside a line, and the number that fits best; ties go to the smaller."""
+    wide = acompcor(spark, d).groupBy("tr").pivot("component", [0, 1, 2]).agg(F.first("v")).select("tr", *(F.col(str(k)).alias(f"c{k}") for k in range(3)))
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("sid"), day_number().alias("tr")).agg(F.avg("value").alias("y"))
+    rows = e.join(wide, "tr").withColumns({"run": F.floor((F.col("tr") - 1) / 10), "one": F.lit(1.0), "line": F.col("tr").cast("double")})
+    curve = cut(column_curve(rows, ["sid", "run"], ["one", "line"], ["c0", "c1", "c2"]).groupBy("columns").agg(F.avg("r2").alias("r2")))
+    best = curve.agg(F.max(F.struct("r2", -F.col("columns"))).alias("x")).select((-F.col("x.col2")).alias("best"))
+    return curve.join(F.broadcast(best)).select(F.col("columns").alias("components"), "r2", (F.col("columns") == F.col("best")).alias("chosen"))
 
 
 def tcompcor_pool(spark: SparkSession, d: str) -> DataFrame:

@@ -132,6 +132,24 @@ def conjugate(rows: DataFrame, columns: Sequence[str], precision: float = 0.01,
     return fit.withColumn("var", F.transform("inverse", lambda row, i: sigma2 * row[i])).select("sid", "n", "beta", "var")
 
 
+def column_curve(rows: DataFrame, keys: list[str], base: Sequence[str], more: Sequence[str], y: str = "y") -> DataFrame:
+    """(keys, columns, n, r2): how well y is fitted by ``base`` (its first column constant) with none, one, .. all of ``more``, all from one set of sums.
+
+    Groups without spread have no r2; those with fewer rows than columns are left out.
+    """
+    names = [*base, *more]
+    sums = cut(crossed(rows, keys, names, y))
+    found = None
+    for k in range(len(more) + 1):
+        p = len(base) + k
+        keep = lambda a: F.concat(F.slice(a, 1, p), F.slice(a, len(names) + 1, 1))  # noqa: B023, E731
+        part = sums.filter(F.col("n") > p).withColumn("cross", F.transform(keep(F.col("cross")), keep))
+        spread = F.col("cross")[p][p] - F.col("cross")[0][p] * F.col("cross")[0][p] / F.col("cross")[0][0]
+        fit = solved(part, p).select(*keys, F.lit(k).cast("long").alias("columns"), "n", F.when(spread > 1e-12, 1 - F.col("rss") / spread).alias("r2"))
+        found = fit if found is None else found.union(fit)
+    return found
+
+
 def permutation_max_t(rows: DataFrame, design: DataFrame, columns: Sequence[str], weights: Sequence[float], times: int) -> DataFrame:
     """(perm, t): the largest |t| of a contrast over all series (sid, t, y), with the rows of ``design`` (t, columns) as they are (perm 0) and in ``times`` other orders.
 

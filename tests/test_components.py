@@ -107,3 +107,40 @@ def test_odd_rows_and_many_groups(spark, monkeypatch):
     got_ = {(r.g, r.i, r.j): (r.n, r.c) for r in components.covariance(components.products(df, ["g"]), ["g"]).collect()}
     assert len(got_) == 31 * 6 and got_[1, 1, 1] == (4, pytest.approx(5 / 3)) and got_[None, 0, 2] == (2, pytest.approx(1.0)) and got_[7, 0, 0] == (4, 0.0)
     assert components.products(df.limit(0), ["g"]).count() == 0
+
+
+def test_clamped_whitened_and_consensus(spark, vectors):
+    label, x, ids = vectors
+    clamp = got(spark, "spd_clamp")
+    m = clamp[clamp.image == 3].pivot(index="i", columns="j", values="v").to_numpy()
+    w, v = np.linalg.eigh(np.cov(x[label == 3].T))
+    assert np.allclose(m, (v * np.maximum(w, 1e-3)) @ v.T, atol=1e-9) and np.linalg.eigvalsh(m)[0] > 1e-3 - 1e-9
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(3, 3)) + 2 * np.eye(3)
+    z = rng.normal(size=(900, 3)) @ a
+    run = np.arange(900) % 3
+    df = spark.createDataFrame([(int(r), [float(c) for c in v]) for r, v in zip(run, z, strict=True)], "run long, v array<double>")
+    white = np.array([r.v for r in components.prewhitened(df, "run").collect()])
+    mean = K.expm(np.mean([K.logm(np.cov(z[run == r].T)) for r in range(3)], 0))
+    root = K.spectral(mean, lambda w: w**-0.5)
+    assert np.allclose(np.sort(white, 0), np.sort(z @ root, 0), atol=1e-8) and np.allclose(root @ mean @ root, np.eye(3), atol=1e-9)
+    one = components.prewhitened(df.withColumn("run", df.run * 0), "run")  # one run: its own covariance, so the identity is left
+    assert np.allclose(np.cov(np.array([r.v for r in one.collect()]).T), np.eye(3), atol=1e-6)
+    row = got(spark, "consensus_dimensionality").iloc[0]
+    assert row.draws == 20 and 1 <= row["median"] <= 64 and row.iqr >= 0
+
+
+def test_fits_with_more_and_more_columns(spark):
+    from axonframe.operators import designs
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 3))
+    y = x @ [1.0, 0.5, 0.0] + rng.normal(size=60)
+    df = spark.createDataFrame([(t % 2, 1.0, *map(float, x[t]), float(y[t])) for t in range(60)], "g long, one double, a double, b double, c double, y double")
+    for r in designs.column_curve(df, ["g"], ["one", "a"], ["b", "c"]).collect():
+        at = np.arange(60) % 2 == r.g
+        z = np.column_stack([np.ones(30), x[at][:, : 1 + r.columns]])
+        left = y[at] - z @ np.linalg.lstsq(z, y[at], rcond=None)[0]
+        assert abs(r.r2 - (1 - left @ left / ((y[at] - y[at].mean()) ** 2).sum())) < 1e-9
+    rows = registry.QUERIES["glmdenoise"](spark, FOLDER).collect()
+    assert sorted(r.components for r in rows) == [0, 1, 2, 3] and [r.components for r in rows if r.chosen] == [max(rows, key=lambda r: (r.r2, -r.components)).components]
