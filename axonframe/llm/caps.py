@@ -27,7 +27,8 @@ group of copies costs one row, not its square. Members get their class's result
 
 Defined results: null, zero and non-finite vectors, null labels and null ids link with nothing. Rows
 that repeat a vec_id are one vector, see ``valid_vectors``; each is returned. Labels may be of any
-type. Vectors of another dimension than most are compared with those of their own.
+type. Vectors of another dimension than most are compared with those of their own. Pairs at exactly 0.93
+link. An empty table gives an empty result. Columns other than vec_id, embedding and label are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,4 +1,11 @@
-"""Toxicity: a factorisation machine whose pairwise terms score, say, an insult beside a group mention."""
+"""Toxicity: a factorisation machine whose pairwise terms score, say, an insult beside a group mention.
+
+Defined results: null text scores as empty text, empty texts by their bins alone, texts of any length
+whole. Null ids are never learnt from; labels that repeat an id count once, by their largest value; rows
+that repeat an id are scored one by one. A score at the threshold is toxic. Without labelled rows of both classes every
+score is the share of label 1 (0.5 without any). Empty tables give an empty result, and columns other than the
+named ones are neither read nor returned, but kept by ``clean``.
+"""
 
 from __future__ import annotations
 
