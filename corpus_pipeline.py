@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 return the columns of documents: toxic documents go, one document of each group of near-duplicates
 (five-word shingles, similarity 0.8 or more) stays, secrets are replaced in the text, documents are
 repeated or left out as the mix asks. The last returns the packed pieces.
+
+Defined results: null text counts as empty; empty texts are scored by their model, link with nothing and
+are mixed like any other row of their source; a source without a word gets no copy. Rows are judged for
+toxicity one by one; of near-duplicates the smallest doc_id stays, of rows with equal id and text one;
+rows with a null doc_id are kept as they are. Texts of any length go through whole, ties are broken by id, and
+columns other than those a stage needs are carried along whatever their names. Empty tables give an
+empty result; without labels every score is 0.5, so every document counts as toxic. Each run writes its
+stages to a folder of its own in the shared folder, which is left to whoever clears that.
 """
 
 from __future__ import annotations
