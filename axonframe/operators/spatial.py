@@ -24,9 +24,19 @@ def within(points: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
 
 
 def nearest_within(points: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
-    """(id, node, dist, weight): the nearest node, ties to the smaller; points without one in reach have weight 0."""
-    best = within(points, nodes, radius).groupBy("id").agg(F.min(F.struct("dist", "node")).alias("b"))
-    return points.select("id").join(best, "id", "left").select("id", "b.node", "b.dist", F.when(F.col("b").isNotNull(), 1.0).otherwise(0.0).alias("weight"))
+    """(id, node, dist, weight): the nearest node, ties to the smaller; points without one in reach have weight 0.
+
+    Points of one place meet the nodes once, and of the nodes of one place only the smallest can be found.
+    """
+    at = F.struct("x", "y", "z")
+    first = nodes.groupBy("x", "y", "z").agg(F.min("node").alias("node"))
+    best = within(places(points), first, radius).groupBy(F.col("id").alias("at")).agg(F.min(F.struct("dist", "node")).alias("b"))
+    return points.select("id", at.alias("at")).join(best, "at", "left").select("id", "b.node", "b.dist", F.when(F.col("b").isNotNull(), 1.0).otherwise(0.0).alias("weight"))
+def places(points: DataFrame) -> DataFrame:
+    """Distinct places of points, each named by itself."""
+    return points.select("x", "y", "z").distinct().withColumn("id", F.struct("x", "y", "z"))
+
+
 
 
 def kernel_sum(points: DataFrame, nodes: DataFrame, radius: float, kernel: Column) -> DataFrame:
