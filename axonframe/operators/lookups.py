@@ -43,11 +43,13 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: str, width: float, r
 def range_smooth(rows: DataFrame, cell: str, pos: str, value: str, radius: float, kernel: Column) -> DataFrame:
     """Row-normalised kernel average over all rows of the same cell within ``radius``; ``kernel`` is of column ``dist``.
 
-    Rows are dealt to slots of one radius and meet their own and the two next ones in an equi-join.
+    Rows of one place are one with the sum of their values and their number. Places are dealt to slots of one
+    radius and meet their own and the two next ones in an equi-join; rows get the sums of their place.
     """
     slot = F.floor(F.col(pos) / radius)
-    a = rows.select("id", cell, F.col(pos).alias("p"), F.explode(F.sequence(slot - 1, slot + 1)).alias("slot"))
-    b = rows.select(cell, F.col(pos).alias("q"), F.col(value).alias("x"), slot.alias("slot"))
+    places = rows.groupBy(cell, pos).agg(F.sum(value).alias("x"), F.count("*").alias("n"))
+    a = places.select(cell, F.col(pos).alias("p"), F.explode(F.sequence(slot - 1, slot + 1)).alias("slot"))
+    b = places.select(cell, F.col(pos).alias("q"), "x", "n", slot.alias("slot"))
     near = a.join(b, [cell, "slot"]).withColumn("dist", F.abs(F.col("p") - F.col("q"))).filter(F.col("dist") <= radius)
     w = near.withColumn("w", kernel)
     return w.groupBy("id").agg((F.sum(F.col("w") * F.col("x")) / (F.sum("w") + 1e-12)).alias("smooth"), F.count("*").alias("n"))
