@@ -56,11 +56,14 @@ def range_smooth(rows: DataFrame, cell: str, pos: str, value: str, radius: float
 
 
 def grid_laplacian(voxels: DataFrame) -> DataFrame:
-    """(i, j, v) of L = D - A over the six neighbours inside the mask (id, x, y, z)."""
+    """(i, j, v) of L = D - A over the six neighbours inside the mask (id, x, y, z).
+
+    Each join is of two sides as large as the mask, however small their stored columns are, so none is broadcast.
+    """
     steps = F.array(*(F.struct(*(F.lit(c).alias(n) for n, c in zip("xyz", s, strict=True))) for s in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))))
     out = voxels.withColumn("d", F.explode(steps)).select(F.col("id").alias("i"), *((F.col(c) + F.col(f"d.{c}")).alias(c) for c in "xyz"))
-    edges = out.join(voxels.withColumnRenamed("id", "j"), ["x", "y", "z"]).select("i", "j")
-    degree = voxels.select(F.col("id").alias("i")).join(edges.groupBy("i").count(), "i", "left").select("i", F.col("i").alias("j"), F.coalesce(F.col("count").cast("double"), F.lit(0.0)).alias("v"))
+    edges = out.join(voxels.withColumnRenamed("id", "j").hint("merge"), ["x", "y", "z"]).select("i", "j")
+    degree = voxels.select(F.col("id").alias("i")).join(edges.groupBy("i").count().hint("merge"), "i", "left").select("i", F.col("i").alias("j"), F.coalesce(F.col("count").cast("double"), F.lit(0.0)).alias("v"))
     return degree.unionByName(edges.withColumn("v", F.lit(-1.0)))
 
 

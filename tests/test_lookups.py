@@ -21,3 +21,16 @@ def test_rows_of_one_place_are_weighed_once(spark):
         d = np.abs(p - p[i])
         w = np.where(d <= 2, np.exp(-d), 0)
         assert got[i] == (pytest.approx(w @ x / w.sum()), (d <= 2).sum())
+
+
+def test_laplacian_broadcasts_no_mask(spark, capsys):
+    k = F.col("id")
+    voxels = spark.range(600).select("id", (k % 10).alias("x"), (F.floor(k / 10) % 10).alias("y"), F.floor(k / 100).alias("z")).filter("id % 7 > 0")
+    out = lookups.grid_laplacian(voxels)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    kept = {i for i in range(600) if i % 7}
+    steps = lambda i: [j for j, fine in ((i + 1, i % 10 < 9), (i - 1, i % 10 > 0), (i + 10, i // 10 % 10 < 9), (i - 10, i // 10 % 10 > 0), (i + 100, True), (i - 100, True)) if fine and j in kept]
+    want = {(i, j): -1.0 for i in kept for j in steps(i)} | {(i, i): float(len(steps(i))) for i in kept}
+    assert {(r.i, r.j): r.v for r in out.collect()} == want
