@@ -9,10 +9,14 @@ the seam, and the join is on equal cells.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axonframe.plans.session import cut
 from axonframe.sources.tables import table
 
 
@@ -68,22 +72,74 @@ def within(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     return met.filter(F.col("angle") <= radius).select("id", "other", "angle")
 
 
-def gaussian(angle: Column, scale: float) -> Column:
-    return F.exp(-angle * angle / (2 * scale * scale))
+def gaussian(angle: np.ndarray, scale: float) -> np.ndarray:
+    return np.exp(-angle * angle / (2 * scale * scale))
 
 
-def exponential(angle: Column, scale: float) -> Column:
-    return F.exp(-angle / scale)
+def exponential(angle: np.ndarray, scale: float) -> np.ndarray:
+    return np.exp(-angle / scale)
 
 
 KERNELS = {"gaussian": gaussian, "exponential": exponential}
+#: Places of a cell in a tile, and distances that a task holds at a time.
+TILE, HELD = 16_384, 1 << 17
+
+
+def units(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+
+
+def tile_sums(p: np.ndarray, q: np.ndarray, x: np.ndarray, n: np.ndarray, radius: float, kernel: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Columns of sums over the places q (unit vectors) within ``radius`` of each of p: kernel by x, kernel by n, and n."""
+    out, step, both = np.zeros((len(p), 3)), max(1, HELD // max(len(q), 1)), np.column_stack([x, n])
+    for a in range(0, len(p), step):
+        rows = p[a : a + step]
+        c = rows @ q.T
+        hit = np.flatnonzero(c >= math.cos(radius) - 1e-12)
+        h = (1 - c.ravel()[hit]) / 2
+        close = np.flatnonzero(h < 1e-4)  # there the product has lost its digits
+        row, other = np.divmod(hit[close], len(q))
+        h[close] = ((rows[row] - q[other]) ** 2).sum(1) / 4
+        angle = 2 * np.arcsin(np.sqrt(h))
+        inside = angle <= radius
+        c[:] = 0
+        c.ravel()[hit] = inside
+        out[a : a + step, 2] = c @ n
+        c.ravel()[hit] = kernel(angle) * inside
+        out[a : a + step, :2] = c @ both
+    return out
 
 
 def convolved(points: DataFrame, value: str, radius: float, scale: float, kernel: str = "gaussian") -> DataFrame:
-    """(id, v, n): the kernel mean of ``value`` over all points within ``radius``, and how many these are. Null values weigh nothing."""
-    pairs = within(points, points, radius).withColumn("w", KERNELS[kernel](F.col("angle"), scale))
-    near = pairs.join(points.select(F.col("id").alias("other"), F.col(value).alias("x")).filter("x IS NOT NULL"), "other")
-    return near.groupBy("id").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("v"), F.count("*").alias("n"))
+    """(id, v, n): the kernel mean of ``value`` over all points within ``radius``, and how many these are. Null values weigh nothing.
+
+    Pairs grow with the square of the points' density, so none is a row: a place (points of one place are one) goes to the cells
+    it can reach, and a cell's own places meet these in tiles of a bounded size, which give sums only.
+    """
+    if not 0 < radius < math.pi / 2:
+        raise ValueError("a radius lies between 0 and a quarter turn")
+    weigh = KERNELS[kernel]
+    fine = points.filter("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon", F.col(value).cast("double").alias("x"))
+    ring = ring_of(F.col("lat"), radius)
+    own = F.struct(ring.alias("ring"), cell_of(F.col("lon"), cells_in(ring, radius)).alias("cell"))
+    found = cut(fine.groupBy("lat", "lon").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("x"), F.count("x").cast("double").alias("n")).withColumn("own", own))
+    most = found.groupBy("own").count().agg(F.max("count")).first()[0] or 0
+    slices = max(1, -(-most // TILE))
+    part, every = F.pmod(F.xxhash64("lat", "lon"), F.lit(slices)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    near = found.filter("n > 0").select(F.lit(False).alias("centre"), "lat", "lon", "x", "n", F.explode(reached(F.col("lat"), F.col("lon"), radius)).alias("at"), part.alias("b"))
+    centres = found.select(F.lit(True).alias("centre"), "lat", "lon", "x", "n", F.col("own").alias("at"), part.alias("a"))
+    tiles = near.select("*", every.alias("a")).unionByName(centres.select("*", every.alias("b")))
+
+    def run(tile: pa.Table) -> pa.Table:
+        centre, lat, lon, x, n = (tile.column(c).to_numpy() for c in ("centre", "lat", "lon", "x", "n"))
+        u = units(lat, lon)
+        sums = tile_sums(u[centre], u[~centre], x[~centre], n[~centre], radius, lambda angle: weigh(angle, scale))
+        return pa.table({"lat": lat[centre], "lon": lon[centre], **{k: sums[:, c] for c, k in enumerate(("wx", "w", "n"))}})
+
+    sums = tiles.groupBy("at.ring", "at.cell", "a", "b").applyInArrow(run, "lat double, lon double, wx double, w double, n double")
+    whole = sums.groupBy("lat", "lon").agg(F.sum("wx").alias("wx"), F.sum("w").alias("w"), F.sum("n").cast("long").alias("n")).filter("n > 0")
+    rows = fine.select("id", "lat", "lon").join(whole.hint("merge"), ["lat", "lon"])
+    return rows.groupBy("id").agg((F.sum("wx") / F.sum("w")).alias("v"), F.sum("n").alias("n"))
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:

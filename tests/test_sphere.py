@@ -56,3 +56,20 @@ def test_convolution_keeps_constants_and_smooths(spark):
     with pytest.raises(ValueError):
         sphere.within(df, df, 2.0)
     assert sphere.convolved(df.limit(0), "x", 0.3, 0.1).count() == 0
+
+
+def test_convolution_of_copies_in_tiles(spark, monkeypatch, capsys):
+    """Places are weighed once, in tiles of a bounded size, and no side of a join is broadcast."""
+    k = F.col("id")
+    df = spark.range(900).select("id", ((k % 30) / 20.0 - 0.7).alias("lat"), ((k * 7 % 90) / 60.0).alias("lon"), F.when(k % 4 > 0, (k % 11).cast("double")).alias("x"))
+    monkeypatch.setattr(sphere, "TILE", 5)
+    monkeypatch.setattr(sphere, "HELD", 50)
+    out = sphere.convolved(df, "x", 0.3, 0.1)
+    out.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+    got = {r.id: (r.v, r.n) for r in out.collect()}
+    rows = df.collect()
+    p, x = np.array([(r.lat, r.lon) for r in rows]), np.array([math.nan if r.x is None else r.x for r in rows])
+    d = angles(p, p)
+    w, fine = np.where(d <= 0.3, np.exp(-(d**2) / 0.02), 0) * np.isfinite(x), np.nan_to_num(x)
+    assert got == {r.id: (pytest.approx(w[i] @ fine / w[i].sum()), ((d[i] <= 0.3) & np.isfinite(x)).sum()) for i, r in enumerate(rows)}
