@@ -40,9 +40,15 @@ def places(points: DataFrame) -> DataFrame:
 
 
 def kernel_sum(points: DataFrame, nodes: DataFrame, radius: float, kernel: Column) -> DataFrame:
-    """Row-normalised kernel average of the nodes' v within ``radius``; ``kernel`` is of column ``dist``."""
-    w = within(points, nodes, radius).withColumn("w", kernel)
-    return w.groupBy("id").agg((F.sum(F.col("w") * F.col("v")) / (F.sum("w") + 1e-12)).alias("v"), F.count("*").alias("n"))
+    """Row-normalised kernel average of the nodes' v within ``radius``; ``kernel`` is of column ``dist``.
+
+    Points of one place meet the nodes once, and nodes of one place are one with the sum of their v and their number.
+    """
+    summed = nodes.groupBy("x", "y", "z").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    w = within(places(points), summed, radius).withColumn("w", kernel)
+    sums = w.groupBy(F.col("id").alias("at")).agg(F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum(F.col("w") * F.col("n")).alias("w"), F.sum("n").alias("n"))
+    rows = points.select("id", F.struct("x", "y", "z").alias("at")).join(sums, "at")
+    return rows.groupBy("id").agg((F.sum("wv") / (F.sum("w") + 1e-12)).alias("v"), F.sum("n").alias("n"))
 
 
 def product(a: DataFrame, b: DataFrame) -> DataFrame:

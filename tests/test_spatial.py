@@ -25,3 +25,16 @@ def test_nearest_of_copies_is_found_by_place(spark, monkeypatch):
     for i in range(len(p)):
         near = d[i].min() <= 2
         assert (got[i].node, got[i].dist, got[i].weight) == ((int(d[i].argmin()), pytest.approx(d[i].min()), 1.0) if near else (None, None, 0.0))
+
+
+def test_kernel_sums_of_copies_meet_by_place(spark, monkeypatch):
+    met, whole = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda *a: met.append(whole(*a)) or met[-1])
+    (points, p, _), (nodes, q, v) = copied(spark, "id", 3), copied(spark, "node", 4)
+    nodes = nodes.withColumn("v", F.when(F.col("node") % 4 > 0, F.col("v")))
+    got = {r.id: (r.v, r.n) for r in spatial.kernel_sum(points.drop("v"), nodes, 2.0, F.exp(-F.col("dist"))).collect()}
+    assert met[0].count() <= 81
+    d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(2))
+    w, v = np.where(d <= 2, np.exp(-d), 0), np.where(np.arange(len(v)) % 4 > 0, v, 0)
+    want = {i: (pytest.approx(w[i] @ v / (w[i].sum() + 1e-12)), (d[i] <= 2).sum()) for i in range(len(p)) if (d[i] <= 2).any()}
+    assert got == want
