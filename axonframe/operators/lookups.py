@@ -27,8 +27,9 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: str, width: float, r
     """(id, node, dist): the nearest node of each point on the line ``pos`` within its ``cell``, weight 0 beyond ``reach``.
 
     Points and nodes of a cell meet in one ordered pass: the nearest node is the last before or the
-    first after, so no pairs are made. Ties go to the smaller node.
+    first after, so no pairs are made. Ties go to the smaller node; of nodes at one place only the smallest takes part.
     """
+    nodes = nodes.groupBy(cell, "pos").agg(F.min("node").alias("node"))
     both = points.select(cell, "pos", F.col("id").alias("id"), F.lit(None).cast("long").alias("node")).unionByName(nodes.select(cell, "pos", F.lit(None).cast("long").alias("id"), F.col("node")))
     order = W.partitionBy(cell).orderBy("pos", "node", "id")
     mark = F.when(F.col("node").isNotNull(), F.struct(F.col("pos").alias("p"), "node"))
@@ -51,8 +52,8 @@ def range_smooth(rows: DataFrame, cell: str, pos: str, value: str, radius: float
     a = places.select(cell, F.col(pos).alias("p"), F.explode(F.sequence(slot - 1, slot + 1)).alias("slot"))
     b = places.select(cell, F.col(pos).alias("q"), "x", "n", slot.alias("slot"))
     near = a.join(b, [cell, "slot"]).withColumn("dist", F.abs(F.col("p") - F.col("q"))).filter(F.col("dist") <= radius)
-    w = near.withColumn("w", kernel)
-    return w.groupBy("id").agg((F.sum(F.col("w") * F.col("x")) / (F.sum("w") + 1e-12)).alias("smooth"), F.count("*").alias("n"))
+    sums = near.withColumn("w", kernel).groupBy(cell, F.col("p").alias(pos)).agg(F.sum(F.col("w") * F.col("x")).alias("wx"), F.sum(F.col("w") * F.col("n")).alias("w"), F.sum("n").alias("n"))
+    return rows.select("id", cell, pos).join(sums, [cell, pos]).groupBy("id").agg((F.sum("wx") / (F.sum("w") + 1e-12)).alias("smooth"), F.sum("n").alias("n"))
 
 
 def grid_laplacian(voxels: DataFrame) -> DataFrame:

@@ -34,3 +34,10 @@ def test_laplacian_broadcasts_no_mask(spark, capsys):
     steps = lambda i: [j for j, fine in ((i + 1, i % 10 < 9), (i - 1, i % 10 > 0), (i + 10, i // 10 % 10 < 9), (i - 10, i // 10 % 10 > 0), (i + 100, True), (i - 100, True)) if fine and j in kept]
     want = {(i, j): -1.0 for i in kept for j in steps(i)} | {(i, i): float(len(steps(i))) for i in kept}
     assert {(r.i, r.j): r.v for r in out.collect()} == want
+
+
+def test_nearest_node_of_equal_nodes_is_the_smallest(spark):
+    points = spark.createDataFrame([(1, 0, 5.0), (2, 0, 1.0), (3, 0, 3.0), (4, 1, 0.0)], "id long, cell int, pos double")
+    nodes = spark.createDataFrame([(n, 0, p) for n, p in ((9, 4.0), (7, 4.0), (8, 4.0), (5, 2.0), (6, 2.0))], "node long, cell int, pos double")
+    got = {r.id: (r.node, r.dist) for r in lookups.nearest_node(points, nodes, "cell", 1.0, 10.0).collect()}
+    assert got == {1: (7, 1.0), 2: (5, 1.0), 3: (5, 1.0)}
