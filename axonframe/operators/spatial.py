@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from axonframe.operators.lookups import grid_laplacian
 from axonframe.operators.selection import eroded
+from axonframe.plans.session import cut
 from axonframe.sources.tables import table
 
+#: Entries of a sparse matrix in a task of its products.
+ENTRIES = 100_000
+
 
 def within(points: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
     """(id, node, dist, ...) of all pairs of points (id, x, y, z) and nodes (node, x, y, z, ...) no further than ``radius``.
@@ -23,6 +27,11 @@ def within(points: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["cx", "cy", "cz"]).withColumn("dist", dist).filter(F.col("dist") <= radius).drop("cx", "cy", "cz", "px", "py", "pz", "x", "y", "z")
 
 
+def places(points: DataFrame) -> DataFrame:
+    """Distinct places of points, each named by itself."""
+    return points.select("x", "y", "z").distinct().withColumn("id", F.struct("x", "y", "z"))
+
+
 def nearest_within(points: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
     """(id, node, dist, weight): the nearest node, ties to the smaller; points without one in reach have weight 0.
 
@@ -32,11 +41,6 @@ def nearest_within(points: DataFrame, nodes: DataFrame, radius: float) -> DataFr
     first = nodes.groupBy("x", "y", "z").agg(F.min("node").alias("node"))
     best = within(places(points), first, radius).groupBy(F.col("id").alias("at")).agg(F.min(F.struct("dist", "node")).alias("b"))
     return points.select("id", at.alias("at")).join(best, "at", "left").select("id", "b.node", "b.dist", F.when(F.col("b").isNotNull(), 1.0).otherwise(0.0).alias("weight"))
-def places(points: DataFrame) -> DataFrame:
-    """Distinct places of points, each named by itself."""
-    return points.select("x", "y", "z").distinct().withColumn("id", F.struct("x", "y", "z"))
-
-
 
 
 def kernel_sum(points: DataFrame, nodes: DataFrame, radius: float, kernel: Column) -> DataFrame:
@@ -52,9 +56,16 @@ def kernel_sum(points: DataFrame, nodes: DataFrame, radius: float, kernel: Colum
 
 
 def product(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, v) of a b, both sparse (i, j, v)."""
-    right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("w"))
-    return a.select("i", F.col("j").alias("k"), "v").join(right, "k").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    """(i, j, v) of a b, both sparse (i, j, v) and stored, as they are counted first.
+
+    Both the entries that meet and the products that are summed up are dealt to as many tasks as there are
+    entries for, so what a task holds doesn't grow with the matrices.
+    """
+    tasks = max(1, -(-a.count() // ENTRIES))
+    left = a.select("i", F.col("j").alias("k"), "v").repartition(tasks, "k")
+    right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("w")).repartition(tasks, "k")
+    met = left.join(right, "k").select("i", "j", (F.col("v") * F.col("w")).alias("v")).repartition(tasks, "i", "j")
+    return met.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def _grid(spark: SparkSession, d: str, keep: str) -> DataFrame:
@@ -79,7 +90,7 @@ def spatial_conv(spark: SparkSession, d: str) -> DataFrame:
 
 def laplacian_square(spark: SparkSession, d: str) -> DataFrame:
     """L'L of the six-neighbour graph, by which estimates are smoothed."""
-    lap = grid_laplacian(_grid(spark, d, "p_size > 5"))
+    lap = cut(grid_laplacian(_grid(spark, d, "p_size > 5")))
     return product(lap.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), lap).filter("v <> 0")
 
 

@@ -38,3 +38,16 @@ def test_kernel_sums_of_copies_meet_by_place(spark, monkeypatch):
     w, v = np.where(d <= 2, np.exp(-d), 0), np.where(np.arange(len(v)) % 4 > 0, v, 0)
     want = {i: (pytest.approx(w[i] @ v / (w[i].sum() + 1e-12)), (d[i] <= 2).sum()) for i in range(len(p)) if (d[i] <= 2).any()}
     assert got == want
+
+
+def test_tasks_of_a_product_grow_with_the_entries(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = (np.where(rng.uniform(size=(40, 40)) < 0.2, rng.integers(-3, 4, (40, 40)), 0).astype(float) for _ in range(2))
+    sparse = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "i long, j long, v double")
+    monkeypatch.setattr(spatial, "ENTRIES", 20)
+    out = spatial.product(sparse(a), sparse(b))
+    assert out.rdd.getNumPartitions() == -(-np.count_nonzero(a) // 20)
+    got = np.zeros((40, 40))
+    for r in out.collect():
+        got[r.i, r.j] = r.v
+    assert (got == a @ b).all()
