@@ -2,11 +2,13 @@
 
 Retrieval compares trials with image templates (the mean pattern of each image), so its work is trials
 times images. Measures over all pairs of trials come from moments where they can; only the rank
-statistic makes the pairs, in tiles.
+statistic makes the pairs, in tiles that keep their counts.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,6 +98,86 @@ def pair_distances(trials: DataFrame, blocks: int) -> DataFrame:
     return rows.groupBy("i", "j").applyInArrow(run, "dist double, s long, d long")
 
 
+#: A distance is a number of 1e-12; 2 ** SPAN of them hold all. A pass counts 2 ** BINS bins, in 2 ** PARTS parts.
+SPAN, BINS, PARTS, CHUNK = 41, 21, 6, 1024
+#: Trials whose pairs may be rows, by distance; beyond that they are counted in bins.
+FEW = 6_000
+
+
+def pair_counts(trials: DataFrame, blocks: int, start: int, bits: int) -> list[tuple]:
+    """(part, s, d, cross, tie) by parts of the distances [start, start + 2 ** bits): how many pairs i < j of one image (s) and of two (d)
+    they hold, how many (same, diff) pairs of these lie in rising bins, and how many in one bin.
+
+    ``trials``: (trial, image, v), unit arrays of one length. Every pair meets once, in the tile of its two blocks, and only counts leave a tile.
+    """
+    shift = max(0, bits - BINS)
+    size = 1 << (bits - shift)
+    width = max(1, min(CHUNK, size >> PARTS))
+
+    def run(tile: pa.Table) -> pa.Table:
+        v, own, trial, image = (tile.column(c).combine_chunks() for c in ("v", "own", "trial", "image"))
+        x, own, trial, image = v.flatten().to_numpy().reshape(len(v), -1), own.to_numpy(), trial.to_numpy(), image.to_numpy()
+        i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        counts = np.zeros(2 * size, np.int64)
+        step = max(1, (1 << 22) // max(len(b), 1))
+        for k in range(0, len(a), step):
+            rows = a[k : k + step]
+            key = np.rint((1 - x[rows] @ x[b].T) * 1e12).astype(np.int64)
+            np.clip(key, 0, (1 << SPAN) - 1, out=key)
+            key -= start
+            fine = (key >= 0) & (key < 1 << bits) & (trial[rows, None] < trial[None, b] if i == j else trial[rows, None] != trial[None, b])
+            at = (key >> shift) * 2 + (image[rows, None] == image[None, b])
+            counts += np.bincount(at[fine], minlength=2 * size)
+        whole = counts.reshape(-1, width, 2)
+        full = np.flatnonzero(whole.any((1, 2)))
+        lists = lambda m: pa.array(list(m), pa.list_(pa.int64()))
+        return pa.table({"chunk": pa.array(full.astype(np.int32)), "s": lists(whole[full, :, 1]), "d": lists(whole[full, :, 0])})
+
+    def summed(rows: pa.Table) -> pa.Table:
+        s, d = (sum(c.to_numpy().reshape(-1, width).sum(0) for c in (part.flatten() for part in rows.column(k).chunks)).astype(float) for k in ("s", "d"))
+        return pa.table({"chunk": rows.column("chunk")[:1], "s": [s.sum()], "d": [d.sum()], "cross": [d @ (np.cumsum(s) - s)], "tie": [d @ s if shift else 0.0]})
+
+    own = F.pmod(F.xxhash64("trial"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = trials.withColumn("own", own).withColumn("other", every).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "trial", "image", "v")
+    tiles = rows.groupBy("i", "j").applyInArrow(run, "chunk int, s array<long>, d array<long>")
+    chunks = tiles.groupBy("chunk").applyInArrow(summed, "chunk int, s double, d double, cross double, tie double")
+    part = F.floor(F.col("chunk") * width / (max(size >> PARTS, 1))).cast("int")
+    before = F.coalesce(F.sum("s").over(W.partitionBy("part").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    placed = chunks.withColumn("part", part).withColumn("cross", F.col("cross") + F.col("d") * before)
+    return sorted(tuple(r) for r in placed.groupBy("part").agg(*(F.sum(c).alias(c) for c in ("s", "d", "cross", "tie"))).collect())
+
+
+def joined_counts(parts: list[tuple]) -> tuple[float, float, float, float]:
+    """(s, d, cross, tie) of parts (s, d, cross, tie) that follow each other."""
+    s = d = cross = tie = 0.0
+    for ps, pd, pc, pt in parts:
+        s, d, cross, tie = s + ps, d + pd, cross + pc + pd * s, tie + pt
+    return s, d, cross, tie
+
+
+def exact_auc(trials: DataFrame, blocks: int, digits: int) -> tuple[float | None, int, int]:
+    """(auc, n_same, n_diff): the share of (same, diff) pairs of trial pairs with a strictly greater diff distance, right to ``digits``.
+
+    Distances that agree to twelve places are equal. Bins give a lower and an upper bound; as long as these round to different
+    numbers, the part that leaves most open is counted in finer bins, at last one by one. So no pair is stored, and the work
+    of a pass is all pairs.
+    """
+    parts = {k << (SPAN - PARTS): (SPAN - PARTS, r) for k, *r in pair_counts(trials, blocks, 0, SPAN)}
+    while True:
+        s, d, cross, tie = joined_counts([r for _, (_, r) in sorted(parts.items())])
+        if not s * d:
+            return None, int(s), int(d)
+        low, high = cross / (s * d), (cross + tie) / (s * d)
+        if tie == 0 or math.floor(low * 10**digits + 0.5) == math.floor(high * 10**digits + 0.5):
+            return low, int(s), int(d)
+        start = max(parts, key=lambda k: parts[k][1][3])
+        bits = parts.pop(start)[0]
+        finer = max(0, bits - PARTS)
+        parts |= {start + (k << finer): (finer, r) for k, *r in pair_counts(trials, blocks, start, bits)}
+
+
 def ranked(sim: DataFrame) -> DataFrame:
     """Adds the 1-based rank of each candidate of a trial; ties go to the smaller candidate."""
     return sim.withColumn("rank", F.row_number().over(W.partitionBy("trial").orderBy(F.desc("cos"), "candidate")).cast("long"))
@@ -175,12 +257,15 @@ def brain_retrieval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_auc(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of trials: those of one image against those of two. Pairs grow with the square of the trials, so they are made in tiles."""
+    """All pairs of trials: those of one image against those of two. Work grows with the square of the trials; of many, tiles keep counts, not pairs."""
     v = F.col("embedding").cast("array<double>")
     norm = F.sqrt(dot(v, v))
-    rows = table(spark, d, "embeddings").filter(norm > 0).select(F.col("vec_id").alias("trial"), F.col("label").alias("image"), F.transform(v, lambda x: x / norm).alias("v"))
-    s = pair_distances(rows, max(1, round(rows.count() / 1000)))
-    return strict_auc(s).select(F.round("auc", 5).alias("auc"), "n_same", "n_diff")
+    rows = cut(table(spark, d, "embeddings").filter((norm > 0) & F.col("label").isNotNull()).select(F.col("vec_id").alias("trial"), F.col("label").alias("image"), F.transform(v, lambda x: x / norm).alias("v")))
+    n = rows.count()
+    if n <= FEW:
+        return strict_auc(pair_distances(rows, max(1, round(n / 1000)))).select(F.round("auc", 5).alias("auc"), "n_same", "n_diff")
+    auc, same, diff = exact_auc(rows, max(8, -(-n // 8192)), 5)
+    return spark.range(1).select(F.round(F.lit(auc).cast("double"), 5).alias("auc"), F.lit(same).cast("long").alias("n_same"), F.lit(diff).cast("long").alias("n_diff"))
 
 
 def cohens_d(spark: SparkSession, d: str) -> DataFrame:
