@@ -96,15 +96,23 @@ def fracridge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fracridge_cv(spark: SparkSession, d: str) -> DataFrame:
-    def fit(sid, y, e):
-        if len(y) < 12:
-            return []
-        x, half, fr = K.drift_design(len(y)), len(y) // 2, np.linspace(0.05, 1, 20)
+    """The fraction that predicts a series' other half best; series of one length share their design and are fitted together."""
+    fr = np.linspace(0.05, 1, 20)
+
+    def fit(ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, half = K.drift_design(len(ys)), len(ys) // 2
         folds = [(slice(0, half), slice(half, None)), (slice(half, None), slice(0, half))]
-        r2 = np.mean([[1 - ((y[b] - x[b] @ c) ** 2).sum() / (((y[b] - y[b].mean()) ** 2).sum() + 1e-12) for c in K.fractional_ridge(x[a], y[a], fr)] for a, b in folds], axis=0)
-        return [(sid, float(fr[r2.argmax()]), float(r2.max()))]
+        r2 = np.mean([[1 - ((ys[b] - x[b] @ c) ** 2).sum(0) / (((ys[b] - ys[b].mean(0)) ** 2).sum(0) + 1e-12) for c in K.fractional_ridges(x[a], ys[a], fr)] for a, b in folds], axis=0)
+        return fr[r2.argmax(0)], r2.max(0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n, same in b.groupby(b["y"].map(len)):
+                if n >= 12:
+                    frac, r2 = fit(np.stack([np.asarray(y, float) for y in same["y"]], axis=1))
+                    yield pd.DataFrame({"sid": same["sid"].to_numpy(), "frac": frac, "r2": r2})
 
-    return map_rows(_series(spark, d), fit, "sid long, frac double, r2 double")
+    return _series(spark, d).select("sid", "y").mapInPandas(run, "sid long, frac double, r2 double")
 
 
 def eigenmaps_embed(spark: SparkSession, d: str) -> DataFrame:
