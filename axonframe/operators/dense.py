@@ -243,12 +243,18 @@ def phase_corr(spark: SparkSession, d: str) -> DataFrame:
     return map_rows(packed(both, ["ch_i", "ch_j"], F.col("tr"), x=F.col("x"), y=F.col("y")), fit, "ch_i string, ch_j string, shift double")
 
 
+def day_products(days: DataFrame, key: str) -> DataFrame:
+    """(tr, ts, g): products of all pairs of days, summed over the series (key, tr, v), each less its mean. A series is packed once, and its own days meet in its row."""
+    series = days.groupBy(key).agg(F.avg("v").alias("m"), F.collect_list(F.struct("tr", "v")).alias("days"))
+    met = series.select("m", "days", F.explode("days").alias("a")).select("m", "a", F.explode("days").alias("b"))
+    return met.groupBy(F.col("a.tr").alias("tr"), F.col("b.tr").alias("ts")).agg(F.sum((F.col("a.v") - F.col("m")) * (F.col("b.v") - F.col("m"))).alias("g"))
+
+
 def acompcor(spark: SparkSession, d: str) -> DataFrame:
     """Components of the noise pool, the most variable series, as a day x user Gram matrix that Spark sums up."""
     pool = tcompcor_pool(spark, d).select(F.col("sid").alias("user_id"))
-    e = table(spark, d, "events").join(pool, "user_id", "left_semi").groupBy("user_id", day_number().alias("tr")).agg(F.avg("value").alias("v"))
-    c = e.join(e.groupBy("user_id").agg(F.avg("v").alias("m")), "user_id").select("user_id", "tr", (F.col("v") - F.col("m")).alias("v"))
-    gram = c.join(c.select("user_id", F.col("tr").alias("ts"), F.col("v").alias("w")), "user_id").groupBy("tr", "ts").agg(F.sum(F.col("v") * F.col("w")).alias("g")).withColumn("one", F.lit(1))
+    e = table(spark, d, "events").select("user_id", day_number().alias("tr"), "value").join(pool, "user_id", "left_semi")
+    gram = day_products(cut(e.groupBy("user_id", "tr").agg(F.avg("value").alias("v"))), "user_id").withColumn("one", F.lit(1))
 
     def fit(one, i, j, g):
         days = np.unique(i)
