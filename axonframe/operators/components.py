@@ -23,6 +23,8 @@ from axonframe.sources.tables import table
 
 #: Groups whose sums a task holds at a time.
 GROUPS = 256
+#: Values of a cell of a shuffle, about: what meets in a task at a time.
+CELL = 1 << 20
 
 
 def products(rows: DataFrame, keys: list[str], column: str = "v") -> DataFrame:
@@ -30,7 +32,12 @@ def products(rows: DataFrame, keys: list[str], column: str = "v") -> DataFrame:
 
     Rows with a null vector or a null or non-finite entry are left out, and so are vectors shorter than their group's longest.
     """
-    schema = T.StructType([*rows.select(*keys).schema.fields]).add("p", T.IntegerType()).add("i", T.IntegerType()).add("n", T.LongType()).add("s", T.DoubleType())
+    return _summed(_added(_finite(rows, keys, column), keys), keys)
+
+
+def _added(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The parts of finite vectors (keys, v), added up over the rows of each task."""
+    schema = _parts(rows.select(*keys).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
@@ -59,9 +66,24 @@ def products(rows: DataFrame, keys: list[str], column: str = "v") -> DataFrame:
         if held:
             yield flush()
 
+    return rows.mapInArrow(run, schema)
+
+
+def _parts(keys: T.StructType) -> T.StructType:
+    """(keys, p, i, n, s, row ARRAY): of some rows of a group with p features their number, the sum of feature i and its products with all features."""
+    fields = [("p", T.IntegerType()), ("i", T.IntegerType()), ("n", T.LongType()), ("s", T.DoubleType()), ("row", T.ArrayType(T.DoubleType()))]
+    return T.StructType([*keys.fields, *(T.StructField(*f) for f in fields)])
+
+
+def _finite(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, v) of the vectors whose entries are all finite."""
     v = F.col(column).cast("array<double>")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    parts = rows.filter(fine).select(*keys, v.alias("v")).mapInArrow(run, schema.add("row", T.ArrayType(T.DoubleType())))
+    return rows.filter(fine).select(*keys, v.alias("v"))
+
+
+def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``products`` from parts of the groups' rows; parts of vectors shorter than their group's longest are left out."""
     sums = parts.select(*keys, "p", "i", "n", "s", F.posexplode("row").alias("j", "x")).filter("i <= j")
     whole = sums.groupBy(*keys, "p", "i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("si"), F.sum("x").alias("sij"))
     first = whole.filter("i = j").select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("p").alias("__p"), F.col("i").alias("__j"), F.col("si").alias("sj"))
@@ -71,6 +93,95 @@ def products(rows: DataFrame, keys: list[str], column: str = "v") -> DataFrame:
     return joined.join(most, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).filter("p = __most").select(*keys, "i", "j", "n", "si", "sj", "sij")
 
 
+def shuffled_products(rows: DataFrame, row_id: str, draws: int, column: str = "v") -> DataFrame:
+    """``products`` by draw: of the vectors themselves in draw 0, of vectors with each feature in an order of its own in draws from 1.
+
+    The orders are those of ``resampling.shuffled`` (a hash, then the row's number), but values travel in arrays. Tasks deal the values
+    of their rows to stretches of the hash; a stretch's values are ordered feature by feature and, as counts say where they begin, dealt
+    to blocks of places; a block adds up the products of its features. Stretches and blocks hold about ``CELL`` values whatever the rows.
+    """
+    from axonframe.operators.resampling import BITS, hashed
+
+    fine = _finite(rows, [F.col(row_id).cast("long").alias("trial")], column)
+    p, n = fine.groupBy(F.size("v").alias("p")).count().orderBy(F.desc("p")).first() or (1, 0)
+    size = max(CELL // p, 1)
+    stretches = max(-(-n // size), 1)
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, n * p * draws // (4 * CELL))
+    stored = cut(fine.filter(F.size("v") == p).repartition(tasks))
+    drawn = stored.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+
+    features = F.sequence(F.lit(0), F.lit(p - 1))
+    stretch = F.shiftright(hashed(F.col("draw"), F.col("k"), F.col("trial")) * stretches, BITS)
+    counts = drawn.select("draw", "trial", F.explode(features).alias("k")).groupBy("draw", stretch.alias("stretch"), "k").agg(F.count("*").alias("n"))
+    before = W.partitionBy("draw", "k").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    bases = counts.select("draw", "stretch", "k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+
+    low = 63 - BITS
+    coded = drawn.select("draw", "trial", "v", F.transform(features, lambda k: F.xxhash64("draw", k, "trial")).alias("code"))
+    array = lambda of, start, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(start)], pa.int32()), pa.array(values, of))
+    flat = lambda column: column.combine_chunks().flatten().to_numpy() if isinstance(column, pa.ChunkedArray) else column.flatten().to_numpy()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            draw, x = t["draw"].to_numpy(), flat(t["v"]).reshape(-1, p)
+            # As ``hashed``, the last bits of the hash; below them those of the row's number.
+            key = (flat(t["code"]).reshape(-1, p) & (1 << BITS) - 1) << low | (t["trial"].to_numpy() & (1 << low) - 1)[:, None]
+            for one in np.unique(draw):
+                at = np.flatnonzero(draw == one)
+                values, keys = x[at].T.ravel(), key[at].T.ravel()
+                stretch = (keys >> low) * stretches >> BITS
+                order = np.argsort(stretch.astype(np.min_scalar_type(stretches)), kind="stable")
+                cells = np.bincount(stretch * p + np.repeat(np.arange(p), len(at)), minlength=stretches * p).reshape(stretches, p)
+                some = np.flatnonzero(cells.sum(1))
+                total = cells[some].sum(1)
+                columns = [pa.array(np.full(len(some), one), pa.int32()), pa.array(some, pa.int64()), array(pa.int64(), np.full(len(some), p), cells[some].ravel()), array(pa.int64(), total, keys[order]), array(pa.float64(), total, values[order])]
+                yield pa.RecordBatch.from_arrays(columns, ["draw", "stretch", "n", "key", "x"])
+
+        for b in batches:
+            held.append(b)
+            if sum(h.num_rows for h in held) * p >= 4 * CELL:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    def ordered(dealt: pa.Table, bases: pa.Table) -> pa.Table:
+        cells, keys, x = flat(dealt["n"]).reshape(-1, p), flat(dealt["key"]), flat(dealt["x"])
+        feature = np.repeat(np.tile(np.arange(p, dtype=np.min_scalar_type(p)), len(cells)), cells.ravel())
+        order = np.argsort(feature, kind="stable")
+        keys, x, ends = keys[order], x[order], np.cumsum(cells.sum(0))
+        base = dict(zip(bases["k"].to_pylist(), bases["base"].to_pylist(), strict=True))
+        out, values = [], []
+        for k in np.flatnonzero(cells.sum(0)).tolist():
+            own, y = keys[ends[k - 1] if k else 0 : ends[k]], x[ends[k - 1] if k else 0 : ends[k]]
+            order = np.argsort(own)
+            if (np.diff(own[order]) == 0).any():
+                order = np.lexsort((y, own))
+            first, last = base[k], base[k] + len(y)
+            for block in range(first // size, (last - 1) // size + 1):
+                a, e = max(first, block * size), min(last, (block + 1) * size)
+                out.append((block, k, a - block * size))
+                values.append(y[order[a - first : e - first]])
+        block, k, start = zip(*out, strict=True)
+        columns = [pa.array([dealt["draw"][0].as_py()] * len(out), pa.int32()), pa.array(block, pa.int64()), pa.array(k, pa.int32()), pa.array(start, pa.int64()), array(pa.float64(), [len(y) for y in values], np.concatenate(values))]
+        return pa.Table.from_arrays(columns, ["draw", "block", "k", "start", "x"])
+
+    def added(t: pa.Table) -> pa.Table:
+        x = np.zeros((p, min(size, n - t["block"][0].as_py() * size)))
+        for k, start, y in zip(t["k"].to_pylist(), t["start"].to_pylist(), t["x"], strict=True):
+            x[k, start : start + len(y)] = y.values
+        columns = [pa.array([t["draw"][0].as_py()] * p, pa.int32()), pa.array([p] * p, pa.int32()), pa.array(range(p), pa.int32()), pa.array([x.shape[1]] * p, pa.int64()), pa.array(x.sum(1)), array(pa.float64(), [p] * p, (x @ x.T).ravel())]
+        return pa.Table.from_arrays(columns, ["draw", "p", "i", "n", "s", "row"])
+
+    cells = coded.mapInArrow(deal, "draw int, stretch long, n array<long>, key array<long>, x array<double>")
+    placed = cells.groupBy("draw", "stretch").cogroup(bases.groupBy("draw", "stretch")).applyInArrow(ordered, "draw int, block long, k int, start long, x array<double>")
+    parts = placed.groupBy("draw", "block").applyInArrow(added, _parts(placed.select("draw").schema))
+    return _summed(cut(_added(stored.select(F.lit(0).alias("draw"), "v"), ["draw"]).unionByName(parts)), ["draw"])
+
+
 def covariance(sums: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, i, j, n, c): sample covariances for i <= j, of groups with two rows at least."""
     return sums.filter("n > 1").select(*keys, "i", "j", "n", ((F.col("sij") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("c"))
@@ -317,21 +428,13 @@ def nordic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parallel_analysis(spark: SparkSession, d: str, draws: int = 20) -> DataFrame:
-    """Shares of all features' components against shuffles of each feature over the trials (95th percentile of ``draws``).
-
-    A feature is shuffled by pairing its ranks in the order of a hash with the trials' numbers; both are numbered in salted cells.
-    """
-    from axonframe.operators.resampling import shuffled
-
-    flat = cut(_vectors(spark, d).filter("v IS NOT NULL").select(F.col("vec_id").alias("trial"), F.posexplode(F.col("v").cast("array<double>")).alias("k", "x")))
-    moved = shuffled(flat, draws)
-    vectors = moved.groupBy("draw", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
+    """Shares of all features' components against shuffles of each feature over the trials (95th percentile of ``draws``)."""
 
     def of(m: np.ndarray, n: int) -> list[tuple]:
         w = leading(m, len(m))[0]
         return [(c, float(s)) for c, s in enumerate(w / max(w.sum(), 1e-300))]
 
-    shares = by_matrix(covariance(products(vectors, ["draw"]), ["draw"]), ["draw"], "c", of, "component long, share double")
+    shares = by_matrix(covariance(shuffled_products(_vectors(spark, d), "vec_id", draws), ["draw"]), ["draw"], "c", of, "component long, share double")
     return shares.groupBy("component").agg(F.max(F.when(F.col("draw") == 0, F.col("share"))).alias("share"), F.percentile(F.when(F.col("draw") > 0, F.col("share")), F.lit(0.95)).alias("null95"))
 
 

@@ -13,9 +13,18 @@ from axonframe.sources.series import daily_channels, trial_features
 from axonframe.sources.tables import table
 
 
+#: Bits of a hash.
+BITS = 40
+
+
+def hashed(*keys: Column) -> Column:
+    """A whole number of ``BITS`` bits that depends on the keys alone."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << BITS))
+
+
 def uniform(*keys: Column) -> Column:
     """A number in [0, 1) that depends on the keys alone."""
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) / float(1 << 40)
+    return hashed(*keys) / float(1 << BITS)
 
 
 def repeated(df: DataFrame, times: int, name: str) -> DataFrame:

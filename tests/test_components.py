@@ -144,3 +144,51 @@ def test_fits_with_more_and_more_columns(spark):
         assert abs(r.r2 - (1 - left @ left / ((y[at] - y[at].mean()) ** 2).sum())) < 1e-9
     rows = registry.QUERIES["glmdenoise"](spark, FOLDER).collect()
     assert sorted(r.components for r in rows) == [0, 1, 2, 3] and [r.components for r in rows if r.chosen] == [max(rows, key=lambda r: (r.r2, -r.components)).components]
+
+
+def test_shuffles_in_arrays_equal_rows_numbered_one_by_one(spark, monkeypatch):
+    from axonframe.operators.resampling import shuffled
+
+    rng = np.random.default_rng(4)
+    u = rng.normal(size=(300, 6))
+    df = spark.createDataFrame([(t * 7 - 900, u[t].tolist()) for t in range(300)], "trial long, v array<double>").repartition(5)
+    flat = spark.createDataFrame([(t * 7 - 900, k, float(u[t, k])) for t in range(300) for k in range(6)], "trial long, k int, x double")
+    want = {d: g.pivot(index="pos", columns="k", values="x").to_numpy() for d, g in shuffled(flat, 3).toPandas().groupby("draw")}
+    for cell in (1 << 20, 6 * 40, 6 * 7):  # one stretch; some; stretches shorter than what their counts differ by
+        monkeypatch.setattr(components, "CELL", cell)
+        sums = components.shuffled_products(df, "trial", 3).toPandas()
+        assert len(sums) == 4 * 21 and (sums.n == 300).all()
+        for d, m in want.items():
+            g = sums[sums.draw == d]
+            assert np.allclose(g.sij, (m.T @ m)[g.i, g.j], atol=1e-9) and np.allclose(g.si, m.sum(0)[g.i], atol=1e-9) and np.allclose(g.sj, m.sum(0)[g.j], atol=1e-9)
+
+
+def test_parallel_analysis_leaves_out_odd_rows_whole(spark, vectors, tmp_path):
+    label, x, ids = vectors
+    rows = [(int(i), v.tolist(), int(k)) for i, v, k in zip(ids, x, label, strict=True)]
+    odd = [None, [], [1.0] * 40, [*[1.0] * 63, None], [float("nan")] * 64, [*[5.0] * 63, float("inf")]]
+    rows += [(10_000 + i, v, 0) for i, v in enumerate(odd)]
+    schema = "vec_id long, embedding array<double>, label int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/odd/embeddings.parquet")
+    p, clean = (registry.QUERIES["parallel_analysis"](spark, d).toPandas().sort_values("component") for d in (f"{tmp_path}/odd", FOLDER))
+    assert np.allclose(p["share"], clean["share"], atol=1e-9) and np.allclose(p.null95, clean.null95, atol=1e-9)
+    again = spark.createDataFrame([r for r in rows for _ in range(2)][:1000], schema)  # every number twice: a trial's features stay together
+    again.write.parquet(f"{tmp_path}/twice/embeddings.parquet")
+    w = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    assert np.allclose(registry.QUERIES["parallel_analysis"](spark, f"{tmp_path}/twice").toPandas().sort_values("component")["share"], w / w.sum(), atol=1e-9)
+    spark.createDataFrame(rows[-6:-4], schema).write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert registry.QUERIES["parallel_analysis"](spark, f"{tmp_path}/none").count() == 0
+
+
+def test_parallel_analysis_shuffles_arrays_not_values(spark, vectors):
+    x = vectors[1]
+    sc = spark.sparkContext
+    store, none, no = sc._jsc.sc().statusStore(), sc._jvm.java.util.ArrayList(), sc._gateway.new_array(sc._jvm.double, 0)
+
+    def stages():
+        found = store.stageList(none, False, False, no, none)
+        return {(s := found.apply(i)).stageId(): s.shuffleWriteRecords() for i in range(found.size())}
+
+    last = max(stages(), default=-1)
+    assert len(got(spark, "parallel_analysis")) == 64
+    assert 0 < sum(n for k, n in stages().items() if k > last) < 20 * x.size / 2  # each of 20 draws moves every value
